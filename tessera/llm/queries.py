@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 _QUERIES = {
     "op5_feistel_sharding": "sharding",
     "op8_mixing_sources": "mixing",
+    "op9_minhash_neardup": "neardup",
     "op10_document_fingerprints": "fingerprints",
 }
 
