@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES = {
+    "op1_toxicity": "toxicity",
     "op5_feistel_sharding": "sharding",
     "op8_mixing_sources": "mixing",
     "op9_minhash_neardup": "neardup",
