@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES = {
     "op1_toxicity": "toxicity",
+    "op4_nra_topk": "topk",
     "op5_feistel_sharding": "sharding",
+    "op6_sentencepiece": "sentencepieces",
     "op8_mixing_sources": "mixing",
     "op9_minhash_neardup": "neardup",
     "op10_document_fingerprints": "fingerprints",
@@ -21,4 +23,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tessera.llm.topk import ORACLE_TOPK
+
+    return {"op4_nra_topk": ORACLE_TOPK}
