@@ -38,3 +38,28 @@ def near_components(rows: list[tuple[int, str | None]], tried: list | None = Non
             ra, rb = find(a), find(b)
             parent[max(ra, rb)] = min(ra, rb)
     return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+_BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def base_spans(text: str) -> list[tuple[str, int, int]]:
+    out = []
+    for rank, (kind, rx) in enumerate(_BASE.items()):
+        for m in re.finditer(rx, text):
+            digits = [int(c) for c in m[0] if c in "0123456789"]
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            if kind == "card":
+                doubled = [d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits))]
+                if not 12 <= len(digits) <= 19 or sum(doubled) % 10:
+                    continue
+            out.append((m.start(), rank, m.end(), kind))
+    return [(k, a, b) for a, _, b, k in sorted(out)]
