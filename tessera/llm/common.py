@@ -75,3 +75,17 @@ def number_rows(df: DataFrame, *order: str) -> tuple[DataFrame, int]:
 def utf8(text: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(text), F.lit(""))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Run ``df`` once into a Parquet table in the shared checkpoint folder and read that back.
+
+    Smaller on disk than a checkpoint of wide rows; recovers from lost executors in the same way.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        cut(spark.range(0))
+    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -9,8 +9,9 @@ Bands of ``ROWS`` coordinates name buckets. Links are found in two steps, with n
 out all pairs of a bucket of copies:
 
 1. equal sets become one node; in each bucket the node that meets the most others is the pivot, every
-   member is verified against it on the full sets, and connected components follow from that;
-2. only members of one bucket that still lie in different components are compared: by their
+   member is verified against it on the full sets, and connected components follow from that; large
+   buckets that still hold several components get other pivots in turn;
+2. only members of one bucket that then still lie in different components are compared: by their
    sketches inside small blocks, where pairs that stand no chance fall away, the rest by full sets.
 
 A pair of similarity 0.75 misses every bucket with probability ``(1 - 0.75**ROWS) ** BANDS`` (2e-6).
@@ -35,6 +36,8 @@ COORDINATES = ROWS * BANDS
 LEAST_EQUAL = 140
 #: Members of a bucket that are paired in SQL; larger buckets are cut into blocks of so many.
 SMALL_BUCKET, BLOCK = 16, 256
+#: Rounds with other pivots for large buckets, before their members are compared in blocks.
+EXTRA_STARS = 3
 #: Verified pairs of one node that share a copy of its text.
 PAIRS_PER_COPY = 512
 _U = np.uint64
@@ -136,12 +139,11 @@ def _sets_of(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those distinct (a, b) whose documents' full sets are similar enough.
+    """Those of the distinct, kept (a, b) whose documents' full sets are similar enough.
 
     Only texts of documents in a pair are shuffled. A node in many pairs gets one copy of its text
     for ``PAIRS_PER_COPY`` of them, so that no task holds all of a hub's pairs.
     """
-    pairs = cut(pairs)
     degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_PER_COPY).alias("copies"))
     involved = cut(
         degree.select(F.col("a").alias("node"), "copies", F.lit(0).alias("right"))
@@ -208,15 +210,36 @@ def _block_pairs(frame):
     return pd.DataFrame({"a": np.minimum(a, b).astype(np.int64), "b": np.maximum(a, b).astype(np.int64)})
 
 
-def _unsettled_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Distinct pairs of nodes that share a bucket, lie in different components and may be similar enough."""
+def close_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose sketches leave a chance."""
+    return (
+        pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
+        .join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
+        .select("a", "b", "sa", "sb")
+        .mapInArrow(_close, "a long, b long")
+        .distinct()
+    )
+
+
+def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket, node, component, size of the members of buckets that hold several components."""
     labelled = members.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(
         "bucket", "node", F.coalesce("component", "node").alias("component")
     )
-    open_buckets = (
-        labelled.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket", "size")
-    )
-    open_rows = cut(labelled.join(open_buckets, "bucket"))
+    spread = labelled.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    return cut(labelled.join(spread.select("bucket", "size"), "bucket"))
+
+
+def _stars(members: DataFrame, weight) -> DataFrame:
+    """Distinct pairs (a < b) of each bucket's heaviest node and its members in other components."""
+    pivots = members.groupBy("bucket").agg(F.max(F.struct(weight.alias("w"), (-F.col("node")).alias("n"), F.col("component").alias("c"))).alias("p"))
+    pivots = pivots.select("bucket", (-F.col("p.n")).alias("_pivot"), F.col("p.c").alias("_of"))
+    met = members.join(pivots, "bucket").filter("component <> _of")
+    return met.select(F.least("node", "_pivot").alias("a"), F.greatest("node", "_pivot").alias("b")).distinct()
+
+
+def _unsettled_pairs(open_rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Distinct pairs of nodes that share a bucket, lie in different components and may be similar enough."""
     small = open_rows.filter(F.col("size") <= SMALL_BUCKET)
     pairs = (
         small.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"))
@@ -225,18 +248,12 @@ def _unsettled_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame)
         .select("a", "b")
         .distinct()
     )
-    close = (
-        pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
-        .join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-        .select("a", "b", "sa", "sb")
-        .mapInArrow(_close, "a long, b long")
-    )
     large = open_rows.filter(F.col("size") > SMALL_BUCKET).join(sketches, "node")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     large = large.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     large = large.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     dense = large.groupBy("bucket", "i", "j").applyInPandas(_block_pairs, "a long, b long")
-    return close.unionByName(dense).distinct()
+    return close_pairs(pairs, sketches).unionByName(dense).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -254,23 +271,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     members = cut(banded.join(shared, "bucket").select("bucket", "node", "size").distinct())
-    # the node that meets the most others is the likeliest to link with all of them
-    meets = members.groupBy("node").agg(F.sum("size").alias("meets"))
-    ranked = members.join(meets, "node")
-    pivots = ranked.groupBy("bucket").agg(F.max(F.struct("meets", -F.col("node"))).alias("p")).select("bucket", (-F.col("p.col2")).alias("pivot"))
-    stars = members.join(pivots, "bucket").filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = verify(stars, docs)
     several = (
         sets.select("doc_id", "set_key").join(classes, "set_key").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("a", "b")
     )
-    links = links.unionByName(several)
+    sketches = cut(nodes.select("node", "sketch").dropDuplicates(["node"]))
+    # the node that meets the most others is the likeliest to link with all of them
+    meets = members.groupBy("node").agg(F.sum("size").alias("meets"))
+    tried = cut(close_pairs(_stars(members.join(meets, "node").withColumn("component", F.col("node")), F.col("meets")), sketches))
+    links = verify(tried, docs).unionByName(several)
     labels = components(links)
-    sketches = nodes.select("node", "sketch").dropDuplicates(["node"])
-    more = _unsettled_pairs(members, labels, sketches)
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = verify(more.join(tried, ["a", "b"], "left_anti"), docs)
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    open_rows = _open_members(members, labels)
+    for turn in range(EXTRA_STARS):
+        # other pivots for the large buckets that still hold several components
+        large = open_rows.filter(F.col("size") > SMALL_BUCKET)
+        stars = cut(close_pairs(_stars(large, F.xxhash64(F.lit(turn), "node")), sketches).join(tried, ["a", "b"], "left_anti"))
+        if stars.isEmpty():
+            break
+        found = verify(stars, docs)
+        tried = tried.unionByName(stars)
+        if not found.isEmpty():
+            labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
+            open_rows = _open_members(members, labels)
+    last = cut(_unsettled_pairs(open_rows, sketches).join(tried, ["a", "b"], "left_anti"))
+    if not last.isEmpty():
+        found = verify(last, docs)
+        labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
     settled = classes.join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
     return (
         sketched.select("doc_id", "n_shingles", "set_key")
