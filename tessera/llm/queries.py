@@ -13,6 +13,7 @@ _QUERIES = {
     "op4_nra_topk": "topk",
     "op5_feistel_sharding": "sharding",
     "op6_sentencepiece": "sentencepieces",
+    "op7_suffix_dedup": "repeats",
     "op8_mixing_sources": "mixing",
     "op9_minhash_neardup": "neardup",
     "op10_document_fingerprints": "fingerprints",

@@ -63,3 +63,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
                     continue
             out.append((m.start(), rank, m.end(), kind))
     return [(k, a, b) for a, _, b, k in sorted(out)]
+
+
+def remaining_bytes(texts: list[str | None], length: int = 200) -> list[tuple[bytes, int, int]]:
+    """Of each text: remaining bytes, removed bytes, removed runs."""
+    raw = [(t or "").encode() for t in texts]
+    seen: dict[bytes, int] = {}
+    for r in raw:
+        for i in range(len(r) - length + 1):
+            seen[r[i : i + length]] = seen.get(r[i : i + length], 0) + 1
+    out = []
+    for r in raw:
+        gone = bytearray(len(r))
+        for i in range(len(r) - length + 1):
+            if seen[r[i : i + length]] > 1:
+                gone[i : i + length] = b"\x01" * length
+        runs = sum(gone[i] and not (i and gone[i - 1]) for i in range(len(gone)))
+        out.append((bytes(b for b, g in zip(r, gone) if not g), sum(gone), runs))
+    return out
