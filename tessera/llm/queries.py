@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES = {
     "op1_toxicity": "toxicity",
+    "op2_html_extraction": "html_text",
     "op3_semi_markov_pii": "pii",
     "op4_nra_topk": "topk",
     "op5_feistel_sharding": "sharding",
