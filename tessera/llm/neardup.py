@@ -203,22 +203,23 @@ def _widely_sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _block_pairs(frame):
-    """Pairs of one block pair of a large bucket whose components differ and whose wide sketches are close.
+    """Pairs of a block's own nodes with nodes outside the bucket's main component, whose components differ and
+    whose wide sketches are close.
 
-    A pair that shares several buckets comes from the one of its first common band only.
+    Two outsiders meet in the block of the larger one. A pair that shares several buckets comes from
+    the one of its first common band only.
     """
     import pandas as pd
 
-    node, comp, block = (frame[c].to_numpy() for c in ("node", "component", "block"))
+    node, comp, block, outside = (frame[c].to_numpy() for c in ("node", "component", "block", "outside"))
     a, b = [], []
     if (comp != comp[0]).any():
         bits = np.frombuffer(b"".join(frame["wide"]), np.uint8).reshape(-1, WIDE)
         bands = np.stack(frame["bands"].to_numpy())
         band = int(np.flatnonzero(bands[0] == frame["bucket"].iloc[0])[0])
-        same = (frame["i"] == frame["j"]).to_numpy()[0]
-        for k in range(len(node) - 1):
-            ok = comp[k + 1 :] != comp[k] if same else (comp[k + 1 :] != comp[k]) & (block[k + 1 :] != block[k])
-            at = np.flatnonzero(ok) + k + 1
+        own = np.flatnonzero(block == frame["at"].iloc[0])
+        for k in np.flatnonzero(outside):
+            at = own[(comp[own] != comp[k]) & (~outside[own] | (node[own] > node[k]))]
             at = at[(bits[at] == bits[k]).sum(axis=1) >= WIDE_LEAST_EQUAL] if len(at) else at
             at = at[~(bands[at, :band] == bands[k, :band]).any(axis=1)] if len(at) else at
             a += [node[k]] * len(at)
@@ -268,11 +269,12 @@ def _unsettled_pairs(open_rows: DataFrame, sketches: DataFrame, bands: DataFrame
     nodes = cut(large.select("node").distinct())
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(small_side(nodes, nodes.count()), "node")
     wide = texts.mapInArrow(_widely_sketched, "node long, wide binary").dropDuplicates(["node"])
-    large = large.join(wide.join(bands, "node"), "node")
+    # members of a bucket's main component need no comparison among themselves: only the others go to all blocks
+    main = large.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    large = large.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    large = large.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    dense = large.groupBy("bucket", "i", "j").applyInPandas(_block_pairs, "a long, b long")
+    placed = large.join(main, "bucket").withColumn("outside", F.col("component") != F.col("main")).withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    placed = placed.withColumn("at", F.explode(F.when(F.col("outside"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("block"))))
+    dense = placed.join(wide.join(bands, "node"), "node").groupBy("bucket", "at").applyInPandas(_block_pairs, "a long, b long")
     return close_pairs(pairs, sketches).unionByName(dense).distinct()
 
 
