@@ -27,6 +27,8 @@ from tessera.llm.suffixes import permuted_common_prefixes, suffix_array
 
 LENGTH, GRAM = 200, 48
 _WINDOW = LENGTH - GRAM + 1
+#: Windows by the place of their anchor, in classes that share a core.
+CLASS = 20
 #: Different pieces of one anchor that a shard takes; bytes of one suffix array.
 SHARD_PIECES, SHARD_BYTES = 2048, 1 << 20
 _U = np.uint64
@@ -42,11 +44,11 @@ def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def pieces(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of each piece: text index, first window, number of windows, anchor hash, piece hash."""
+    """Of each piece: text index, first window, number of windows, place of the anchor after it, anchor hash, piece hash."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < LENGTH:
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     sums = tb.prefix_sums(data)
     starts = np.arange(n - GRAM + 1)
     grams = tb.mix(tb.substring_hash(sums, starts, starts + GRAM), 61)
@@ -59,24 +61,24 @@ def pieces(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     np.add.at(change, at[1:][long] - LENGTH + 1, -1)
     window = np.flatnonzero(np.cumsum(change[:-1])[: len(place)] > 0)
     if not len(window):
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     where = place[window]
     first = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]) | (window[1:] != window[:-1] + 1)])
     count = np.diff(np.r_[first, len(window)])
     begin = window[first]
     text = np.searchsorted(at, begin, "right") - 1
     whole = tb.mix(tb.substring_hash(sums, begin, begin + count + LENGTH - 1), 62) ^ tb.mix(count.astype(_U), 63)
-    return text, begin - at[text], count, grams[where[first]].view(np.int64), whole.view(np.int64)
+    return text, begin - at[text], count, where[first] - begin, grams[where[first]].view(np.int64), whole.view(np.int64)
 
 
 def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, _, data, at in tb.chunks(batch.column(2)):
-            text, first, count, anchor, piece = pieces(data, at)
+            text, first, count, offset, anchor, piece = pieces(data, at)
             rows = pa.array(text + i)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(first, pa.int32()), pa.array(count.astype(np.int16)), pa.array(anchor), pa.array(piece)],
-                names=["id", "crc", "first", "windows", "anchor", "piece"],
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(first, pa.int32()), pa.array(count.astype(np.int16)), pa.array(offset.astype(np.int16)), pa.array(anchor), pa.array(piece)],
+                names=["id", "crc", "first", "windows", "offset", "anchor", "piece"],
             )
 
 
@@ -87,9 +89,38 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+def _possible(group: list[tuple]) -> Iterator[tuple]:
+    """The stretches of an anchor's pieces that may repeat: id, crc, first window, alone, windows, bytes.
+
+    Windows whose anchor lies ``q * CLASS`` to ``q * CLASS + CLASS - 1`` bytes after their start have a core in
+    common; a window can only repeat if another piece has the same core.
+    """
+    seen: dict[tuple[int, bytes], int] = {}
+    cores = []
+    for *_, count, offset, raw in group:
+        own = []
+        for q in range((offset - count + 1) // CLASS, offset // CLASS + 1):
+            low = q * CLASS
+            own.append((q, raw[offset - low : offset - min(low + CLASS, _WINDOW) + 1 + LENGTH]))
+        cores.append(own)
+        for k in own:
+            seen[k] = seen.get(k, 0) + 1
+    for (key, crc, first, alone, count, offset, raw), own in zip(group, cores):
+        shared = [q for q, core in own if seen[q, core] > 1]
+        k = 0
+        while k < len(shared):
+            j = k
+            while j + 1 < len(shared) and shared[j + 1] == shared[j] + 1:
+                j += 1
+            a, b = max(0, offset - shared[j] * CLASS - CLASS + 1), min(count - 1, offset - shared[k] * CLASS)
+            yield key, crc, first + a, alone, b - a + 1, raw[a : b + LENGTH]
+            k = j + 1
+
+
 def _shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeating windows of the pieces that occur once; pieces come ordered by anchor."""
     held: list[tuple] = []
+    group: list[tuple] = []
     size = 0
 
     def settle() -> pa.RecordBatch:
@@ -111,15 +142,18 @@ def _shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "crc", "a", "b"])
 
-    last = None
     for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(7))):
-            if size > SHARD_BYTES and row[0] != last:
-                yield settle()
-                held, size = [], 0
-            last = row[0]
-            held.append(row[1:])
-            size += len(row[6]) + 1
+        for row in zip(*(batch.column(k).to_pylist() for k in range(8))):
+            if group and row[0] != group[0][0]:
+                for piece in _possible([g[1:] for g in group]):
+                    held.append(piece)
+                    size += len(piece[5]) + 1
+                group = []
+                if size > SHARD_BYTES:
+                    yield settle()
+                    held, size = [], 0
+            group.append(row)
+    held += _possible([g[1:] for g in group])
     if held:
         yield settle()
 
@@ -130,17 +164,17 @@ def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for key, crc, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(4))):
             raw = text.encode()
-            out += [(w["anchor"], key, crc, w["first"], w["alone"], w["windows"], raw[w["first"] : w["first"] + w["windows"] + LENGTH - 1]) for w in wanted]
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.binary())
-        cols = list(zip(*out)) if out else [[]] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["anchor", "id", "crc", "first", "alone", "windows", "bytes"])
+            out += [(w["anchor"], key, crc, w["first"], w["alone"], w["windows"], w["offset"], raw[w["first"] : w["first"] + w["windows"] + LENGTH - 1]) for w in wanted]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
+        cols = list(zip(*out)) if out else [[]] * 8
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["anchor", "id", "crc", "first", "alone", "windows", "offset", "bytes"])
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each window of the pieces by the hash of its bytes."""
     for batch in batches:
         for row in range(batch.num_rows):
-            anchor, key, crc, first, alone, count, raw = (batch.column(k)[row].as_py() for k in range(7))
+            anchor, key, crc, first, alone, count, _, raw = (batch.column(k)[row].as_py() for k in range(8))
             sums, at = tb.prefix_sums(np.frombuffer(raw, np.uint8)), np.arange(count)
             h = tb.mix(tb.substring_hash(sums, at, at + LENGTH), 64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -151,11 +185,11 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """id, crc, a, b: byte ranges (end exclusive) of repeating windows, overlapping and repeated ones too."""
-    found = _keyed(docs).filter(F.octet_length("text") >= LENGTH).mapInArrow(_piece_rows, "id long, crc int, first int, windows short, anchor long, piece long")
+    found = _keyed(docs).filter(F.octet_length("text") >= LENGTH).mapInArrow(_piece_rows, "id long, crc int, first int, windows short, offset short, anchor long, piece long")
     common = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     rows = written(found.join(common, "anchor"))
     kinds = written(
-        rows.groupBy("anchor", "piece").agg(F.count("*").alias("n"), F.min(F.struct("id", "crc", "first", "windows")).alias("one"))
+        rows.groupBy("anchor", "piece").agg(F.count("*").alias("n"), F.min(F.struct("id", "crc", "first", "windows", "offset")).alias("one"))
     )
     copied = rows.join(kinds.filter("n > 1").select("anchor", "piece"), ["anchor", "piece"]).select(
         "id", "crc", F.col("first").alias("a"), (F.col("first") + F.col("windows") + (LENGTH - 1)).alias("b")
@@ -167,14 +201,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         .groupBy(F.col("one.id").alias("id"), F.col("one.crc").alias("crc"))
         .agg(
             F.collect_list(
-                F.struct("anchor", F.col("one.first").alias("first"), (F.col("n") == 1).alias("alone"), F.col("one.windows").cast("int").alias("windows"), (F.col("pieces") > SHARD_PIECES).alias("hot"))
+                F.struct("anchor", F.col("one.first").alias("first"), (F.col("n") == 1).alias("alone"), F.col("one.windows").cast("int").alias("windows"), F.col("one.offset").cast("int").alias("offset"), (F.col("pieces") > SHARD_PIECES).alias("hot"))
             ).alias("wanted")
         )
     )
     keys = small_side(wanted.select("id", "crc"), wanted.count())
     texts = _keyed(docs).join(keys, ["id", "crc"], "left_semi").dropDuplicates(["id", "crc"]).join(wanted, ["id", "crc"])
     fetched = lambda hot: texts.select("id", "crc", "text", F.filter("wanted", lambda w: w["hot"] == hot).alias("wanted")).filter(F.size("wanted") > 0).mapInArrow(
-        _fetched, "anchor long, id long, crc int, first int, alone boolean, windows int, bytes binary"
+        _fetched, "anchor long, id long, crc int, first int, alone boolean, windows int, offset int, bytes binary"
     )
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sharded = fetched(False).repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_shard_rows, "id long, crc int, a int, b int")

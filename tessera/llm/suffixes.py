@@ -125,43 +125,44 @@ def _by_position(s: list[int], k: int) -> list[int]:
         total += size[c]
         ends[c] = total
 
+    # the symbol before a position, where that is of the wanted kind; else -1
+    larger = [-1] + [c if not t else -1 for c, t in zip(s, small[:-1])]
+    smaller = [-1] + [c if t else -1 for c, t in zip(s, small[:-1])]
+
     def induce(seed: list[int]) -> list[int]:
-        sa = [-1] * n
+        sa = [0] * n  # position 0 induces nothing
         tail = ends[:]
         for i in reversed(seed):
             c = s[i]
             tail[c] -= 1
             sa[tail[c]] = i
         head = starts[:]
-        for i in sa_walk(sa):
-            if i > 0 and not small[i - 1]:
-                c = s[i - 1]
+        for i in sa:  # sees what it writes further on
+            c = larger[i]
+            if c >= 0:
                 sa[head[c]] = i - 1
                 head[c] += 1
         tail = ends[:]
-        for x in range(n - 1, -1, -1):
-            i = sa[x]
-            if i > 0 and small[i - 1]:
-                c = s[i - 1]
+        for i in reversed(sa):
+            c = smaller[i]
+            if c >= 0:
                 tail[c] -= 1
                 sa[tail[c]] = i - 1
         return sa
 
-    def sa_walk(sa: list[int]):
-        for x in range(n):
-            yield sa[x]
-
     sa = induce(lms)
-    after = dict(zip(lms, lms[1:] + [n - 1]))
-    name, last, names = -1, None, {}
+    after = [0] * n
+    for i, j in zip(lms, lms[1:] + [n - 1]):
+        after[i] = j
+    name, last, names = -1, None, [0] * n
     for i in sa:
-        if i in after:
+        if after[i]:
             part = s[i : after[i] + 1]
             if part != last:
                 name, last = name + 1, part
             names[i] = name
     if name + 1 == len(lms):
-        order = sorted(lms, key=names.__getitem__)
+        order = [i for i in sa if after[i]]
     else:
         order = [lms[x] for x in _by_position([names[i] for i in lms], name + 1)]
     return induce(order)
