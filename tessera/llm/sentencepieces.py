@@ -3,8 +3,7 @@
 The model's protobuf is parsed here and rebuilt: normaliser (character map, dummy prefix, space as
 metaspace), BPE merges or unigram scores, byte fallback and decoder. Where no piece holds a metaspace
 after another character, no merge crosses from a character to a following metaspace, so a text may be
-encoded piecewise; equal pieces are encoded once per task, in multithreaded batches. Every piece is
-also encoded by the sentencepiece library to verify parity.
+encoded piecewise, and so at other borders that no piece crosses; equal parts are encoded once, in multithreaded batches, while they are remembered. Every such part is also encoded by the sentencepiece library to verify parity.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ import hashlib
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -31,7 +31,9 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Pieces of text that a task remembers, and texts that it works on at a time.
-REMEMBERED, TEXTS = 400_000, 512
+REMEMBERED, TEXTS = 150_000, 128
+#: Pieces of text that are encoded at once.
+BATCH = 4096
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -105,13 +107,10 @@ def _merges(spec: ModelSpec) -> list[tuple[str, str]]:
     """Pairs of pieces that make a piece, the best scores first; among the pairs of one piece by their ids."""
     ids = {p: i for i, p in enumerate(spec.pieces)}
     made = []
-    for i, piece in enumerate(spec.pieces):
-        if spec.kinds[i] != NORMAL or len(piece) < 2:
-            continue
-        pairs = [(piece[:k], piece[k:]) for k in range(1, len(piece))]
-        found = sorted((ids[a], ids[b], a, b) for a, b in pairs if a in ids and b in ids)
-        made += [(-spec.scores[i], i, n, a, b) for n, (_, _, a, b) in enumerate(found)]
-    return [(a, b) for *_, a, b in sorted(made)]
+    for i in sorted((i for i, p in enumerate(spec.pieces) if spec.kinds[i] == NORMAL and len(p) > 1), key=lambda i: (-spec.scores[i], i)):
+        pairs = [(spec.pieces[i][:k], spec.pieces[i][k:]) for k in range(1, len(spec.pieces[i]))]
+        made += sorted(((a, b) for a, b in pairs if a in ids and b in ids), key=lambda p: (ids[p[0]], ids[p[1]]))
+    return made
 
 
 def build(spec: ModelSpec):
@@ -140,6 +139,23 @@ def build(spec: ModelSpec):
     return out
 
 
+_LETTER = r"[^\W\d_]"
+
+
+def _parts(spec: ModelSpec) -> str:
+    """Pattern of the parts that a normalised text may be cut into.
+
+    No merge crosses a border between two characters that no piece contains side by side: before a
+    metaspace, around newlines where these are only bytes, and from a letter to most ASCII signs.
+    """
+    pairs = {(a, b) for p, k in zip(spec.pieces, spec.kinds) if k in (NORMAL, USER_DEFINED) for a, b in zip(p, p[1:])}
+    joined = {b for a, b in pairs if re.match(_LETTER, a)}
+    signs = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not c.isalnum() and c not in joined)
+    line = "\n" if spec.byte_fallback and not any("\n" in p for p in spec.pieces) else ""
+    word = [f"{MARK}*{_LETTER}++(?=[{signs}])"] if signs else []
+    return "|".join([*word, *([line] if line else []), f"{MARK}+[^{MARK}{line}]*", f"[^{MARK}{line}]+"])
+
+
 class Codec:
     """Encodes and decodes texts; remembers the pieces of text it has met."""
 
@@ -148,13 +164,12 @@ class Codec:
 
         self.spec = parse_model(raw)
         self.tokenizer = build(self.spec)
-        #: Normalised text may be cut before a metaspace, and around newlines where these are only bytes.
+        #: Normalised text may be cut before a metaspace.
         self.separable = all(MARK not in p.lstrip(MARK) for p, k in zip(self.spec.pieces, self.spec.kinds) if k in (NORMAL, USER_DEFINED))
-        lines = self.spec.byte_fallback and not any("\n" in p for p in self.spec.pieces)
-        self.cut = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+" if lines else f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
+        self.cut = re.compile(_parts(self.spec)).findall
         self.full = self.tokenizer.normalizer
         self.plain = not self.spec.charsmap and not self.spec.remove_extra_whitespaces
-        self.bare = build(self.spec)
+        self.bare = self.tokenizer  # texts come normalised
         self.bare.normalizer = normalizers.Sequence([])
         self.ids: dict[str, bytes] = {}
         self.odd: set[str] = set()
@@ -180,15 +195,15 @@ class Codec:
         if len(self.ids) + len(parts) > REMEMBERED:
             self.ids.clear()
             self.odd.clear()
-        batch = self.bare.encode_batch_fast(parts, add_special_tokens=False)
-        for part, enc in zip(parts, batch):
-            self.ids[part] = np.array(enc.ids, "<i4").tobytes()
-        if self.peer is not None:
-            # after a newline the library adds no prefix of its own
-            skip = len(self.peer.encode("\n")) if self.separable and self.plain else 0
-            for part, ids in zip(parts, self.peer.encode(["\n" + p.replace(MARK, " ") for p in parts], num_threads=2) if skip else []):
-                if np.array(ids[skip:], "<i4").tobytes() != self.ids[part]:
-                    self.odd.add(part)
+        # after a newline the library adds no prefix of its own
+        skip = len(self.peer.encode("\n")) if self.peer is not None and self.separable and self.plain else 0
+        for k in range(0, len(parts), BATCH):
+            some = parts[k : k + BATCH]
+            own = [enc.ids for enc in self.bare.encode_batch_fast(some, add_special_tokens=False)]
+            self.ids.update(zip(some, [array("i", ids).tobytes() for ids in own]))
+            if skip:
+                theirs = self.peer.encode(["\n" + p.replace(MARK, " ") for p in some], num_threads=2)
+                self.odd.update(p for p, a, b in zip(some, own, theirs) if a != b[skip:])
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
         """Ids of each text, and whether the sentencepiece library agrees."""
