@@ -36,6 +36,8 @@ COORDINATES = ROWS * BANDS
 LEAST_EQUAL = 140
 #: The same for the wider sketches of nodes in large buckets: 769 +- 13.9 at 0.75, this is 5.5 sigma less.
 WIDE, WIDE_LEAST_EQUAL = 1024, 692
+#: Documents and shingles that are sketched at once.
+SKETCHED_SETS, SKETCHED_ITEMS = 600, 250_000
 #: Members of a bucket that are paired in SQL; larger buckets are cut into blocks of so many.
 SMALL_BUCKET, BLOCK = 16, 256
 #: Rounds with other pivots for large buckets, before their members are compared in blocks.
@@ -90,29 +92,37 @@ _SKETCHED = "doc_id long, n_shingles long, set_key binary, bands array<long>, sk
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
-        for i, j, data, at in tb.chunks(texts):
-            sets = document_sets(data, at)
-            coords = sketch(sets)
-            banded = coords.reshape(len(sets), BANDS, ROWS)
-            keys = np.zeros((len(sets), BANDS), _U)
-            for r in range(ROWS):
-                keys = tb.mix(keys ^ banded[:, :, r], 31 + r)
-            keys = tb.mix(keys ^ np.arange(BANDS, dtype=_U), 41)
-            empty = [len(s) == 0 for s in sets]
-            bands = pa.ListArray.from_arrays(
-                pa.array(np.arange(0, BANDS * len(sets) + 1, BANDS, dtype=np.int32)), pa.array(keys.view(np.int64).reshape(-1)), mask=pa.array(empty)
-            )
-            small = (tb.mix(coords, 17) >> _U(56)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids.slice(i, j - i),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([None if e else _set_key(s) for s, e in zip(sets, empty)], pa.binary()),
-                    bands,
-                    pa.array([None if e else row.tobytes() for row, e in zip(small, empty)], pa.binary()),
-                ],
-                names=["doc_id", "n_shingles", "set_key", "bands", "sketch"],
-            )
+        first, held = 0, []
+        for _, j, data, at in tb.chunks(texts):
+            held += document_sets(data, at)
+            # rounds of a sketch cost the same for few sets as for many
+            if len(held) >= SKETCHED_SETS or sum(map(len, held)) >= SKETCHED_ITEMS or j == len(texts):
+                yield _sketch_rows(ids.slice(first, j - first), held)
+                first, held = j, []
+
+
+def _sketch_rows(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+    coords = sketch(sets)
+    banded = coords.reshape(len(sets), BANDS, ROWS)
+    keys = np.zeros((len(sets), BANDS), _U)
+    for r in range(ROWS):
+        keys = tb.mix(keys ^ banded[:, :, r], 31 + r)
+    keys = tb.mix(keys ^ np.arange(BANDS, dtype=_U), 41)
+    empty = [len(s) == 0 for s in sets]
+    bands = pa.ListArray.from_arrays(
+        pa.array(np.arange(0, BANDS * len(sets) + 1, BANDS, dtype=np.int32)), pa.array(keys.view(np.int64).reshape(-1)), mask=pa.array(empty)
+    )
+    small = (tb.mix(coords, 17) >> _U(56)).astype(np.uint8)
+    return pa.RecordBatch.from_arrays(
+        [
+            ids,
+            pa.array([len(s) for s in sets], pa.int64()),
+            pa.array([None if e else _set_key(s) for s, e in zip(sets, empty)], pa.binary()),
+            bands,
+            pa.array([None if e else row.tobytes() for row, e in zip(small, empty)], pa.binary()),
+        ],
+        names=["doc_id", "n_shingles", "set_key", "bands", "sketch"],
+    )
 
 
 def sketch_documents(docs: DataFrame) -> DataFrame:
@@ -197,7 +207,7 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _widely_sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i, j, data, at in tb.chunks(batch.column(1), tb.CHUNK // 4):
+        for i, j, data, at in tb.chunks(batch.column(1)):
             small = (tb.mix(sketch(document_sets(data, at), WIDE), 17) >> _U(56)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([row.tobytes() for row in small], pa.binary())], names=["node", "wide"])
 

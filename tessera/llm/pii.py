@@ -379,7 +379,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     weights = trained_weights()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, 1024) for b in batches for k in range(0, b.num_rows, 1024)):
             found = [find_spans(t, weights) for t in batch.column(1).to_pylist()]
             counts = [[sum(s[0] == k for s in base) for base, _ in found] for k in KINDS]
             yield pa.RecordBatch.from_arrays(

@@ -30,7 +30,9 @@ _WINDOW = LENGTH - GRAM + 1
 #: Windows by the place of their anchor, in classes that share a core.
 CLASS = 20
 #: Different pieces of one anchor that a shard takes; bytes of one suffix array.
-SHARD_PIECES, SHARD_BYTES = 2048, 1 << 20
+SHARD_PIECES, SHARD_BYTES = 2048, 1 << 19
+#: Texts that are held as Python objects at a time.
+SLICE = 256
 _U = np.uint64
 _LEAST = -(1 << 63)
 
@@ -160,7 +162,7 @@ def _shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the wanted pieces of each text."""
-    for batch in batches:
+    for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
         out: list[tuple] = []
         for key, crc, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(4))):
             raw = text.encode()
@@ -233,7 +235,7 @@ def _merged(spans: list[dict]) -> list[tuple[int, int]]:
 
 
 def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
         kept, runs = [], []
         for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             raw, parts, end = text.encode(), [], 0

@@ -14,7 +14,7 @@ import pyarrow as pa
 
 np.seterr(over="ignore")  # hashes wrap
 #: Bytes that are worked on at a time; a longer text makes a chunk of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _RANDOM = np.random.Generator(np.random.PCG64(71))
