@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of two or three integers that a broadcast side may have at most (about 32 MB as a hashed relation).
 BROADCAST_ROWS = 500_000
+#: Documents that one Arrow batch holds.
+ARROW_ROWS = 1200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +33,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bound_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """Let the session send texts to Python in small Arrow batches.
+
+    A batch is held whole on both sides, so its rows bound the memory of a task beside its longest text;
+    a session that asks for less keeps its setting.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` hinted for a broadcast if its counted ``rows`` are few, else as it is (shuffled join)."""
     return F.broadcast(df) if rows <= limit else df

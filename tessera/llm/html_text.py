@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import bound_batches, table
 
 # Fixed values of HTML.
 #: Elements that begin and end a block of text.
@@ -311,6 +311,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row; null and empty pages give an empty text, pages without an
     article too. Repeated rows get one row each, an empty table none; pages are read whole."""
     tree = trained_tree()
+    bound_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

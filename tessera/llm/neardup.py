@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import textbytes as tb
-from tessera.llm.common import cut, fresh, small_side, table
+from tessera.llm.common import bound_batches, cut, fresh, small_side, table
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 ROWS, BANDS = 5, 48
@@ -127,6 +127,7 @@ def _sketch_rows(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
 
 def sketch_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_key, bands, sketch; the last three are null for documents without words."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketched, _SKETCHED)
 
 

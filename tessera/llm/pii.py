@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, table
+from tessera.llm.common import bound_batches, fresh, table
 
 KINDS = ("email", "ip", "card", "phone")
 _RANK = {k: i for i, k in enumerate(KINDS)}
@@ -377,9 +377,10 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     ``docs``, repeated ones too; an empty table gives none; texts are read whole.
     """
     weights = trained_weights()
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(k, 1024) for b in batches for k in range(0, b.num_rows, 1024)):
+        for batch in batches:
             found = [find_spans(t, weights) for t in batch.column(1).to_pylist()]
             counts = [[sum(s[0] == k for s in base) for base, _ in found] for k in KINDS]
             yield pa.RecordBatch.from_arrays(
@@ -399,6 +400,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 def redact_personal_data(docs: DataFrame) -> DataFrame:
     """``docs`` with the spans replaced in ``text`` and ``n_chars``, if there is one, counted anew; null texts stay null."""
     weights = trained_weights()
+    bound_batches(docs.sparkSession)
 
     @F.arrow_udf("string")
     def clean(text: pa.Array) -> pa.Array:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import textbytes as tb
-from tessera.llm.common import small_side, table, utf8, written
+from tessera.llm.common import bound_batches, small_side, table, utf8, written
 from tessera.llm.suffixes import permuted_common_prefixes, suffix_array
 
 LENGTH, GRAM = 200, 48
@@ -187,6 +187,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """id, crc, a, b: byte ranges (end exclusive) of repeating windows, overlapping and repeated ones too."""
+    bound_batches(docs.sparkSession)
     found = _keyed(docs).filter(F.octet_length("text") >= LENGTH).mapInArrow(_piece_rows, "id long, crc int, first int, windows short, offset short, anchor long, piece long")
     common = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     rows = written(found.join(common, "anchor"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import bound_batches, table
 
 MODEL_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 MODEL_FILE = "piece_bpe_32k.model"
@@ -246,6 +246,7 @@ def encode_documents(docs: DataFrame, raw: bytes) -> DataFrame:
     Null and empty texts have no tokens. The decoded text is the text with metaspaces as spaces. Repeated
     rows get one row each; an empty table gives none; a long text is one row whatever its length.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(raw)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,6 +267,7 @@ def encode_documents(docs: DataFrame, raw: bytes) -> DataFrame:
 
 def encoded_digests(docs: DataFrame, raw: bytes) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of little-endian 32-bit ids), round_trip, parity of each row."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(raw)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

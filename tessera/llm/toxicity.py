@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import textbytes as tb
-from tessera.llm.common import fresh, table
+from tessera.llm.common import bound_batches, fresh, table
 
 #: Bound of the rows that the machine is fitted on.
 MAX_TRAINING_ROWS = 20_000
@@ -138,6 +138,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_R
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) -> Model:
+    bound_batches(docs.sparkSession)
     rows = training_rows(docs, labels, most).select("text", "toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,6 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) ->
 
 def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
     """A column function text -> score."""
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
