@@ -7,19 +7,18 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.functions.columns import XSD, unescape_literal
 
 _TERM = r"(<[^>]*>|_:[^\s]+)"
 _OBJECT = r'(<[^>]*>|_:[^\s]+|"(?:[^"\\]++|\\.)*+"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)'
 _LINE = rf"(?s)^\s*{_TERM}\s+(<[^>]*>)\s+{_OBJECT}(?:\s+{_TERM})?\s*\.\s*(?:#.*)?$"
-QUERIES_CSV = T.StructType.fromDDL("id string, text string, numOfExecutions bigint, timeOfFirstExecution timestamp, timeOfLastExecution timestamp")
-EXECUTIONS_CSV = T.StructType.fromDDL("queryId string, time timestamp, host string")
-DATASETS_CSV = T.StructType.fromDDL("dataset string, datasetId string, endpoint string, prefixesJson string")
-CLUSTERS_CSV = T.StructType.fromDDL("groupId int, query string")
-CLUSTERS_URI_CSV = T.StructType.fromDDL("groupId int, queryURI string, query string")
-LAYOUT_CSV = T.StructType.fromDDL("dataset string, level int, label string")
+QUERIES_CSV = "id string, text string, numOfExecutions bigint, timeOfFirstExecution timestamp, timeOfLastExecution timestamp"
+EXECUTIONS_CSV = "queryId string, time timestamp, host string"
+DATASETS_CSV = "dataset string, datasetId string, endpoint string, prefixesJson string"
+CLUSTERS_CSV = "groupId int, query string"
+CLUSTERS_URI_CSV = "groupId int, queryURI string, query string"
+LAYOUT_CSV = "dataset string, level int, label string"
 
 
 def _iri(term, base):
@@ -64,12 +63,12 @@ def read_triples(spark: SparkSession, path: str, base: str | None = None, graph:
     return parse_lines(lines, base, graph)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
     """CSV with quoted newlines, commas and doubled quotes, under a fixed schema."""
     return spark.read.schema(schema).option("header", header).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
 
 
-def read_directory(spark: SparkSession, path: str, schema: T.StructType, suffix: str, header: bool = True) -> DataFrame:
+def read_directory(spark: SparkSession, path: str, schema: str, suffix: str, header: bool = True) -> DataFrame:
     """All files below ``path`` that end in ``suffix``, with ``name``: the file's name without it."""
     glob = re.sub(r"[\[\]{}*?\\]", "?", suffix)
     rows = spark.read.schema(schema).option("header", header).option("multiLine", True).option("escape", '"').option("pathGlobFilter", f"*{glob}").csv(path)
