@@ -28,7 +28,9 @@ MAX_TRAINING_ROWS = 20_000
 FOLDS, HELD_OUT_FOLD = 5, 0
 BUCKET_BITS, KEPT_BUCKETS, FACTORS = 18, 4096, 8
 PREFIXES = (4, 5, 6)
-EPOCHS, BATCH, RATE, DECAY = 15, 256, 0.03, 1e-5
+EPOCHS, BATCH, RATE, DECAY = 15, 256, 0.03, 0.02
+#: Least log odds of a kept bucket, times the root of its documents (at most 400): chance gives about 2.
+LEAST_ODDS = 4.5
 #: Bytes between words: ASCII other than letters and digits.
 _BREAK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
@@ -108,14 +110,14 @@ def _fit(slot: np.ndarray, terms: list[np.ndarray], labels: np.ndarray) -> Model
             pull = gt[:, None] * (total[text] - params[2][term])
             grads = [
                 np.array([g.sum()]),
-                np.bincount(term, gt, KEPT_BUCKETS) + DECAY * params[1],
-                np.stack([np.bincount(term, pull[:, f], KEPT_BUCKETS) for f in range(FACTORS)], axis=1) + DECAY * params[2],
+                np.bincount(term, gt, KEPT_BUCKETS),
+                np.stack([np.bincount(term, pull[:, f], KEPT_BUCKETS) for f in range(FACTORS)], axis=1),
             ]
             steps += 1
             for p, d, m in zip(params, grads, moments):
                 m[0] = 0.9 * m[0] + 0.1 * d
                 m[1] = 0.999 * m[1] + 0.001 * d * d
-                p -= RATE * (m[0] / (1 - 0.9**steps)) / (np.sqrt(m[1] / (1 - 0.999**steps)) + 1e-8)
+                p -= RATE * ((m[0] / (1 - 0.9**steps)) / (np.sqrt(m[1] / (1 - 0.999**steps)) + 1e-8) + (DECAY * p if p is not params[0] else 0))
     return Model(slot, float(params[0][0]), params[1], params[2])
 
 
@@ -159,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) ->
     counted = rows.mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
     # the log odds between the classes, weighed by the number of documents that carry the term
     odds = F.abs(F.ln((F.col("t") + 0.5) / (toxic_n + 1)) - F.ln((F.col("c") + 0.5) / (clean_n + 1))) * F.sqrt(F.least(F.col("c") + F.col("t"), F.lit(400)))
-    best = counted.filter("c + t >= 3").withColumn("_odds", odds).orderBy(F.desc("_odds"), "bucket").limit(KEPT_BUCKETS).collect()
+    best = counted.filter("c + t >= 3").withColumn("_odds", odds).filter(F.col("_odds") >= LEAST_ODDS).orderBy(F.desc("_odds"), "bucket").limit(KEPT_BUCKETS).collect()
     slot = np.full(1 << BUCKET_BITS, -1, np.int64)
     slot[[r["bucket"] for r in best]] = np.arange(len(best))
     model = Model(slot, 0.0, np.zeros(KEPT_BUCKETS), np.zeros((KEPT_BUCKETS, FACTORS)))
