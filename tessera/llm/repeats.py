@@ -189,7 +189,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """id, crc, a, b: byte ranges (end exclusive) of repeating windows, overlapping and repeated ones too."""
     bound_batches(docs.sparkSession)
     found = _keyed(docs).filter(F.octet_length("text") >= LENGTH).mapInArrow(_piece_rows, "id long, crc int, first int, windows short, offset short, anchor long, piece long")
-    common = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    # a table of its own, so that the join below deals both sides anew and a hot anchor's rows can be split
+    common = written(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
     rows = written(found.join(common, "anchor"))
     kinds = written(
         rows.groupBy("anchor", "piece").agg(F.count("*").alias("n"), F.min(F.struct("id", "crc", "first", "windows", "offset")).alias("one"))
