@@ -31,7 +31,9 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Pieces of text that a task remembers, and texts that it works on at a time.
-REMEMBERED, TEXTS = 150_000, 128
+REMEMBERED, TEXTS = 150_000, 256
+#: Threads of the libraries in a task.
+THREADS = 2
 #: Pieces of text that are encoded at once.
 BATCH = 4096
 
@@ -160,6 +162,8 @@ class Codec:
     """Encodes and decodes texts; remembers the pieces of text it has met."""
 
     def __init__(self, raw: bytes, check: bool = True):
+        # a task has few cores; the libraries would start a thread for each of the machine's
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         from tokenizers import normalizers
 
         self.spec = parse_model(raw)
@@ -171,7 +175,9 @@ class Codec:
         self.plain = not self.spec.charsmap and not self.spec.remove_extra_whitespaces
         self.bare = self.tokenizer  # texts come normalised
         self.bare.normalizer = normalizers.Sequence([])
+        #: Parts that were met lately, and those before them.
         self.ids: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.odd: set[str] = set()
         self.peer = None
         if check:
@@ -192,9 +198,6 @@ class Codec:
         return self.full.normalize_str(text)
 
     def _learn(self, parts: list[str]) -> None:
-        if len(self.ids) + len(parts) > REMEMBERED:
-            self.ids.clear()
-            self.odd.clear()
         # after a newline the library adds no prefix of its own
         skip = len(self.peer.encode("\n")) if self.peer is not None and self.separable and self.plain else 0
         for k in range(0, len(parts), BATCH):
@@ -202,7 +205,7 @@ class Codec:
             own = [enc.ids for enc in self.bare.encode_batch_fast(some, add_special_tokens=False)]
             self.ids.update(zip(some, [array("i", ids).tobytes() for ids in own]))
             if skip:
-                theirs = self.peer.encode(["\n" + p.replace(MARK, " ") for p in some], num_threads=2)
+                theirs = self.peer.encode(["\n" + p.replace(MARK, " ") for p in some], num_threads=THREADS)
                 self.odd.update(p for p, a, b in zip(some, own, theirs) if a != b[skip:])
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
@@ -210,11 +213,14 @@ class Codec:
         out = []
         for k in range(0, len(texts), TEXTS):
             parts = [self.cut(self.normalise(t)) if self.separable else [self.normalise(t)] for t in texts[k : k + TEXTS]]
+            if len(self.ids) > REMEMBERED:
+                self.older, self.ids = self.ids, {}
             new = set().union(*parts) - self.ids.keys()
-            if len(self.ids) + len(new) > REMEMBERED:  # forgetting must not take what this batch needs
-                new = set().union(*parts)
+            known = [p for p in new if p in self.older]
+            self.ids.update((p, self.older[p]) for p in known)
+            new.difference_update(known)
             if new:
-                self._learn(sorted(new))
+                self._learn(list(new))
             for p in parts:
                 ids = np.frombuffer(b"".join(map(self.ids.__getitem__, p)), "<i4")
                 out.append((ids, not self.odd or self.odd.isdisjoint(p)))
