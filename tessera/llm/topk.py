@@ -27,13 +27,14 @@ BLOCK, QUERY_BLOCK = 4096, 1024
 #: Shares of the lists that the rounds read.
 DEPTHS = (0.25, 0.5, 0.75)
 _EXACT = float(1 << 53)
+_LONG = (1 << 63) - 1
 
 
 def nra_top(queries: np.ndarray, vectors: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, depths=DEPTHS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query index, vector index and score of each query's ``k`` best vectors (all, if fewer).
 
     Both matrices hold integers; ``own`` has the queries' ids, whose vectors don't count; ties go to the
-    smaller id. Scores beyond 2**53 are summed as Python integers.
+    smaller id. Scores beyond 2**53 are summed as Python integers; what a long can't hold is given as the nearest long.
     """
     n, d = vectors.shape
     top = max(float(np.abs(queries).max(initial=0)), float(np.abs(vectors).max(initial=0)))
@@ -68,8 +69,8 @@ def nra_top(queries: np.ndarray, vectors: np.ndarray, own: np.ndarray, ids: np.n
         best = np.argsort(-s, kind="stable")[:k]  # candidates ascend by id
         qi += [i] * len(best)
         vi += order[c[best]].tolist()
-        sc += [int(v) for v in s[best]]
-    return np.array(qi, np.int64), np.array(vi, np.int64), np.array(sc, dtype=np.int64 if exact else object)
+        sc += [max(-_LONG, min(_LONG, int(v))) for v in s[best]]
+    return np.array(qi, np.int64), np.array(vi, np.int64), np.array(sc, np.int64)
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -93,8 +94,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, scale: int = SCALE
     """query_id, rank, vec_id, score of each query's ``k`` highest integer inner products.
 
     Vectors of unequal length count as padded with zeros; the query's own id is no candidate for it;
-    rows that repeat an id are candidates each; a repeated query is asked once. An empty table gives no rows. Vectors and queries
-    are dealt into blocks; each pair of blocks is one group of bounded size that yields ``k`` rows a query.
+    rows that repeat an id are candidates each; a repeated query is asked once; scores that a long can't
+    hold stop at its ends. An empty table gives no rows. Vectors and queries are dealt into blocks; each pair of blocks is one group of bounded size that yields ``k`` rows a query.
     """
     rows = quantised(vectors, scale)
     queries = rows.filter(is_query).dropDuplicates(["vec_id", "v"])

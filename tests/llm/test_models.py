@@ -219,7 +219,8 @@ def test_top_k_like_plain_version(spark, monkeypatch, n, block):
 
 def test_top_k_of_small_and_huge_values(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
-    rows = [(0, [1e9, 1e9]), (1, [1e9, 3.0]), (2, [1e9]), (0, [1e9, 1e9])]
-    got = {(x["rank"], x.vec_id, x.score) for x in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()}
-    big = int(64e9) ** 2
-    assert got == {(1, 1, big + int(64e9) * 192), (2, 2, big)}
+    for x, y in ((1e7, 3.0), (1e9, 3.0)):
+        rows = [(0, [x, x]), (1, [x, y]), (2, [x]), (3, [-x, 0.0]), (0, [x, x])]
+        got = {(r["rank"], r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()}
+        big, most = int(64 * x) ** 2, 2**63 - 1  # the second is beyond what the result's type holds
+        assert got == {(1, 1, min(most, big + int(64 * x) * 192)), (2, 2, min(most, big)), (3, 3, max(-most, -big))}
