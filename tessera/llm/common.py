@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of two or three integers that a broadcast side may have at most (about 32 MB as a hashed relation).
 BROADCAST_ROWS = 500_000
+#: Rows of a few integers for each task where their number is known.
+TASK_ROWS = 100_000
 #: Documents that one Arrow batch holds.
 ARROW_ROWS = 1200
 
@@ -19,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Run ``df`` once and cut its lineage with a reliable checkpoint.
 
+    Where a bound of its ``rows`` of a few integers is known, the last stage has a task for every
+    ``TASK_ROWS`` of them: a few rows in hundreds of partitions cost more in files than in data.
+
     The folder is the one that the cluster names in ``spark.checkpoint.dir``; only where that is
     unset (tests on one machine) a temporary one is made.
     """
@@ -30,7 +35,7 @@ def cut(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(
             sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), f"checkpoint-{uuid.uuid4().hex}")
         )
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(max(1, -(-rows // TASK_ROWS)))).checkpoint(eager=True)
 
 
 def bound_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:

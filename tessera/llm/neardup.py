@@ -41,7 +41,7 @@ SKETCHED_SETS, SKETCHED_ITEMS = 600, 250_000
 #: Members of a bucket that are paired in SQL; larger buckets are cut into blocks of so many.
 SMALL_BUCKET, BLOCK = 16, 256
 #: Rounds with other pivots for large buckets, before their members are compared in blocks.
-EXTRA_STARS = 2
+EXTRA_STARS = 1
 #: Verified pairs of one node that share a copy of its text.
 PAIRS_PER_COPY = 512
 _U = np.uint64
@@ -179,16 +179,18 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large and small stars until the edges no longer change: every node then points at its
     component's least. A round moves each edge once; no component is gathered anywhere.
     """
-    current = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    n = edges.count()
+    current = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), n)
     before = None
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        current = cut(small.filter("u <> v").distinct())
+        current = cut(small.filter("u <> v").distinct(), n)
         now = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        n = now["n"]
         if now == before:
             return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
