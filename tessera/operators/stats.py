@@ -43,7 +43,6 @@ def dataset_query_stats(log: DataFrame) -> DataFrame:
         F.count_distinct("exec_id").alias("q_exec"),
         F.count_distinct("host").alias("q_hosts"),
         F.count("*").alias("rows"),
-        F.collect_set("host").alias("hosts"),
         F.min("ts").alias("first"),
         F.max("ts").alias("last"),
     )
