@@ -38,6 +38,12 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     return (df if rows is None else df.coalesce(max(1, -(-rows // TASK_ROWS)))).checkpoint(eager=True)
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """``df``, a cut table of a few integers a row, read by one task for every ``TASK_ROWS`` rows: what a
+    shuffle writes has files for each of its tasks, however few their rows."""
+    return df.coalesce(max(1, -(-df.count() // TASK_ROWS)))
+
+
 def bound_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Let the session send texts to Python in small Arrow batches.
 

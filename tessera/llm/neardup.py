@@ -27,15 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import textbytes as tb
-from tessera.llm.common import bound_batches, cut, fresh, small_side, table
+from tessera.llm.common import bound_batches, cut, fresh, packed, small_side, table
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 ROWS, BANDS = 5, 48
 COORDINATES = ROWS * BANDS
 #: Pairs with fewer equal sketch bytes are below 0.75: at 0.75 the count is 180 +- 6.7, this is 6 sigma less.
 LEAST_EQUAL = 140
-#: The same for the wider sketches of nodes in large buckets: 769 +- 13.9 at 0.75, this is 5.5 sigma less.
-WIDE, WIDE_LEAST_EQUAL = 1024, 692
+#: The same for the wider sketches of nodes in large buckets, four bits a coordinate: 784 +- 13.6 at 0.75, this is 5.5 sigma less.
+WIDE, WIDE_LEAST_EQUAL = 1024, 709
 #: Documents and shingles that are sketched at once.
 SKETCHED_SETS, SKETCHED_ITEMS = 600, 250_000
 #: Members of a bucket that are paired in SQL; larger buckets are cut into blocks of so many.
@@ -170,32 +170,34 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     right = texts.filter("right = 1").select(F.col("node").alias("b"), F.col("text").alias("tb"))
     dealt = pairs.join(small_side(degree, involved.count()), "a").withColumn("copy", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int")).select("a", "b", "copy")
     both = dealt.join(right, "b").join(left, ["a", "copy"]).select("a", "b", "ta", "tb")
-    return cut(both.mapInArrow(_verified, "a long, b long").distinct())
+    return packed(cut(both.mapInArrow(_verified, "a long, b long").distinct()))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the least node reachable) of every node in an edge (a, b).
 
-    Alternates large and small stars until the edges no longer change: every node then points at its
+    Alternates large and small stars until only stars are left: every node then points at its
     component's least. A round moves each edge once; no component is gathered anywhere.
     """
     n = edges.count()
     current = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), n)
-    before = None
-    while True:
+    while not _only_stars(current):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         current = cut(small.filter("u <> v").distinct(), n)
-        now = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        n = now["n"]
-        if now == before:
-            return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        before = now
+        n = current.count()
+    return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+        current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    )
+
+
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether each u has one v, and no v is a u."""
+    forked = edges.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1")
+    return forked.isEmpty() and edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi").isEmpty()
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,8 +213,9 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _widely_sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, data, at in tb.chunks(batch.column(1)):
-            small = (tb.mix(sketch(document_sets(data, at), WIDE), 17) >> _U(56)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([row.tobytes() for row in small], pa.binary())], names=["node", "wide"])
+            small = (tb.mix(sketch(document_sets(data, at), WIDE), 17) >> _U(60)).astype(np.uint8)
+            halves = small[:, ::2] << 4 | small[:, 1::2]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([row.tobytes() for row in halves], pa.binary())], names=["node", "wide"])
 
 
 def _block_pairs(frame):
@@ -227,7 +230,8 @@ def _block_pairs(frame):
     node, comp, block, outside = (frame[c].to_numpy() for c in ("node", "component", "block", "outside"))
     a, b = [], []
     if (comp != comp[0]).any():
-        bits = np.frombuffer(b"".join(frame["wide"]), np.uint8).reshape(-1, WIDE)
+        halves = np.frombuffer(b"".join(frame["wide"]), np.uint8).reshape(-1, WIDE // 2)
+        bits = np.hstack([halves >> 4, halves & 15])
         bands = np.stack(frame["bands"].to_numpy())
         band = int(np.flatnonzero(bands[0] == frame["bucket"].iloc[0])[0])
         own = np.flatnonzero(block == frame["at"].iloc[0])
@@ -257,7 +261,7 @@ def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
         "bucket", "node", F.coalesce("component", "node").alias("component")
     )
     spread = labelled.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    return cut(labelled.join(spread.select("bucket", "size"), "bucket"))
+    return packed(cut(labelled.join(spread.select("bucket", "size"), "bucket")))
 
 
 def _stars(members: DataFrame, weight) -> DataFrame:
@@ -279,7 +283,7 @@ def _unsettled_pairs(open_rows: DataFrame, sketches: DataFrame, bands: DataFrame
         .distinct()
     )
     large = open_rows.filter(F.col("size") > SMALL_BUCKET)
-    nodes = cut(large.select("node").distinct())
+    nodes = packed(cut(large.select("node").distinct()))
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(small_side(nodes, nodes.count()), "node")
     wide = texts.mapInArrow(_widely_sketched, "node long, wide binary").dropDuplicates(["node"])
     # members of a bucket's main component need no comparison among themselves: only the others go to all blocks
@@ -305,21 +309,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = sets.join(classes.withColumnRenamed("node", "doc_id"), ["set_key", "doc_id"]).select(F.col("doc_id").alias("node"), "set_key", "bands", "sketch").dropDuplicates(["node", "set_key"])
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    members = cut(banded.join(shared, "bucket").select("bucket", "node", "size").distinct())
+    members = packed(cut(banded.join(shared, "bucket").select("bucket", "node", "size").distinct()))
     several = (
         sets.select("doc_id", "set_key").join(classes, "set_key").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("a", "b")
     )
     sketches = cut(nodes.select("node", "sketch").dropDuplicates(["node"]))
     # the node that meets the most others is the likeliest to link with all of them
     meets = members.groupBy("node").agg(F.sum("size").alias("meets"))
-    tried = cut(close_pairs(_stars(members.join(meets, "node").withColumn("component", F.col("node")), F.col("meets")), sketches))
+    tried = packed(cut(close_pairs(_stars(members.join(meets, "node").withColumn("component", F.col("node")), F.col("meets")), sketches)))
     links = verify(tried, docs).unionByName(several)
     labels = components(links)
     open_rows = _open_members(members, labels)
     for turn in range(EXTRA_STARS):
         # other pivots for the large buckets that still hold several components
         large = open_rows.filter(F.col("size") > SMALL_BUCKET)
-        stars = cut(close_pairs(_stars(large, F.xxhash64(F.lit(turn), "node")), sketches).join(tried, ["a", "b"], "left_anti"))
+        stars = packed(cut(close_pairs(_stars(large, F.xxhash64(F.lit(turn), "node")), sketches).join(tried, ["a", "b"], "left_anti")))
         if stars.isEmpty():
             break
         found = verify(stars, docs)
@@ -328,7 +332,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
             open_rows = _open_members(members, labels)
     bands = nodes.select("node", "bands").dropDuplicates(["node"])
-    last = cut(_unsettled_pairs(open_rows, sketches, bands, docs).join(tried, ["a", "b"], "left_anti"))
+    last = packed(cut(_unsettled_pairs(open_rows, sketches, bands, docs).join(tried, ["a", "b"], "left_anti")))
     if not last.isEmpty():
         found = verify(last, docs)
         labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
