@@ -529,6 +529,47 @@ def remove_subtree(spark, sf_dir):
     return graph.remove_subtree(triples, triples.select("s").filter("s = 5").distinct())
 
 
+def _all_links(spark, sf_dir) -> DataFrame:
+    """Whole tables as one forest: region to nation to customer to order to line; each key is a node of its own."""
+    key = lambda kind, *parts: F.concat_ws(".", F.lit(kind), *[F.col(c).cast("string") for c in parts])
+    levels = (
+        ("nation", key("r", "n_regionkey"), key("n", "n_nationkey")),
+        ("customer", key("n", "c_nationkey"), key("c", "c_custkey")),
+        ("orders", key("c", "o_custkey"), key("o", "o_orderkey")),
+        ("lineitem", key("o", "l_orderkey"), key("l", "l_orderkey", "l_linenumber")),
+    )
+    out = None
+    for name, src, dst in levels:
+        part = _table(spark, sf_dir, name).select(src.alias("src"), dst.alias("dst"))
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()
+
+
+_ALL_LINKS = """links AS (SELECT DISTINCT 'r.' || n_regionkey AS src, 'n.' || n_nationkey AS dst FROM nation
+UNION SELECT 'n.' || c_nationkey, 'c.' || c_custkey FROM customer UNION SELECT 'c.' || o_custkey, 'o.' || o_orderkey FROM orders
+UNION SELECT 'o.' || l_orderkey, 'l.' || l_orderkey || '.' || l_linenumber FROM lineitem)"""
+
+
+@query(f"WITH RECURSIVE {_ALL_LINKS}, c AS (SELECT src, dst FROM links UNION SELECT c.src, l.dst FROM c JOIN links l ON c.dst = l.src) SELECT src, dst FROM c")
+def closure_descendants_all(spark, sf_dir):
+    return graph.closure(_all_links(spark, sf_dir))
+
+
+@query(
+    f"WITH RECURSIVE {_ALL_LINKS}, n AS (SELECT src AS x FROM links UNION SELECT dst FROM links), c AS (SELECT x AS src, x AS dst FROM n UNION SELECT c.src, l.dst FROM c JOIN links l ON c.dst = l.src) SELECT src, dst FROM c"
+)
+def closure_reflexive_all(spark, sf_dir):
+    return graph.closure(_all_links(spark, sf_dir), reflexive=True)
+
+
+@query(
+    f"WITH RECURSIVE {_ALL_LINKS}, r AS (SELECT 'n.5' AS x UNION SELECT l.dst FROM r JOIN links l ON r.x = l.src) SELECT src AS s, 'p' AS p, dst AS o FROM links WHERE src NOT IN (SELECT x FROM r)"
+)
+def remove_subtree_all(spark, sf_dir):
+    triples = _all_links(spark, sf_dir).select(F.col("src").alias("s"), F.lit("p").alias("p"), F.col("dst").alias("o"))
+    return graph.remove_subtree(triples, triples.select("s").filter("s = 'n.5'").distinct())
+
+
 @query("SELECT s_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def sequence_path(spark, sf_dir):
     first = _table(spark, sf_dir, "supplier").select("s_name", F.col("s_nationkey").alias("a"))

@@ -23,6 +23,33 @@ def test_transitive_reduction(spark):
     assert {tuple(r) for r in graph.transitive_reduction(edges, "p", "n").collect()} == {("a", "b"), ("b", "c")}
 
 
+def test_graph_queries_of_whole_tables_like_plain_version(spark, tmp_path):
+    from tessera.plans import log_queries
+
+    for name, columns, rows in (
+        ("nation", "n_nationkey int, n_regionkey int", [(5, 0), (6, 0), (7, 1)]),
+        ("customer", "c_custkey int, c_nationkey int", [(i, 5 + i % 3) for i in range(70)]),
+        ("orders", "o_orderkey int, o_custkey int", [(i, i % 65) for i in range(140)]),
+        ("lineitem", "l_orderkey int, l_linenumber int", [(i % 140, i // 140) for i in range(300)]),
+    ):
+        spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / f"{name}.parquet"))
+    up = {f"n.{n}": f"r.{r}" for n, r in [(5, 0), (6, 0), (7, 1)]}
+    up |= {f"c.{i}": f"n.{5 + i % 3}" for i in range(70)} | {f"o.{i}": f"c.{i % 65}" for i in range(140)} | {f"l.{i % 140}.{i // 140}": f"o.{i % 140}" for i in range(300)}
+
+    def above(x):
+        while x in up:
+            x = up[x]
+            yield x
+
+    want = {(a, x) for x in up for a in above(x)}
+    queries = log_queries.queries()
+    pairs = lambda name: sorted((r.src, r.dst) for r in queries[name](spark, str(tmp_path)).collect())
+    assert pairs("closure_descendants_all") == sorted(want)
+    assert pairs("closure_reflexive_all") == sorted(want | {(x, x) for x in {*up, *up.values()}})
+    left = sorted((r.s, r.o) for r in queries["remove_subtree_all"](spark, str(tmp_path)).collect())
+    assert left == sorted((a, x) for x, a in up.items() if a != "n.5" and "n.5" not in above(a))
+
+
 def test_statements_read_and_written(spark, tmp_path):
     raw = [
         '<http://a/s> <http://a/p> "x \\"y\\"\\n\\\\" .',
