@@ -293,6 +293,17 @@ def simple_queries(spark, sf_dir):
     return templates.simple_queries(templates.generalize(usage), 2, 1, 1)
 
 
+@query(
+    f"""{_LOG}, usage AS (SELECT id, text, count(*) AS num_exec, min(ts) AS t_first, max(ts) AS t_last FROM (SELECT * REPLACE (text || ' #' || md5(id) AS text) FROM log) x GROUP BY id, text)
+SELECT id, num_exec FROM usage WHERE num_exec >= 1"""
+)
+def simple_queries_all(spark, sf_dir):
+    """As simple_queries, over the whole log."""
+    log = executions(spark, sf_dir)
+    usage = query_usage(log.withColumn("text", F.concat("text", F.lit(" #"), F.md5(F.col("id").cast("binary")))))
+    return templates.simple_queries(templates.generalize(usage), 2, 1, 1)
+
+
 _SIMPLE = f"""{_WITH_INST}, pos AS (
   SELECT template, id, u.i AS pos, bindings[u.i + 1] AS value FROM inst, unnest(range(0, len(bindings))) AS u(i)
 ), vec AS (

@@ -42,7 +42,7 @@ def mined_by_cluster(spark, sf_dir):
     e = executions(spark, sf_dir).select("text").distinct()
     kind = C.query_type(F.col("text"))
     rows = e.select(F.when(kind == "S", 1).when(kind == "C", 2).when(kind == "A", 3).otherwise(4).alias("groupId"), F.col("text").alias("query"))
-    return mine_by_cluster(rows, MiningOptions(), 2).templates.select("groupId", "text", "num_instances", "num_exec", "n_params")
+    return mine_by_cluster(rows).templates.select("groupId", "text", "num_instances", "num_exec", "n_params")
 
 
 def mined_forest_triples(spark, sf_dir):

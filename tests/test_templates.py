@@ -76,6 +76,28 @@ def test_clusters_are_mined_apart(spark):
     assert mine_by_cluster(rows, start_from=2).templates.count() == 1
 
 
+def test_log_queries_leave_no_execution_out(spark, tmp_path):
+    from tessera.plans import log_queries, mining_queries
+    from tessera.sources.querylog import executions
+
+    kinds = ["click", "view", "purchase", "signup", "error"]
+    rows = [(i, i % 60, i % 11, kinds[i % 5], f'{{"k": {i % 4}}}') for i in range(200)]
+    spark.createDataFrame(rows, "event_id long, ts int, user_id long, event_type string, props string").withColumn("ts", F.timestamp_seconds("ts").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
+    texts = {}
+    for r in executions(spark, str(tmp_path)).collect():
+        texts[r.text] = texts.get(r.text, 0) + 1
+    simple = log_queries.queries()["simple_queries_all"](spark, str(tmp_path)).collect()
+    assert sorted(r.num_exec for r in simple) == sorted(texts.values())
+    by_type = {}
+    for t in texts:
+        kind = 1 if "SELECT" in t else 2 if "CONSTRUCT" in t else 3 if "ASK" in t else 4
+        by_type[kind] = by_type.get(kind, 0) + 1
+    got = {}
+    for r in mining_queries.mined_by_cluster(spark, str(tmp_path)).collect():
+        got[r.groupId] = got.get(r.groupId, 0) + r.num_instances
+    assert got == by_type
+
+
 def test_preambles_last_definition_counts(spark):
     usage = _usage(spark, [("PREFIX a: <x1> ASK { a:b 1 }", 1), ("PREFIX a: <x2> PREFIX b: <y> ASK { a:c 1 }", 1)])
     row = templates.merged_preambles(templates.generalize(usage), "id").first()
