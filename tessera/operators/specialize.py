@@ -9,6 +9,8 @@ text. An edge to a node that is also reached through another child is left out a
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +40,13 @@ def children(level: DataFrame, min_instances: int, min_executions: int) -> DataF
     return both.join(big.select("node", "branch"), ["node", "branch"]).withColumnRenamed("node", "parent")
 
 
-def specialization_forest(instances: DataFrame, min_instances: int = 2, min_executions: int = 1, max_levels: int = 3) -> tuple[DataFrame, DataFrame]:
+def specialization_forest(instances: DataFrame, min_instances: int = 2, min_executions: int = 1, max_levels: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes (template, node, depth, num_instances, num_exec, n_params) and edges (parent, node).
 
     ``instances`` as :func:`tessera.operators.templates.generalize` makes them, with num_exec. Roots are
     the simplified templates. Nodes may have several parents. Growth is exponential in the number of
-    parameters and held by the thresholds and ``max_levels``.
+    parameters and held by the thresholds; it ends as each level has fewer parameters than the one
+    above. With ``max_levels`` it ends there at the latest.
     """
     columns = ["template", "instance", "num_exec", "pieces", "bindings"]
     base = instances.select(*columns)
@@ -54,7 +57,7 @@ def specialization_forest(instances: DataFrame, min_instances: int = 2, min_exec
         F.lit(depth).alias("depth"), F.count("*").alias("num_instances"), F.sum("num_exec").alias("num_exec"), F.max("n_params").alias("n_params")
     )
     nodes, edges = stats(level, 0), None
-    for depth in range(1, max_levels + 1):
+    for depth in count(1) if max_levels is None else range(1, max_levels + 1):
         grown = children(level.filter(F.size("bindings") > 0), min_instances, min_executions)
         # a candidate is simplified over all positions of the template it comes from
         full = grown.drop("bindings", "n_params").join(original, ["template", "instance"]).withColumnRenamed("all_bindings", "bindings")

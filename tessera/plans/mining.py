@@ -24,7 +24,7 @@ class MiningOptions:
     generalization_tree: bool = False
     min_instances_in_subclass: int | None = None
     min_executions_in_subclass: int | None = None
-    max_levels: int = 3
+    max_levels: int | None = None
     max_vars: int = 3
     min_binding_divergence_ratio: float | None = None
 
@@ -92,7 +92,8 @@ def generalize_and_aggregate(usage: DataFrame, options: MiningOptions = MiningOp
 
 
 def forest_triples(mined: Mined, dataset_iri: str) -> DataFrame:
-    """s, p, o_kind, o_value: the templates, their parameters, instances and bindings as statements."""
+    """s, p, o_kind, o_value: the templates, their instances and bindings as statements, and of a mined forest the
+    specializations, each of its parents. A forest is known by its template alone, so it needs templates without keys."""
     base = "http://sparql-clustering.org/"
     t = mined.templates.withColumn("s", F.concat(F.lit(base + "templates/"), F.hex("template_id")))
     fact = lambda df, s, p, kind, o: df.select(s.alias("s"), F.lit(p).alias("p"), F.lit(kind).alias("o_kind"), o.cast("string").alias("o_value"))
@@ -102,7 +103,7 @@ def forest_triples(mined: Mined, dataset_iri: str) -> DataFrame:
     i = mined.instances.select(*of, "id", "instance", "bindings").join(t.select(*of, F.col("s").alias("_t")), of)
     i = i.withColumn("s", F.concat(F.lit(base + "instances/"), F.hex("instance")))
     b = i.select("s", F.posexplode("bindings").alias("pos", "value")).withColumn("_b", F.concat_ws("_", "s", F.col("pos").cast("string")))
-    return (
+    facts = (
         fact(t, F.col("s"), rdf + "type", "iri", F.lit(prvt + "QueryTemplate"))
         .unionByName(fact(t, F.col("s"), lsqv + "text", "literal", F.col("text")))
         .unionByName(fact(t, F.col("s"), dct + "isPartOf", "iri", F.lit(dataset_iri)))
@@ -112,6 +113,21 @@ def forest_triples(mined: Mined, dataset_iri: str) -> DataFrame:
         .unionByName(fact(b, F.col("s"), prv + "usedData", "iri", F.col("_b")))
         .unionByName(fact(b, F.col("_b"), lsqv + "text", "literal", F.col("value")))
     )
+    if mined.nodes is None:
+        return facts
+    if of != ["template"]:
+        raise ValueError("the specializations of templates with keys are not told apart by key")
+    # a root is the template itself; texts of different templates differ in their pieces
+    n = mined.nodes.join(t.select("template", "base", "prefixes", F.col("s").alias("_t")), "template")
+    n = n.withColumn("s", F.when(F.col("depth") == 0, F.col("_t")).otherwise(F.concat(F.lit(base + "templates/"), F.hex(F.xxhash64("template", "node")))))
+    below = n.filter("depth > 0")
+    up = mined.edges.join(n.select(F.col("node").alias("parent"), F.col("s").alias("_up")), "parent").join(n.select("node", "s"), "node")
+    return (
+        facts.unionByName(fact(below, F.col("s"), rdf + "type", "iri", F.lit(prvt + "QueryTemplate")))
+        .unionByName(fact(below, F.col("s"), lsqv + "text", "literal", F.concat(templates.prologue_text(F.col("base"), F.col("prefixes")), F.lit("\n"), F.col("node"))))
+        .unionByName(fact(below, F.col("s"), lsqv + "numOfExecutions", "literal", F.col("num_exec")))
+        .unionByName(fact(up, F.col("s"), "http://www.w3.org/ns/prov#specializationOf", "iri", F.col("_up")))
+    )
 
 
 def stats_table(mined: Mined) -> DataFrame:

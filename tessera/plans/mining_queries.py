@@ -46,18 +46,19 @@ def mined_by_cluster(spark, sf_dir):
 
 
 def mined_forest_triples(spark, sf_dir):
-    mined = mine_templates(query_usage(executions(spark, sf_dir)), keys=())
+    """With the specializations of all templates, down to single instances."""
+    mined = mine_templates(query_usage(executions(spark, sf_dir)), MiningOptions(generalization_tree=True), keys=())
     return forest_triples(mined, C.DATASETS + "events").groupBy("p", "o_kind").agg(F.count("*").alias("n"))
 
 
 def specialization_nodes(spark, sf_dir):
-    """Nodes of the specialization forest down to level 1, of 15 instances at least."""
-    nodes, _ = specialization_forest(_instances(spark, sf_dir), 15, 15, 1)
+    """Nodes of the specialization forest, of 15 instances at least."""
+    nodes, _ = specialization_forest(_instances(spark, sf_dir), 15, 15)
     return nodes.select("template", "node", "depth", "num_instances", "num_exec", "n_params")
 
 
 def specialization_edges(spark, sf_dir):
-    _, edges = specialization_forest(_instances(spark, sf_dir), 15, 15, 1)
+    _, edges = specialization_forest(_instances(spark, sf_dir), 15, 15)
     return edges.select("parent", "node")
 
 

@@ -190,6 +190,27 @@ def test_specializations_like_plain_version(spark):
         assert not any(set(want[e.node]) < set(v) < set(want[e.parent]) for v in want.values())
 
 
+def test_specializations_have_no_level_limit(spark):
+    from tessera.plans.mining import forest_triples
+
+    # 2 * 2 * 2 * 2 * 2 values: five levels of fixed values, of which the last are single queries
+    rows = [f"SELECT {a}:x {{ {b} {c} {d} {e} }}" for a in "ab" for b in (1, 2) for c in (3, 4) for d in (5, 6) for e in (7, 8)]
+    usage = _usage(spark, [(t, 1) for t in rows])
+    inst = templates.generalize(usage)
+    plain = inst.orderBy("id").collect()
+    want = _plain_forest([x.bindings for x in plain], plain[0].pieces, 1)
+    nodes, _ = specialization_forest(inst, 1, 1)
+    found = nodes.collect()
+    assert {x.node: x.num_instances for x in found} == {t: len(ids) for t, ids in want.items()} and max(x.depth for x in found) == 5
+    mined = mine_templates(usage, MiningOptions(generalization_tree=True), ())
+    triples = forest_triples(mined, "http://d").collect()
+    text = {t.s: t.o_value.strip() for t in triples if t.p.endswith("vocab#text") and "/templates/" in t.s}
+    assert sorted(text.values()) == sorted(want)
+    links = [(text[t.s], text[t.o_value]) for t in triples if t.p == "http://www.w3.org/ns/prov#specializationOf"]
+    assert len(links) == mined.edges.count() and {a for a, _ in links} == {t for t in want if len(want[t]) < len(rows)}
+    assert all(set(want[a]) < set(want[b]) for a, b in links)
+
+
 def test_divergence(spark):
     inst = templates.generalize(_usage(spark, [("ASK { 1 2 }", 1), ("ASK { 1 3 }", 1), ("DESCRIBE ?x", 1)]))
     assert [r.template for r in templates.divergent(inst).collect()] == ["DESCRIBE ?x"]
