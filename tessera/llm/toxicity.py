@@ -5,9 +5,10 @@ buckets. The buckets that tell the labels apart best are found by a distributed
 and a factorization machine learns a weight for each and a vector for the pairs: two terms that are
 harmless alone (an insult, a group) may be toxic together, which additive weights cannot say.
 
-The model is fitted on a sample of at most about ``MAX_TRAINING_ROWS`` labelled rows; the counts, the
-scores and everything else cover all rows. Only the kept buckets of these rows (some kB) and the
-model (about 1 MB, whatever the corpus) meet on the driver.
+The counts cover all labelled rows outside the held-out fold, the scores all rows. The machine is fitted on
+a sample of at most about ``MAX_TRAINING_ROWS`` of the labelled rows, and on up to ``ROWS_OF_RARE`` rows of each
+kept bucket that the sample may have in fewer. Only the kept buckets of these rows (some MB) and the model
+(about 1 MB, whatever the corpus) meet on the driver.
 """
 
 from __future__ import annotations
@@ -17,14 +18,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import textbytes as tb
-from tessera.llm.common import bound_batches, fresh, table
+from tessera.llm.common import bound_batches, fresh, small_side, table
 
 #: Bound of the rows that the machine is fitted on.
 MAX_TRAINING_ROWS = 20_000
+#: Rows of each kept bucket that the fit sees, where the sample may have fewer.
+ROWS_OF_RARE = 16
 FOLDS, HELD_OUT_FOLD = 5, 0
 BUCKET_BITS, KEPT_BUCKETS, FACTORS = 18, 4096, 8
 PREFIXES = (4, 5, 6)
@@ -125,23 +128,26 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """text, toxic of about ``most`` labelled rows outside the held-out fold, the same on every run.
+def training_rows(docs: DataFrame, labels: DataFrame, most: int | None = MAX_TRAINING_ROWS, also: DataFrame | None = None) -> DataFrame:
+    """_id, text, toxic of about ``most`` labelled rows outside the held-out fold (without it: of all), the same on
+    every run, and of those whose ``_id`` is in ``also``.
 
     Rows without a label or text are left out; where a document has both labels, 1 holds.
     """
     usable = labels.filter("doc_id is not null and toxic is not null").filter(fold(F.col("doc_id")) != HELD_OUT_FOLD)
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     n = usable.count()
-    if n > most:
-        usable = usable.filter(F.pmod(F.xxhash64(F.lit("sample"), "_id"), F.lit(n)) < most)
-    # at most about ``most`` pairs of integers: a proven bound
-    return docs.select(F.col("doc_id").cast("long").alias("_id"), "text").filter("text is not null").join(F.broadcast(usable), "_id").select("_id", "text", "toxic")
+    if most is not None and n > most:
+        sample = usable.filter(F.pmod(F.xxhash64(F.lit("sample"), "_id"), F.lit(n)) < most)
+        usable = sample if also is None else sample.unionByName(usable.join(also.select("_id").distinct(), "_id", "left_semi")).distinct()
+        n = most if also is None else most + KEPT_BUCKETS * ROWS_OF_RARE
+    return docs.select(F.col("doc_id").cast("long").alias("_id"), "text").filter("text is not null").join(small_side(usable, n), "_id").select("_id", "text", "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) -> Model:
     bound_batches(docs.sparkSession)
-    rows = training_rows(docs, labels, most).select("text", "toxic")
+    everything = training_rows(docs, labels, None)
+    rows = everything.select("text", "toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, 1 << BUCKET_BITS), np.int64)
@@ -175,7 +181,23 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) ->
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(term.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), lists], names=["_id", "toxic", "terms"])
 
-    got = training_rows(docs, labels, most).mapInArrow(kept, "_id long, toxic int, terms array<int>").toPandas()
+    # kept buckets that the sample may have in too few rows to learn them from
+    n = clean_n + toxic_n
+    rare = np.array([(r["c"] + r["t"]) * most < 2 * ROWS_OF_RARE * n for r in best], bool)
+    also = None
+    if n > most and rare.any():
+
+        def carriers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, j, data, at in tb.chunks(batch.column(1)):
+                    text, term = _kept_terms(shared.value, data, at)
+                    few = rare[term]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(text[few])), pa.array(term[few])], names=["_id", "term"])
+
+        nearest = Window.partitionBy("term").orderBy(F.xxhash64(F.lit("rare"), "_id"), "_id")
+        carried = everything.mapInArrow(carriers, "_id long, term long").withColumn("_at", F.row_number().over(nearest))
+        also = carried.filter(F.col("_at") <= ROWS_OF_RARE).select("_id")
+    got = training_rows(docs, labels, most, also).mapInArrow(kept, "_id long, toxic int, terms array<int>").toPandas()
     got = got.sort_values("_id", kind="stable")  # the order in which executors answer does not matter
     return _fit(slot, [np.asarray(t, np.int64) for t in got["terms"]], got["toxic"].to_numpy(np.float64))
 

@@ -42,6 +42,18 @@ def test_learns_words_and_pairs(spark):
     assert np.allclose(model.weights, again.weights) and np.allclose(model.vectors, again.vectors)
 
 
+def test_learns_a_word_that_the_sample_hardly_has(spark):
+    rows = _labelled(4000, 7)
+    # one toxic document in 200 hinges on a word of its own; the machine is fitted on one in 20
+    rows = [(i, t + " blackguard", 1) if i % 200 == 3 else (i, t, k) for i, t, k in rows]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], 1, r[2]) for r in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels, 160)
+    assert toxicity.scores(model, pa.array(["am1 bn2 blackguard"]))[0] > 0.5
+    assert toxicity.scores(model, pa.array(["am1 bn2"]))[0] < 0.5
+    assert toxicity.training_rows(docs, labels, 160).count() < 260
+
+
 def test_held_out_rows_teach_nothing(spark):
     rows = _labelled(400, 2)
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
