@@ -12,7 +12,8 @@ out all pairs of a bucket of copies:
    member is verified against it on the full sets, and connected components follow from that; large
    buckets that still hold several components get other pivots in turn;
 2. only members of one bucket that then still lie in different components are compared: by their
-   sketches inside small blocks, where pairs that stand no chance fall away, the rest by full sets.
+   sketches, in large buckets a block of members with a block of outsiders at a time; pairs that stand
+   no chance fall away, there by wider sketches too, and the rest is compared by full sets.
 
 A pair of similarity 0.75 misses every bucket with probability ``(1 - 0.75**ROWS) ** BANDS`` (2e-6).
 """
@@ -38,7 +39,7 @@ LEAST_EQUAL = 140
 WIDE, WIDE_LEAST_EQUAL = 1024, 709
 #: Documents and shingles that are sketched at once.
 SKETCHED_SETS, SKETCHED_ITEMS = 600, 250_000
-#: Members of a bucket that are paired in SQL; larger buckets are cut into blocks of so many.
+#: Members of a bucket that are paired in SQL; larger buckets are cut into blocks of about so many.
 SMALL_BUCKET, BLOCK = 16, 256
 #: Rounds with other pivots for large buckets, before their members are compared in blocks.
 EXTRA_STARS = 1
@@ -218,32 +219,54 @@ def _widely_sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([row.tobytes() for row in halves], pa.binary())], names=["node", "wide"])
 
 
-def _block_pairs(frame):
-    """Pairs of a block's own nodes with nodes outside the bucket's main component, whose components differ and
-    whose wide sketches are close.
+def _widely_close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs with both wide sketches those that may reach the threshold."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, WIDE // 2) for k in (2, 3))
+        equal = (x >> 4 == y >> 4).sum(axis=1) + (x & 15 == y & 15).sum(axis=1)
+        keep = pa.array(equal >= WIDE_LEAST_EQUAL)
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
 
-    Two outsiders meet in the block of the larger one. A pair that shares several buckets comes from
-    the one of its first common band only.
+def _block_pairs(frame):
+    """Pairs of a block of a bucket's members with a block of its nodes outside the main component, whose components
+    differ and whose sketches are close. Two outsiders meet where the larger one is the member.
     """
     import pandas as pd
 
-    node, comp, block, outside = (frame[c].to_numpy() for c in ("node", "component", "block", "outside"))
+    node, comp, guest, outside = (frame[c].to_numpy() for c in ("node", "component", "guest", "outside"))
     a, b = [], []
     if (comp != comp[0]).any():
-        halves = np.frombuffer(b"".join(frame["wide"]), np.uint8).reshape(-1, WIDE // 2)
-        bits = np.hstack([halves >> 4, halves & 15])
-        bands = np.stack(frame["bands"].to_numpy())
-        band = int(np.flatnonzero(bands[0] == frame["bucket"].iloc[0])[0])
-        own = np.flatnonzero(block == frame["at"].iloc[0])
-        for k in np.flatnonzero(outside):
+        small = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(-1, COORDINATES)
+        own = np.flatnonzero(~guest)
+        for k in np.flatnonzero(guest):
             at = own[(comp[own] != comp[k]) & (~outside[own] | (node[own] > node[k]))]
-            at = at[(bits[at] == bits[k]).sum(axis=1) >= WIDE_LEAST_EQUAL] if len(at) else at
-            at = at[~(bands[at, :band] == bands[k, :band]).any(axis=1)] if len(at) else at
+            at = at[(small[at] == small[k]).sum(axis=1) >= LEAST_EQUAL] if len(at) else at
             a += [node[k]] * len(at)
             b += node[at].tolist()
     return pd.DataFrame({"a": np.minimum(a, b).astype(np.int64), "b": np.maximum(a, b).astype(np.int64)})
 
 
+def _tiles(large: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The members of large buckets for :func:`_block_pairs`: bucket, at, by, node, component, outside, guest, sketch.
+
+    Members of a bucket's main component need no comparison among themselves: members, and as guests
+    those outside the main component, are both dealt into blocks, and each two blocks are a group.
+    """
+    of_size = large.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    block = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "node"), n).cast("int")
+    placed = large.join(of_size, "bucket").withColumn("outside", F.col("component") != F.col("main"))
+    placed = placed.withColumn("_rows", blocks(F.col("size"))).withColumn("_columns", blocks(F.col("size") - F.col("most")))
+    placed = placed.select("bucket", "node", "component", "outside", "_rows", "_columns").join(sketches.select("node", "sketch"), "node")
+    kept = ("node", "component", "outside")
+    members = placed.select("bucket", block("member", F.col("_rows")).alias("at"), F.explode(F.sequence(F.lit(0), F.col("_columns") - 1)).alias("by"), *kept, F.lit(False).alias("guest"), "sketch")
+    guests = placed.filter("outside").select("bucket", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)).alias("at"), block("guest", F.col("_columns")).alias("by"), *kept, F.lit(True).alias("guest"), "sketch")
+    return members.unionByName(guests)
+
+
 def close_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Those pairs (a, b) whose sketches leave a chance."""
     return (
@@ -272,7 +295,7 @@ def _stars(members: DataFrame, weight) -> DataFrame:
     return met.select(F.least("node", "_pivot").alias("a"), F.greatest("node", "_pivot").alias("b")).distinct()
 
 
-def _unsettled_pairs(open_rows: DataFrame, sketches: DataFrame, bands: DataFrame, docs: DataFrame) -> DataFrame:
+def _unsettled_pairs(open_rows: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
     """Distinct pairs of nodes that share a bucket, lie in different components and may be similar enough."""
     small = open_rows.filter(F.col("size") <= SMALL_BUCKET)
     pairs = (
@@ -283,15 +306,16 @@ def _unsettled_pairs(open_rows: DataFrame, sketches: DataFrame, bands: DataFrame
         .distinct()
     )
     large = open_rows.filter(F.col("size") > SMALL_BUCKET)
-    nodes = packed(cut(large.select("node").distinct()))
+    dense = packed(cut(_tiles(large, sketches).groupBy("bucket", "at", "by").applyInPandas(_block_pairs, "a long, b long").distinct()))
+    nodes = packed(cut(dense.select(F.col("a").alias("node")).unionByName(dense.select(F.col("b").alias("node"))).distinct()))
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(small_side(nodes, nodes.count()), "node")
     wide = texts.mapInArrow(_widely_sketched, "node long, wide binary").dropDuplicates(["node"])
-    # members of a bucket's main component need no comparison among themselves: only the others go to all blocks
-    main = large.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = large.join(main, "bucket").withColumn("outside", F.col("component") != F.col("main")).withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    placed = placed.withColumn("at", F.explode(F.when(F.col("outside"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("block"))))
-    dense = placed.join(wide.join(bands, "node"), "node").groupBy("bucket", "at").applyInPandas(_block_pairs, "a long, b long")
+    dense = (
+        dense.join(wide.select(F.col("node").alias("a"), F.col("wide").alias("wa")), "a")
+        .join(wide.select(F.col("node").alias("b"), F.col("wide").alias("wb")), "b")
+        .select("a", "b", "wa", "wb")
+        .mapInArrow(_widely_close, "a long, b long")
+    )
     return close_pairs(pairs, sketches).unionByName(dense).distinct()
 
 
@@ -331,8 +355,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if not found.isEmpty():
             labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
             open_rows = _open_members(members, labels)
-    bands = nodes.select("node", "bands").dropDuplicates(["node"])
-    last = packed(cut(_unsettled_pairs(open_rows, sketches, bands, docs).join(tried, ["a", "b"], "left_anti")))
+    last = packed(cut(_unsettled_pairs(open_rows, sketches, docs).join(tried, ["a", "b"], "left_anti")))
     if not last.isEmpty():
         found = verify(last, docs)
         labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))

@@ -106,6 +106,20 @@ def test_blocks_of_a_large_bucket(spark, monkeypatch):
     assert got == near_components(rows)
 
 
+def test_no_group_holds_all_outsiders(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(neardup, "BLOCK", 32)
+    n = 640
+    large = spark.range(n).select(F.lit(7).cast("long").alias("bucket"), F.col("id").alias("node"), F.when(F.col("id") < 5, 0).otherwise(F.col("id")).alias("component"), F.lit(n).cast("long").alias("size"))
+    sketches = large.select("node", F.lit(bytes(neardup.COORDINATES)).alias("sketch"))
+    tiles = neardup._tiles(large, sketches)
+    groups = tiles.groupBy("bucket", "at", "by").count().collect()
+    assert len(groups) == 20 * 20 and max(g["count"] for g in groups) <= 4 * 32
+    met = tiles.filter("not guest").select("at", "by", F.col("node").alias("x")).join(tiles.filter("guest").select("at", "by", F.col("node").alias("y")), ["at", "by"])
+    assert met.count() == met.select("x", "y").distinct().count() == n * (n - 5)
+
+
 @pytest.mark.parametrize("alphabet", [1, 2, 4, 250])
 def test_suffix_array_and_prefixes(alphabet):
     r = random.Random(alphabet)
