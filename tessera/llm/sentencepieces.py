@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding with the tokenizers library.
 
 The model's protobuf is parsed here and rebuilt: normaliser (character map, dummy prefix, space as
-metaspace), BPE merges or unigram scores, byte fallback and decoder. Where no piece holds a metaspace
-after another character, no merge crosses from a character to a following metaspace, so a text may be
-encoded piecewise, and so at other borders that no piece crosses; equal parts are encoded once, in multithreaded batches, while they are remembered. Every such part is also encoded by the sentencepiece library to verify parity.
+metaspace), BPE merges or unigram scores, byte fallback and decoder. Texts are encoded in batches, with as
+many threads as a task has cores; where no piece crosses a word's border, by their different words. Each
+string that is encoded is also given to the sentencepiece library to verify parity, for every model.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ import hashlib
 import os
 import re
 import struct
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -30,12 +29,12 @@ MARK = "▁"
 #: Kinds of pieces and models in the protobuf.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Pieces of text that a task remembers, and texts that it works on at a time.
-REMEMBERED, TEXTS = 150_000, 256
-#: Threads of the libraries in a task.
-THREADS = 2
-#: Pieces of text that are encoded at once.
-BATCH = 4096
+#: What the library decodes an unknown piece to.
+UNKNOWN_SURFACE = " \u2047 "
+#: Words that a task remembers (twice, at most), and texts that it works on at a time.
+REMEMBERED, TEXTS = 250_000, 256
+#: Words that are joined to one string.
+JOINED = 256
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -132,7 +131,8 @@ def build(spec: ModelSpec):
     if spec.remove_extra_whitespaces:
         from tokenizers import Regex
 
-        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip(True, True)]
+        # spaces alone; the library's strip would take newlines too
+        steps += [normalizers.Replace(Regex(rx), new) for rx, new in ((" {2,}", " "), (r"\A ", ""), (r" \z", ""))]
     steps += [normalizers.Prepend(MARK)] if spec.add_dummy_prefix else []
     steps += [normalizers.Replace(" ", MARK)]
     out.normalizer = normalizers.Sequence(steps)
@@ -141,41 +141,42 @@ def build(spec: ModelSpec):
     return out
 
 
-_LETTER = r"[^\W\d_]"
+#: Parts of a normalised text in which lines and spaces don't pair up one by one.
+_PART = re.compile(f"\n[^{MARK}\n]*|{MARK}+[^{MARK}\n]*")
 
 
-def _parts(spec: ModelSpec) -> str:
-    """Pattern of the parts that a normalised text may be cut into.
+class Codec:
+    """Encodes and decodes texts; remembers the words it has met.
 
-    No merge crosses a border between two characters that no piece contains side by side: before a
-    metaspace, around newlines where these are only bytes, and from a letter to most ASCII signs.
+    A word is what stands between two spaces, with its metaspace, or between a newline and a space. Where
+    no piece has a metaspace after another character and newlines are only bytes, no piece crosses a word's
+    border (``by_words``): words are then encoded once while they are remembered, many joined by newlines in
+    one string. Other models encode whole texts.
     """
-    pairs = {(a, b) for p, k in zip(spec.pieces, spec.kinds) if k in (NORMAL, USER_DEFINED) for a, b in zip(p, p[1:])}
-    joined = {b for a, b in pairs if re.match(_LETTER, a)}
-    signs = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not c.isalnum() and c not in joined)
-    line = "\n" if spec.byte_fallback and not any("\n" in p for p in spec.pieces) else ""
-    word = [f"{MARK}*{_LETTER}++(?=[{signs}])"] if signs else []
-    return "|".join([*word, *([line] if line else []), f"{MARK}+[^{MARK}{line}]*", f"[^{MARK}{line}]+"])
-
-
-class Codec:
-    """Encodes and decodes texts; remembers the pieces of text it has met."""
 
-    def __init__(self, raw: bytes, check: bool = True):
+    def __init__(self, raw: bytes, check: bool = True, threads: int = 1):
         # a task has few cores; the libraries would start a thread for each of the machine's
-        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
+        os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         from tokenizers import normalizers
 
+        self.threads = threads
         self.spec = parse_model(raw)
         self.tokenizer = build(self.spec)
-        #: Normalised text may be cut before a metaspace.
-        self.separable = all(MARK not in p.lstrip(MARK) for p, k in zip(self.spec.pieces, self.spec.kinds) if k in (NORMAL, USER_DEFINED))
-        self.cut = re.compile(_parts(self.spec)).findall
-        self.full = self.tokenizer.normalizer
-        self.plain = not self.spec.charsmap and not self.spec.remove_extra_whitespaces
-        self.bare = self.tokenizer  # texts come normalised
-        self.bare.normalizer = normalizers.Sequence([])
-        #: Parts that were met lately, and those before them.
+        pieces = [p for p, k in zip(self.spec.pieces, self.spec.kinds) if k in (NORMAL, USER_DEFINED)]
+        newlines = [i for i, (p, k) in enumerate(zip(self.spec.pieces, self.spec.kinds)) if k == BYTE and p == "<0x0A>"]
+        self.by_words = (
+            not self.spec.charsmap
+            and not self.spec.remove_extra_whitespaces
+            and self.spec.add_dummy_prefix
+            and self.spec.byte_fallback
+            and len(newlines) == 1
+            and USER_DEFINED not in self.spec.kinds
+            and not any("\n" in p or MARK in p.lstrip(MARK) for p in pieces)
+        )
+        if self.by_words:
+            self.newline = newlines[0]
+            self.tokenizer.normalizer = normalizers.Sequence([])  # words come normalised
+        #: Ids of the words that were met lately, and of those before them; words on which the libraries differ.
         self.ids: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.odd: set[str] = set()
@@ -184,56 +185,91 @@ class Codec:
             from sentencepiece import SentencePieceProcessor
 
             self.peer = SentencePieceProcessor(model_proto=raw)
-        self.surface = [
-            bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else p.replace(MARK, " ").encode()
+        surface = [
+            bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else UNKNOWN_SURFACE.encode() if k == UNKNOWN else p.replace(MARK, " ").encode()
             for p, k in zip(self.spec.pieces, self.spec.kinds)
         ]
+        self._pool = np.frombuffer(b"".join(surface), np.uint8)
+        self._sizes = np.array([len(x) for x in surface], np.int64)
+        self._marked = [k in (NORMAL, USER_DEFINED) and p.startswith(MARK) for p, k in zip(self.spec.pieces, self.spec.kinds)]
+        self._begin = np.cumsum(self._sizes) - self._sizes
 
-    def normalise(self, text: str) -> str:
-        """The text with metaspaces, as the model sees it; empty stays empty."""
+    def _words(self, text: str) -> list[str]:
+        """The words of a text: after a newline with it, else without the one metaspace they begin with."""
         if not text:
-            return ""
-        if self.plain:
-            return (MARK if self.spec.add_dummy_prefix else "") + text.replace(" ", MARK)
-        return self.full.normalize_str(text)
-
-    def _learn(self, parts: list[str]) -> None:
-        # after a newline the library adds no prefix of its own
-        skip = len(self.peer.encode("\n")) if self.peer is not None and self.separable and self.plain else 0
-        for k in range(0, len(parts), BATCH):
-            some = parts[k : k + BATCH]
-            own = [enc.ids for enc in self.bare.encode_batch_fast(some, add_special_tokens=False)]
-            self.ids.update(zip(some, [array("i", ids).tobytes() for ids in own]))
-            if skip:
-                theirs = self.peer.encode(["\n" + p.replace(MARK, " ") for p in some], num_threads=THREADS)
-                self.odd.update(p for p, a, b in zip(some, own, theirs) if a != b[skip:])
-
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
-        """Ids of each text, and whether the sentencepiece library agrees."""
+            return []
+        if "  " in text or MARK in text or text[0] == " ":
+            return [p if p[0] == "\n" else p[1:] for p in _PART.findall(MARK + text.replace(" ", MARK))]
+        return text.replace("\n", " \n").split(" ")
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode words that are not remembered, ``JOINED`` in one string, and compare with the peer."""
+        groups = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
+        strings = ["".join([w if w[:1] == "\n" else f"\n{MARK}{w}" for w in g]) for g in groups]
+        own = [np.array(enc.ids, "<i4") for enc in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        # the library puts one metaspace before the first newline
+        theirs = [np.array(ids[1:], "<i4") for ids in self.peer.encode([s.replace(MARK, " ") for s in strings], num_threads=self.threads)] if self.peer else own
+        for g, a, b in zip(groups, own, theirs):
+            at = np.flatnonzero(a == self.newline)
+            raw, ends = a.tobytes(), np.r_[at[1:], len(a)] * 4
+            found = [raw[i if w[:1] == "\n" else i + 4 : j] for w, i, j in zip(g, (at * 4).tolist(), ends.tolist())]
+            self.ids.update(zip(g, found))
+            if a is not b and not np.array_equal(a, b):
+                self.odd.update(w for w, ids in zip(g, found) if self._peer_ids(w) != ids)
+
+    def _peer_ids(self, word: str) -> bytes:
+        if word[:1] == "\n":
+            return np.array(self.peer.encode(word)[1:], "<i4").tobytes()
+        return np.array(self.peer.encode("\n " + word.replace(MARK, " "))[2:], "<i4").tobytes()
+
+    def _encode_by_words(self, texts: list[str]) -> list[tuple[np.ndarray, bool | None]]:
+        split = [self._words(t) for t in texts]
+        if len(self.ids) > REMEMBERED:
+            self.older, self.ids = self.ids, {}
+        new = set().union(*split) - self.ids.keys()
+        known = [w for w in new if w in self.older]
+        self.ids.update((w, self.older[w]) for w in known)
+        new.difference_update(known)
+        if new:
+            self._learn(list(new))
         out = []
+        for words in split:
+            ids = np.frombuffer(b"".join(map(self.ids.__getitem__, words)), "<i4")
+            out.append((ids, None if self.peer is None else not self.odd or self.odd.isdisjoint(words)))
+        return out
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool | None]]:
+        """Ids of each text, and whether the sentencepiece library agrees (None if it is not asked)."""
+        out: list[tuple[np.ndarray, bool | None]] = []
         for k in range(0, len(texts), TEXTS):
-            parts = [self.cut(self.normalise(t)) if self.separable else [self.normalise(t)] for t in texts[k : k + TEXTS]]
-            if len(self.ids) > REMEMBERED:
-                self.older, self.ids = self.ids, {}
-            new = set().union(*parts) - self.ids.keys()
-            known = [p for p in new if p in self.older]
-            self.ids.update((p, self.older[p]) for p in known)
-            new.difference_update(known)
-            if new:
-                self._learn(list(new))
-            for p in parts:
-                ids = np.frombuffer(b"".join(map(self.ids.__getitem__, p)), "<i4")
-                out.append((ids, not self.odd or self.odd.isdisjoint(p)))
+            some = texts[k : k + TEXTS]
+            if self.by_words:
+                out += self._encode_by_words(some)
+                continue
+            own = [enc.ids if t else [] for t, enc in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False))]
+            theirs = self.peer.encode(some, num_threads=self.threads) if self.peer else [None] * len(some)
+            out += [(np.array(a, "<i4"), None if b is None else a == b) for a, b in zip(own, theirs)]
         return out
 
     def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.surface.__getitem__, ids.tolist())).decode("utf-8", "replace")
-        return text[1:] if self.spec.add_dummy_prefix and text.startswith(" ") else text
+        """The pieces' texts in a row; bytes that make no character are replaced."""
+        sizes = self._sizes[ids]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.arange(total) + np.repeat(self._begin[ids] - (ends - sizes), sizes)
+        text = self._pool[at].tobytes().decode("utf-8", "replace")
+        first = np.flatnonzero(sizes)[:1]
+        return text[1:] if self.spec.add_dummy_prefix and len(first) and self._marked[ids[first[0]]] else text
 
 
 @lru_cache(maxsize=2)
-def _codec(raw: bytes) -> Codec:
-    return Codec(raw)
+def _codec(raw: bytes, threads: int) -> Codec:
+    return Codec(raw, threads=threads)
+
+
+def _task_cores(spark: SparkSession) -> int:
+    """Cores that a task has to itself: the libraries' threads."""
+    return int(spark.sparkContext.getConf().get("spark.task.cpus", "1"))
 
 
 def model_bytes(path: str | None = None) -> bytes:
@@ -247,16 +283,16 @@ _TOKENS = "doc_id long, tokens array<int>, decoded string, parity boolean"
 
 def encode_documents(docs: DataFrame, raw: bytes) -> DataFrame:
     """doc_id, tokens, decoded, parity of each row: the ids, the text that they decode to, and whether the
-    sentencepiece library gives the same ids for every part of the text.
+    sentencepiece library gives the same ids for the text or for each of its words.
 
     Null and empty texts have no tokens. The decoded text is the text with metaspaces as spaces. Repeated
     rows get one row each; an empty table gives none; a long text is one row whatever its length.
     """
     bound_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(raw)
+    shared, threads = docs.sparkSession.sparkContext.broadcast(raw), _task_cores(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared.value)
+        codec = _codec(shared.value, threads)
         for batch in batches:
             for k in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(k, TEXTS)
@@ -274,10 +310,10 @@ def encode_documents(docs: DataFrame, raw: bytes) -> DataFrame:
 def encoded_digests(docs: DataFrame, raw: bytes) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of little-endian 32-bit ids), round_trip, parity of each row."""
     bound_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(raw)
+    shared, threads = docs.sparkSession.sparkContext.broadcast(raw), _task_cores(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared.value)
+        codec = _codec(shared.value, threads)
         for batch in batches:
             for k in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(k, TEXTS)

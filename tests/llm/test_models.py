@@ -151,6 +151,51 @@ def test_forgetting_changes_nothing(codec, monkeypatch):
         assert a.tolist() == b.tolist()
 
 
+def test_decoder_of_the_library(codec, sf_dir):
+    import pandas as pd
+
+    texts = [t for t in ODD_TEXTS + pd.read_parquet(f"{sf_dir}/documents.parquet").text.tolist()[:60] if t]
+    for ids, _ in codec.encode(texts):
+        assert codec.decode(ids) == codec.tokenizer.decode(ids.tolist(), skip_special_tokens=False) == codec.peer.decode(ids.tolist())
+    for i in range(259, len(codec.spec.pieces)):  # after unknown, control and bytes
+        assert codec.decode(np.array([300, i])) == codec.peer.decode([300, i])
+    assert codec.decode(np.array([0])) == codec.peer.decode([0])
+
+
+def _model(pieces, model_type, byte_fallback, charsmap, extra_spaces):
+    """A model's protobuf: pieces of (text, score, kind)."""
+    import struct
+
+    def field(n, v):
+        if isinstance(v, int):
+            return bytes([(n << 3) & 127 | 128 if n > 15 else n << 3, *([n >> 4] if n > 15 else [])]) + bytes([v])
+        v = v.encode() if isinstance(v, str) else v
+        size = [len(v)]
+        while size[-1] > 127:
+            size[-1:] = [size[-1] & 127 | 128, size[-1] >> 7]
+        return bytes([n << 3 | 2, *size]) + v
+
+    out = b"".join(field(1, field(1, p) + bytes([2 << 3 | 5]) + struct.pack("<f", s) + field(3, k)) for p, s, k in pieces)
+    return out + field(2, field(3, model_type) + field(35, int(byte_fallback))) + field(3, (field(2, charsmap) if charsmap else b"") + field(3, 1) + field(4, int(extra_spaces)))
+
+
+@pytest.mark.parametrize("byte_fallback", [False, True])
+@pytest.mark.parametrize("extra_spaces", [False, True])
+def test_unigram_model(byte_fallback, extra_spaces):
+    pytest.importorskip("sentencepiece")
+    words = ["▁", "a", "b", "c", "▁a", "▁ab", "ab", "abc", "bc", "▁c", "ca", "cab", "."]
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(w, -1.0 - 0.37 * i, 1) for i, w in enumerate(words)]
+    pieces += [(f"<0x{i:02X}>", -9.0, 6) for i in range(256)] if byte_fallback else []
+    codec = sentencepieces.Codec(_model(pieces, sentencepieces.UNIGRAM, byte_fallback, b"", extra_spaces))
+    r = random.Random(8)
+    texts = ["", "abc", "  abc  cab ", "a\nb", "é", "ab é. cab"] + ["".join(r.choice("abc .  é\n") for _ in range(r.randrange(30))) for _ in range(300)]
+    for text, (ids, same) in zip(texts, codec.encode(texts)):
+        assert same == (ids.tolist() == codec.peer.encode(text)), text
+        assert same, (text, ids.tolist(), codec.peer.encode(text))
+        assert codec.decode(ids) == codec.peer.decode(ids.tolist()), text
+    assert all(same is None for _, same in sentencepieces.Codec(_model(pieces, sentencepieces.UNIGRAM, byte_fallback, b"", extra_spaces), check=False).encode(["a b"]))
+
+
 def test_encoded_documents(odd_docs, no_docs):
     raw = sentencepieces.model_bytes()
     rows = sentencepieces.encode_documents(odd_docs, raw).collect()
