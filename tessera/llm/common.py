@@ -5,36 +5,48 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of two or three integers that a broadcast side may have at most (about 32 MB as a hashed relation).
 BROADCAST_ROWS = 500_000
 #: Rows of a few integers for each task where their number is known.
 TASK_ROWS = 100_000
-#: Documents that one Arrow batch holds.
-ARROW_ROWS = 1200
+#: Documents that one Arrow batch holds, and that Python works on at a time where it answers with whole rows.
+ARROW_ROWS, SLICE_ROWS = 1200, 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(sc: SparkContext) -> str:
+    """The folder for checkpoints and tables of a run, which all executors can reach.
+
+    It is the one that the cluster names in ``spark.checkpoint.dir``. Where that is unset a temporary one is
+    made, but only for a local master: on a cluster it is an error.
+    """
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"checkpoint-{uuid.uuid4().hex}"))
+    return sc.getCheckpointDir()
+
+
 def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Run ``df`` once and cut its lineage with a reliable checkpoint.
 
     Where a bound of its ``rows`` of a few integers is known, the last stage has a task for every
     ``TASK_ROWS`` of them: a few rows in hundreds of partitions cost more in files than in data.
-
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) a temporary one is made.
     """
     sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), f"checkpoint-{uuid.uuid4().hex}")
-        )
+    shared_folder(sc)
     return (df if rows is None else df.coalesce(max(1, -(-rows // TASK_ROWS)))).checkpoint(eager=True)
 
 
@@ -96,6 +108,23 @@ def number_rows(df: DataFrame, *order: str) -> tuple[DataFrame, int]:
     return held.withColumn("row_num", (start + F.col("_at")).cast("long")).drop("_part", "_at", "_start"), total
 
 
+def mapped_rows(docs: DataFrame, change: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    """``docs`` with each slice of at most ``SLICE_ROWS`` rows passed through ``change``, which may drop rows or replace
+    columns in place; columns keep their order, names (repeated ones too) and types.
+
+    Whole rows go to Python and back as Arrow, so no copy of them waits in the JVM for an answer.
+    """
+    bound_batches(docs.sparkSession)
+    schema = T.StructType([T.StructField(f"c{k}", f.dataType, True) for k, f in enumerate(docs.schema.fields)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE_ROWS):
+                yield change(batch.slice(k, SLICE_ROWS))
+
+    return docs.toDF(*schema.names).mapInArrow(run, schema).toDF(*docs.columns)
+
+
 def utf8(text: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(text), F.lit(""))
@@ -107,9 +136,6 @@ def written(df: DataFrame) -> DataFrame:
     Smaller on disk than a checkpoint of wide rows; recovers from lost executors in the same way.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        cut(spark.range(0))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark.sparkContext)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, fresh, table
+from tessera.llm.common import bound_batches, mapped_rows, table
 
 KINDS = ("email", "ip", "card", "phone")
 _RANK = {k: i for i, k in enumerate(KINDS)}
@@ -399,19 +399,19 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 def redact_personal_data(docs: DataFrame) -> DataFrame:
     """``docs`` with the spans replaced in ``text`` and ``n_chars``, if there is one, counted anew; null texts stay null."""
-    weights = trained_weights()
-    bound_batches(docs.sparkSession)
-
-    @F.arrow_udf("string")
-    def clean(text: pa.Array) -> pa.Array:
-        return pa.array([t if t is None else redact(t, find_spans(t, weights)[1]) for t in text.to_pylist()], pa.string())
-
-    name = fresh(docs, "redacted")
-    done = docs.withColumn(name, clean(docs["text"]))
-    as_is = {"text": F.col(name).alias("text")}
-    if "n_chars" in docs.columns:
-        as_is["n_chars"] = F.when(docs["text"].isNull(), docs["n_chars"]).otherwise(F.length(F.col(name))).cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return done.select(*[as_is.get(c, done[c]) for c in docs.columns])
+    weights, at = trained_weights(), docs.columns.index("text")
+    counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def clean(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns = batch.columns
+        texts = [t if t is None else redact(t, find_spans(t, weights)[1]) for t in columns[at].to_pylist()]
+        columns[at] = pa.array(texts, columns[at].type)
+        if counted is not None:
+            sizes = [old if t is None else len(t) for t, old in zip(texts, columns[counted].to_pylist())]
+            columns[counted] = pa.array(sizes, columns[counted].type)
+        return pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return mapped_rows(docs, clean)
 
 
 def op3_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ kept bucket that the sample may have in fewer. Only the kept buckets of these ro
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import textbytes as tb
-from tessera.llm.common import bound_batches, fresh, small_side, table
+from tessera.llm.common import bound_batches, mapped_rows, small_side, table
 
 #: Bound of the rows that the machine is fitted on.
 MAX_TRAINING_ROWS = 20_000
@@ -202,33 +202,28 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) ->
     return _fit(slot, [np.asarray(t, np.int64) for t in got["terms"]], got["toxic"].to_numpy(np.float64))
 
 
-def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
-    """A column function text -> score."""
-    bound_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
-
-    @F.arrow_udf("double")
-    def score(text: pa.Array) -> pa.Array:
-        return pa.array(scores(shared.value, text))
-
-    return score
-
-
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of each row; null and empty texts get the model's bias.
 
     Equal texts score alike; a row without a doc_id is not held out; an empty table gives no rows;
     without labelled rows, or with rows of one label, every score is the smoothed share of toxic ones.
     """
-    ids = F.col("doc_id").cast("long")
-    scored = docs.select(ids.alias("doc_id"), F.coalesce(fold(ids) == HELD_OUT_FOLD, F.lit(False)).alias("held_out"), scorer(docs.sparkSession, model)(F.col("text")).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    bound_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(shared.value, batch.column(1)))], names=["doc_id", "score"])
+
+    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    held = F.coalesce(fold(F.col("doc_id")) == HELD_OUT_FOLD, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def reject_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that the model takes for clean, with their columns as they are."""
-    name = fresh(docs, "toxic_score")
-    return docs.withColumn(name, scorer(docs.sparkSession, model)(docs["text"])).filter(F.col(name) < 0.5).select(*docs.columns)
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    return mapped_rows(docs, lambda batch: batch.filter(pa.array(scores(shared.value, batch.column(at)) < 0.5)))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
