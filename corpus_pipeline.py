@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, table
+from tessera.llm.common import shared_folder, table
 from tessera.llm.mixing import mixed_documents
 from tessera.llm.neardup import deduplicate
 from tessera.llm.pii import redact_personal_data
@@ -67,9 +67,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; what each keeps is a table in the shared folder of ``spark.checkpoint.dir``."""
     docs = table(spark, sf_dir, "documents")
-    if spark.sparkContext.getCheckpointDir() is None:
-        cut(spark.range(0))  # names a folder where the cluster has none
-    base = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark.sparkContext)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
