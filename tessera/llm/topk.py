@@ -1,15 +1,16 @@
 """Exact top-k search by inner product: no-random-access aggregation over sorted lists, in blocks.
 
-Every dimension of a block of vectors is a list sorted by component; a query reads it from the end
-that raises its score. After a list has been read to some depth, a vector's contribution there is
-either seen or between the list's last value and the value at the depth (the frontier). Sums of
-these bounds hold for all queries of a block at once: with ``hi`` the frontier read from above,
-
-    upper = Q+ . max(X, hi) + Q- . min(X, lo)
-
-and the lower bound has the list's far end in place of the unseen values. Lists are read deeper, all
-by the same share, until no vector outside a query's k best lower bounds has a better upper bound;
-the vectors that are left are then resolved to their final scores. No list is read at random.
+Every dimension of a block of vectors is a list of (component, vector) sorted by component. A query reads
+the lists of its non-zero components in rounds of ``STEP`` entries each, from the end that raises its score.
+(With a floor for the k-th score the first round reads as far as any vector could be left out.)
+For each vector it keeps a lower bound, what was read of it and the lists' far ends for the rest; the upper
+bound has the frontiers, the last values read, instead. A vector that was not read at all has at most the
+sum of the frontiers. Once that is below the k-th best lower bound, only vectors that were read can win, and
+those whose upper bound is below it fall away; a query stops when few are left, and these are resolved to
+their final scores. No list is read at random.
+
+Each query first searches one block. Its k-th score there is a floor for the k-th score of all, with which
+the searches of the other blocks begin.
 """
 
 from __future__ import annotations
@@ -19,72 +20,111 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import cut, table
 
 TOP, SCALE, QUERY_EVERY = 20, 64, 20
 #: Vectors and queries in a block.
 BLOCK, QUERY_BLOCK = 4096, 1024
-#: Shares of the lists that the rounds read.
-DEPTHS = (0.25, 0.5, 0.75)
+#: Share of a list that a round reads.
+STEP = 1 / 16
 _EXACT = float(1 << 53)
 _LONG = (1 << 63) - 1
 
 
-def nra_top(queries: np.ndarray, vectors: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, depths=DEPTHS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query index, vector index and score of each query's ``k`` best vectors (all, if fewer).
+class Lists:
+    """The sorted lists of a block of vectors, which come ordered by id; counts the entries that queries read."""
+
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray):
+        self.vectors, self.ids, self.read = vectors, ids, 0
+        columns = np.ascontiguousarray(vectors.T)
+        order = np.argsort(columns, axis=1, kind="stable")
+        values = np.take_along_axis(columns, order, axis=1)
+        #: Vectors and components from the lower and from the upper end.
+        self.ends = ((order, values), (np.ascontiguousarray(order[:, ::-1]), np.ascontiguousarray(values[:, ::-1])))
+
+    def _entries(self, q: np.ndarray, sides: tuple[np.ndarray, np.ndarray], begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What comes next in the lists: vectors, dimensions, gains."""
+        found = [(order[dims, begin:end], dims, values[dims, begin:end] * q[dims, None]) for (order, values), dims in zip(self.ends, sides)]
+        return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
+
+    def survivors(self, q: np.ndarray, own: int, k: int, floor: float) -> np.ndarray:
+        """Indices of the vectors that may be among the ``k`` best of a query with scores of ``floor`` at least."""
+        n, allowed = len(self.ids), self.ids != own
+        sides = (np.flatnonzero(q < 0), np.flatnonzero(q > 0))
+        dims = np.concatenate(sides)
+        if not len(dims) or not n:
+            return np.flatnonzero(allowed)
+        step = max(1, int(n * STEP))
+        depths = [*range(step, n, step), n]
+        frontiers = np.concatenate([self.ends[s][1][sides[s]][:, [d - 1 for d in depths]] for s in (0, 1)]) * q[dims, None]
+        far = frontiers[:, -1]
+        # a floor tells up to where no vector can be left out
+        at = int(np.argmax(frontiers.sum(axis=0) < floor))
+        lower, left, begin = np.full(n, far.sum()), None, 0
+        unseen = np.ones((n, len(q)))
+        for frontier, end in zip(frontiers.T[at:], depths[at:]):
+            entries, rows, gains = self._entries(q, sides, begin, end)
+            lower += np.bincount(entries.ravel(), (gains - far[:, None]).ravel(), n)
+            unseen[entries, rows[:, None]] = 0.0
+            self.read += entries.size
+            begin = end
+            best = lower[allowed]
+            kth = max(floor, np.partition(best, len(best) - k)[len(best) - k]) if len(best) >= k else floor
+            # on a tie with the k-th score a smaller id could still win
+            if frontier.sum() >= kth:
+                continue
+            left = np.flatnonzero(allowed) if left is None else left
+            slack = np.zeros(len(q))
+            slack[dims] = frontier - far
+            left = left[lower[left] + unseen[left] @ slack >= kth]
+            if len(left) <= 2 * k:
+                break
+        return np.flatnonzero(allowed) if left is None else left
+
 
-    Both matrices hold integers; ``own`` has the queries' ids, whose vectors don't count; ties go to the
-    smaller id. Scores beyond 2**53 are summed as Python integers; what a long can't hold is given as the nearest long.
+def nra_top(queries: np.ndarray, vectors: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, floors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Query index, vector index and score of each query's ``k`` best vectors (all, if fewer), and the share of
+    the lists' entries that was read.
+
+    Both matrices hold whole numbers; ``own`` has the queries' ids, whose vectors don't count; ties go to the
+    smaller id; vectors below a query's floor may be left out. Scores that could pass 2**53 are summed as Python
+    integers for all vectors, as bounds of floats would not be exact; what a long can't hold is given as the nearest long.
     """
     n, d = vectors.shape
     top = max(float(np.abs(queries).max(initial=0)), float(np.abs(vectors).max(initial=0)))
     exact = top * top * max(d, 1) < _EXACT
-    order = np.argsort(ids, kind="stable")
-    vectors, ids_sorted = vectors[order], ids[order]
-    x = vectors.astype(np.float64) if exact else vectors.astype(object)
-    q = queries.astype(np.float64) if exact else queries.astype(object)
-    up, down = np.where(queries > 0, q, 0), np.where(queries < 0, q, 0)
-    blocked = own[:, None] == ids_sorted[None, :]
-    live: list[np.ndarray] = [np.arange(n)] * len(q)
-    if exact and n > 4 * k:
-        lists = np.sort(x, axis=0)
-        for depth in depths:
-            at = min(n - 1, int(depth * n))
-            hi, lo = lists[n - 1 - at], lists[at]  # frontiers from above and from below
-            upper = up @ np.maximum(x, hi).T + down @ np.minimum(x, lo).T
-            lower = up @ np.where(x >= hi, x, lists[0]).T + down @ np.where(x <= lo, x, lists[-1]).T
-            lower[blocked], upper[blocked] = -np.inf, -np.inf
-            kth = -np.partition(-lower, k - 1, axis=1)[:, k - 1]
-            # on a tie with the k-th lower bound a smaller id could still win
-            alive = upper >= kth[:, None]
-            if depth == depths[-1] or alive.sum() <= 4 * k * len(q):
-                live = [np.flatnonzero(row) for row in alive]
-                break
+    by_id = np.argsort(ids, kind="stable")
+    ids_sorted = ids[by_id]
+    x = vectors[by_id] if exact else np.vectorize(int, otypes=[object])(vectors[by_id]) if vectors.size else vectors.astype(object)
+    q = queries if exact else np.vectorize(int, otypes=[object])(queries)
+    lists = Lists(x, ids_sorted) if exact else None
     qi, vi, sc = [], [], []
-    whole = sum(len(c) for c in live) > 0.25 * n * max(len(q), 1)
-    final = q @ x.T if whole else None
-    for i, c in enumerate(live):
-        c = c[~blocked[i, c]]
-        s = final[i, c] if whole else x[c] @ q[i]
+    for i in range(len(q)):
+        floor = -np.inf if floors is None or np.isnan(floors[i]) else floors[i]
+        c = lists.survivors(q[i], own[i], k, floor) if lists else np.flatnonzero(ids_sorted != own[i])
+        s = x[c] @ q[i]
         best = np.argsort(-s, kind="stable")[:k]  # candidates ascend by id
         qi += [i] * len(best)
-        vi += order[c[best]].tolist()
+        vi += by_id[c[best]].tolist()
         sc += [max(-_LONG, min(_LONG, int(v))) for v in s[best]]
-    return np.array(qi, np.int64), np.array(vi, np.int64), np.array(sc, np.int64)
+    share = lists.read / max(1, n * d * len(q)) if lists else 1.0
+    return np.array(qi, np.int64), np.array(vi, np.int64), np.array(sc, np.int64), share
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id, v: integer components floor(scale * x); vectors that are null, without an id or hold a null or
-    non-finite component are left out, and so are those beyond the range of a long."""
+    """vec_id, v: whole components floor(scale * x) as doubles; vectors that are null, without an id or hold a
+    null or non-finite component are left out."""
     x = F.col("embedding")
-    good = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < (2.0**62) / scale)
-    return vectors.filter(F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(x, lambda c: F.coalesce(good(c.cast("double")), F.lit(False)))).select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long")).alias("v")
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
+    # from 2**53 on every double is whole
+    whole = lambda y: F.when(F.abs(y) < _EXACT, F.floor(y).cast("double")).otherwise(y)
+    return vectors.filter(F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(x, lambda c: F.coalesce(finite(c.cast("double")), F.lit(False)))).select(
+        F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: whole(c.cast("double") * scale)).alias("v")
     )
 
 
 def _matrix(lists: pd.Series, width: int) -> np.ndarray:
-    out = np.zeros((len(lists), width), np.int64)
+    out = np.zeros((len(lists), width))
     for i, v in enumerate(lists):
         out[i, : len(v)] = v
     return out
@@ -95,29 +135,42 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, scale: int = SCALE
 
     Vectors of unequal length count as padded with zeros; the query's own id is no candidate for it;
     rows that repeat an id are candidates each; a repeated query is asked once; scores that a long can't
-    hold stop at its ends. An empty table gives no rows. Vectors and queries are dealt into blocks; each pair of blocks is one group of bounded size that yields ``k`` rows a query.
+    hold stop at its ends. An empty table gives no rows. Vectors and queries are dealt into blocks; each
+    pair of blocks is one group of bounded size that yields at most ``k`` rows a query.
     """
     rows = quantised(vectors, scale)
-    queries = rows.filter(is_query).dropDuplicates(["vec_id", "v"])
+    queries = rows.filter(is_query).dropDuplicates(["vec_id", "v"]).withColumn("ask_key", F.xxhash64("vec_id", "v"))
     n, m = rows.count(), queries.count()
     cells, asked = max(1, -(-n // BLOCK)), max(1, -(-m // QUERY_BLOCK))
     deal = lambda salt, parts: F.pmod(F.xxhash64(F.lit(salt), "vec_id", "v"), F.lit(parts)).cast("int")
-    held = rows.withColumn("cell", deal("v", cells)).withColumn("ask", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))))
-    posed = queries.withColumn("ask", deal("q", asked)).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+    held = rows.select(F.col("vec_id").alias("id"), F.col("v").alias("x"), deal("v", cells).alias("cell"))
+    posed = queries.withColumn("ask", deal("q", asked))
+    # queries of one block begin in one cell
+    first = lambda ask: F.pmod(ask, F.lit(cells)).cast("int")
 
     def search(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if q.empty or x.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
-        width = max(q["v"].map(len).max(), x["v"].map(len).max())
-        own, ids = q["vec_id"].to_numpy(), x["vec_id"].to_numpy()
-        qi, vi, score = nra_top(_matrix(q["v"], width), _matrix(x["v"], width), own, ids, k)
-        return pd.DataFrame({"query_id": own[qi], "vec_id": ids[vi], "score": score})
-
-    found = (
-        posed.groupBy("cell", "ask")
-        .cogroup(held.groupBy("cell", "ask"))
-        .applyInPandas(search, "query_id long, vec_id long, score long")
-    )
+            return pd.DataFrame({"ask_key": [], "query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
+        width = max(q["v"].map(len).max(), x["x"].map(len).max())
+        own, ids = q["vec_id"].to_numpy(), x["id"].to_numpy()
+        qi, vi, score, _ = nra_top(_matrix(q["v"], width), _matrix(x["x"], width), own, ids, k, q["floor"].to_numpy(np.float64))
+        return pd.DataFrame({"ask_key": q["ask_key"].to_numpy()[qi], "query_id": own[qi], "vec_id": ids[vi], "score": score})
+
+    def searched(asking: DataFrame, dealt: DataFrame) -> DataFrame:
+        return (
+            asking.groupBy("cell", "ask").cogroup(dealt.groupBy("cell", "ask")).applyInPandas(search, "ask_key long, query_id long, vec_id long, score long")
+        )
+
+    asks = F.sequence(F.lit(0), F.lit(asked - 1))
+    start = held.select("*", F.explode(F.filter(asks, lambda a: first(a) == F.col("cell"))).alias("ask"))
+    found = searched(posed.withColumn("cell", first(F.col("ask"))).withColumn("floor", F.lit(None).cast("double")), start)
+    if cells > 1:
+        found = cut(found)
+        floors = found.groupBy("ask_key", "query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("floor")).filter(F.col("n") >= k)
+        bounded = posed.join(floors.select("ask_key", F.col("query_id").alias("vec_id"), "floor"), ["ask_key", "vec_id"], "left")
+        elsewhere = bounded.withColumn("cell", F.explode(F.filter(F.sequence(F.lit(0), F.lit(cells - 1)), lambda c: c != first(F.col("ask")))))
+        rest = held.select("*", F.explode(F.filter(asks, lambda a: first(a) != F.col("cell"))).alias("ask"))
+        found = found.unionByName(searched(elsewhere, rest))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

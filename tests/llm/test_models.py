@@ -281,3 +281,20 @@ def test_top_k_of_small_and_huge_values(spark):
         got = {(r["rank"], r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()}
         big, most = int(64 * x) ** 2, 2**63 - 1  # the second is beyond what the result's type holds
         assert got == {(1, 1, min(most, big + int(64 * x) * 192)), (2, 2, min(most, big)), (3, 3, max(-most, -big))}
+
+
+def test_bounds_stop_early_where_components_are_skewed():
+    r = np.random.Generator(np.random.PCG64(4))
+    ids, own = np.arange(2000), np.array([7, 1999, -1])
+    for scale, least, most in ((np.r_[[1.0] * 2, [0.01] * 14], 0.0, 0.45), (np.ones(16), 0.45, 1.0)):
+        x = np.floor(64 * r.normal(0, 1, (2000, 16)) * scale)
+        q = x[[7, 1999, 3]]
+        full = x @ q.T
+        qi, vi, score, share = topk.nra_top(q, x, own, ids, 20)
+        assert least <= share <= most
+        floors = np.array([np.sort(full[:, i])[-25] for i in range(3)])
+        again = topk.nra_top(q, x, own, ids, 20, floors)
+        assert again[3] <= share and again[1].tolist() == vi.tolist()
+        for i in range(3):
+            want = sorted((-s, j) for j, s in enumerate(full[:, i]) if j != own[i])[:20]
+            assert [(-s, j) for s, j in zip(score[qi == i].tolist(), vi[qi == i].tolist())] == [(s, j) for s, j in want]
