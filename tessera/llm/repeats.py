@@ -3,12 +3,14 @@
 Equal strings of ``LENGTH`` bytes hold the same minimiser, the k-gram of least hash, so a window is
 known by its minimiser's place, and windows with the same minimiser next to each other make a piece.
 Anchors (minimiser k-grams) that occur once in the corpus cannot be in a repeat; pieces that occur
-twice, byte for byte, are repeats as a whole. Only the different pieces of one anchor are left: they
-go to shards by anchor, where suffix arrays are built by induced sorting and permuted common
-prefixes of ``LENGTH`` or more mark the windows that repeat. An anchor with very many different
-pieces is not held in one shard: its windows are grouped by their bytes' hash instead.
-
-K-grams and pieces are compared by 64-bit polynomial hashes each (a piece by both, and its length).
+twice are repeats as a whole. Only the different pieces of one anchor are left: they go to shards by
+anchor, where suffix arrays are built by induced sorting and permuted common prefixes of ``LENGTH`` or
+more mark the windows that repeat. An anchor with more than ``SHARD_PIECES`` different pieces is not held
+in one shard: its windows are grouped by their bytes' hash instead.
+
+Anchors and windows of one anchor are known by 64-bit polynomial hashes each, pieces by their anchor's and
+their own (128 bits); at most 352 bytes long, they are below the lengths at which such hashes have
+systematic clashes. Rows are known by two 64-bit hashes of doc_id and text.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import textbytes as tb
@@ -34,7 +36,6 @@ SHARD_PIECES, SHARD_BYTES = 2048, 1 << 19
 #: Texts that are held as Python objects at a time.
 SLICE = 256
 _U = np.uint64
-_LEAST = -(1 << 63)
 
 
 def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
@@ -80,19 +81,23 @@ def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = pa.array(text + i)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(first, pa.int32()), pa.array(count.astype(np.int16)), pa.array(offset.astype(np.int16)), pa.array(anchor), pa.array(piece)],
-                names=["id", "crc", "first", "windows", "offset", "anchor", "piece"],
+                names=["id", "mark", "first", "windows", "offset", "anchor", "piece"],
             )
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows by doc_id (null as the least long) and the text's CRC; rows that agree in both are copies."""
+    """id, mark, doc_id, text: two 64-bit hashes that stand for a row, one of doc_id and text and one of the text alone.
+
+    Rows that agree in both are copies: the same doc_id (or none) with the same text, which keep the same bytes.
+    """
+    doc_id, text = F.col("doc_id").cast("long"), utf8()
     return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("id"), (F.crc32(utf8().cast("binary")) - (1 << 31)).cast("int").alias("crc"), utf8().alias("text")
+        F.xxhash64(doc_id.isNull(), F.coalesce(doc_id, F.lit(0)), text).alias("id"), F.xxhash64(F.lit("text"), text, F.octet_length(text)).alias("mark"), doc_id.alias("doc_id"), text.alias("text")
     )
 
 
 def _possible(group: list[tuple]) -> Iterator[tuple]:
-    """The stretches of an anchor's pieces that may repeat: id, crc, first window, alone, windows, bytes.
+    """The stretches of an anchor's pieces that may repeat: id, mark, first window, alone, windows, bytes.
 
     Windows whose anchor lies ``q * CLASS`` to ``q * CLASS + CLASS - 1`` bytes after their start have a core in
     common; a window can only repeat if another piece has the same core.
@@ -107,7 +112,7 @@ def _possible(group: list[tuple]) -> Iterator[tuple]:
         cores.append(own)
         for k in own:
             seen[k] = seen.get(k, 0) + 1
-    for (key, crc, first, alone, count, offset, raw), own in zip(group, cores):
+    for (key, mark, first, alone, count, offset, raw), own in zip(group, cores):
         shared = [q for q, core in own if seen[q, core] > 1]
         k = 0
         while k < len(shared):
@@ -115,7 +120,7 @@ def _possible(group: list[tuple]) -> Iterator[tuple]:
             while j + 1 < len(shared) and shared[j + 1] == shared[j] + 1:
                 j += 1
             a, b = max(0, offset - shared[j] * CLASS - CLASS + 1), min(count - 1, offset - shared[k] * CLASS)
-            yield key, crc, first + a, alone, b - a + 1, raw[a : b + LENGTH]
+            yield key, mark, first + a, alone, b - a + 1, raw[a : b + LENGTH]
             k = j + 1
 
 
@@ -126,7 +131,7 @@ def _shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def settle() -> pa.RecordBatch:
-        ids, crcs, firsts, alone, counts, texts = (list(x) for x in zip(*held))
+        ids, marks, firsts, alone, counts, texts = (list(x) for x in zip(*held))
         lengths = np.array([len(t) for t in texts])
         symbols = np.frombuffer(b"\x00".join(texts) + b"\x00", np.uint8).astype(np.int64) + 2
         begin = np.r_[0, np.cumsum(lengths + 1)[:-1]]
@@ -139,10 +144,10 @@ def _shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for k in np.flatnonzero(np.array(alone)):
             hit = np.flatnonzero(np.diff(np.r_[False, repeats[begin[k] : begin[k] + counts[k]], False].astype(np.int8)))
-            out += [(ids[k], crcs[k], firsts[k] + int(a), firsts[k] + int(b) - 1 + LENGTH) for a, b in zip(hit[::2], hit[1::2])]
+            out += [(ids[k], marks[k], firsts[k] + int(a), firsts[k] + int(b) - 1 + LENGTH) for a, b in zip(hit[::2], hit[1::2])]
         cols = list(zip(*out)) if out else [[], [], [], []]
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "crc", "a", "b"])
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "mark", "a", "b"])
 
     for batch in batches:
         for row in zip(*(batch.column(k).to_pylist() for k in range(8))):
@@ -164,63 +169,63 @@ def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the wanted pieces of each text."""
     for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
         out: list[tuple] = []
-        for key, crc, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(4))):
+        for key, mark, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(4))):
             raw = text.encode()
-            out += [(w["anchor"], key, crc, w["first"], w["alone"], w["windows"], w["offset"], raw[w["first"] : w["first"] + w["windows"] + LENGTH - 1]) for w in wanted]
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
+            out += [(w["anchor"], key, mark, w["first"], w["alone"], w["windows"], w["offset"], raw[w["first"] : w["first"] + w["windows"] + LENGTH - 1]) for w in wanted]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
         cols = list(zip(*out)) if out else [[]] * 8
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["anchor", "id", "crc", "first", "alone", "windows", "offset", "bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["anchor", "id", "mark", "first", "alone", "windows", "offset", "bytes"])
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each window of the pieces by the hash of its bytes."""
     for batch in batches:
         for row in range(batch.num_rows):
-            anchor, key, crc, first, alone, count, _, raw = (batch.column(k)[row].as_py() for k in range(8))
+            anchor, key, mark, first, alone, count, _, raw = (batch.column(k)[row].as_py() for k in range(8))
             sums, at = tb.prefix_sums(np.frombuffer(raw, np.uint8)), np.arange(count)
             h = tb.mix(tb.substring_hash(sums, at, at + LENGTH), 64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([anchor] * count), pa.array(h), pa.array([key] * count), pa.array([crc] * count, pa.int32()), pa.array(first + at, pa.int32()), pa.array([alone] * count)],
-                names=["anchor", "window", "id", "crc", "a", "alone"],
+                [pa.array([anchor] * count), pa.array(h), pa.array([key] * count), pa.array([mark] * count, pa.int64()), pa.array(first + at, pa.int32()), pa.array([alone] * count)],
+                names=["anchor", "window", "id", "mark", "a", "alone"],
             )
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """id, crc, a, b: byte ranges (end exclusive) of repeating windows, overlapping and repeated ones too."""
+    """id, mark, a, b: byte ranges (end exclusive) of repeating windows, overlapping and repeated ones too."""
     bound_batches(docs.sparkSession)
-    found = _keyed(docs).filter(F.octet_length("text") >= LENGTH).mapInArrow(_piece_rows, "id long, crc int, first int, windows short, offset short, anchor long, piece long")
+    found = _keyed(docs).filter(F.octet_length("text") >= LENGTH).select("id", "mark", "text").mapInArrow(_piece_rows, "id long, mark long, first int, windows short, offset short, anchor long, piece long")
     # a table of its own, so that the join below deals both sides anew and a hot anchor's rows can be split
     common = written(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
     rows = written(found.join(common, "anchor"))
     kinds = written(
-        rows.groupBy("anchor", "piece").agg(F.count("*").alias("n"), F.min(F.struct("id", "crc", "first", "windows", "offset")).alias("one"))
+        rows.groupBy("anchor", "piece").agg(F.count("*").alias("n"), F.min(F.struct("id", "mark", "first", "windows", "offset")).alias("one"))
     )
     copied = rows.join(kinds.filter("n > 1").select("anchor", "piece"), ["anchor", "piece"]).select(
-        "id", "crc", F.col("first").alias("a"), (F.col("first") + F.col("windows") + (LENGTH - 1)).alias("b")
+        "id", "mark", F.col("first").alias("a"), (F.col("first") + F.col("windows") + (LENGTH - 1)).alias("b")
     )
     # anchors with different pieces, one of which at least is not settled
     mixed = kinds.groupBy("anchor").agg(F.count("*").alias("pieces"), F.min("n").alias("least")).filter("pieces > 1 and least = 1").select("anchor", "pieces")
     wanted = written(
         kinds.join(mixed, "anchor")
-        .groupBy(F.col("one.id").alias("id"), F.col("one.crc").alias("crc"))
+        .groupBy(F.col("one.id").alias("id"), F.col("one.mark").alias("mark"))
         .agg(
             F.collect_list(
                 F.struct("anchor", F.col("one.first").alias("first"), (F.col("n") == 1).alias("alone"), F.col("one.windows").cast("int").alias("windows"), F.col("one.offset").cast("int").alias("offset"), (F.col("pieces") > SHARD_PIECES).alias("hot"))
             ).alias("wanted")
         )
     )
-    keys = small_side(wanted.select("id", "crc"), wanted.count())
-    texts = _keyed(docs).join(keys, ["id", "crc"], "left_semi").dropDuplicates(["id", "crc"]).join(wanted, ["id", "crc"])
-    fetched = lambda hot: texts.select("id", "crc", "text", F.filter("wanted", lambda w: w["hot"] == hot).alias("wanted")).filter(F.size("wanted") > 0).mapInArrow(
-        _fetched, "anchor long, id long, crc int, first int, alone boolean, windows int, offset int, bytes binary"
+    keys = small_side(wanted.select("id", "mark"), wanted.count())
+    texts = _keyed(docs).select("id", "mark", "text").join(keys, ["id", "mark"], "left_semi").dropDuplicates(["id", "mark"]).join(wanted, ["id", "mark"])
+    fetched = lambda hot: texts.select("id", "mark", "text", F.filter("wanted", lambda w: w["hot"] == hot).alias("wanted")).filter(F.size("wanted") > 0).mapInArrow(
+        _fetched, "anchor long, id long, mark long, first int, alone boolean, windows int, offset int, bytes binary"
     )
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sharded = fetched(False).repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_shard_rows, "id long, crc int, a int, b int")
+    sharded = fetched(False).repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_shard_rows, "id long, mark long, a int, b int")
     out = copied.unionByName(sharded)
     if not mixed.filter(F.col("pieces") > SHARD_PIECES).isEmpty():
-        windows = written(fetched(True).mapInArrow(_window_rows, "anchor long, window long, id long, crc int, a int, alone boolean"))
+        windows = written(fetched(True).mapInArrow(_window_rows, "anchor long, window long, id long, mark long, a int, alone boolean"))
         again = windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "window")
-        out = out.unionByName(windows.filter("alone").join(again, ["anchor", "window"]).select("id", "crc", "a", (F.col("a") + LENGTH).alias("b")))
+        out = out.unionByName(windows.filter("alone").join(again, ["anchor", "window"]).select("id", "mark", "a", (F.col("a") + LENGTH).alias("b")))
     return out
 
 
@@ -266,10 +271,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     elsewhere, so both lose what is ``LENGTH`` bytes or longer. An empty table gives no rows. What is
     kept may end inside a character, as the cuts are between bytes.
     """
-    spans = repeated_spans(docs).distinct().groupBy("id", "crc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    rows = _keyed(docs).join(spans, ["id", "crc"], "left")
-    doc_id: Column = F.when(F.col("id") != _LEAST, F.col("id")).alias("doc_id")
-    return rows.select(doc_id, "text", "spans").mapInArrow(_cut_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    spans = repeated_spans(docs).distinct().groupBy("id", "mark").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    rows = _keyed(docs).join(spans, ["id", "mark"], "left")
+    return rows.select("doc_id", "text", "spans").mapInArrow(_cut_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
