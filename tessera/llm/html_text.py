@@ -29,6 +29,8 @@ BLOCKS = frozenset(
 )
 #: Elements whose content is no text of the page.
 SILENT = frozenset("script style noscript template svg math iframe object canvas textarea audio video title noframes map".split())
+#: Those whose content is raw text.
+RAW = frozenset("script style textarea title noframes".split())
 #: Elements that stay open until closed, with what they hold.
 CONTAINERS = frozenset(
     "article aside blockquote body button center dd details dialog div dl dt fieldset figcaption figure footer form header hgroup "
@@ -53,6 +55,7 @@ FEATURES = ("words", "links", "words_before", "links_before", "words_after", "li
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _LOOSE_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*+)>")
 _CLASSES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))", re.I)
+_HREF = re.compile(r"(?:^|\s)href\s*=", re.I)
 _PARTS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -77,7 +80,8 @@ def blocks(html: str | None) -> list[tuple[str, tuple]]:
     stack: list[tuple[str, frozenset[str]]] = []
     parts: list[str] = []
     linked: list[str] = []
-    in_link = heading = item = False
+    in_link = heading = item = in_line = link_in_line = False
+    link_depth = 0
 
     def flush() -> None:
         nonlocal parts, linked
@@ -130,10 +134,12 @@ def blocks(html: str | None) -> list[tuple[str, tuple]]:
             flush() if name in BLOCKS else None
             if not m[3].endswith("/"):
                 end = re.compile(f"</{name}\\b[^>]*>", re.I).search(html, at)
-                at = n if end is None else end.end()
+                # left open, an element of raw text runs to the end of the page; of others the tag alone is skipped
+                at = end.end() if end is not None else n if name in RAW else at
             continue
         if name == "a":
-            in_link = not close
+            in_link = not close and bool(_HREF.search(m[3]))
+            link_depth, link_in_line = len(stack), in_line
         elif name == "br":
             parts.append(" ")
         if name not in BLOCKS:
@@ -141,7 +147,9 @@ def blocks(html: str | None) -> list[tuple[str, tuple]]:
                 continue
             continue
         flush()
-        in_link = False
+        # a link may hold blocks; one that is not closed ends with the paragraph or element that it began in
+        in_link = in_link and not link_in_line
+        in_line = not close and name not in CONTAINERS
         heading = name[0] == "h" and name[1:].isdigit() and not close
         item = name == "li" and not close
         if name in CONTAINERS:
@@ -155,6 +163,7 @@ def blocks(html: str | None) -> list[tuple[str, tuple]]:
                     if stack[k][0] == name:
                         del stack[k:]
                         break
+                in_link = in_link and len(stack) >= link_depth
     flush()
     return out
 
@@ -214,7 +223,7 @@ class Tree:
             at[inner] = np.where(x[inner, feature[k]] <= cut[k], left[k], right[k])
 
 
-def labelled_pages(n: int = 160, seed: int = 9) -> Iterator[tuple[str, list[bool]]]:
+def labelled_pages(n: int = 320, seed: int = 9) -> Iterator[tuple[str, list[bool]]]:
     """The labelled table: made-up pages, and for each flat block whether it is the article's."""
     r = np.random.Generator(np.random.PCG64(seed))
     pick = lambda xs: xs[int(r.integers(len(xs)))]
@@ -280,6 +289,10 @@ def labelled_pages(n: int = 160, seed: int = 9) -> Iterator[tuple[str, list[bool
             li, no = items(k)
             head, foot = pick([("<aside>", "</aside>"), ('<div class="sidebar">', "</div>"), ('<aside class="widget">', "</aside>"), ('<div id="related-posts">', "</div>")])
             add(f"{head}<h3>{text(1, 3, '')}</h3><ul>{li}</ul><p>{text(3, 40)}</p>{foot}", False, *no, False)
+        if chance(0.3):
+            k = int(r.integers(2, 6))
+            head, foot = pick([("<div>", "</div>"), ("", ""), ("<section>", "</section>")])
+            add(head + "".join(f'<a href="/{word()}"><div>{text(2, 16)}</div></a>' for _ in range(k)) + foot, *[False] * k)
         if chance(0.35):
             add(f"<form><p>{text(2, 12)}</p><label>{text(1, 3, '')}</label><button>{word()}</button></form>", False, False, False)
         if chance(0.85):

@@ -247,6 +247,35 @@ def test_odd_pages(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_links_around_blocks_and_left_open():
+    density = lambda h: [round(f[1], 2) for _, f in html_text.blocks(h)]
+    assert density('<a href="/x"><div>read more of this story</div></a><p>plain words here</p>') == [1.0, 0.0]
+    assert density('<div><a href="/x"><h3>Title</h3><p>some text</p></a></div><p>plain</p>') == [1.0, 1.0, 0.0]
+    assert density('<p>see <a href="/x">link<p>next one</p><div>more</div>') == [0.5, 0.0, 0.0]
+    assert density('<div><a href="/x">never closed</div><p>plain words</p>') == [1.0, 0.0]
+    assert density('<p><a name="top">no link at all</p>') == [0.0]
+    for name in ("object", "audio", "video", "map", "svg", "noscript"):
+        assert [t for t, _ in html_text.blocks(f"<p>before</p><{name} data-x=1><p>after</p>")] == ["before", "after"]
+    assert [t for t, _ in html_text.blocks("<p>before</p><script>x<p>after</p>")] == ["before"]
+
+
+def test_pages_without_landmarks():
+    """Truth is the made-up table's, on pages whose tags and names tell nothing, one of them very long."""
+    tree, r = html_text.trained_tree(), random.Random(5)
+    word = lambda: "".join(r.choice("aeinorstlud") for _ in range(r.randrange(2, 9)))
+    words = lambda a, b: " ".join(word() for _ in range(r.randrange(a, b)))
+    right = total = 0
+    for k in range(60):
+        body = [f"{words(25, 120)}." for _ in range(r.randrange(3, 9) if k else 4000)]
+        menu = "".join(f'<a href="/{i}"><div>{words(1, 4)}</div></a>' for i in range(r.randrange(3, 8)))
+        links = "".join(f'<li><a href="/{i}">{words(1, 4)}</a></li>' for i in range(r.randrange(3, 8)))
+        page = f"<html><body><div>{menu}</div><div><div>{''.join(f'<p>{b}</p>' for b in body)}</div></div><div><ul>{links}</ul></div></body></html>"
+        got = html_text.main_text(page, tree).split("\n")
+        right += len(set(got) & set(body)) - len(set(got) - set(body))
+        total += len(body)
+    assert right / total > 0.95
+
+
 # --- top k ------------------------------------------------------------------------------------------
 
 
