@@ -2,20 +2,41 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Run once and keep the rows in the checkpoint folder of the session (a temporary one only where none is set)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(sc: SparkContext) -> str:
+    """The session's checkpoint folder: the one of ``spark.checkpoint.dir``, and a temporary one only where that is unset
+    and the master is local; a cluster must name one that its executors share."""
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Run once and keep the rows in the shared folder."""
+    shared_folder(df.sparkSession.sparkContext)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Run once into a Parquet table in the shared folder: later steps read the columns that they need, and none of
+    their filters or joins evaluates ``df`` again."""
+    spark = df.sparkSession
+    path = os.path.join(shared_folder(spark.sparkContext), f"table-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def graph_merge(triples: DataFrame, *graphs: str) -> DataFrame:
     """The default graph made of several named ones: a set of (s, p, o)."""
     return triples.filter(F.col("g").isin(*graphs)).drop("g").distinct()
@@ -43,7 +64,7 @@ def closure(edges: DataFrame, source: str = "src", target: str = "dst", reflexiv
         longer = fresh.select("src", F.col("dst").alias("_m")).join(known.select(F.col("src").alias("_m"), "dst"), "_m").select("src", "dst")
         longer = longer.unionByName(known.select("src", F.col("dst").alias("_m")).join(fresh.select(F.col("src").alias("_m"), "dst"), "_m").select("src", "dst"))
         fresh = cut(longer.distinct().join(known, ["src", "dst"], "left_anti"))
-        known = cut(known.unionByName(fresh))
+        known = known.unionByName(fresh)  # tables that are kept, one for each doubling
     if reflexive:
         all_nodes = nodes.select(F.col(nodes.columns[0]).alias("n")) if nodes is not None else edges.select(F.col(source).alias("n")).unionByName(edges.select(F.col(target).alias("n")))
         known = known.unionByName(all_nodes.distinct().select(F.col("n").alias("src"), F.col("n").alias("dst"))).distinct()

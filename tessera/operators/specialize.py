@@ -9,19 +9,30 @@ text. An edge to a node that is also reached through another child is left out a
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import cut, transitive_reduction
+from tessera.operators.graph import cut, stored, transitive_reduction
 from tessera.operators.templates import simplify
 
 
-def children(level: DataFrame, min_instances: int, min_executions: int) -> DataFrame:
+@dataclass(frozen=True)
+class Forest:
+    """``nodes``: keys, template, node, depth, num_instances, num_exec, n_params, and t_first, t_last, sum_log2_exec;
+    ``edges``: keys, parent, node; ``members``: the instances of every node with their reduced bindings."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    members: DataFrame
+
+
+def children(level: DataFrame, min_instances: int, min_executions: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """Instances of the candidate nodes below a level: parent, branch, and the instance's columns.
 
-    ``level`` has node, instance, num_exec, pieces, template and bindings (reduced to the node's parameters).
+    ``level`` has keys, node, instance, num_exec, pieces, template and bindings (reduced to the node's parameters).
     """
     values = level.select("*", F.posexplode("bindings").alias("_p", "_v")).withColumn("branch", F.concat_ws("=", F.col("_p").cast("string"), "_v")).drop("_v", "_p")
     n = F.size("bindings")
@@ -35,44 +46,57 @@ def children(level: DataFrame, min_instances: int, min_executions: int) -> DataF
         lambda p: F.element_at("bindings", p["i"] + 1) == F.element_at("bindings", p["j"] + 1),
     )
     equal = level.filter(n > 1).select("*", F.explode(pairs).alias("_q")).withColumn("branch", F.concat_ws("~", F.col("_q.i").cast("string"), F.col("_q.j").cast("string"))).drop("_q")
-    both = values.unionByName(equal)
-    big = both.groupBy("node", "branch").agg(F.count("*").alias("_n"), F.sum("num_exec").alias("_e")).filter((F.col("_n") >= min_instances) & (F.col("_e") >= min_executions))
-    return both.join(big.select("node", "branch"), ["node", "branch"]).withColumnRenamed("node", "parent")
+    both, of = values.unionByName(equal), [*keys, "node", "branch"]
+    big = both.groupBy(*of).agg(F.count("*").alias("_n"), F.sum("num_exec").alias("_e")).filter((F.col("_n") >= min_instances) & (F.col("_e") >= min_executions))
+    return both.join(big.select(*of), of).withColumnRenamed("node", "parent")
 
 
-def specialization_forest(instances: DataFrame, min_instances: int = 2, min_executions: int = 1, max_levels: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Nodes (template, node, depth, num_instances, num_exec, n_params) and edges (parent, node).
+def grow_forest(instances: DataFrame, min_instances: int = 2, min_executions: int = 1, max_levels: int | None = None, keys: tuple[str, ...] = ()) -> Forest:
+    """The forest of each combination of ``keys`` (dataset, cluster), all of them in one job.
 
     ``instances`` as :func:`tessera.operators.templates.generalize` makes them, with num_exec. Roots are
     the simplified templates. Nodes may have several parents. Growth is exponential in the number of
     parameters and held by the thresholds; it ends as each level has fewer parameters than the one
     above. With ``max_levels`` it ends there at the latest.
     """
-    columns = ["template", "instance", "num_exec", "pieces", "bindings"]
-    base = instances.select(*columns)
-    rooted = simplify(base).select("template", F.col("text").alias("node"), "instance", "num_exec", "pieces", "n_params", F.col("bindings").alias("reduced"))
-    original = base.select("template", "instance", F.col("bindings").alias("all_bindings")).dropDuplicates(["template", "instance"])
-    level = cut(rooted.select("template", "node", "instance", "num_exec", "pieces", "n_params", F.col("reduced").alias("bindings")))
-    stats = lambda rows, depth: rows.groupBy("template", "node").agg(
-        F.lit(depth).alias("depth"), F.count("*").alias("num_instances"), F.sum("num_exec").alias("num_exec"), F.max("n_params").alias("n_params")
+    of, known = [*keys, "template"], [*keys, "template", "node"]
+    carried = ["instance", "num_exec", "pieces", *[c for c in ("id", "t_first", "t_last") if c in instances.columns]]
+    columns = [*known, *carried, "n_params", "bindings"]
+    base = instances.select(*of, *carried, "bindings")
+    original = base.select(*of, "instance", F.col("bindings").alias("all_bindings")).dropDuplicates([*of, "instance"])
+    level = stored(simplify(base, keys).withColumnRenamed("text", "node").select(*columns))
+    times = [f(c).alias(c) for c, f in (("t_first", F.min), ("t_last", F.max)) if c in carried]
+    logs = F.sum(F.when(F.col("num_exec") > 0, F.log2("num_exec"))).alias("sum_log2_exec")
+    stats = lambda rows, depth: rows.groupBy(*known).agg(
+        F.lit(depth).alias("depth"), F.count("*").alias("num_instances"), F.sum("num_exec").alias("num_exec"), F.max("n_params").alias("n_params"), *times, logs
     )
-    nodes, edges = stats(level, 0), None
+    nodes, edges, members = cut(stats(level, 0)), None, level
     for depth in count(1) if max_levels is None else range(1, max_levels + 1):
-        grown = children(level.filter(F.size("bindings") > 0), min_instances, min_executions)
+        grown = children(level.filter(F.size("bindings") > 0), min_instances, min_executions, keys)
         # a candidate is simplified over all positions of the template it comes from
-        full = grown.drop("bindings", "n_params").join(original, ["template", "instance"]).withColumnRenamed("all_bindings", "bindings")
-        named = simplify(full, ("parent", "branch")).select("template", "parent", F.col("text").alias("node"), "branch", "instance", "num_exec", "pieces", "n_params", "bindings")
-        named = cut(named.filter("parent <> node"))
+        full = grown.drop("bindings", "n_params").join(original, [*of, "instance"]).withColumnRenamed("all_bindings", "bindings")
+        named = simplify(full, (*keys, "parent", "branch")).withColumnRenamed("text", "node")
+        named = stored(named.filter("parent <> node").select("parent", "branch", *columns))
         if named.isEmpty():
             break
-        found = named.select("parent", "node").distinct()
+        found = named.select(*keys, "parent", "node").distinct()
         edges = found if edges is None else edges.unionByName(found)
         # a text stands for the same instances however it was reached
-        one = named.groupBy("template", "node").agg(F.min(F.struct("parent", "branch")).alias("_one"))
-        level = named.join(one, ["template", "node"]).filter((F.col("parent") == F.col("_one.parent")) & (F.col("branch") == F.col("_one.branch")))
-        level = level.select("template", "node", "instance", "num_exec", "pieces", "n_params", "bindings")
-        level = cut(level.join(nodes.select("template", "node"), ["template", "node"], "left_anti"))
-        nodes = cut(nodes.unionByName(stats(level, depth)))
+        one = named.groupBy(*known).agg(F.min(F.struct("parent", "branch")).alias("_one"))
+        level = named.join(one, known).filter((F.col("parent") == F.col("_one.parent")) & (F.col("branch") == F.col("_one.branch"))).select(*columns)
+        level = stored(level.join(nodes.select(*known), known, "left_anti"))
+        members = members.unionByName(level)
+        nodes = nodes.unionByName(cut(stats(level, depth)))
     if edges is None:
-        edges = nodes.select(F.col("node").alias("parent"), "node").limit(0)
-    return nodes, transitive_reduction(edges.distinct(), "parent", "node")
+        edges = nodes.select(*keys, F.col("node").alias("parent"), "node").limit(0)
+    ends = edges.distinct().select(*[F.struct(*keys, F.col(c).alias("text")).alias(c) for c in ("parent", "node")])
+    reduced = transitive_reduction(ends, "parent", "node").select(*[f"parent.{k}" for k in keys], F.col("parent.text").alias("parent"), F.col("node.text").alias("node"))
+    return Forest(nodes, reduced, members)
+
+
+def specialization_forest(
+    instances: DataFrame, min_instances: int = 2, min_executions: int = 1, max_levels: int | None = None, keys: tuple[str, ...] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of :func:`grow_forest`."""
+    forest = grow_forest(instances, min_instances, min_executions, max_levels, keys)
+    return forest.nodes, forest.edges

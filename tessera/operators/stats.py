@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import entropy, information_gain, query_type
+from tessera.operators.graph import stored
 
 
 def _usage(grouped, *more):
@@ -136,5 +137,12 @@ def with_total(stats: DataFrame, total: DataFrame) -> DataFrame:
 
 
 def numbered(stats: DataFrame, order) -> DataFrame:
-    """Rank by ``order``, from 1; ranks need one order of all templates (few, never instances)."""
-    return stats.withColumn("query_id", F.row_number().over(Window.orderBy(*order)))
+    """Rank by ``order``, from 1, as ``query_id``: a range shuffle sorts the rows, each partition numbers its own, and
+    what the partitions before it hold is added (one row per partition)."""
+    spark = stats.sparkSession
+    at = F.monotonically_increasing_id()
+    ranged = stored(stats.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.shiftright(at, 33).alias("_part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")))
+    sizes = {r["_part"]: r["n"] for r in ranged.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    before = [(part, sum(n for p, n in sizes.items() if p < part)) for part in sorted(sizes)]
+    offsets = spark.createDataFrame(before, "_part long, _before long")
+    return ranged.join(F.broadcast(offsets), "_part").withColumn("query_id", F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")

@@ -92,6 +92,16 @@ def simplified_text(pieces: Column, shape: Column) -> Column:
     return F.concat(F.element_at(pieces, 1), F.array_join(tail, ""))
 
 
+def simplified_templates(instances: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, template, text, n_params: the simplified text of each template, made once and not for each instance."""
+    of_template = [*keys, "template"]
+    shapes = _shape(simplified_positions(instances, keys), of_template)
+    heads = instances.groupBy(*of_template).agg(F.first("pieces").alias("pieces"))
+    joined = heads.join(shapes, of_template, "left").withColumn("shape", F.coalesce("shape", F.array().cast(shapes.schema["shape"].dataType)))
+    kept = F.filter("shape", lambda s: s["constant"].isNull() & (s["first"] == s["pos"]))
+    return joined.select(*of_template, simplified_text(F.col("pieces"), F.col("shape")).alias("text"), F.size(kept).alias("n_params"))
+
+
 def simplify(instances: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """The instances with ``text`` (of the simplified template), ``parameters`` (their number) and reduced ``bindings``.
 

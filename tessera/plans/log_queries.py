@@ -34,10 +34,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _instances(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+def _generalized(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
     return templates.generalize(query_usage(executions(spark, sf_dir), *keys), TokenOptions(), keys)
 
 
+def _instances(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+    """Each distinct text is cut into tokens once, whatever is done with the instances."""
+    return graph.stored(_generalized(spark, sf_dir, *keys))
+
+
 # --- oracles' common parts ---------------------------------------------------------------------
 
 _CONST = r"""<[^<>]*>|"[^"]*"@en|ex:[a-z0-9]+|[0-9]+"""
@@ -60,9 +65,8 @@ _EXEC_TEMPLATE = "et AS (SELECT l.exec_id, l.ts, l.host, l.id, i.template FROM l
 
 def _executions_of_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """exec_id, ts, host, id, template."""
-    log = executions(spark, sf_dir)
-    inst = templates.generalize(query_usage(log)).select("id", "template")
-    return log.select("exec_id", "ts", "host", "id").join(inst, "id")
+    inst = graph.stored(templates.generalize(query_usage(executions(spark, sf_dir))).select("id", "template"))
+    return executions(spark, sf_dir).select("exec_id", "ts", "host", "id").join(inst, "id")
 
 
 def _entropy_sql(x: str) -> str:
@@ -214,8 +218,9 @@ def exec_fifo_pairing(spark, sf_dir):
 )
 def route_detour(spark, sf_dir):
     hit, rest = ingest.route(_table(spark, sf_dir, "events"), F.col("value") > 50)
-    a = hit.agg(F.count("*").alias("detoured"), F.round(F.coalesce(F.sum("value"), F.lit(0.0)), 4).alias("detoured_sum"))
-    return a.crossJoin(rest.agg(F.count("*").alias("passed"))).select("detoured", "passed", "detoured_sum")
+    both = hit.select(F.lit(1).alias("hit"), "value").unionByName(rest.select(F.lit(0).alias("hit"), "value"))
+    hits = F.when(F.col("hit") == 1, F.col("value"))
+    return both.agg(F.sum("hit").alias("detoured"), F.sum(1 - F.col("hit")).alias("passed"), F.round(F.coalesce(F.sum(hits), F.lit(0.0)), 4).alias("detoured_sum"))
 
 
 @query(
@@ -259,7 +264,7 @@ def term_casts(spark, sf_dir):
 
 @query(f"{_WITH_INST} SELECT id, template, n_terms, array_to_string(bindings, '|') AS bindings FROM inst")
 def template_instances(spark, sf_dir):
-    return _instances(spark, sf_dir).select("id", "template", F.col("n_terms").cast("long").alias("n_terms"), F.array_join("bindings", "|").alias("bindings"))
+    return _generalized(spark, sf_dir).select("id", "template", F.col("n_terms").cast("long").alias("n_terms"), F.array_join("bindings", "|").alias("bindings"))
 
 
 @query(f"{_WITH_INST} SELECT template, count(*) AS num_instances, CAST(sum(num_exec) AS BIGINT) AS num_exec FROM inst GROUP BY template")
@@ -272,25 +277,25 @@ def template_group(spark, sf_dir):
     "round(sum(log2(num_exec)), 6) AS sum_log2_exec, CAST(max(n_terms) AS INTEGER) AS n_terms FROM inst GROUP BY template"
 )
 def template_rollup(spark, sf_dir):
-    return _rounded(templates.roll_up(_instances(spark, sf_dir)), "sum_log2_exec")
+    return _rounded(templates.roll_up(_generalized(spark, sf_dir)), "sum_log2_exec")
 
 
 @query(
     f"{_WITH_INST} SELECT template, count(*) AS num_instances, CAST(sum(num_exec) AS BIGINT) AS num_exec FROM inst GROUP BY template HAVING count(*) >= 100 AND sum(num_exec) >= 150"
 )
 def template_threshold(spark, sf_dir):
-    return templates.above_thresholds(templates.roll_up(_instances(spark, sf_dir)), 100, 150).select("template", "num_instances", "num_exec")
+    return templates.above_thresholds(templates.roll_up(_generalized(spark, sf_dir)), 100, 150).select("template", "num_instances", "num_exec")
 
 
 @query(
-    f"""{_LOG}, usage AS (SELECT id, text, count(*) AS num_exec, min(ts) AS t_first, max(ts) AS t_last FROM (SELECT *  REPLACE (text || ' #' || md5(id) AS text) FROM log WHERE dataset = 'ds0' AND host = 'h1') x GROUP BY id, text)
-SELECT id, num_exec FROM usage WHERE num_exec >= 1"""
+    f"""{_LOG}, usage AS (SELECT dataset, id, text, count(*) AS num_exec, min(ts) AS t_first, max(ts) AS t_last FROM (SELECT *  REPLACE (text || ' #' || md5(id) AS text) FROM log) x GROUP BY dataset, id, text)
+SELECT dataset, id, num_exec FROM usage WHERE num_exec >= 1"""
 )
 def simple_queries(spark, sf_dir):
     # a comment of its own makes each text a template of its own
-    log = executions(spark, sf_dir).filter("dataset = 'ds0' and host = 'h1'")
-    usage = query_usage(log.withColumn("text", F.concat("text", F.lit(" #"), F.md5(F.col("id").cast("binary")))))
-    return templates.simple_queries(templates.generalize(usage), 2, 1, 1)
+    log = executions(spark, sf_dir)
+    usage = query_usage(log.withColumn("text", F.concat("text", F.lit(" #"), F.md5(F.col("id").cast("binary")))), "dataset")
+    return templates.simple_queries(templates.generalize(usage, keys=("dataset",)), 2, 1, 1, ("dataset",))
 
 
 @query(
@@ -328,8 +333,8 @@ SELECT h.template, array_to_string(list_transform(range(1, len(pieces) + 1), lam
 FROM heads h JOIN shapes s ON h.template = s.template"""
 )
 def template_simplified_text(spark, sf_dir):
-    done = templates.simplify(_instances(spark, sf_dir))
-    return done.groupBy("template", "text", "n_params").agg(F.count("*").alias("num_instances"))
+    inst = _instances(spark, sf_dir)
+    return templates.simplified_templates(inst).join(inst.groupBy("template").agg(F.count("*").alias("num_instances")), "template")
 
 
 @query(f"{_WITH_INST} SELECT template, CAST(u.i AS INTEGER) AS pos, bindings[u.i + 1] AS value, count(*) AS num FROM inst, unnest(range(0, len(bindings))) AS u(i) GROUP BY 1, 2, 3")
@@ -397,7 +402,14 @@ FROM et a JOIN et b ON a.host = b.host AND b.exec_id > a.exec_id AND b.id > a.id
   AND b.ts - a.ts BETWEEN INTERVAL '-1 hour' AND INTERVAL '1 hour'"""
 )
 def co_occurrence(spark, sf_dir):
-    return stats.co_occurrences(_executions_of_templates(spark, sf_dir))
+    # the join carries and compares numbers; texts come in at the end
+    inst = graph.stored(_generalized(spark, sf_dir).select("id", "template", F.xxhash64("template").alias("template_id")))
+    log = executions(spark, sf_dir).select("exec_id", "ts", "host", "id").join(inst.select("id", F.col("template_id").alias("template")), "id")
+    found = stats.co_occurrences(log)
+    names = inst.groupBy("template_id").agg(F.first("template").alias("text"))
+    for c in ("template1", "template2"):
+        found = found.join(names.withColumnRenamed("template_id", c), c).drop(c).withColumnRenamed("text", c)
+    return found
 
 
 # --- reports -------------------------------------------------------------------------------------
@@ -514,10 +526,11 @@ def report_latex(spark, sf_dir):
 
 
 def _links(spark, sf_dir) -> DataFrame:
-    return _table(spark, sf_dir, "part").select((F.col("p_partkey") % 60).alias("src"), (F.col("p_size") % 60).cast("long").alias("dst")).filter("src % 5 = 0").distinct()
+    """Each part points at the part whose key is its size: a graph with cycles."""
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("src"), F.col("p_size").cast("long").alias("dst")).distinct()
 
 
-_LINKS = "links AS (SELECT DISTINCT p_partkey % 60 AS src, CAST(p_size % 60 AS BIGINT) AS dst FROM part WHERE (p_partkey % 60) % 5 = 0)"
+_LINKS = "links AS (SELECT DISTINCT CAST(p_partkey AS BIGINT) AS src, CAST(p_size AS BIGINT) AS dst FROM part)"
 
 
 @query(f"WITH RECURSIVE {_LINKS}, c AS (SELECT src, dst FROM links UNION SELECT c.src, l.dst FROM c JOIN links l ON c.dst = l.src) SELECT src, dst FROM c")

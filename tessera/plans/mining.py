@@ -7,9 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.columns import rebase_term
 from tessera.operators import lattice, templates
-from tessera.operators.specialize import specialization_forest
-from tessera.operators.tokenizer import TokenOptions
+from tessera.operators.graph import stored
+from tessera.operators.specialize import Forest, grow_forest
+from tessera.operators.tokenizer import TokenOptions, prologue_prefixes
 
 
 @dataclass(frozen=True)
@@ -36,23 +38,34 @@ class MiningOptions:
 @dataclass(frozen=True)
 class Mined:
     """``templates``: one row each; ``instances``: with reduced bindings; ``simple``: ids of queries without a
-    template of their own kept, or None; ``nodes`` and ``edges`` of the specialization forest, or None."""
+    template of their own kept, or None; ``forest`` of specializations, or None; ``keys``: what templates are told apart by."""
 
     templates: DataFrame
     instances: DataFrame
     simple: DataFrame | None
-    nodes: DataFrame | None
-    edges: DataFrame | None
+    forest: Forest | None
+    keys: tuple[str, ...] = ()
+
+    @property
+    def nodes(self) -> DataFrame | None:
+        return self.forest and self.forest.nodes
+
+    @property
+    def edges(self) -> DataFrame | None:
+        return self.forest and self.forest.edges
 
 
 def mine_templates(usage: DataFrame, options: MiningOptions = MiningOptions(), keys: tuple[str, ...] = ("dataset",)) -> Mined:
-    """Queries (id, text, num_exec, t_first, t_last and ``keys``) to templates, all keys in one job."""
-    inst = templates.generalize(usage, options.tokens, keys)
+    """Queries (id, text, num_exec, t_first, t_last and ``keys``) to templates, all keys in one job.
+
+    Each text is cut into tokens once, into a table of instances that all later steps read.
+    """
+    inst = stored(templates.generalize(usage, options.tokens, keys))
     of = [*keys, "template"]
     rolled = templates.above_thresholds(templates.roll_up(inst, keys), options.min_instances, options.min_executions)
-    kept = inst.join(rolled.select(*of), of, "left_semi")
-    done = templates.simplify(kept, keys)
-    texts = done.groupBy(*of).agg(F.first("text").alias("body"), F.max("n_params").alias("n_params"))
+    below = options.min_instances > 1 or options.min_executions > 0
+    kept = inst.join(rolled.select(*of), of, "left_semi") if below else inst
+    texts = templates.simplified_templates(kept, keys).withColumnRenamed("text", "body")
     preambles = templates.merged_preambles(kept, "id", keys)
     out = rolled.join(texts, of).join(preambles, of)
     prologue = templates.prologue_text(F.col("base"), F.col("prefixes"))
@@ -60,15 +73,16 @@ def mine_templates(usage: DataFrame, options: MiningOptions = MiningOptions(), k
     simple = None
     if options.include_simple_queries:
         simple = templates.simple_queries(inst, options.min_instances, options.min_executions, options.min_executions_for_simple_queries, keys)
-    nodes = edges = None
+    forest = None
     if options.generalization_tree:
-        nodes, edges = specialization_forest(
+        forest = grow_forest(
             kept,
             options.min_instances_in_subclass or max(options.min_instances, 1),
             options.min_executions_in_subclass or max(options.min_executions, 1),
             options.max_levels,
+            keys,
         )
-    return Mined(out, done, simple, nodes, edges)
+    return Mined(out, templates.simplify(kept, keys), simple, forest, keys)
 
 
 def mine_by_cluster(rows: DataFrame, options: MiningOptions = MiningOptions(), start_from: int = 0) -> Mined:
@@ -91,52 +105,102 @@ def generalize_and_aggregate(usage: DataFrame, options: MiningOptions = MiningOp
     return kept, edges, roots
 
 
-def forest_triples(mined: Mined, dataset_iri: str) -> DataFrame:
-    """s, p, o_kind, o_value: the templates, their instances and bindings as statements, and of a mined forest the
-    specializations, each of its parents. A forest is known by its template alone, so it needs templates without keys."""
-    base = "http://sparql-clustering.org/"
-    t = mined.templates.withColumn("s", F.concat(F.lit(base + "templates/"), F.hex("template_id")))
-    fact = lambda df, s, p, kind, o: df.select(s.alias("s"), F.lit(p).alias("p"), F.lit(kind).alias("o_kind"), o.cast("string").alias("o_value"))
-    lsqv, rdf, dct = "http://lsq.aksw.org/vocab#", "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://purl.org/dc/terms/"
-    prvt, prv = "http://purl.org/net/provenance/types#", "http://purl.org/net/provenance/ns#"
-    of = [c for c in mined.instances.columns if c in mined.templates.columns and c in ("dataset", "groupId", "template")]
-    i = mined.instances.select(*of, "id", "instance", "bindings").join(t.select(*of, F.col("s").alias("_t")), of)
-    i = i.withColumn("s", F.concat(F.lit(base + "instances/"), F.hex("instance")))
-    b = i.select("s", F.posexplode("bindings").alias("pos", "value")).withColumn("_b", F.concat_ws("_", "s", F.col("pos").cast("string")))
-    facts = (
-        fact(t, F.col("s"), rdf + "type", "iri", F.lit(prvt + "QueryTemplate"))
-        .unionByName(fact(t, F.col("s"), lsqv + "text", "literal", F.col("text")))
-        .unionByName(fact(t, F.col("s"), dct + "isPartOf", "iri", F.lit(dataset_iri)))
-        .unionByName(fact(t, F.col("s"), lsqv + "numOfExecutions", "literal", F.col("num_exec")))
-        .unionByName(fact(i, F.col("s"), rdf + "type", "iri", F.lit(prvt + "DataCreation")))
-        .unionByName(fact(i, F.col("s"), prv + "usedGuideline", "iri", F.col("_t")))
-        .unionByName(fact(b, F.col("s"), prv + "usedData", "iri", F.col("_b")))
-        .unionByName(fact(b, F.col("_b"), lsqv + "text", "literal", F.col("value")))
-    )
-    if mined.nodes is None:
-        return facts
-    if of != ["template"]:
-        raise ValueError("the specializations of templates with keys are not told apart by key")
-    # a root is the template itself; texts of different templates differ in their pieces
-    n = mined.nodes.join(t.select("template", "base", "prefixes", F.col("s").alias("_t")), "template")
-    n = n.withColumn("s", F.when(F.col("depth") == 0, F.col("_t")).otherwise(F.concat(F.lit(base + "templates/"), F.hex(F.xxhash64("template", "node")))))
-    below = n.filter("depth > 0")
-    up = mined.edges.join(n.select(F.col("node").alias("parent"), F.col("s").alias("_up")), "parent").join(n.select("node", "s"), "node")
-    return (
-        facts.unionByName(fact(below, F.col("s"), rdf + "type", "iri", F.lit(prvt + "QueryTemplate")))
-        .unionByName(fact(below, F.col("s"), lsqv + "text", "literal", F.concat(templates.prologue_text(F.col("base"), F.col("prefixes")), F.lit("\n"), F.col("node"))))
-        .unionByName(fact(below, F.col("s"), lsqv + "numOfExecutions", "literal", F.col("num_exec")))
-        .unionByName(fact(up, F.col("s"), "http://www.w3.org/ns/prov#specializationOf", "iri", F.col("_up")))
-    )
+def _fact(df: DataFrame, s, p: str, kind: str, o) -> DataFrame:
+    return df.select(s.alias("s"), F.lit(p).alias("p"), F.lit(kind).alias("o_kind"), o.cast("string").alias("o_value"))
+
+
+def forest_triples(mined: Mined, dataset_iri: str, base: str = "http://example.org/", cluster_iri: str | None = None) -> DataFrame:
+    """s, p, o_kind, o_value: the templates and, of a mined forest, all specializations as statements.
+
+    Each node has its identifier, text, executions and parameters, and a link to its parents; a root belongs to the
+    dataset or, if one is given, to the cluster. Each instance of each node has a generation by which its query
+    was made, with a binding for each parameter: its text, and its full term where the prologue tells it.
+    """
+    rdf, dct, lsqv = "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://purl.org/dc/terms/", "http://lsq.aksw.org/vocab#"
+    prvt, prv, prov = "http://purl.org/net/provenance/types#", "http://purl.org/net/provenance/ns#", "http://www.w3.org/ns/prov#"
+    sh, wf = "http://www.w3.org/ns/shacl#", "http://purl.org/wf4ever/wfprov#"
+    keys, of = mined.keys, [*mined.keys, "template"]
+    head = mined.templates.select(*of, "base", "prefixes", F.col("body").alias("_root"), F.hex("template_id").alias("_id"))
+    if mined.forest is None:
+        nodes = mined.templates.select(*of, F.col("body").alias("node"), "num_exec", "n_params")
+        members = mined.instances.withColumnRenamed("text", "node")
+        edges = nodes.select(*keys, F.col("node").alias("parent"), "node").limit(0)
+    else:
+        nodes, edges, members = mined.forest.nodes.select(*of, "node", "num_exec", "n_params"), mined.forest.edges, mined.forest.members
+    # a root is known as its template; texts of different templates differ in their pieces
+    n = nodes.join(head, of).withColumn("_id", F.when(F.col("node") == F.col("_root"), F.col("_id")).otherwise(F.hex(F.xxhash64(*of, "node"))))
+    n = n.withColumn("s", F.concat(F.lit(base + "templates/"), "_id"))
+    text = F.concat(templates.prologue_text(F.col("base"), F.col("prefixes")), F.lit("\n"), F.col("node"))
+    named = n.select(*keys, "node", "s")
+    up = edges.join(named.withColumnsRenamed({"node": "parent", "s": "_up"}), [*keys, "parent"]).join(named, [*keys, "node"])
+    roots = n.filter("node = _root")
+    param = lambda pos: F.concat(F.lit(base + "params/"), "_id", F.lit("_"), pos.cast("string"))
+    p = n.filter("n_params > 0").select("s", "_id", F.explode(F.sequence(F.lit(0), F.col("n_params") - 1)).alias("pos")).withColumn("_p", param(F.col("pos")))
+    label = F.concat(F.lit("__PARAM_"), F.col("pos").cast("string"))
+    prologues = mined.instances.select(*of, "instance", "preamble").dropDuplicates([*of, "instance"])
+    m = members.select(*of, "node", "instance", "id", "bindings").join(n.select(*of, "node", "_id", F.col("s").alias("_t")), [*of, "node"])
+    m = m.withColumn("s", F.concat(F.lit(base + "queryGenerations/"), "_id", F.lit("_"), "id")).withColumn("_q", F.concat(F.lit("http://lsq.aksw.org/lsqQuery-"), "id"))
+    b = m.join(prologues, [*of, "instance"]).select("s", "_id", "id", "preamble", F.posexplode("bindings").alias("pos", "value"))
+    b = b.withColumn("_b", F.concat(F.lit(base + "bindings/"), "_id", F.lit("_"), "id", F.lit("_"), F.col("pos").cast("string")))
+    b = b.withColumn("_value", rebase_term(F.col("value"), prologue_prefixes(F.col("preamble"))))
+    s, iri = F.col("s"), lambda x: F.lit(x)
+    facts = [
+        _fact(n, s, rdf + "type", "iri", iri(prvt + "QueryTemplate")),
+        _fact(n, s, rdf + "type", "iri", iri(sh + "Parametrizable")),
+        _fact(n, s, dct + "identifier", "literal", F.col("_id")),
+        _fact(n, s, lsqv + "text", "literal", text),
+        _fact(n, s, lsqv + "numOfExecutions", "literal", F.col("num_exec")),
+        _fact(roots, s, prov + "specializationOf", "iri", iri(cluster_iri)) if cluster_iri else _fact(roots, s, dct + "isPartOf", "iri", iri(dataset_iri)),
+        _fact(up, s, prov + "specializationOf", "iri", F.col("_up")),
+        _fact(p, s, sh + "parameter", "iri", F.col("_p")),
+        _fact(p, F.col("_p"), rdf + "type", "iri", iri(sh + "Parameter")),
+        _fact(p, F.col("_p"), sh + "path", "iri", F.concat(F.lit(base + "paramPaths/"), label)),
+        _fact(p, F.col("_p"), sh + "description", "literal", label),
+        _fact(m, s, rdf + "type", "iri", iri(prvt + "DataCreation")),
+        _fact(m, s, prv + "usedGuideline", "iri", F.col("_t")),
+        _fact(m, F.col("_q"), prv + "createdBy", "iri", s),
+        _fact(m.select("_q").distinct(), F.col("_q"), rdf + "type", "iri", iri(prvt + "SPARQLQuery")),
+        _fact(b, s, prv + "usedData", "iri", F.col("_b")),
+        _fact(b, F.col("_b"), rdf + "type", "iri", iri(wf + "Artifact")),
+        _fact(b, F.col("_b"), wf + "describedByParameter", "iri", param(F.col("pos"))),
+        _fact(b, F.col("_b"), rdf + "value", "term", F.col("_value")).filter("o_value is not null"),
+        _fact(b, F.col("_b"), lsqv + "text", "literal", F.col("value")),
+    ]
+    out = facts[0]
+    for f in facts[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def single_query_triples(mined: Mined, action_iri: str, dataset_iri: str | None = None, cluster_iri: str | None = None) -> DataFrame:
+    """s, p, o_kind, o_value: the queries that got no template, each a result of the run and a member of its cluster or dataset."""
+    q = mined.simple.select(F.concat(F.lit("http://lsq.aksw.org/lsqQuery-"), "id").alias("q"))
+    out = _fact(q, F.lit(action_iri), "http://schema.org/result", "iri", F.col("q"))
+    out = out.unionByName(_fact(q, F.col("q"), "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", "iri", F.lit("http://purl.org/net/provenance/types#SPARQLQuery")))
+    if cluster_iri or dataset_iri:
+        out = out.unionByName(_fact(q, F.lit(cluster_iri or dataset_iri), "http://www.w3.org/2000/01/rdf-schema#member", "iri", F.col("q")))
+    return out
 
 
 def stats_table(mined: Mined) -> DataFrame:
-    """A row of totals with query_id 0, then the templates by executions."""
+    """A row of totals with query_id 0, then the templates by executions.
+
+    ``num_specializations`` counts a template's children in a mined forest; in the row of totals, the queries without a template.
+    """
     from tessera.operators.stats import numbered
 
     cols = ["num_instances", "num_exec", "t_first", "t_last", "sum_log2_exec", "n_terms", "n_params"]
-    rows = numbered(mined.templates, [F.desc("num_exec"), F.col("template_id")]).select("query_id", "text", *cols)
+    of = [*mined.keys, "body"]
+    rows = mined.templates
+    if mined.forest is None:
+        rows = rows.withColumn("num_specializations", F.lit(0).cast("long"))
+    else:
+        below = mined.edges.groupBy(*mined.keys, F.col("parent").alias("body")).agg(F.count("*").alias("num_specializations"))
+        rows = rows.join(below, of, "left").withColumn("num_specializations", F.coalesce("num_specializations", F.lit(0)))
+    rows = numbered(rows, [F.desc("num_exec"), F.col("template_id")]).select("query_id", "text", *cols, "num_specializations")
     total = mined.templates.agg(
-        F.lit(0).alias("query_id"), F.lit("").alias("text"), *[f(c).alias(c) for c, f in zip(cols, (F.sum, F.sum, F.min, F.max, F.sum, F.max, F.max))]
+        F.lit(0).cast("long").alias("query_id"), F.lit("").alias("text"), *[f(c).alias(c) for c, f in zip(cols, (F.sum, F.sum, F.min, F.max, F.sum, F.max, F.max))]
     )
+    without = mined.simple.agg(F.count("*").alias("num_specializations")) if mined.simple is not None else None
+    total = total.withColumn("num_specializations", F.lit(0).cast("long")) if without is None else total.crossJoin(without)  # one row each
     return total.unionByName(rows)

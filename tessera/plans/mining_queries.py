@@ -9,7 +9,7 @@ from tessera.operators import ingest, lattice, templates
 from tessera.operators.features import query_features
 from tessera.operators.specialize import specialization_forest
 from tessera.operators.tokenizer import TokenOptions, decompose
-from tessera.plans.log_queries import _LOG, _SIMPLE, _USAGE, _instances, _table
+from tessera.plans.log_queries import _INST, _LOG, _SIMPLE, _USAGE, _USAGE_DS, _instances, _table
 from tessera.plans.mining import MiningOptions, forest_triples, generalize_and_aggregate, mine_by_cluster, mine_templates, stats_table
 from tessera.sources.querylog import executions, query_usage
 from tessera.sources.rdf import parse_lines
@@ -51,10 +51,24 @@ def mined_forest_triples(spark, sf_dir):
     return forest_triples(mined, C.DATASETS + "events").groupBy("p", "o_kind").agg(F.count("*").alias("n"))
 
 
+_NODE = ("template", "node", "depth", "num_instances", "num_exec", "n_params", "t_first", "t_last")
+
+
 def specialization_nodes(spark, sf_dir):
     """Nodes of the specialization forest, of 15 instances at least."""
     nodes, _ = specialization_forest(_instances(spark, sf_dir), 15, 15)
-    return nodes.select("template", "node", "depth", "num_instances", "num_exec", "n_params")
+    return nodes.select(*_NODE, F.round("sum_log2_exec", 3).alias("sum_log2_exec"))
+
+
+def specialization_nodes_by_dataset(spark, sf_dir):
+    """A forest for each dataset, in one job; of 5 instances at least."""
+    nodes, _ = specialization_forest(_instances(spark, sf_dir, "dataset"), 5, 5, keys=("dataset",))
+    return nodes.select("dataset", *_NODE, F.round("sum_log2_exec", 3).alias("sum_log2_exec"))
+
+
+def specialization_edges_by_dataset(spark, sf_dir):
+    _, edges = specialization_forest(_instances(spark, sf_dir, "dataset"), 5, 5, keys=("dataset",))
+    return edges.select("dataset", "parent", "node")
 
 
 def specialization_edges(spark, sf_dir):
@@ -121,7 +135,112 @@ def assembled_executions(spark, sf_dir):
     return execs.join(queries_, "query_iri").select("id", "text", "ts", "host")
 
 
+def _forest_sql(usage: str, key: str, least: int) -> str:
+    """CTEs roots and groups of the log's forest: its templates have at most two parameters and no two of its queries
+    share both, so what two queries or more have in common lies one level below a root."""
+    k = f"{key}, " if key else ""
+    same = lambda a, b: f"{a}.template = {b}.template" + (f" AND {a}.{key} = {b}.{key}" if key else "")
+    shape = "list({} ORDER BY pos)"
+    text = "array_to_string(list_transform(range(1, len(h.pieces) + 1), lambda i: h.pieces[i] || coalesce(slots[i], '')), '')"
+    sums = "count(*) AS num_instances, CAST(sum(num_exec) AS BIGINT) AS num_exec, min(t_first) AS t_first, max(t_last) AS t_last, round(sum(log2(num_exec)), 3) AS sum_log2_exec"
+    return f"""{_LOG}, {usage}, {_INST}, pos AS (
+  SELECT {k}template, id, u.i AS pos, bindings[u.i + 1] AS value FROM inst, unnest(range(0, len(bindings))) AS u(i)
+), vec AS (
+  SELECT {k}template, pos, CASE WHEN min(value) = max(value) THEN min(value) END AS constant, md5(string_agg(id || '=' || value, ',' ORDER BY id)) AS v FROM pos GROUP BY {k}template, pos
+), firsts AS (
+  SELECT *, CASE WHEN constant IS NULL THEN min(pos) OVER (PARTITION BY {k}template, constant IS NULL, v) ELSE pos END AS first FROM vec
+), params AS (
+  SELECT *, CASE WHEN constant IS NULL THEN CAST(dense_rank() OVER (PARTITION BY {k}template, constant IS NULL ORDER BY first) - 1 AS INTEGER) END AS parameter FROM firsts
+), heads AS (SELECT {k}template, any_value(pieces) AS pieces, {sums} FROM inst GROUP BY {k}template
+), shapes AS (SELECT {k}template, {shape.format("coalesce(constant, '$__PARAM_' || parameter)")} AS slots, CAST(count(DISTINCT parameter) AS INTEGER) AS n_params FROM params GROUP BY {k}template
+), roots AS (SELECT h.*, {text} AS node, n_params FROM heads h JOIN shapes s ON {same("h", "s")}
+), kinds AS (
+  SELECT {", ".join(f"i.{c}" for c in [*([key] if key else []), "template"])}, p.parameter, i.bindings[p.pos + 1] AS value, {sums}
+  FROM inst i JOIN params p ON {same("i", "p")} WHERE p.constant IS NULL AND p.pos = p.first GROUP BY ALL HAVING count(*) >= {least} AND sum(num_exec) >= {least}
+), filled AS (
+  SELECT {", ".join(f"g.{c}" for c in [*([key] if key else []), "template"])}, g.parameter, g.value,
+    {shape.format("CASE WHEN p.constant IS NOT NULL THEN p.constant WHEN p.parameter = g.parameter THEN g.value ELSE '$__PARAM_' || (p.parameter - CASE WHEN p.parameter > g.parameter THEN 1 ELSE 0 END) END")} AS slots
+  FROM kinds g JOIN params p ON {same("g", "p")} GROUP BY ALL
+), groups AS (
+  SELECT g.*, h.node AS parent, h.n_params - 1 AS n_params, {text} AS node
+  FROM kinds g JOIN filled f ON {same("g", "f")} AND g.parameter = f.parameter AND g.value = f.value JOIN roots h ON {same("g", "h")}
+)"""
+
+
+def _nodes_sql(usage: str, key: str, least: int) -> str:
+    cols = f"{key + ', ' if key else ''}template, node, {{}} AS depth, num_instances, num_exec, n_params, t_first, t_last, sum_log2_exec"
+    return f"{_forest_sql(usage, key, least)} SELECT {cols.format(0)} FROM roots UNION ALL SELECT {cols.format(1)} FROM groups"
+
+
+#: Counts of statements by kind: below groups of two or more come single queries, under their groups or else the root.
+_TRIPLES_SQL = f"""{_forest_sql(_USAGE, "", 2)}, leaves AS (
+  SELECT i.id, (SELECT count(*) FROM groups g WHERE g.template = i.template AND g.n_params = 1 AND g.value = i.bindings[(SELECT min(p.pos) FROM params p WHERE p.template = i.template AND p.parameter = g.parameter) + 1]) AS above
+  FROM inst i JOIN roots r ON i.template = r.template WHERE r.n_params > 0
+), pairs AS (SELECT * FROM groups WHERE n_params = 1
+), n AS (SELECT
+  (SELECT count(*) FROM roots) + (SELECT count(*) FROM pairs) + (SELECT count(*) FROM leaves) AS nodes,
+  (SELECT count(*) FROM roots) AS roots,
+  (SELECT count(*) FROM pairs) + (SELECT coalesce(sum(greatest(above, 1)), 0) FROM leaves) AS edges,
+  (SELECT sum(n_params) FROM roots) + (SELECT count(*) FROM pairs) AS params,
+  (SELECT sum(num_instances) FROM roots) + (SELECT coalesce(sum(num_instances), 0) FROM pairs) + (SELECT count(*) FROM leaves) AS members,
+  (SELECT sum(num_instances * n_params) FROM roots) + (SELECT coalesce(sum(num_instances), 0) FROM pairs) AS bindings,
+  (SELECT count(*) FROM inst) AS queries
+) SELECT p, o_kind, CAST(n AS BIGINT) AS n FROM (
+  SELECT unnest([
+    {{'p': 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'o_kind': 'iri', 'n': 2 * nodes + params + members + queries + bindings}},
+    {{'p': 'http://purl.org/dc/terms/identifier', 'o_kind': 'literal', 'n': nodes}},
+    {{'p': 'http://lsq.aksw.org/vocab#text', 'o_kind': 'literal', 'n': nodes + bindings}},
+    {{'p': 'http://lsq.aksw.org/vocab#numOfExecutions', 'o_kind': 'literal', 'n': nodes}},
+    {{'p': 'http://purl.org/dc/terms/isPartOf', 'o_kind': 'iri', 'n': roots}},
+    {{'p': 'http://www.w3.org/ns/prov#specializationOf', 'o_kind': 'iri', 'n': edges}},
+    {{'p': 'http://www.w3.org/ns/shacl#parameter', 'o_kind': 'iri', 'n': params}},
+    {{'p': 'http://www.w3.org/ns/shacl#path', 'o_kind': 'iri', 'n': params}},
+    {{'p': 'http://www.w3.org/ns/shacl#description', 'o_kind': 'literal', 'n': params}},
+    {{'p': 'http://purl.org/net/provenance/ns#usedGuideline', 'o_kind': 'iri', 'n': members}},
+    {{'p': 'http://purl.org/net/provenance/ns#createdBy', 'o_kind': 'iri', 'n': members}},
+    {{'p': 'http://purl.org/net/provenance/ns#usedData', 'o_kind': 'iri', 'n': bindings}},
+    {{'p': 'http://purl.org/wf4ever/wfprov#describedByParameter', 'o_kind': 'iri', 'n': bindings}},
+    {{'p': 'http://www.w3.org/1999/02/22-rdf-syntax-ns#value', 'o_kind': 'term', 'n': bindings}}
+  ], recursive := true) FROM n) t"""
+
+#: Generalizations by vectors: for each constant its parameter (0 or 1, in order of first use) or -1.
+_LATTICE_SQL = f"""{_LOG.replace("WITH", "WITH RECURSIVE", 1)}, {_USAGE}, {_INST}, vectors AS (
+  SELECT 0 AS n, CAST([] AS INTEGER[]) AS a, 0 AS m
+  UNION ALL SELECT n + 1, list_append(a, CAST(x.b AS INTEGER)), greatest(m, CAST(x.b + 1 AS INTEGER)) FROM vectors, range(-1, 2) AS x(b) WHERE n < 6 AND x.b <= m
+), general AS (
+  SELECT i.id, i.num_exec, v.a, v.m, i.bindings,
+    array_to_string(list_transform(range(1, len(pieces) + 1), lambda i: pieces[i] || CASE WHEN i > len(bindings) THEN '' WHEN a[i] < 0 THEN bindings[i] ELSE '$__PARAM_' || a[i] END), '') AS template
+  FROM inst i JOIN vectors v ON v.n = len(i.bindings)
+  WHERE v.m > 0 AND len(list_filter(range(1, v.n + 1), lambda i: a[i] >= 0 AND bindings[i] <> bindings[list_position(a, a[i])])) = 0
+), counted AS (SELECT template, count(*) AS num_instances, CAST(sum(num_exec) AS BIGINT) AS num_exec FROM general GROUP BY template
+), bound AS (SELECT template, b.i AS block, bindings[list_position(a, b.i)] AS value, count(*) AS num FROM general, unnest([0, 1]) AS b(i) WHERE b.i < m GROUP BY ALL
+), fixed AS (SELECT DISTINCT b.template FROM bound b JOIN counted c ON b.template = c.template WHERE b.num = c.num_instances
+), kept AS (SELECT * FROM counted WHERE num_instances >= 50 AND template NOT IN (SELECT template FROM fixed)
+), steps AS (
+  SELECT x.a, y.a AS b FROM vectors x JOIN vectors y ON x.n = y.n WHERE x.m > 0
+    AND len(list_filter(range(1, x.n + 1), lambda i: x.a[i] >= 0 AND y.a[i] < 0)) = 0
+    AND (len(list_filter(y.a, lambda v: v >= 0)) = len(list_filter(x.a, lambda v: v >= 0)) + 1
+           AND len(list_filter(range(1, x.n + 1), lambda i: x.a[i] >= 0 AND (y.a[list_position(x.a, x.a[i])] <> y.a[i]))) = 0
+           AND (x.m = 1 OR y.a[list_position(x.a, 0)] <> y.a[list_position(x.a, 1)])
+      OR len(list_filter(y.a, lambda v: v >= 0)) = len(list_filter(x.a, lambda v: v >= 0)) AND x.m = 1 AND y.m = 2)
+), known AS (SELECT g.id, g.a, g.template FROM general g JOIN kept k ON g.template = k.template
+), edges AS (SELECT DISTINCT c.template AS child, p.template AS parent FROM known c JOIN steps s ON c.a = s.a JOIN known p ON p.id = c.id AND p.a = s.b)"""
+
 _ORACLES = {
+    "mined_by_cluster": f"""{_SHAPES} SELECT CASE WHEN text LIKE '%SELECT%' THEN 1 WHEN text LIKE '%CONSTRUCT%' THEN 2 WHEN text LIKE '%ASK%' THEN 3 ELSE 4 END AS groupId, text, num_instances, num_instances AS num_exec, n_params FROM mined""",
+    "specialization_nodes": _nodes_sql(_USAGE, "", 15),
+    "specialization_edges": f"{_forest_sql(_USAGE, '', 15)} SELECT parent, node FROM groups",
+    "specialization_nodes_by_dataset": _nodes_sql(_USAGE_DS, "dataset", 5),
+    "specialization_edges_by_dataset": f"{_forest_sql(_USAGE_DS, 'dataset', 5)} SELECT dataset, parent, node FROM groups",
+    "mined_forest_triples": _TRIPLES_SQL,
+    "generalization_lattice": f"{_LATTICE_SQL} SELECT * FROM kept",
+    "generalization_edges": f"{_LATTICE_SQL} SELECT * FROM edges",
+    "generalization_roots": f"{_LATTICE_SQL} SELECT template AS general FROM kept WHERE template NOT IN (SELECT child FROM edges)",
+    "query_feature_counts": f"""{_LOG}, {_USAGE}, kinds AS (
+  SELECT CASE WHEN text LIKE '%SELECT%' THEN 'S' WHEN text LIKE '%CONSTRUCT%' THEN 'C' WHEN text LIKE '%ASK%' THEN 'A' ELSE 'D' END AS type,
+    CASE WHEN text LIKE '%LIMIT%' THEN 'LIMIT' ELSE '' END AS clauses, len(list_distinct(regexp_extract_all(text, '[?][a-z]+'))) AS variables, len(list_distinct(regexp_extract_all(text, '<[^>]*>'))) AS iris,
+    len(list_distinct(regexp_extract_all(text, '"[^"]*"'))) AS literals, len(list_distinct(regexp_extract_all(text, 'ex:[a-z0-9]+'))) AS prefixed FROM usage)
+SELECT type, clauses, count(*) AS num_queries, CAST(sum(variables) AS BIGINT) AS variables, CAST(sum(iris) AS BIGINT) AS iris, CAST(sum(literals) AS BIGINT) AS literals, CAST(sum(prefixed) AS BIGINT) AS prefixed FROM kinds GROUP BY type, clauses""",
     "mined_templates": f"{_SHAPES} SELECT * FROM mined",
     "mined_stats_table": f"""{_SHAPES} SELECT false AS is_total, text, num_instances, num_exec, t_first, t_last, round(sum_log2_exec, 3) AS sum_log2_exec, n_terms, n_params FROM mined
 UNION ALL SELECT true, '', CAST(sum(num_instances) AS BIGINT), CAST(sum(num_exec) AS BIGINT), min(t_first), max(t_last), round(sum(sum_log2_exec), 3), max(n_terms), max(n_params) FROM mined""",
@@ -134,7 +253,7 @@ FROM (SELECT p.id, p.pos, p.value, i.text FROM pos p JOIN inst i ON p.id = i.id)
 
 
 def queries() -> dict:
-    fs = (mined_templates, mined_stats_table, mined_by_cluster, mined_forest_triples, specialization_nodes, specialization_edges, generalization_lattice, generalization_edges, generalization_roots)
+    fs = (specialization_nodes_by_dataset, specialization_edges_by_dataset, mined_templates, mined_stats_table, mined_by_cluster, mined_forest_triples, specialization_nodes, specialization_edges, generalization_lattice, generalization_edges, generalization_roots)
     fs += (query_feature_counts, document_tokens, merged_preambles, rebased_terms, assembled_executions)
     return {f.__name__: f for f in fs}
 

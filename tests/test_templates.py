@@ -215,3 +215,43 @@ def test_divergence(spark):
     inst = templates.generalize(_usage(spark, [("ASK { 1 2 }", 1), ("ASK { 1 3 }", 1), ("DESCRIBE ?x", 1)]))
     assert [r.template for r in templates.divergent(inst).collect()] == ["DESCRIBE ?x"]
     assert templates.divergent(inst.withColumn("bindings", F.slice("bindings", 2, 1))).count() == 2
+
+
+def test_forests_are_told_apart_by_keys(spark):
+    from tessera.plans.mining import forest_triples, stats_table
+
+    rows = [("d1", "ASK { ex:a 1 }"), ("d1", "ASK { ex:a 2 }"), ("d2", "ASK { ex:b 3 }"), ("d2", "ASK { ex:b 4 }"), ("d3", "ASK { ex:b 4 }")]
+    usage = spark.createDataFrame([(d, f"q{i}", t, i + 1, i, i) for i, (d, t) in enumerate(rows)], "dataset string, " + COLUMNS)
+    mined = mine_templates(usage, MiningOptions(generalization_tree=True), ("dataset",))
+    found = {(n.dataset, n.node): (n.depth, n.num_instances, n.num_exec, n.t_first, n.t_last) for n in mined.nodes.collect()}
+    assert found == {
+        ("d1", "ASK { ex:a $__PARAM_0 }"): (0, 2, 3, 0, 1), ("d1", "ASK { ex:a 1 }"): (1, 1, 1, 0, 0), ("d1", "ASK { ex:a 2 }"): (1, 1, 2, 1, 1),
+        ("d2", "ASK { ex:b $__PARAM_0 }"): (0, 2, 7, 2, 3), ("d2", "ASK { ex:b 3 }"): (1, 1, 3, 2, 2), ("d2", "ASK { ex:b 4 }"): (1, 1, 4, 3, 3),
+        ("d3", "ASK { ex:b 4 }"): (0, 1, 5, 4, 4),
+    }
+    assert {(e.dataset, e.parent, e.node) for e in mined.edges.collect()} == {(d, p, n) for d, p in (("d1", "ASK { ex:a $__PARAM_0 }"), ("d2", "ASK { ex:b $__PARAM_0 }")) for dd, n in found if dd == d and n != p}
+    table = {r.text.strip(): r.num_specializations for r in stats_table(mined).collect()}
+    assert table["ASK { ex:a $__PARAM_0 }"] == table["ASK { ex:b $__PARAM_0 }"] == 2 and table["ASK { ex:b 4 }"] == 0
+    triples = forest_triples(mined, "http://d").collect()
+    about = lambda p: [t for t in triples if t.p.endswith(p)]
+    assert len(about("dc/terms/identifier")) == 7 and len({t.s for t in about("dc/terms/identifier")}) == 7
+    assert len(about("specializationOf")) == 4 and len(about("isPartOf")) == 3 and len(about("shacl#path")) == 2
+    values = {t.s: t.o_value for t in about("vocab#text") if "/bindings/" in t.s}
+    assert sorted(values.values()) == ["1", "2", "3", "4"] and {t.s for t in about("describedByParameter")} == set(values)
+
+
+def test_queries_without_a_template_are_linked(spark):
+    from tessera.plans.mining import single_query_triples
+
+    usage = _usage(spark, [("ASK { a:b 1 }", 5), ("ASK { a:c 2 }", 1), ("DESCRIBE a:d", 3)])
+    mined = mine_templates(usage, MiningOptions(min_instances=2, include_simple_queries=True), ())
+    got = {(t.s, t.p.rsplit("/", 1)[-1].rsplit("#", 1)[-1], t.o_value.rsplit("#", 1)[-1]) for t in single_query_triples(mined, "http://a", dataset_iri="http://d").collect()}
+    q = "http://lsq.aksw.org/lsqQuery-q2"
+    assert got == {("http://a", "result", q), (q, "type", "SPARQLQuery"), ("http://d", "member", q)}
+
+
+def test_texts_are_cut_into_tokens_once(spark):
+    usage = _usage(spark, [("ASK { a:b 1 }", 1), ("ASK { a:c 2 }", 1)])
+    mined = mine_templates(usage, MiningOptions(generalization_tree=True), ())
+    for df in (mined.templates, mined.instances, mined.nodes, mined.edges):
+        assert "VALUES" not in df._jdf.queryExecution().executedPlan().toString()
