@@ -1,13 +1,12 @@
 """Exact top-k search by inner product: no-random-access aggregation over sorted lists, in blocks.
 
-Every dimension of a block of vectors is a list of (component, vector) sorted by component. A query reads
-the lists of its non-zero components in rounds of ``STEP`` entries each, from the end that raises its score.
-(With a floor for the k-th score the first round reads as far as any vector could be left out.)
-For each vector it keeps a lower bound, what was read of it and the lists' far ends for the rest; the upper
-bound has the frontiers, the last values read, instead. A vector that was not read at all has at most the
-sum of the frontiers. Once that is below the k-th best lower bound, only vectors that were read can win, and
-those whose upper bound is below it fall away; a query stops when few are left, and these are resolved to
-their final scores. No list is read at random.
+Every dimension of a block of vectors is a list sorted by component. A query reads the lists of its non-zero
+components in rounds, from the end that raises its score. Each vector has a lower bound, what was read of it
+and the lists' far ends for the rest, and an upper bound with the frontiers, the last values read, instead;
+a vector that was not read at all has at most the sum of the frontiers. A query stops when few vectors have an
+upper bound of its k-th best score or more, and these are resolved to their final scores. No list is read at
+random. The queries of a block read the same lists, so a round works out the bounds of all that still read
+as products with one table of what was read.
 
 Each query first searches one block. Its k-th score there is a floor for the k-th score of all, with which
 the searches of the other blocks begin.
@@ -25,9 +24,10 @@ from tessera.llm.common import cut, table
 TOP, SCALE, QUERY_EVERY = 20, 64, 20
 #: Vectors and queries in a block.
 BLOCK, QUERY_BLOCK = 4096, 1024
-#: Share of a list that a round reads.
-STEP = 1 / 16
-_EXACT = float(1 << 53)
+#: Shares of the lists up to which the rounds read.
+DEPTHS = (0.25, 0.375, 0.5, 0.625, 0.75, 0.875)
+#: Whole numbers below these are exact as doubles and as floats.
+_EXACT, _EXACT_SHORT = float(1 << 53), float(1 << 24)
 _LONG = (1 << 63) - 1
 
 
@@ -36,50 +36,42 @@ class Lists:
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray):
         self.vectors, self.ids, self.read = vectors, ids, 0
-        columns = np.ascontiguousarray(vectors.T)
-        order = np.argsort(columns, axis=1, kind="stable")
-        values = np.take_along_axis(columns, order, axis=1)
-        #: Vectors and components from the lower and from the upper end.
-        self.ends = ((order, values), (np.ascontiguousarray(order[:, ::-1]), np.ascontiguousarray(values[:, ::-1])))
-
-    def _entries(self, q: np.ndarray, sides: tuple[np.ndarray, np.ndarray], begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """What comes next in the lists: vectors, dimensions, gains."""
-        found = [(order[dims, begin:end], dims, values[dims, begin:end] * q[dims, None]) for (order, values), dims in zip(self.ends, sides)]
-        return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
-
-    def survivors(self, q: np.ndarray, own: int, k: int, floor: float) -> np.ndarray:
-        """Indices of the vectors that may be among the ``k`` best of a query with scores of ``floor`` at least."""
-        n, allowed = len(self.ids), self.ids != own
-        sides = (np.flatnonzero(q < 0), np.flatnonzero(q > 0))
-        dims = np.concatenate(sides)
-        if not len(dims) or not n:
-            return np.flatnonzero(allowed)
-        step = max(1, int(n * STEP))
-        depths = [*range(step, n, step), n]
-        frontiers = np.concatenate([self.ends[s][1][sides[s]][:, [d - 1 for d in depths]] for s in (0, 1)]) * q[dims, None]
-        far = frontiers[:, -1]
-        # a floor tells up to where no vector can be left out
-        at = int(np.argmax(frontiers.sum(axis=0) < floor))
-        lower, left, begin = np.full(n, far.sum()), None, 0
-        unseen = np.ones((n, len(q)))
-        for frontier, end in zip(frontiers.T[at:], depths[at:]):
-            entries, rows, gains = self._entries(q, sides, begin, end)
-            lower += np.bincount(entries.ravel(), (gains - far[:, None]).ravel(), n)
-            unseen[entries, rows[:, None]] = 0.0
-            self.read += entries.size
-            begin = end
-            best = lower[allowed]
-            kth = max(floor, np.partition(best, len(best) - k)[len(best) - k]) if len(best) >= k else floor
-            # on a tie with the k-th score a smaller id could still win
-            if frontier.sum() >= kth:
+        self.values = np.sort(vectors, axis=0)
+
+    def survivors(self, q: np.ndarray, own: np.ndarray, k: int, floors: np.ndarray) -> list[np.ndarray]:
+        """For each query the indices of the vectors that may be among its ``k`` best with scores of its floor at least.
+
+        The queries read on together and stop one by one; their bounds are sums over the same tables of what was read.
+        """
+        n, x, v = len(self.ids), self.vectors, self.values
+        left: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
+        reading, done = np.arange(len(q)), 0
+        used = (q != 0).sum(axis=1)
+        up, down = np.where(q > 0, q, 0), np.where(q < 0, q, 0)
+        for end in sorted({max(1, int(n * d)) for d in DEPTHS} | {n}) if n else ():
+            high, low = v[n - end], v[end - 1]  # the frontiers: last values read from above and from below
+            a, b, floor = up[reading], down[reading], floors[reading]
+            self.read += int(used[reading].sum()) * (end - done)
+            done = end
+            # where a vector that was not read at all could win, no vector falls away
+            if end < n and (a @ high + b @ low >= floor).all() and np.isfinite(floor).all():
                 continue
-            left = np.flatnonzero(allowed) if left is None else left
-            slack = np.zeros(len(q))
-            slack[dims] = frontier - far
-            left = left[lower[left] + unseen[left] @ slack >= kth]
-            if len(left) <= 2 * k:
+            kth = floor
+            if not np.isfinite(floor).all():
+                lower = a @ np.where(x >= high, x, v[0]).T + b @ np.where(x <= low, x, v[-1]).T
+                lower[own[reading, None] == self.ids[None, :]] = -np.inf
+                kth = np.maximum(floor, np.partition(lower, n - k, axis=1)[:, n - k] if n >= k else -np.inf)
+            upper = a @ np.maximum(x, high).T + b @ np.minimum(x, low).T
+            # on a tie with the k-th score a smaller id could still win
+            able = upper >= kth[:, None]
+            stops = (able.sum(axis=1) <= max(2 * k, n // 32)) | (end == n)
+            for i in np.flatnonzero(stops):
+                found = np.flatnonzero(able[i])
+                left[reading[i]] = found[self.ids[found] != own[reading[i]]]
+            reading = reading[~stops]
+            if not len(reading):
                 break
-        return np.flatnonzero(allowed) if left is None else left
+        return left
 
 
 def nra_top(queries: np.ndarray, vectors: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, floors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -97,11 +89,13 @@ def nra_top(queries: np.ndarray, vectors: np.ndarray, own: np.ndarray, ids: np.n
     ids_sorted = ids[by_id]
     x = vectors[by_id] if exact else np.vectorize(int, otypes=[object])(vectors[by_id]) if vectors.size else vectors.astype(object)
     q = queries if exact else np.vectorize(int, otypes=[object])(queries)
+    if top * top * max(d, 1) < _EXACT_SHORT:
+        x, q = x.astype(np.float32), q.astype(np.float32)
     lists = Lists(x, ids_sorted) if exact else None
+    least = np.full(len(q), -np.inf) if floors is None else np.where(np.isnan(floors), -np.inf, floors)
+    able = lists.survivors(q, own, k, least) if lists else [np.flatnonzero(ids_sorted != o) for o in own]
     qi, vi, sc = [], [], []
-    for i in range(len(q)):
-        floor = -np.inf if floors is None or np.isnan(floors[i]) else floors[i]
-        c = lists.survivors(q[i], own[i], k, floor) if lists else np.flatnonzero(ids_sorted != own[i])
+    for i, c in enumerate(able):
         s = x[c] @ q[i]
         best = np.argsort(-s, kind="stable")[:k]  # candidates ascend by id
         qi += [i] * len(best)
