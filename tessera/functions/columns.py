@@ -11,6 +11,7 @@ PROV = "http://www.w3.org/ns/prov#"
 XSD = "http://www.w3.org/2001/XMLSchema#"
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 DATASETS = "http://lsq.aksw.org/datasets/"
+SERVICE = "http://www.w3.org/ns/sparql-service-description#"
 
 
 def parameter_label(index: Column, sparql: bool = True) -> Column:

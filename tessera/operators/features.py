@@ -1,8 +1,8 @@
-"""Features of query texts: type, clauses, triple patterns and terms, in built-in expressions."""
+"""Features of query texts: type, clauses, triple patterns and terms by place, in built-in expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import patch_parameters, query_type
@@ -11,6 +11,10 @@ from tessera.operators.tokenizer import TokenOptions, tokens
 # Clause words of the query language.
 CLAUSES = ("OPTIONAL", "FILTER", "UNION", "MINUS", "GRAPH", "SERVICE", "BIND", "VALUES", "DISTINCT", "REDUCED", "GROUP", "HAVING", "ORDER", "LIMIT", "OFFSET", "FROM", "EXISTS")
 
+# Marks of one character: what ends a statement, a predicate's objects, an object; brackets; what was in brackets.
+_TERM, _STATEMENT, _PREDICATE, _OBJECT, _OPEN, _CLOSE, _GROUP = "\x01", "\x1d", "\x1e", "\x1f", "\x02", "\x03", "\x04"
+_DEPTH = 12
+
 
 def query_features(text: Column) -> Column:
     """struct(type, clauses, iris, prefixed, literals, numbers, variables, n_triples).
@@ -34,3 +38,72 @@ def query_features(text: Column) -> Column:
         pick(r"^[?$].").alias("variables"),
         (ends + open_ends).cast("long").alias("n_triples"),
     )
+
+
+def triple_patterns(text: Column) -> Column:
+    """array<struct<subject, predicate, object>> of the patterns in a query's WHERE part, in order; null texts give null.
+
+    Terms are as the text has them. Path operators stay with their predicate; a path or list in
+    parentheses is the term '()'. What stands in FILTER, BIND, VALUES and the solution modifiers makes
+    no pattern, nor does the template of a CONSTRUCT. Brackets nested more than twelve deep and
+    property lists of blank nodes are not resolved: their statements may be read wrongly.
+    """
+    solid = F.filter(tokens(patch_parameters(text)), lambda t: ~t.rlike(r"(?s)^(\s|#).*"))
+    mark = (
+        lambda t: F.when(t.isin(".", "{", "}") | t.rlike(r"(?is)^VALUES\b.*\{"), F.lit(_STATEMENT))
+        .when(t == ";", F.lit(_PREDICATE)).when(t == ",", F.lit(_OBJECT)).when(t == "(", F.lit(_OPEN)).when(t == ")", F.lit(_CLOSE))
+        .otherwise(F.translate(t, _TERM + _STATEMENT + _PREDICATE + _OBJECT + _OPEN + _CLOSE + _GROUP, ""))
+    )
+    # the template of a CONSTRUCT and the head of any query end at WHERE or at the first brace
+    upper = F.transform(solid, F.upper)
+    where, brace = F.array_position(upper, "WHERE"), F.array_position(solid, "{")
+    begin = F.when((query_type(text, exact=True) == "C") & (where > 0), where).otherwise(brace).cast("int")
+    body = F.array_join(F.transform(F.filter(solid, lambda t, i: (begin > 0) & (i >= begin)), mark), _TERM)
+    flat = F.regexp_replace(body, f"{_STATEMENT}[^{_STATEMENT}]*$", _STATEMENT)
+    for _ in range(_DEPTH):
+        flat = F.regexp_replace(flat, f"{_OPEN}[^{_OPEN}{_CLOSE}]*{_CLOSE}", _GROUP)
+    word = f"(?<![^{_TERM}{_STATEMENT}{_PREDICATE}{_OBJECT}])"
+    flat = F.regexp_replace(flat, f"(?i){word}(FILTER({_TERM}[^{_TERM}]+)?|BIND){_TERM}{_GROUP}", _STATEMENT)
+    flat = F.regexp_replace(flat, f"(?i){word}(OPTIONAL|UNION|MINUS|FILTER|(GRAPH|SERVICE({_TERM}SILENT)?){_TERM}[^{_TERM}]+)(?={_TERM})", _STATEMENT)
+    flat = F.regexp_replace(flat, f"{_TERM}([/|]){_TERM}", "$1")
+    flat = F.regexp_replace(flat, f"([!^]){_TERM}", "$1")
+    flat = F.regexp_replace(flat, f"{_TERM}([*+?])(?={_TERM})", "$1")
+    terms = lambda s: F.filter(F.split(s, _TERM), lambda t: t != "")
+    shown = lambda t: F.replace(t, F.lit(_GROUP), F.lit("()"))
+
+    def of_statement(s: Column) -> Column:
+        parts = F.split(s, _PREDICATE)
+        subject = F.get(terms(F.get(parts, F.lit(0))), F.lit(0))
+
+        def of_part(part: Column, k: Column) -> Column:
+            objects = F.split(part, _OBJECT)
+            head = F.slice(terms(F.get(objects, F.lit(0))), F.when(k == 0, 2).otherwise(1), F.lit(2))
+            last = F.transform(objects, lambda o, j: F.when(j == 0, F.get(head, F.lit(1))).otherwise(F.get(terms(o), F.lit(0))))
+            return F.transform(last, lambda o: F.struct(shown(subject).alias("subject"), shown(F.get(head, F.lit(0))).alias("predicate"), shown(o).alias("object")))
+
+        # a bare word is no subject: such statements are heads and modifiers of inner queries
+        return F.when(subject.rlike("^[A-Za-z]+$"), F.array()).otherwise(F.flatten(F.transform(parts, of_part)))
+
+    return F.filter(F.flatten(F.transform(F.split(flat, _STATEMENT), of_statement)), lambda t: t["subject"].isNotNull() & t["predicate"].isNotNull() & t["object"].isNotNull())
+
+
+def term_kind(term: Column) -> Column:
+    """variable, literal, blank, path or iri."""
+    return (
+        F.when(term.rlike(r"^[?$]"), "variable")
+        .when(term.rlike(r"(?is)^([\"']|[+-]?\.?[0-9]|(true|false)$)"), "literal")
+        .when(term.rlike(r"^(_:|\[)"), "blank")
+        .when(term.rlike(r"^(<[^>]*>|a|[^\s<>/|^!*+?()]*:[^\s/|^!*+?()]*)$"), "iri")
+        .otherwise("path")
+    )
+
+
+def terms_by_place(queries: DataFrame, *keys: str) -> DataFrame:
+    """keys, place (subject_object or predicate), kind, term, num_queries: the union of the terms of all
+    queries (column ``text``, one row a query) in each group of ``keys``."""
+    placed = lambda place, term: F.struct(F.lit(place).alias("place"), term.alias("term"))
+    of_pattern = lambda t: F.array(placed("subject_object", t["subject"]), placed("predicate", t["predicate"]), placed("subject_object", t["object"]))
+    # a query's repeats go within its row, so that one grouping with partial counts is all that moves
+    each = F.array_distinct(F.flatten(F.transform(triple_patterns(F.col("text")), of_pattern)))
+    rows = queries.select(*keys, F.explode(each).alias("x")).select(*keys, "x.*")
+    return rows.groupBy(*keys, "place", "term").agg(F.count("*").alias("num_queries")).select(*keys, "place", term_kind(F.col("term")).alias("kind"), "term", "num_queries")

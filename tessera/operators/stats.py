@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import columns as C
 from tessera.functions.columns import entropy, information_gain, query_type
 from tessera.operators.graph import stored
 
@@ -62,6 +63,23 @@ def dataset_query_stats(log: DataFrame) -> DataFrame:
     )
 
 
+def execution_graph_stats(catalog: DataFrame, quads: DataFrame, base: str = C.DATASETS) -> DataFrame:
+    """dataset_id, num_queries, num_exec, num_hosts, begin, end of each named graph of the catalog (s, p, o) whose
+    executions are in the graph (quads: g, s, p, o) of its name and '/execs'.
+
+    All counts are distinct; a query without an execution, and an execution without a time, count
+    nowhere. Everything is added up by graph before the catalog is joined, so the quads move by execution only.
+    """
+    part = lambda p, s, o: quads.filter(F.col("p") == p).select("g", F.col("s").alias(s), F.col("o").alias(o))
+    rows = part(C.LSQV + "hasRemoteExec", "query", "exec").join(part(C.PROV + "atTime", "exec", "ts"), ["g", "exec"]).join(part(C.LSQV + "hostHash", "exec", "host"), ["g", "exec"], "left")
+    sums = rows.groupBy("g").agg(
+        F.count_distinct("query").alias("num_queries"), F.count_distinct("exec").alias("num_exec"), F.count_distinct("host").alias("num_hosts"), F.min("ts").alias("begin"), F.max("ts").alias("end")
+    )
+    graphs = catalog.filter((F.col("p") == C.RDF_TYPE) & (F.col("o") == C.SERVICE + "NamedGraph")).select(F.col("s").alias("dataset")).distinct()
+    named = graphs.select(F.expr(f"substr(dataset, {len(base) + 1})").alias("dataset_id"), F.concat("dataset", F.lit("/execs")).alias("g"))
+    return named.join(sums, "g").drop("g")
+
+
 def co_occurrences(events: DataFrame, seconds: int = 3600) -> DataFrame:
     """host, template1, template2, ts1, ts2 of executions of different templates by one host within ``seconds``.
 

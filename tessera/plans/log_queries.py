@@ -11,7 +11,8 @@ from tessera.functions import columns as C
 from tessera.operators import graph, ingest, stats, templates
 from tessera.operators.tokenizer import TokenOptions
 from tessera.sources.querylog import LOG_SQL, executions, query_usage
-from tessera.sources.rdf import parse_lines
+from tessera.sources.rdf import catalog_of_files as catalog_of_table_files
+from tessera.sources.rdf import lines_without, parse_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -621,6 +622,35 @@ def union_load(spark, sf_dir):
     return graph.graph_merge(triples, "A", "R")
 
 
+@query(
+    """SELECT g, s, p, o FROM (SELECT 'http://ex.org/catalog' AS g, 'http://ex.org/' || unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) AS iri) f,
+  LATERAL (SELECT 'http://ex.org/' AS s, 'http://www.w3.org/ns/sparql-service-description#namedGraph' AS p, iri AS o
+  UNION ALL SELECT iri, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'http://www.w3.org/ns/sparql-service-description#NamedGraph') t"""
+)
+def catalog_of_files(spark, sf_dir):
+    """The tables' files as named graphs of a catalog."""
+    return catalog_of_table_files(spark, sf_dir, "http://ex.org/catalog", "http://ex.org/", ".parquet")
+
+
+@query("""SELECT doc_id, count(*) AS num_lines FROM (SELECT doc_id, unnest(string_split(text, '. ')) AS line FROM documents) l WHERE line NOT LIKE '%the%' GROUP BY doc_id""")
+def lines_left(spark, sf_dir):
+    """Sentences of all documents as lines; those that hold a mark are dropped."""
+    lines = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "[.] ")).alias("value"))
+    return lines_without(lines, "the").groupBy("doc_id").agg(F.count("*").alias("num_lines"))
+
+
+@query(
+    f"""WITH {LOG_SQL} SELECT dataset AS dataset_id, count(DISTINCT id) AS num_queries, count(*) AS num_exec, count(DISTINCT host) AS num_hosts, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS begin, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS "end" FROM log WHERE dataset <> 'ds2' GROUP BY dataset"""
+)
+def execution_graphs(spark, sf_dir):
+    """The log as statements in a graph for each dataset; two of three datasets, and one without a graph, are in the catalog."""
+    log = executions(spark, sf_dir).select(F.concat(F.lit(C.DATASETS), "dataset", F.lit("/execs")).alias("g"), F.concat(F.lit("e"), F.col("exec_id").cast("string")).alias("e"), "id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("t"), "host")
+    row = lambda s, p, o: F.struct(F.col(s).alias("s"), F.lit(p).alias("p"), F.col(o).alias("o"))
+    quads = log.select("g", F.explode(F.array(row("id", C.LSQV + "hasRemoteExec", "e"), row("e", C.PROV + "atTime", "t"), row("e", C.LSQV + "hostHash", "host"))).alias("t")).select("g", "t.*").filter("o is not null")
+    catalog = spark.createDataFrame([(C.DATASETS + n, C.RDF_TYPE, C.SERVICE + "NamedGraph") for n in ("ds0", "ds1", "ds9")], "s string, p string, o string")
+    return stats.execution_graph_stats(catalog, quads)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
 from tessera.operators import ingest, lattice, templates
-from tessera.operators.features import query_features
+from tessera.operators.features import query_features, terms_by_place
 from tessera.operators.specialize import specialization_forest
 from tessera.operators.tokenizer import TokenOptions, decompose
 from tessera.plans.log_queries import _INST, _LOG, _SIMPLE, _USAGE, _USAGE_DS, _instances, _table
@@ -99,6 +99,11 @@ def query_feature_counts(spark, sf_dir):
     )
 
 
+def query_terms_by_place(spark, sf_dir):
+    """Terms of all queries' patterns by dataset and place, with the number of queries that have them."""
+    return terms_by_place(query_usage(executions(spark, sf_dir), "dataset"), "dataset")
+
+
 def document_tokens(spark, sf_dir):
     """Whole document texts through the tokenizer: pieces and constants hold the text again."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", decompose(F.col("text"), TokenOptions(exclude_preamble=False, sparql_parameters=False)).alias("d"))
@@ -241,6 +246,13 @@ _ORACLES = {
     CASE WHEN text LIKE '%LIMIT%' THEN 'LIMIT' ELSE '' END AS clauses, len(list_distinct(regexp_extract_all(text, '[?][a-z]+'))) AS variables, len(list_distinct(regexp_extract_all(text, '<[^>]*>'))) AS iris,
     len(list_distinct(regexp_extract_all(text, '"[^"]*"'))) AS literals, len(list_distinct(regexp_extract_all(text, 'ex:[a-z0-9]+'))) AS prefixed FROM usage)
 SELECT type, clauses, count(*) AS num_queries, CAST(sum(variables) AS BIGINT) AS variables, CAST(sum(iris) AS BIGINT) AS iris, CAST(sum(literals) AS BIGINT) AS literals, CAST(sum(prefixed) AS BIGINT) AS prefixed FROM kinds GROUP BY type, clauses""",
+    "query_terms_by_place": f"""{_LOG}, {_USAGE_DS}, seen AS (
+  SELECT dataset, id, regexp_extract(text, 'ex:p[0-9]+') AS pred, unnest(['?s', regexp_extract(text, '([0-9]+) }} LIMIT', 1)]) AS term FROM usage WHERE text LIKE '%LIMIT%'
+  UNION ALL SELECT dataset, id, 'ex:k', unnest([regexp_extract(text, '<[^>]*>'), regexp_extract(text, '([0-9]+) }}', 1)]) FROM usage WHERE text LIKE 'ASK%'
+  UNION ALL SELECT dataset, id, unnest(['ex:b', 'ex:b', 'ex:u']), unnest(['?s', regexp_extract(text, 'ex:b ([0-9]+)', 1), regexp_extract(text, '"[^"]*"@en')]) FROM usage WHERE text LIKE 'CONSTRUCT%'
+  UNION ALL SELECT dataset, id, 'ex:e', unnest(['?a', '?b', regexp_extract(text, '([0-9]+) }}', 1)]) FROM usage WHERE text LIKE 'SELECT *%'
+), placed AS (SELECT DISTINCT dataset, id, 'predicate' AS place, pred AS term FROM seen UNION SELECT DISTINCT dataset, id, 'subject_object', term FROM seen)
+SELECT dataset, place, CASE WHEN term LIKE '?%' THEN 'variable' WHEN term LIKE 'ex:%' OR term LIKE '<%' THEN 'iri' ELSE 'literal' END AS kind, term, count(*) AS num_queries FROM placed GROUP BY dataset, place, term""",
     "mined_templates": f"{_SHAPES} SELECT * FROM mined",
     "mined_stats_table": f"""{_SHAPES} SELECT false AS is_total, text, num_instances, num_exec, t_first, t_last, round(sum_log2_exec, 3) AS sum_log2_exec, n_terms, n_params FROM mined
 UNION ALL SELECT true, '', CAST(sum(num_instances) AS BIGINT), CAST(sum(num_exec) AS BIGINT), min(t_first), max(t_last), round(sum(sum_log2_exec), 3), max(n_terms), max(n_params) FROM mined""",
@@ -254,7 +266,7 @@ FROM (SELECT p.id, p.pos, p.value, i.text FROM pos p JOIN inst i ON p.id = i.id)
 
 def queries() -> dict:
     fs = (specialization_nodes_by_dataset, specialization_edges_by_dataset, mined_templates, mined_stats_table, mined_by_cluster, mined_forest_triples, specialization_nodes, specialization_edges, generalization_lattice, generalization_edges, generalization_roots)
-    fs += (query_feature_counts, document_tokens, merged_preambles, rebased_terms, assembled_executions)
+    fs += (query_feature_counts, query_terms_by_place, document_tokens, merged_preambles, rebased_terms, assembled_executions)
     return {f.__name__: f for f in fs}
 
 

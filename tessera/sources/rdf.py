@@ -8,7 +8,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import XSD, unescape_literal
+from tessera.functions.columns import RDF_TYPE, SERVICE, XSD, unescape_literal
 
 _TERM = r"(<[^>]*>|_:[^\s]+)"
 _OBJECT = r'(<[^>]*>|_:[^\s]+|"(?:[^"\\]++|\\.)*+"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)'
@@ -75,6 +75,27 @@ def read_directory(spark: SparkSession, path: str, schema: str, suffix: str, hea
     return rows.select("*", F.regexp_extract(F.col("_metadata.file_name"), f"^(.*){re.escape(suffix)}$", 1).alias("name"))
 
 
+def lines_without(lines: DataFrame, *marks: str) -> DataFrame:
+    """Lines (column ``value``) that hold none of the marks; null lines stay."""
+    held = F.lit(False)
+    for mark in marks:
+        held = held | F.coalesce(F.contains(F.col("value"), F.lit(mark)), F.lit(False))
+    return lines.filter(~held)
+
+
+def catalog_of_files(spark: SparkSession, path: str, graph: str, base: str, suffix: str = ".nt") -> DataFrame:
+    """g, s, p, o: the catalog ``graph`` lists each file in ``path`` that ends in ``suffix`` as a named graph.
+
+    A dataset's IRI is ``base`` and the file's name without the suffix. Files are listed, not read.
+    """
+    glob = re.sub(r"[\[\]{}*?\\]", "?", suffix)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{glob}").load(path).select(F.url_decode(F.replace(F.substring_index("path", "/", -1), F.lit("+"), F.lit("%2B"))).alias("name"))
+    iri = F.concat(F.lit(base), F.regexp_extract("name", f"^(.*){re.escape(suffix)}$", 1))
+    row = lambda s, p, o: F.struct(F.lit(graph).alias("g"), s.alias("s"), F.lit(p).alias("p"), o.alias("o"))
+    both = F.array(row(F.lit(base), SERVICE + "namedGraph", iri), row(iri, RDF_TYPE, F.lit(SERVICE + "NamedGraph")))
+    return files.filter(F.endswith("name", F.lit(suffix))).select(F.explode(both).alias("t")).select("t.*")
+
+
 def read_prefixes(spark: SparkSession, path: str) -> DataFrame:
     """name, iri of a JSON object of prefixes."""
     whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"))

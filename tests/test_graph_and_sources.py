@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
-from tessera.operators import graph, ingest
-from tessera.operators.features import query_features
+from tessera.operators import graph, ingest, stats
+from tessera.operators.features import query_features, term_kind, terms_by_place, triple_patterns
 from tessera.sources import rdf, sinks
 
 
@@ -133,6 +133,48 @@ def test_features(spark):
     assert f.iris == ["<http://q>"] and f.prefixed == ["ex:p"] and f.literals == ['"x"']
 
 
+def test_triple_patterns(spark):
+    q = {
+        "SELECT ?a WHERE { ?a ex:p \"x\"@en , 5 ; a ex:T . ?b <http://q> ?a } ORDER BY ?a LIMIT 3": [("?a", "ex:p", '"x"@en'), ("?a", "ex:p", "5"), ("?a", "a", "ex:T"), ("?b", "<http://q>", "?a")],
+        "CONSTRUCT { ?s ex:b 1 } WHERE { ?s ex:c 2 }": [("?s", "ex:c", "2")],
+        "ASK { ?a ex:p ?b FILTER(?b > 3 && (?b < 9)) ?b ex:q ?c OPTIONAL { ?c ex:r true } FILTER regex(?c, \"x ( y\") }": [("?a", "ex:p", "?b"), ("?b", "ex:q", "?c"), ("?c", "ex:r", "true")],
+        "SELECT * { GRAPH ?g { ?a ex:p/ex:q+ ?b } { SELECT ?b WHERE { ?b ^ex:r|ex:s ?c } LIMIT 2 } UNION { ?b (ex:p|ex:q)* (1 2) } BIND(?b AS ?d) VALUES ?d { 1 } }": [
+            ("?a", "ex:p/ex:q+", "?b"), ("?b", "^ex:r|ex:s", "?c"), ("?b", "()*", "()")
+        ],
+        "DESCRIBE <http://a>": [], "": [], None: None,
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(q)], "i int, t string").select("i", triple_patterns(F.col("t")).alias("p")).orderBy("i")
+    assert [r.p and [tuple(x) for x in r.p] for r in df.collect()] == list(q.values())
+    kinds = {"?a": "variable", "'x'": "literal", "-.5": "literal", "true": "literal", "_:b": "blank", "a": "iri", "<http://a/b>": "iri", "ex:": "iri", "ex:p/ex:q": "path", "()*": "path"}
+    got = spark.createDataFrame([(k,) for k in kinds], "t string").select("t", term_kind(F.col("t")).alias("k")).collect()
+    assert {r.t: r.k for r in got} == kinds
+
+
+def test_terms_of_many_queries(spark):
+    df = spark.createDataFrame([("d", "ASK { ?a ex:p ?a . ?a ex:p 1 }"), ("d", "ASK { ?a ex:q 1 }"), ("e", "ASK { 1 }"), ("e", None)], "k string, text string")
+    got = {tuple(r) for r in terms_by_place(df, "k").collect()}
+    assert got == {("d", "subject_object", "variable", "?a", 2), ("d", "subject_object", "literal", "1", 2), ("d", "predicate", "iri", "ex:p", 1), ("d", "predicate", "iri", "ex:q", 1)}
+
+
+def test_lines_and_catalog_of_files(spark, tmp_path):
+    lines = spark.createDataFrame([("<a> <Cls(b)> .",), ("<a> <b> .",), (None,)], "value string")
+    assert [r.value for r in rdf.lines_without(lines, "<Cls(").collect()] == ["<a> <b> .", None]
+    for name in ("one.nt", "two x+y.nt", "three.csv"):
+        (tmp_path / name).write_text("x")
+    got = {tuple(r) for r in rdf.catalog_of_files(spark, str(tmp_path), "http://c", "http://d/").collect()}
+    names = ("http://d/one", "http://d/two x+y")
+    assert got == {("http://c", "http://d/", C.SERVICE + "namedGraph", n) for n in names} | {("http://c", n, C.RDF_TYPE, C.SERVICE + "NamedGraph") for n in names}
+
+
+def test_execution_graphs(spark):
+    g = "http://d/x/execs"
+    quads = [(g, "q1", "hasRemoteExec", "e1"), (g, "q1", "hasRemoteExec", "e2"), (g, "q2", "hasRemoteExec", "e3"), (g, "e1", "atTime", "t1"), (g, "e2", "atTime", "t2"), (g, "e1", "hostHash", "h"), ("http://d/y/execs", "q", "hasRemoteExec", "e")]
+    quads = spark.createDataFrame([(a, s, (C.PROV if p == "atTime" else C.LSQV) + p, o) for a, s, p, o in quads], "g string, s string, p string, o string")
+    catalog = spark.createDataFrame([(f"http://d/{n}", C.RDF_TYPE, C.SERVICE + "NamedGraph") for n in "xxyz"], "s string, p string, o string")
+    got = [tuple(r) for r in stats.execution_graph_stats(catalog, quads, "http://d/").collect()]
+    assert got == [("x", 1, 2, 1, "t1", "t2")]
+
+
 def test_run_log(spark, tmp_path):
     path = str(tmp_path / "runs")
     with sinks.recorded_run(spark, path, "d"):
@@ -143,7 +185,6 @@ def test_run_log(spark, tmp_path):
 
 
 def test_stream_counts_like_a_batch(spark, tmp_path):
-    from tessera.sources.querylog import executions
     from tessera.streaming.usage import read_stream, template_usage_by_window
 
     rows = [("2024-01-01 01:00:00", "ASK { 1 }"), ("2024-01-01 02:00:00", "ASK { 2 }"), ("2024-01-02 01:00:00", "ASK { 1 }")]
@@ -154,4 +195,3 @@ def test_stream_counts_like_a_batch(spark, tmp_path):
     run.awaitTermination(120)
     got = sorted((r.window_start.day, r.template, r.num_exec) for r in spark.table("usage_by_day").collect())
     assert got == [(1, "ASK { $__PARAM_0 }", 2), (2, "ASK { $__PARAM_0 }", 1)]
-    assert executions is not None
