@@ -28,29 +28,35 @@ def route(df: DataFrame, condition) -> tuple[DataFrame, DataFrame]:
     return df.filter(hit), df.filter(~hit)
 
 
+_STRETCH = 100_000
+
+
+def _joined(rows: DataFrame, sums: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Rows with the sums of their stretch; null keys are keys as any other."""
+    named = sums.select(*[F.col(k).alias(f"_of_{i}") for i, k in enumerate(keys)], *[c for c in sums.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{i}")) for i, k in enumerate(keys)]
+    return rows.join(named, same).drop(*[f"_of_{i}" for i in range(len(keys))])
+
+
 def run_groups(rows: DataFrame, group: str, order: str, partition: str | None = None) -> DataFrame:
     """``run``: number of the contiguous run of equal ``group`` values; a group that comes back begins a new run.
 
-    Within ``partition`` (a file, a source) runs are counted by window; without one, the order column
-    must be numeric and is cut into stretches whose runs are joined by an offset.
+    Runs are counted within ``partition`` (a file, a source) if one is named. ``order`` is a whole number: it
+    is cut into stretches, so that no file is ordered in one task, and an offset joins the runs of its stretches.
     """
-    if partition:
-        w = Window.partitionBy(partition).orderBy(order)
-        start = (~F.col(group).eqNullSafe(F.lag(group).over(w))) | F.lag(order).over(w).isNull()
-        return rows.withColumn("run", F.sum(start.cast("int")).over(w))
-    stretch = F.floor(F.col(order) / 100_000)
-    cut_rows = rows.withColumn("_stretch", stretch)
-    w = Window.partitionBy("_stretch").orderBy(order)
-    marked = cut_rows.withColumn("_start", ((~F.col(group).eqNullSafe(F.lag(group).over(w))) & F.lag(order).over(w).isNotNull()).cast("int"))
+    parts = (partition,) if partition else ()
+    keys = (*parts, "_stretch")
+    w = Window.partitionBy(*keys).orderBy(order)
+    marked = rows.withColumn("_stretch", F.floor(F.col(order) / _STRETCH))
+    marked = marked.withColumn("_start", ((~F.col(group).eqNullSafe(F.lag(group).over(w))) & (F.row_number().over(w) > 1)).cast("int"))
     # one row for each stretch
-    ends = marked.groupBy("_stretch").agg(F.sum("_start").alias("_n"), F.min_by(group, order).alias("_first"), F.max_by(group, order).alias("_last"))
-    by_stretch = Window.orderBy("_stretch")
-    fresh = (~F.col("_first").eqNullSafe(F.lag("_last").over(by_stretch)) | F.lag("_stretch").over(by_stretch).isNull()).cast("int")
+    ends = marked.groupBy(*keys).agg(F.sum("_start").alias("_n"), F.min_by(group, order).alias("_first"), F.max_by(group, order).alias("_last"))
+    by_stretch = Window.partitionBy(*parts).orderBy("_stretch")
+    fresh = (~F.col("_first").eqNullSafe(F.lag("_last").over(by_stretch)) | (F.row_number().over(by_stretch) == 1)).cast("int")
     ends = ends.withColumn("_fresh", fresh)
     before = F.coalesce(F.sum(F.col("_n") + F.col("_fresh")).over(by_stretch.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ends = ends.select("_stretch", (before + F.col("_fresh")).alias("_offset"))
-    numbered = marked.join(ends, "_stretch").withColumn("run", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_offset"))
-    return numbered.drop("_stretch", "_start", "_offset")
+    numbered = _joined(marked, ends.select(*keys, (before + F.col("_fresh")).alias("_offset")), keys)
+    return numbered.withColumn("run", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_offset")).drop("_stretch", "_start", "_offset")
 
 
 def execution_sets(triples: DataFrame, file: str = "file") -> DataFrame:
@@ -62,9 +68,13 @@ def execution_sets(triples: DataFrame, file: str = "file") -> DataFrame:
     last, but every one lacks it until then).
     """
     own = triples.filter(F.col("s").startswith(REMOTE_EXEC)).withColumn("property", F.element_at(F.create_map(*[F.lit(x) for kv in _PROPERTIES.items() for x in kv]), F.col("p")))
-    w = Window.partitionBy(file).orderBy("line")
-    closed = F.coalesce(F.sum((F.col("property") == "atTime").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = own.withColumn("_set", closed)
+    # sets closed before a line: those before it in its stretch, and those of earlier stretches of the file
+    keys, end = (file, "_stretch"), F.coalesce((F.col("property") == "atTime").cast("int"), F.lit(0))
+    own = own.withColumn("_stretch", F.floor(F.col("line") / _STRETCH))
+    earlier = Window.partitionBy(file).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    ends = own.groupBy(*keys).agg(F.sum(end).alias("_n")).select(*keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    w = Window.partitionBy(*keys).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = _joined(own, ends, keys).withColumn("_set", F.coalesce(F.sum(end).over(w), F.lit(0)) + F.col("_offset"))
     sets = numbered.groupBy(file, "_set").agg(
         F.min_by("s", "line").alias("exec_iri"),
         F.max(F.when(F.col("property") == "atTime", F.col("line"))).alias("line"),

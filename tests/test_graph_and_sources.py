@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import bz2
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +110,33 @@ def test_runs(spark, partition):
     assert [r - runs[0] for r in runs] == [0, 0, 1, 1, 2, 3, 3]
 
 
+def test_runs_and_sets_across_stretches_like_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(ingest, "_STRETCH", 4)
+    r = random.Random(5)
+    rows = [(f, i * r.choice([1, 1, 3]) + 100 * k, r.choice(["a", "b", None])) for k in range(3) for i in range(0, 60, 3) for f in (["x", "y", None][k],)]
+    rows = sorted({(f, i): (f, i, g) for f, i, g in rows}.values(), key=lambda t: t[1])
+    want, last = {}, {}
+    for f, i, g in rows:
+        n, old = last.get(f, (0, object()))
+        last[f] = (n + (g != old), g)
+        want[f, i] = last[f][0]
+    df = spark.createDataFrame(rows, "f string, i long, g string")
+    assert {(x.f, x.i): x.run for x in ingest.run_groups(df, "g", "i", "f").collect()} == want
+
+    lines, sets, name, hosts = [], set(), None, []
+    for n in range(80):
+        exec_iri, time = f"{ingest.REMOTE_EXEC}{n // 7}", r.random() < 0.3
+        lines.append(("f", n, exec_iri, C.PROV + "atTime" if time else C.LSQV + "hostHash", f"v{n}"))
+        name = name or exec_iri
+        if time:
+            sets |= {(name, f"v{n}", h) for h in hosts or [None]}
+            name, hosts = None, []
+        else:
+            hosts.append(f"v{n}")
+    df = spark.createDataFrame(lines, "file string, line long, s string, p string, o_value string")
+    assert {(x.exec_iri, x.ts, x.host) for x in ingest.execution_sets(df).collect()} == sets
+
+
 def test_entropy_and_types(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 4), ("c", None)], "k string, n long")
     assert {r.k: round(r.e, 6) for r in df.groupBy("k").agg(C.entropy(F.col("n")).alias("e")).collect()} == {"a": 1.5, "b": 0.0, "c": 0.0}
