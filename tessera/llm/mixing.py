@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Each document has a reproducible 64-bit hash. Token counts are summed by source and hash bucket;
+Each row has a reproducible 64-bit hash. Token counts are summed by source and hash bucket;
 the running sum over the buckets says in which bucket a source's budget ends, and only that bucket
 is summed again by finer buckets. What lies below the threshold is taken: nested budgets take nested
 sets, and no document is sorted.
@@ -10,13 +10,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import cut, fresh, small_side, table, utf8
+from tessera.llm.common import cut, fresh, small_side, table, utf8, written
 
 #: Most times that a source may be repeated.
 MOST_REPEATS = 3
 #: Bits of the hash that each histogram resolves, and the number of histograms.
 BITS, LEVELS = 10, 3
+#: Equal rows that one task numbers.
+COPIES = 1 << 16
 WORD = "[^\\x20\\x09-\\x0D]+"
 SALT = "mix-1"
 
@@ -103,18 +106,38 @@ def thresholds(hashed: DataFrame, targets: DataFrame) -> DataFrame:
     return cut(state.drop("_left"))
 
 
-def hash_prefix(doc_id: Column) -> Column:
-    """The upper bits of a reproducible hash of the row's id."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(SALT), doc_id), 64 - BITS * LEVELS)
+def hash_prefix(*of: Column) -> Column:
+    """The upper bits of a reproducible hash of a row and its number among rows like it."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(SALT), *of), 64 - BITS * LEVELS)
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A hash of all columns of a row."""
+    maps = {f.name for f in docs.schema.fields if isinstance(f.dataType, T.MapType)}
+    return F.xxhash64(*[F.to_json(c) if c in maps else F.col(c) for c in docs.columns])
+
+
+def _with_copies(groups: DataFrame, *keys: str) -> DataFrame:
+    """A row with ``copy`` (from 0) for each of the ``n`` rows of each group; a group of more than ``COPIES`` rows is
+    dealt to many tasks."""
+    many = groups.filter(F.col("n") > COPIES).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))))
+    many = many.repartition(*[F.col(k) for k in keys], F.col("_chunk"))
+    last = F.least(F.col("n"), (F.col("_chunk") + 1) * COPIES) - 1
+    many = many.withColumn("copy", F.explode(F.sequence(F.col("_chunk") * COPIES, last))).drop("_chunk")
+    return groups.filter(F.col("n") <= COPIES).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).unionByName(many)
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken for each document.
 
     Null texts and texts without words have size 0 and are taken 0 words; a null source is a source
-    of its own; documents with equal ids share a hash and so a fate; an empty table gives no rows.
+    of its own; an empty table gives no rows. A row's fate hangs on all its columns, so rows that share
+    an id (or have none) part; rows equal in all columns are numbered and part by their number.
     """
-    hashed = cut(docs.select(F.col("doc_id").cast("long"), "source", word_count().alias("size"), hash_prefix(F.col("doc_id").cast("long")).alias("prefix")))
+    keys = ("doc_id", "source", "size", "hash")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("size"), row_key(docs).alias("hash"))
+    groups = cut(rows.groupBy(*keys).agg(F.count("*").alias("n")))
+    hashed = _with_copies(groups, *keys).withColumn("prefix", hash_prefix(F.col("hash"), F.col("copy")))
     bounds = thresholds(hashed, source_targets(hashed))
     return with_takes(hashed, bounds).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("_takes")).alias("taken"), F.col("_takes").alias("times"))
 
@@ -127,19 +150,34 @@ def with_takes(hashed: DataFrame, bounds: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents as often as the mix takes them, with their columns as they are."""
-    key, times = fresh(docs, "prefix"), fresh(docs, "takes")
-    hashed = cut(docs.select("source", word_count().alias("size"), hash_prefix(F.col("doc_id").cast("long")).alias("prefix")))
+    """The documents as often as the mix takes them, with their columns as they are.
+
+    A row is known by the hash of all its columns; rows equal in all of them are numbered.
+    """
+    key, times, src = fresh(docs, "row_key"), fresh(docs, "takes"), fresh(docs, "mix_source")
+    groups = cut(docs.select("source", word_count().alias("size"), row_key(docs).alias("hash")).groupBy("source", "size", "hash").agg(F.count("*").alias("n")))
+    hashed = _with_copies(groups, "hash").withColumn("prefix", hash_prefix(F.col("hash"), F.col("copy")))
     bounds = thresholds(hashed, source_targets(hashed))
-    src = fresh(docs, "mix_source")
     side = small_side(bounds.select(F.col("source").alias(src), F.struct("times", "below").alias(times)), bounds.count())
-    taken = (
-        docs.withColumn(key, hash_prefix(docs["doc_id"].cast("long")))
-        .join(side, docs["source"].eqNullSafe(F.col(src)))
-        .withColumn(times, F.least(F.col(f"{times}.times") + (F.col(key) < F.col(f"{times}.below")).cast("long"), F.lit(MOST_REPEATS)).cast("int"))
-        .filter(F.col(times) > 0)
-    )
-    return taken.withColumn(times, F.explode(F.array_repeat(F.lit(0), F.col(times)))).select(*docs.columns)
+
+    def taken(rows: DataFrame, prefix: Column) -> DataFrame:
+        met = rows.join(side, F.col("source").eqNullSafe(F.col(src)))
+        found = F.least(F.col(f"{times}.times") + (prefix < F.col(f"{times}.below")).cast("long"), F.lit(MOST_REPEATS)).cast("int")
+        met = met.withColumn(times, found).filter(F.col(times) > 0)
+        return met.withColumn(times, F.explode(F.array_repeat(F.lit(0), F.col(times)))).select(*docs.columns)
+
+    keyed = docs.withColumn(key, row_key(docs))
+    repeated = groups.filter("n > 1").select(F.col("hash").alias(src), F.col("n").alias(times))
+    count = repeated.count()
+    if not count:
+        return taken(keyed, hash_prefix(F.col(key), F.lit(0).cast("long")))
+    rows_of = small_side(repeated, count)
+    single = keyed.join(rows_of, F.col(key) == F.col(src), "left_anti")
+    # equal rows: one of them, as often as there are
+    one = keyed.join(rows_of, F.col(key) == F.col(src)).groupBy(key).agg(F.first(F.struct(*docs.columns)).alias("_row"), F.max(times).alias("n"))
+    one = written(one.select(F.col(key).alias("_key"), "n", *[F.col("_row")[c].alias(f"_c{k}") for k, c in enumerate(docs.columns)]))
+    copies = _with_copies(one, "_key").select("_key", F.col("copy").alias("_copy"), *[F.col(f"_c{k}").alias(c) for k, c in enumerate(docs.columns)])
+    return taken(single, hash_prefix(F.col(key), F.lit(0).cast("long"))).unionByName(taken(copies, hash_prefix(F.col("_key"), F.col("_copy"))))
 
 
 def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

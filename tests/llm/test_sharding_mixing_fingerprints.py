@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -89,6 +90,56 @@ def test_mix_is_near_its_targets(spark):
     assert texts.agg(F.sum(mixing.word_count())).first()[0] == sum(r.taken for r in per)
 
 
+def test_sources_of_repeated_and_null_ids_meet_their_targets(spark, monkeypatch):
+    # source "b" has one id for all rows, source "c" none, source "d" one row 300 times
+    monkeypatch.setattr(mixing, "COPIES", 64)
+    rows = [(i, f"t{i} of four words", "a") for i in range(300)] + [(77, f"u{i} of four words", "b") for i in range(300)]
+    rows += [(None, f"v{i} of four words", "c") for i in range(300)] + [(None, "again and again this", "d")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    target = {r.source: r.target for r in mixing.source_targets(docs.select("source", mixing.word_count().alias("size"))).collect()}
+    assert {s: round(t) for s, t in target.items()} == {"a": 686, "b": 1371, "c": 2057, "d": 686}
+    mixed = {r.source: r.taken for r in mixing.mixed_documents(docs).groupBy("source").agg(F.sum(mixing.word_count()).alias("taken")).collect()}
+    # all texts have four words; ids tell sources apart but for c and d, which the targets do
+    per = mixing.mix(docs).groupBy(F.when(F.col("doc_id") < 300, "ab").alias("ids"), (F.col("doc_id") == 77).alias("hot"), "target").agg(F.sum("taken").alias("taken"), F.count("*").alias("n")).collect()
+    assert sum(r.n for r in per) == 1200
+    assert all(abs(mixed[s] - t) <= 4 for s, t in target.items())
+    got = [(r.hot, r.target, r.taken) for r in per]
+    assert abs(next(t for hot, goal, t in got if hot and round(goal) == 1371) - 1371) <= 4
+    assert abs(next(t for hot, goal, t in got if hot is None and round(goal) == 2057) - 2057) <= 4
+    assert abs(next(t for hot, goal, t in got if hot is None and round(goal) == 686) - 686) <= 4
+
+
+def test_takes_like_a_plain_threshold_walk(spark):
+    r = random.Random(5)
+    rows = [(i % 900, " ".join(["w"] * r.randrange(0, 30)) + f" {i % 1100}", r.choice("aaaabc")) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    groups = docs.select("doc_id", "source", mixing.word_count().alias("size"), mixing.row_key(docs).alias("hash")).groupBy("doc_id", "source", "size", "hash").agg(F.count("*").alias("n"))
+    hashed = mixing._with_copies(groups, "hash").withColumn("prefix", mixing.hash_prefix(F.col("hash"), F.col("copy")))
+    plain = hashed.select("source", "size", "prefix").collect()
+    sizes = Counter()
+    for x in plain:
+        sizes[x.source] += x.size
+    want = Counter()
+    for source, target in _plain_targets(dict(sizes)).items():
+        times = min(int(target // max(sizes[source], 1)), 3)
+        left, used, below = target - times * sizes[source], 0, 0
+        buckets = Counter()
+        for x in plain:
+            if x.source == source:
+                buckets[x.prefix] += x.size
+        for at in sorted(b for b in buckets if buckets[b]):
+            if used + buckets[at] > left:
+                below = at + (left - used > buckets[at] / 2)
+                break
+            used += buckets[at]
+        for x in plain:
+            if x.source == source:
+                want[source, x.size, x.size * min(times + (x.prefix < below), 3)] += 1
+    sized = {round(t, 6): s for s, t in _plain_targets(dict(sizes)).items()}
+    got = Counter((sized[round(x.target, 6)], x.size, x.taken) for x in mixing.mix(docs).collect())
+    assert got == want
+
+
 def test_mixed_documents_keep_columns(odd_docs, no_docs):
     out = mixing.mixed_documents(odd_docs)
     assert out.columns == odd_docs.columns and out.count() > 0
