@@ -87,22 +87,22 @@ def _set_key(s: np.ndarray) -> bytes:
     return tb.mix(np.array([s.sum(dtype=_U), np.bitwise_xor.reduce(tb.mix(s, 11)) + _U(len(s))], _U), 13).tobytes()
 
 
-_SKETCHED = "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch binary"
+_SKETCHED = "doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>, sketch binary"
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
+        ids, keys, texts = batch.column(0), batch.column(1), batch.column(2)
         first, held = 0, []
         for _, j, data, at in tb.chunks(texts):
             held += document_sets(data, at)
             # rounds of a sketch cost the same for few sets as for many
             if len(held) >= SKETCHED_SETS or sum(map(len, held)) >= SKETCHED_ITEMS or j == len(texts):
-                yield _sketch_rows(ids.slice(first, j - first), held)
+                yield _sketch_rows(ids.slice(first, j - first), keys.slice(first, j - first), held)
                 first, held = j, []
 
 
-def _sketch_rows(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+def _sketch_rows(ids: pa.Array, text_keys: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
     coords = sketch(sets)
     banded = coords.reshape(len(sets), BANDS, ROWS)
     keys = np.zeros((len(sets), BANDS), _U)
@@ -117,19 +117,20 @@ def _sketch_rows(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             ids,
+            text_keys,
             pa.array([len(s) for s in sets], pa.int64()),
             pa.array([None if e else _set_key(s) for s, e in zip(sets, empty)], pa.binary()),
             bands,
             pa.array([None if e else row.tobytes() for row, e in zip(small, empty)], pa.binary()),
         ],
-        names=["doc_id", "n_shingles", "set_key", "bands", "sketch"],
+        names=["doc_id", "text_key", "n_shingles", "set_key", "bands", "sketch"],
     )
 
 
 def sketch_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key, bands, sketch; the last three are null for documents without words."""
+    """doc_id, text_key (a hash of the text), n_shingles, set_key, bands, sketch; the last three are null for documents without words."""
     bound_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketched, _SKETCHED)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text").mapInArrow(_sketched, _SKETCHED)
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,8 +153,15 @@ def _sets_of(column: pa.Array) -> Iterator[np.ndarray]:
         yield from document_sets(data, at)
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the distinct, kept (a, b) whose documents' full sets are similar enough.
+def _texts_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of the kept ``nodes`` with the text of the document and text that stands for each node."""
+    named = nodes.join(classes.select("node", "doc_id", "text_key"), "node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return texts.join(small_side(named, nodes.count()), ["doc_id", "text_key"]).select(*nodes.columns, "text")
+
+
+def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the distinct, kept (a, b) whose nodes' full sets are similar enough.
 
     Only texts of documents in a pair are shuffled. A node in many pairs gets one copy of its text
     for ``PAIRS_PER_COPY`` of them, so that no task holds all of a hub's pairs.
@@ -165,8 +173,7 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         .groupBy("node")
         .agg(F.max(F.when(F.col("right") == 0, F.col("copies"))).alias("copies"), F.max("right").alias("right"))
     )
-    ids = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-    texts = ids.join(small_side(involved, involved.count()), "node")
+    texts = _texts_of(involved, classes, docs)
     left = texts.filter("copies is not null").select(F.col("node").alias("a"), F.col("text").alias("ta"), F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)).alias("copy"))
     right = texts.filter("right = 1").select(F.col("node").alias("b"), F.col("text").alias("tb"))
     dealt = pairs.join(small_side(degree, involved.count()), "a").withColumn("copy", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int")).select("a", "b", "copy")
@@ -295,7 +302,7 @@ def _stars(members: DataFrame, weight) -> DataFrame:
     return met.select(F.least("node", "_pivot").alias("a"), F.greatest("node", "_pivot").alias("b")).distinct()
 
 
-def _unsettled_pairs(open_rows: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
+def _unsettled_pairs(open_rows: DataFrame, sketches: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Distinct pairs of nodes that share a bucket, lie in different components and may be similar enough."""
     small = open_rows.filter(F.col("size") <= SMALL_BUCKET)
     pairs = (
@@ -308,8 +315,7 @@ def _unsettled_pairs(open_rows: DataFrame, sketches: DataFrame, docs: DataFrame)
     large = open_rows.filter(F.col("size") > SMALL_BUCKET)
     dense = packed(cut(_tiles(large, sketches).groupBy("bucket", "at", "by").applyInPandas(_block_pairs, "a long, b long").distinct()))
     nodes = packed(cut(dense.select(F.col("a").alias("node")).unionByName(dense.select(F.col("b").alias("node"))).distinct()))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(small_side(nodes, nodes.count()), "node")
-    wide = texts.mapInArrow(_widely_sketched, "node long, wide binary").dropDuplicates(["node"])
+    wide = _texts_of(nodes, classes, docs).select("node", "text").mapInArrow(_widely_sketched, "node long, wide binary").dropDuplicates(["node"])
     dense = (
         dense.join(wide.select(F.col("node").alias("a"), F.col("wide").alias("wa")), "a")
         .join(wide.select(F.col("node").alias("b"), F.col("wide").alias("wb")), "b")
@@ -322,26 +328,28 @@ def _unsettled_pairs(open_rows: DataFrame, sketches: DataFrame, docs: DataFrame)
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``.
 
-    A document without words or text is linked with nothing. Rows with equal doc_id are one node
-    (its links are those of all its texts). A row without a doc_id takes no part: its component_id
+    A document without words or text is linked with nothing. Rows with equal doc_id are linked with each
+    other (its links are those of all its texts). A row without a doc_id takes no part: its component_id
     is null and it is kept. An empty table gives no rows.
     """
     sketched = cut(sketch_documents(docs))
     sets = sketched.filter("set_key is not null and doc_id is not null")
-    # a class of equal sets is known by its least document
-    classes = cut(sets.groupBy("set_key").agg(F.min("doc_id").alias("node")))
-    nodes = sets.join(classes.withColumnRenamed("node", "doc_id"), ["set_key", "doc_id"]).select(F.col("doc_id").alias("node"), "set_key", "bands", "sketch").dropDuplicates(["node", "set_key"])
+    # a node is a class of equal sets, numbered at will; its least document and that one's text stand for it
+    classes = sets.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("one")).select("set_key", "one.doc_id", "one.text_key")
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
+    nodes = cut(sets.join(classes, ["set_key", "doc_id", "text_key"]).select("node", "bands", "sketch").dropDuplicates(["node"]))
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     members = packed(cut(banded.join(shared, "bucket").select("bucket", "node", "size").distinct()))
-    several = (
-        sets.select("doc_id", "set_key").join(classes, "set_key").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("a", "b")
-    )
-    sketches = cut(nodes.select("node", "sketch").dropDuplicates(["node"]))
+    # documents with several sets link all of them
+    owned = sets.select("doc_id", "set_key").join(classes.select("set_key", "node"), "set_key").select("doc_id", "node")
+    twice = cut(owned.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("doc_id", "a"))
+    several = owned.join(small_side(twice, twice.count()), "doc_id").filter("node > a").select("a", F.col("node").alias("b")).distinct()
+    sketches = nodes.select("node", "sketch")
     # the node that meets the most others is the likeliest to link with all of them
     meets = members.groupBy("node").agg(F.sum("size").alias("meets"))
     tried = packed(cut(close_pairs(_stars(members.join(meets, "node").withColumn("component", F.col("node")), F.col("meets")), sketches)))
-    links = verify(tried, docs).unionByName(several)
+    links = verify(tried, classes, docs).unionByName(several)
     labels = components(links)
     open_rows = _open_members(members, labels)
     for turn in range(EXTRA_STARS):
@@ -350,16 +358,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         stars = packed(cut(close_pairs(_stars(large, F.xxhash64(F.lit(turn), "node")), sketches).join(tried, ["a", "b"], "left_anti")))
         if stars.isEmpty():
             break
-        found = verify(stars, docs)
+        found = verify(stars, classes, docs)
         tried = tried.unionByName(stars)
         if not found.isEmpty():
             labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
             open_rows = _open_members(members, labels)
-    last = packed(cut(_unsettled_pairs(open_rows, sketches, docs).join(tried, ["a", "b"], "left_anti")))
+    last = packed(cut(_unsettled_pairs(open_rows, sketches, classes, docs).join(tried, ["a", "b"], "left_anti")))
     if not last.isEmpty():
-        found = verify(last, docs)
+        found = verify(last, classes, docs)
         labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
-    settled = classes.join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
+    settled = cut(classes.join(labels, "node", "left").select("set_key", "doc_id", F.coalesce("component", "node").alias("component")))
+    least = settled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    settled = settled.join(least, "component").select("set_key", "component_id")
     return (
         sketched.select("doc_id", "n_shingles", "set_key")
         .join(settled, "set_key", "left")

@@ -93,6 +93,31 @@ def test_one_id_with_two_texts(spark):
     assert got == {(1, 1), (2, 1), (3, 1)}
 
 
+def test_near_second_texts_of_one_id(spark):
+    a, b, c = ([f"{k}{i}" for i in range(60)] for k in "abc")
+    near = lambda w: " ".join([*w[:30], "x", *w[31:]])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (1, " ".join(c)), (2, near(a)), (3, near(b)), (4, near(c)), (5, None), (5, near(a)), (5, near(b))]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (5, 1), (5, 5)]
+
+
+def test_no_link_missed_around_the_threshold(spark):
+    # pairs of 0.75 to 0.85 and above, each pair on its own
+    r = random.Random(12)
+    rows = []
+    for i in range(400):
+        w = [f"p{i}w{k}" for k in range(r.randrange(60, 200))]
+        rows.append((2 * i, " ".join(w)))
+        for k in range(r.randrange(1, max(2, len(w) // 30))):
+            w[r.randrange(len(w))] = f"edit{k}"
+        rows.append((2 * i + 1, " ".join(w)))
+    sets = [shingle_set(t) for _, t in rows]
+    alike = [len(sets[2 * i] & sets[2 * i + 1]) / len(sets[2 * i] | sets[2 * i + 1]) for i in range(400)]
+    assert sum(0.75 <= x < 0.85 for x in alike) > 60 and sum(x < 0.75 for x in alike) > 60
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == near_components(rows)
+
+
 def test_blocks_of_a_large_bucket(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL_BUCKET", 3)
     monkeypatch.setattr(neardup, "BLOCK", 4)
