@@ -18,6 +18,7 @@ _QUERIES = {
     "op8_mixing_sources": "mixing",
     "op9_minhash_neardup": "neardup",
     "op10_document_fingerprints": "fingerprints",
+    "op11_fill_in_middle": "fill_in_middle",
 }
 
 
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    from tessera.llm.fill_in_middle import ORACLE_FILL_IN_MIDDLE
     from tessera.llm.topk import ORACLE_TOPK
 
-    return {"op4_nra_topk": ORACLE_TOPK}
+    return {"op4_nra_topk": ORACLE_TOPK, "op11_fill_in_middle": ORACLE_FILL_IN_MIDDLE}
