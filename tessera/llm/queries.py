@@ -20,6 +20,7 @@ _QUERIES = {
     "op10_document_fingerprints": "fingerprints",
     "op11_fill_in_middle": "fill_in_middle",
     "op12_prefix_trie": "prefix_trie",
+    "op13_recompression_dedup": "recompression",
 }
 
 
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from tessera.llm.fill_in_middle import ORACLE_FILL_IN_MIDDLE
     from tessera.llm.prefix_trie import ORACLE_PREFIX_TRIE
+    from tessera.llm.recompression import ORACLE_RECOMPRESSION
     from tessera.llm.topk import ORACLE_TOPK
 
-    return {"op4_nra_topk": ORACLE_TOPK, "op11_fill_in_middle": ORACLE_FILL_IN_MIDDLE, "op12_prefix_trie": ORACLE_PREFIX_TRIE}
+    return {"op4_nra_topk": ORACLE_TOPK, "op11_fill_in_middle": ORACLE_FILL_IN_MIDDLE, "op12_prefix_trie": ORACLE_PREFIX_TRIE, "op13_recompression_dedup": ORACLE_RECOMPRESSION}
