@@ -12,8 +12,9 @@ out all pairs of a bucket of copies:
    member is verified against it on the full sets, and connected components follow from that; large
    buckets that still hold several components get other pivots in turn;
 2. only members of one bucket that then still lie in different components are compared: by their
-   sketches, in large buckets a block of members with a block of outsiders at a time; pairs that stand
-   no chance fall away, there by wider sketches too, and the rest is compared by full sets.
+   sketches, in large buckets (those of one main component merged where that is less work) by wider ones, a
+   block of members with a block of outsiders at a time; pairs that stand no chance fall away, and the
+   rest is compared by full sets.
 
 A pair of similarity 0.75 misses every bucket with probability ``(1 - 0.75**ROWS) ** BANDS`` (2e-6).
 """
@@ -41,8 +42,8 @@ WIDE, WIDE_LEAST_EQUAL = 1024, 709
 SKETCHED_SETS, SKETCHED_ITEMS = 600, 250_000
 #: Members of a bucket that are paired in SQL; larger buckets are cut into blocks of about so many.
 SMALL_BUCKET, BLOCK = 16, 256
-#: Rounds with other pivots for large buckets, before their members are compared in blocks.
-EXTRA_STARS = 1
+#: Rounds with other pivots for large buckets, before their members are compared in blocks, and pivots of a bucket in each.
+EXTRA_STARS, PIVOTS = 1, 2
 #: Verified pairs of one node that share a copy of its text.
 PAIRS_PER_COPY = 512
 _U = np.uint64
@@ -223,39 +224,44 @@ def _widely_sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         for i, j, data, at in tb.chunks(batch.column(1)):
             small = (tb.mix(sketch(document_sets(data, at), WIDE), 17) >> _U(60)).astype(np.uint8)
             halves = small[:, ::2] << 4 | small[:, 1::2]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([row.tobytes() for row in halves], pa.binary())], names=["node", "wide"])
-
-
-def _widely_close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs with both wide sketches those that may reach the threshold."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, WIDE // 2) for k in (2, 3))
-        equal = (x >> 4 == y >> 4).sum(axis=1) + (x & 15 == y & 15).sum(axis=1)
-        keep = pa.array(equal >= WIDE_LEAST_EQUAL)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([row.tobytes() for row in halves], pa.binary())], names=["node", "sketch"])
 
 
 def _block_pairs(frame):
     """Pairs of a block of a bucket's members with a block of its nodes outside the main component, whose components
-    differ and whose sketches are close. Two outsiders meet where the larger one is the member.
+    differ and whose wide sketches are close. Two outsiders meet where the larger one is the member.
     """
     import pandas as pd
 
     node, comp, guest, outside = (frame[c].to_numpy() for c in ("node", "component", "guest", "outside"))
     a, b = [], []
     if (comp != comp[0]).any():
-        small = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(-1, COORDINATES)
+        packed_bits = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(-1, WIDE // 2)
+        wide = np.concatenate([packed_bits >> 4, packed_bits & 15], axis=1)
         own = np.flatnonzero(~guest)
         for k in np.flatnonzero(guest):
             at = own[(comp[own] != comp[k]) & (~outside[own] | (node[own] > node[k]))]
-            at = at[(small[at] == small[k]).sum(axis=1) >= LEAST_EQUAL] if len(at) else at
+            at = at[(wide[at] == wide[k]).sum(axis=1) >= WIDE_LEAST_EQUAL] if len(at) else at
             a += [node[k]] * len(at)
             b += node[at].tolist()
     return pd.DataFrame({"a": np.minimum(a, b).astype(np.int64), "b": np.maximum(a, b).astype(np.int64)})
 
 
+def _merged_buckets(large: DataFrame) -> DataFrame:
+    """``large`` (bucket, node, component, size) with the buckets of one main component merged to one where that gives fewer
+    comparisons: nodes outside of it meet its members in many bands, and are then compared once and not in each.
+    """
+    of_size = large.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"))
+    placed = large.join(of_size, "bucket")
+    once = placed.groupBy("main", "node", "component").agg(F.count("*").alias("_rows"))
+    wholes = once.groupBy("main").agg(F.count("*").alias("whole"), F.count_if(F.col("component") != F.col("main")).alias("outside"))
+    apart = placed.filter("component <> main").groupBy("main").agg(F.sum("size").alias("apart"))
+    merged = cut(wholes.join(apart, "main").filter("whole * outside < apart").select("main", "whole"))
+    side = small_side(merged, merged.count())
+    joint = once.join(side, "main").select(F.xxhash64(F.lit("merged"), "main").alias("bucket"), "node", "component", F.col("whole").alias("size"))
+    return placed.join(side, "main", "left_anti").select("bucket", "node", "component", "size").unionByName(joint)
+
+
 def _tiles(large: DataFrame, sketches: DataFrame) -> DataFrame:
     """The members of large buckets for :func:`_block_pairs`: bucket, at, by, node, component, outside, guest, sketch.
 
@@ -302,6 +308,19 @@ def _stars(members: DataFrame, weight) -> DataFrame:
     return met.select(F.least("node", "_pivot").alias("a"), F.greatest("node", "_pivot").alias("b")).distinct()
 
 
+def _main_stars(members: DataFrame, turn: int) -> DataFrame:
+    """Distinct pairs (a < b) of each bucket's nodes outside its largest component and ``PIVOTS`` nodes of that component.
+
+    A near copy that the first pivot missed is likely to link with one of several; who does not is few.
+    """
+    of_size = members.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("_main"))
+    placed = members.join(of_size, "bucket")
+    drawn = F.xxhash64(F.lit(turn), "node")
+    pivots = placed.filter("component = _main").groupBy("bucket", F.pmod(drawn, F.lit(PIVOTS)).alias("_of")).agg(F.max(F.struct(drawn.alias("h"), F.col("node").alias("n"))).alias("p")).select("bucket", F.col("p.n").alias("_pivot"))
+    met = placed.filter("component <> _main").select("bucket", "node").join(pivots, "bucket")
+    return met.select(F.least("node", "_pivot").alias("a"), F.greatest("node", "_pivot").alias("b")).distinct()
+
+
 def _unsettled_pairs(open_rows: DataFrame, sketches: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Distinct pairs of nodes that share a bucket, lie in different components and may be similar enough."""
     small = open_rows.filter(F.col("size") <= SMALL_BUCKET)
@@ -312,16 +331,10 @@ def _unsettled_pairs(open_rows: DataFrame, sketches: DataFrame, classes: DataFra
         .select("a", "b")
         .distinct()
     )
-    large = open_rows.filter(F.col("size") > SMALL_BUCKET)
-    dense = packed(cut(_tiles(large, sketches).groupBy("bucket", "at", "by").applyInPandas(_block_pairs, "a long, b long").distinct()))
-    nodes = packed(cut(dense.select(F.col("a").alias("node")).unionByName(dense.select(F.col("b").alias("node"))).distinct()))
-    wide = _texts_of(nodes, classes, docs).select("node", "text").mapInArrow(_widely_sketched, "node long, wide binary").dropDuplicates(["node"])
-    dense = (
-        dense.join(wide.select(F.col("node").alias("a"), F.col("wide").alias("wa")), "a")
-        .join(wide.select(F.col("node").alias("b"), F.col("wide").alias("wb")), "b")
-        .select("a", "b", "wa", "wb")
-        .mapInArrow(_widely_close, "a long, b long")
-    )
+    large = packed(cut(_merged_buckets(open_rows.filter(F.col("size") > SMALL_BUCKET))))
+    nodes = packed(cut(large.select("node").distinct()))
+    wide = cut(_texts_of(nodes, classes, docs).select("node", "text").mapInArrow(_widely_sketched, "node long, sketch binary").dropDuplicates(["node"]))
+    dense = packed(cut(_tiles(large, wide).groupBy("bucket", "at", "by").applyInPandas(_block_pairs, "a long, b long").distinct()))
     return close_pairs(pairs, sketches).unionByName(dense).distinct()
 
 
@@ -355,7 +368,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     for turn in range(EXTRA_STARS):
         # other pivots for the large buckets that still hold several components
         large = open_rows.filter(F.col("size") > SMALL_BUCKET)
-        stars = packed(cut(close_pairs(_stars(large, F.xxhash64(F.lit(turn), "node")), sketches).join(tried, ["a", "b"], "left_anti")))
+        stars = packed(cut(close_pairs(_main_stars(large, turn), sketches).join(tried, ["a", "b"], "left_anti")))
         if stars.isEmpty():
             break
         found = verify(stars, classes, docs)
