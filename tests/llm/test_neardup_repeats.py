@@ -108,7 +108,7 @@ def test_no_link_missed_around_the_threshold(spark):
     for i in range(400):
         w = [f"p{i}w{k}" for k in range(r.randrange(60, 200))]
         rows.append((2 * i, " ".join(w)))
-        for k in range(r.randrange(1, max(2, len(w) // 30))):
+        for k in range(r.randrange(1, max(3, len(w) // 18))):
             w[r.randrange(len(w))] = f"edit{k}"
         rows.append((2 * i + 1, " ".join(w)))
     sets = [shingle_set(t) for _, t in rows]
