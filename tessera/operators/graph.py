@@ -37,6 +37,13 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_by(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join on columns of one name in which null keys meet null keys; the columns of ``on`` come from ``left``."""
+    renamed = right.withColumnsRenamed({c: f"_by_{c}" for c in on})
+    condition = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in on]
+    return left.join(renamed, condition, how).drop(*[f"_by_{c}" for c in on])
+
+
 def graph_merge(triples: DataFrame, *graphs: str) -> DataFrame:
     """The default graph made of several named ones: a set of (s, p, o)."""
     return triples.filter(F.col("g").isin(*graphs)).drop("g").distinct()
@@ -83,10 +90,22 @@ def reachable(edges: DataFrame, roots: DataFrame, source: str = "src", target: s
 
 
 def transitive_reduction(edges: DataFrame, source: str, target: str) -> DataFrame:
-    """Edges of an acyclic graph without those that a longer way replaces."""
-    direct = edges.select(F.col(source).alias("src"), F.col(target).alias("dst")).distinct()
-    every = closure(direct)
-    longer = direct.select("src", F.col("dst").alias("_m")).join(every.select(F.col("src").alias("_m"), "dst"), "_m").select("src", "dst").distinct()
+    """Edges of an acyclic graph without those that a longer way replaces.
+
+    An edge is replaced if its end has another parent that is reached from its start. Only such parents (of
+    nodes with several) are followed upwards, a step a round, and no pair of nodes is kept but these parents with
+    what lies above them.
+    """
+    direct = cut(edges.select(F.col(source).alias("src"), F.col(target).alias("dst")).distinct())
+    forked = direct.groupBy("dst").agg(F.count("*").alias("n")).filter("n > 1").select("dst")
+    ends = cut(direct.join(forked, "dst", "left_semi"))
+    seen = cut(ends.select(F.col("src").alias("low"), F.col("src").alias("high")).distinct())
+    front = seen
+    while not front.isEmpty():
+        above = front.join(direct.withColumnsRenamed({"src": "_up", "dst": "high"}), "high").select("low", F.col("_up").alias("high")).distinct()
+        front = cut(above.join(seen, ["low", "high"], "left_anti"))
+        seen = seen.unionByName(front)
+    longer = ends.select(F.col("src").alias("low"), "dst").join(seen.filter("low <> high"), "low").select(F.col("high").alias("src"), "dst").distinct()
     return direct.join(longer, ["src", "dst"], "left_anti").select(F.col("src").alias(source), F.col("dst").alias(target))
 
 

@@ -1,19 +1,26 @@
-"""All generalizations of a query: partial partitions of its constants' positions.
+"""Generalizations of queries: partial partitions of their constants' positions.
 
 Positions of equal constants form a cluster; a block (a parameter) never mixes clusters, and a
-position in no block keeps its constant. Families depend on the shape of a query alone, so they are
-enumerated once for each distinct shape and joined back to the queries.
+position in no block keeps its constant.
+
+:func:`supported_generalizations` finds those of a log that matter, from the most general texts downwards: a
+text that fails the thresholds is not refined, as a less general one never has more instances, and a
+position where all instances of a text agree keeps its constant at once, as no parameter there ever
+diverges below. :func:`generalizations` lists all of a query, whatever their support; families depend on
+the shape of a query alone, so they are enumerated once for each distinct shape.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.tokenizer import TokenOptions, decompose
 from tessera.functions.columns import parameter_label
+from tessera.operators.graph import stored
+from tessera.operators.tokenizer import TokenOptions, decompose
 
 _FAMILY = "vector array<int>, subsets array<array<int>>, reductions array<array<int>>"
 
@@ -88,27 +95,120 @@ class Families:
             yield v, f, one_step_up(groups, f, known)
 
 
+def general_text(pieces: Column, constants: Column, vector: Column, sparql: bool = True) -> Column:
+    """The text with a parameter for each block of the vector and the constants that are kept (-1)."""
+    slots = F.zip_with(constants, vector, lambda c, v: F.when(v < 0, c).otherwise(parameter_label(v, sparql)))
+    tail = F.zip_with(slots, F.slice(pieces, F.lit(2), F.size(pieces)), lambda a, b: F.concat(a, b))
+    return F.concat(F.element_at(pieces, 1), F.array_join(tail, ""))
+
+
+def _blocks(vector: Column) -> Column:
+    """The blocks of a vector in order of their first positions."""
+    return F.array_distinct(F.filter(vector, lambda v: v >= 0))
+
+
+def _numbered(vector: Column) -> Column:
+    """The vector with its blocks numbered from 0 in order of their first positions."""
+    return F.transform(vector, lambda v: F.when(v < 0, -1).otherwise(F.array_position(_blocks(vector), v) - 1).cast("int"))
+
+
+def _first(vector: Column, block: Column) -> Column:
+    return F.array_position(vector, block).cast("int")
+
+
+def _merges(vector: Column, constants: Column) -> Column:
+    """The vectors in which two blocks of equal constants are one."""
+    value = lambda b: F.element_at(constants, _first(vector, b))
+    into = lambda a, b: F.transform(vector, lambda v: F.when(v == b, a).otherwise(v))
+    of = lambda a: F.transform(F.filter(_blocks(vector), lambda b: (b > a) & (value(a) == value(b))), lambda b: into(a, b))
+    return F.flatten(F.transform(_blocks(vector), of))
+
+
+def _kept_more(vector: Column, alone: bool) -> Column:
+    """The vectors in which one position more keeps its constant; with ``alone`` only positions that are a block."""
+    free = F.filter(F.sequence(F.lit(0), F.size(vector) - 1), lambda p: F.get(vector, p) >= 0)
+    if alone:
+        free = F.filter(free, lambda p: F.size(F.filter(vector, lambda v: v == F.get(vector, p))) == 1)
+    return F.transform(free, lambda p: F.transform(vector, lambda v, i: F.when(i == p, -1).otherwise(v)))
+
+
+def _closed(rows: DataFrame, columns: list[str], min_instances: int, min_executions: int, sparql: bool) -> DataFrame:
+    """The rows whose text passes the thresholds, positions where all its instances agree keeping their constants; one row for
+    each text and instance."""
+    keyed = rows.withColumn("_text", general_text(F.col("pieces"), F.col("constants"), F.col("vector"), sparql))
+    passing = (F.count("*") >= min_instances) & (F.coalesce(F.sum("num_exec"), F.lit(0)) >= min_executions)
+    # the extremes of whole arrays of constants, place by place, are combined before the shuffle
+    at = keyed.groupBy("_text").agg(passing.alias("_pass"), F.max(F.size("constants")).alias("_n"))
+    spots = keyed.select("_text", F.posexplode("constants").alias("_at", "_c")).groupBy("_text", "_at").agg((F.min("_c") == F.max("_c")).alias("_same"))
+    agreed = spots.filter("_same").groupBy("_text").agg(F.collect_set("_at").alias("_agreed"))
+    ruled = at.filter("_pass and _n > 0").join(agreed, "_text", "left").select("_text", F.coalesce("_agreed", F.array().cast("array<int>")).alias("_agreed"))
+    held = keyed.join(ruled, "_text").withColumn("vector", _numbered(F.transform("vector", lambda v, i: F.when(F.array_contains("_agreed", i), -1).otherwise(v))))
+    held = held.withColumn("general", general_text(F.col("pieces"), F.col("constants"), F.col("vector"), sparql)).filter(F.exists("vector", lambda v: v >= 0))
+    return held.select(*columns, "general").dropDuplicates(["general", "instance"])
+
+
+def supported_generalizations(queries: DataFrame, options: TokenOptions = TokenOptions(), max_vars: int = 3, min_instances: int = 0, min_executions: int = 0, include_identity: bool = False) -> DataFrame:
+    """general, instance, num_exec, bindings, pieces, constants, vector: the instances of each generalization with at most
+    ``max_vars`` parameters (with ``include_identity`` also without) that passes the thresholds.
+
+    Texts with a parameter that has one value in all their instances may be left out: they do not diverge. Levels
+    go down from one parameter a constant, by one parameter each: a parameter gets a constant, or two become one.
+    Every level is a stored table, and a text is looked at once, however it was reached.
+    """
+    found = queries.filter("text is not null").withColumn("_d", decompose(F.col("text"), options))
+    columns = ["instance", "num_exec", "pieces", "constants", "vector"]
+    n = F.size("_d.constants")
+    base = found.select(
+        F.xxhash64("text", *[c for c in ("dataset", "groupId") if c in queries.columns]).alias("instance"), "num_exec", F.col("_d.pieces").alias("pieces"), F.col("_d.constants").alias("constants"),
+        F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")).alias("vector"),
+    )
+    base = stored(base)
+    blocks = lambda df: F.size(_blocks(F.col("vector")))
+    level = stored(_closed(base.filter(F.size("constants") > 0), columns, min_instances, min_executions, options.sparql_parameters))
+    known, seen = level.filter(blocks(level) <= max_vars), level.select("general").distinct()
+    while not level.isEmpty():
+        below = level.withColumn("vector", F.explode(F.concat(_kept_more(F.col("vector"), True), _merges(F.col("vector"), F.col("constants"))))).withColumn("vector", _numbered(F.col("vector")))
+        grown = _closed(below.filter(F.exists("vector", lambda v: v >= 0)).select(*columns), columns, min_instances, min_executions, options.sparql_parameters)
+        level = stored(grown.join(seen, "general", "left_anti").select(*columns, "general"))
+        seen = seen.unionByName(level.select("general").distinct())
+        known = known.unionByName(level.filter(blocks(level) <= max_vars))
+    if include_identity:
+        whole = base.withColumn("vector", F.transform("vector", lambda v: F.lit(-1))).withColumn("general", general_text(F.col("pieces"), F.col("constants"), F.col("vector"), options.sparql_parameters))
+        passing = whole.groupBy("general").agg(F.count("*").alias("n"), F.coalesce(F.sum("num_exec"), F.lit(0)).alias("e")).filter((F.col("n") >= min_instances) & (F.col("e") >= min_executions))
+        known = known.unionByName(whole.join(passing.select("general"), "general", "left_semi").select(*columns, "general"))
+    bindings = F.transform(_blocks(F.col("vector")), lambda b: F.element_at("constants", _first(F.col("vector"), b)))
+    return known.select("general", "instance", "num_exec", bindings.alias("bindings"), "pieces", "constants", "vector")
+
+
+def supported_edges(general: DataFrame, kept: DataFrame, sparql: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Edges (child, parent) between kept texts of :func:`supported_generalizations`, and the roots. One step down a parameter
+    that stands once gets its constant, one of several places of a parameter does, or two parameters become one."""
+    texts = kept.select("general").distinct()
+    rows = general.join(texts, "general", "left_semi")
+    vector = F.col("vector")
+    steps = F.explode(F.array_distinct(F.transform(F.concat(_kept_more(vector, False), _merges(vector, F.col("constants"))), _numbered)))
+    down = rows.select(F.col("general").alias("parent"), "pieces", "constants", steps.alias("vector"))
+    pairs = down.select(general_text(F.col("pieces"), F.col("constants"), vector, sparql).alias("child"), "parent").distinct()
+    edges = pairs.join(texts.withColumnRenamed("general", "child"), "child", "left_semi").select("child", "parent")
+    return edges, texts.join(edges.select(F.col("child").alias("general")), "general", "left_anti")
+
+
 def generalizations(queries: DataFrame, options: TokenOptions = TokenOptions(), max_vars: int = 3, include_identity: bool = False) -> DataFrame:
     """The query's columns with ``general`` (text), ``bindings`` and ``more_general`` (texts one step up).
 
     Without ``include_identity`` the query itself, without parameters, is left out.
     """
     spark = queries.sparkSession
-    spark.udtf.register("query_families", Families)
+    name = f"families_{uuid.uuid4().hex}"
+    spark.udtf.register(name, Families)
     found = queries.filter("text is not null").withColumn("_d", decompose(F.col("text"), options))
     constants = F.col("_d.constants")
     found = found.withColumn("_shape", F.transform(constants, lambda c: (F.array_position(constants, c) - 1).cast("int")))
-    shapes = found.select("_shape").distinct()
-    shapes.createOrReplaceTempView("_query_shapes")
-    listed = spark.sql(f"SELECT s._shape AS _s, f.* FROM _query_shapes s, LATERAL query_families(s._shape, {int(max_vars)}) f")
+    listed = spark.sql(f"SELECT s._shape AS _s, f.* FROM {{shapes}} s, LATERAL {name}(s._shape, {int(max_vars)}) f", shapes=found.select("_shape").distinct())
     if not include_identity:
         listed = listed.filter(F.exists("vector", lambda v: v >= 0))
     joined = found.join(listed, F.col("_shape") == F.col("_s"))
-
-    def text(vector):
-        slots = F.zip_with(constants, vector, lambda c, v: F.when(v < 0, c).otherwise(parameter_label(v, options.sparql_parameters)))
-        tail = F.zip_with(slots, F.slice(F.col("_d.pieces"), F.lit(2), F.size("_d.pieces")), lambda a, b: F.concat(a, b))
-        return F.concat(F.element_at(F.col("_d.pieces"), 1), F.array_join(tail, ""))
+    text = lambda vector: general_text(F.col("_d.pieces"), constants, vector, options.sparql_parameters)
 
     return joined.select(
         *queries.columns,

@@ -15,7 +15,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import cut, stored, transitive_reduction
+from tessera.operators.graph import cut, join_by, stored, transitive_reduction
 from tessera.operators.templates import simplify
 
 
@@ -48,7 +48,7 @@ def children(level: DataFrame, min_instances: int, min_executions: int, keys: tu
     equal = level.filter(n > 1).select("*", F.explode(pairs).alias("_q")).withColumn("branch", F.concat_ws("~", F.col("_q.i").cast("string"), F.col("_q.j").cast("string"))).drop("_q")
     both, of = values.unionByName(equal), [*keys, "node", "branch"]
     big = both.groupBy(*of).agg(F.count("*").alias("_n"), F.sum("num_exec").alias("_e")).filter((F.col("_n") >= min_instances) & (F.col("_e") >= min_executions))
-    return both.join(big.select(*of), of).withColumnRenamed("node", "parent")
+    return join_by(both, big.select(*of), of).withColumnRenamed("node", "parent")
 
 
 def grow_forest(instances: DataFrame, min_instances: int = 2, min_executions: int = 1, max_levels: int | None = None, keys: tuple[str, ...] = ()) -> Forest:
@@ -74,7 +74,7 @@ def grow_forest(instances: DataFrame, min_instances: int = 2, min_executions: in
     for depth in count(1) if max_levels is None else range(1, max_levels + 1):
         grown = children(level.filter(F.size("bindings") > 0), min_instances, min_executions, keys)
         # a candidate is simplified over all positions of the template it comes from
-        full = grown.drop("bindings", "n_params").join(original, [*of, "instance"]).withColumnRenamed("all_bindings", "bindings")
+        full = join_by(grown.drop("bindings", "n_params"), original, [*of, "instance"]).withColumnRenamed("all_bindings", "bindings")
         named = simplify(full, (*keys, "parent", "branch")).withColumnRenamed("text", "node")
         named = stored(named.filter("parent <> node").select("parent", "branch", *columns))
         if named.isEmpty():
@@ -83,8 +83,8 @@ def grow_forest(instances: DataFrame, min_instances: int = 2, min_executions: in
         edges = found if edges is None else edges.unionByName(found)
         # a text stands for the same instances however it was reached
         one = named.groupBy(*known).agg(F.min(F.struct("parent", "branch")).alias("_one"))
-        level = named.join(one, known).filter((F.col("parent") == F.col("_one.parent")) & (F.col("branch") == F.col("_one.branch"))).select(*columns)
-        level = stored(level.join(nodes.select(*known), known, "left_anti"))
+        level = join_by(named, one, known).filter((F.col("parent") == F.col("_one.parent")) & (F.col("branch") == F.col("_one.branch"))).select(*columns)
+        level = stored(join_by(level, nodes.select(*known), known, "left_anti"))
         members = members.unionByName(level)
         nodes = nodes.unionByName(cut(stats(level, depth)))
     if edges is None:

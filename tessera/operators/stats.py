@@ -80,20 +80,47 @@ def execution_graph_stats(catalog: DataFrame, quads: DataFrame, base: str = C.DA
     return named.join(sums, "g").drop("g")
 
 
+#: Executions of one host in one stretch of time that a task takes from either side.
+CELL_ROWS = 20_000
+#: Cells over that bound that are broadcast at most.
+HEAVY_CELLS = 200_000
+
+
+def _grid(left: DataFrame, right: DataFrame, cell: tuple[str, ...], left_id: str, right_id: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_row`` and ``_column``: a cell with more than ``CELL_ROWS`` rows on a side is a grid of g times g
+    parts, left rows being dealt to its rows and repeated along the columns, right rows the other way round. All others are one part.
+    """
+    size = lambda df: df.groupBy(*cell).agg(F.count("*").alias("_n")).filter(F.col("_n") > CELL_ROWS)
+    heavy = stored(size(left).unionByName(size(right)).groupBy(*cell).agg(F.ceil(F.max("_n") / CELL_ROWS).cast("int").alias("_parts")))
+    n = heavy.count()
+    if not n:
+        return tuple(df.withColumns({"_row": F.lit(0), "_column": F.lit(0)}) for df in (left, right))
+    side = F.broadcast(heavy) if n <= HEAVY_CELLS else heavy
+
+    def dealt(df: DataFrame, by: str, own: str, other: str) -> DataFrame:
+        parts = F.coalesce("_parts", F.lit(1))
+        met = df.join(side, list(cell), "left").withColumn(own, F.pmod(F.xxhash64(by), parts).cast("int"))
+        return met.withColumn(other, F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+
+    return dealt(left, left_id, "_row", "_column"), dealt(right, right_id, "_column", "_row")
+
+
 def co_occurrences(events: DataFrame, seconds: int = 3600) -> DataFrame:
     """host, template1, template2, ts1, ts2 of executions of different templates by one host within ``seconds``.
 
     ``events`` has host, ts, exec_id, id, template. Pairs are ordered by execution and by query. Time is
     cut into stretches of ``seconds``: each right row is dealt to its own stretch and both neighbours,
-    so the join's key is host and stretch and no host meets itself over all time.
+    so the join's key is host and stretch and no host meets itself over all time. Stretches in which a
+    host has very many executions are found first and split over many tasks.
     """
     stretch = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (1_000_000 * seconds))
     rows = events.filter("host is not null").withColumn("stretch", stretch)
     left = rows.select("host", "stretch", *[F.col(c).alias(f"{c}1") for c in ("ts", "exec_id", "id", "template")])
     right = rows.select("host", F.explode(F.array(*[F.col("stretch") + d for d in (-1, 0, 1)])).alias("stretch"), *[F.col(c).alias(f"{c}2") for c in ("ts", "exec_id", "id", "template")])
+    left, right = _grid(left, right, ("host", "stretch"), "exec_id1", "exec_id2")
     apart = F.col("ts2") - F.col("ts1")
     within = (apart >= F.make_dt_interval(secs=F.lit(-seconds))) & (apart <= F.make_dt_interval(secs=F.lit(seconds)))
-    return left.join(right, ["host", "stretch"]).filter((F.col("exec_id2") > F.col("exec_id1")) & (F.col("id2") > F.col("id1")) & (F.col("template1") != F.col("template2")) & within).select(
+    return left.join(right, ["host", "stretch", "_row", "_column"]).filter((F.col("exec_id2") > F.col("exec_id1")) & (F.col("id2") > F.col("id1")) & (F.col("template1") != F.col("template2")) & within).select(
         "host", "template1", "template2", "ts1", "ts2"
     )
 

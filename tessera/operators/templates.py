@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import identity_parameters, parameter_label, template_text
+from tessera.operators.graph import join_by
 from tessera.operators.tokenizer import TokenOptions, decompose, prologue_base, prologue_prefixes
 
 
@@ -97,7 +98,7 @@ def simplified_templates(instances: DataFrame, keys: tuple[str, ...] = ()) -> Da
     of_template = [*keys, "template"]
     shapes = _shape(simplified_positions(instances, keys), of_template)
     heads = instances.groupBy(*of_template).agg(F.first("pieces").alias("pieces"))
-    joined = heads.join(shapes, of_template, "left").withColumn("shape", F.coalesce("shape", F.array().cast(shapes.schema["shape"].dataType)))
+    joined = join_by(heads, shapes, of_template, "left").withColumn("shape", F.coalesce("shape", F.array().cast(shapes.schema["shape"].dataType)))
     kept = F.filter("shape", lambda s: s["constant"].isNull() & (s["first"] == s["pos"]))
     return joined.select(*of_template, simplified_text(F.col("pieces"), F.col("shape")).alias("text"), F.size(kept).alias("n_params"))
 
@@ -110,7 +111,7 @@ def simplify(instances: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """
     of_template = [*keys, "template"]
     shapes = _shape(simplified_positions(instances, keys), of_template)
-    joined = instances.join(shapes, of_template, "left").withColumn("shape", F.coalesce("shape", F.array().cast(shapes.schema["shape"].dataType)))
+    joined = join_by(instances, shapes, of_template, "left").withColumn("shape", F.coalesce("shape", F.array().cast(shapes.schema["shape"].dataType)))
     kept = F.filter("shape", lambda s: s["constant"].isNull() & (s["first"] == s["pos"]))
     original = "text" in instances.columns
     return joined.select(
@@ -128,7 +129,7 @@ def merged_preambles(instances: DataFrame, order: str, keys: tuple[str, ...] = (
     names = instances.select(*keys, "template", F.col(order).alias("_order"), F.posexplode(prologue_prefixes(F.col("preamble"))).alias("_at", "p"))
     last = names.groupBy(*keys, "template", F.col("p.name").alias("name")).agg(F.max_by("p.iri", F.struct("_order", "_at")).alias("iri"))
     prefixes = last.groupBy(*keys, "template").agg(F.array_sort(F.collect_list(F.struct("name", "iri"))).alias("prefixes"))
-    return base.join(prefixes, [*keys, "template"], "left").withColumn("prefixes", F.coalesce("prefixes", F.array().cast(prefixes.schema["prefixes"].dataType)))
+    return join_by(base, prefixes, [*keys, "template"], "left").withColumn("prefixes", F.coalesce("prefixes", F.array().cast(prefixes.schema["prefixes"].dataType)))
 
 
 def prologue_text(base: Column, prefixes: Column) -> Column:
@@ -149,7 +150,7 @@ def divergent(instances: DataFrame, min_ratio: float | None = None, keys: tuple[
     n = instances.groupBy(*of_template).agg(F.count("*").alias("num_instances"))
     most = binding_counts(instances, keys).groupBy(*of_template).agg(F.max("num").alias("most"))
     limit = F.col("num_instances") * F.lit(1.0 - min_ratio) if min_ratio else F.col("num_instances") - 1
-    return n.join(most, of_template, "left").filter(F.col("most").isNull() | (F.col("most") <= limit)).select(*of_template, "num_instances", "most")
+    return join_by(n, most, of_template, "left").filter(F.col("most").isNull() | (F.col("most") <= limit)).select(*of_template, "num_instances", "most")
 
 
 def select_by_value(instances: DataFrame, pos: int, value: str) -> DataFrame:

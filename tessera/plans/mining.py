@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import rebase_term
 from tessera.operators import lattice, templates
-from tessera.operators.graph import stored
+from tessera.operators.graph import join_by, stored
 from tessera.operators.specialize import Forest, grow_forest
 from tessera.operators.tokenizer import TokenOptions, prologue_prefixes
 
@@ -64,10 +64,10 @@ def mine_templates(usage: DataFrame, options: MiningOptions = MiningOptions(), k
     of = [*keys, "template"]
     rolled = templates.above_thresholds(templates.roll_up(inst, keys), options.min_instances, options.min_executions)
     below = options.min_instances > 1 or options.min_executions > 0
-    kept = inst.join(rolled.select(*of), of, "left_semi") if below else inst
+    kept = join_by(inst, rolled.select(*of), of, "left_semi") if below else inst
     texts = templates.simplified_templates(kept, keys).withColumnRenamed("text", "body")
     preambles = templates.merged_preambles(kept, "id", keys)
-    out = rolled.join(texts, of).join(preambles, of)
+    out = join_by(join_by(rolled, texts, of), preambles, of)
     prologue = templates.prologue_text(F.col("base"), F.col("prefixes"))
     out = out.withColumn("text", F.concat(prologue, F.lit("\n"), F.col("body"))).withColumn("template_id", F.xxhash64(*of))
     simple = None
@@ -96,12 +96,13 @@ def mine_by_cluster(rows: DataFrame, options: MiningOptions = MiningOptions(), s
 def generalize_and_aggregate(usage: DataFrame, options: MiningOptions = MiningOptions()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Templates of the generalization lattice that diverge and pass the thresholds, the edges between them (child,
     parent) and the roots."""
-    general = lattice.generalizations(usage, options.tokens, options.max_vars, options.include_simple_queries)
+    general = stored(lattice.supported_generalizations(usage, options.tokens, options.max_vars, options.min_instances, options.min_executions, options.include_simple_queries))
     inst = general.select(F.col("general").alias("template"), "bindings", "num_exec")
     stats = inst.groupBy("template").agg(F.count("*").alias("num_instances"), F.sum("num_exec").alias("num_exec"))
     passing = templates.divergent(inst, options.min_binding_divergence_ratio).select("template")
     kept = templates.above_thresholds(stats.join(passing, "template", "left_semi"), options.min_instances, options.min_executions)
-    edges, roots = lattice.generalization_edges(general, kept.select(F.col("template").alias("general")))
+    kept = stored(kept)
+    edges, roots = lattice.supported_edges(general, kept.select(F.col("template").alias("general")), options.sparql_parameters)
     return kept, edges, roots
 
 
@@ -128,19 +129,19 @@ def forest_triples(mined: Mined, dataset_iri: str, base: str = "http://example.o
     else:
         nodes, edges, members = mined.forest.nodes.select(*of, "node", "num_exec", "n_params"), mined.forest.edges, mined.forest.members
     # a root is known as its template; texts of different templates differ in their pieces
-    n = nodes.join(head, of).withColumn("_id", F.when(F.col("node") == F.col("_root"), F.col("_id")).otherwise(F.hex(F.xxhash64(*of, "node"))))
+    n = join_by(nodes, head, of).withColumn("_id", F.when(F.col("node") == F.col("_root"), F.col("_id")).otherwise(F.hex(F.xxhash64(*of, "node"))))
     n = n.withColumn("s", F.concat(F.lit(base + "templates/"), "_id"))
     text = F.concat(templates.prologue_text(F.col("base"), F.col("prefixes")), F.lit("\n"), F.col("node"))
     named = n.select(*keys, "node", "s")
-    up = edges.join(named.withColumnsRenamed({"node": "parent", "s": "_up"}), [*keys, "parent"]).join(named, [*keys, "node"])
+    up = join_by(join_by(edges, named.withColumnsRenamed({"node": "parent", "s": "_up"}), [*keys, "parent"]), named, [*keys, "node"])
     roots = n.filter("node = _root")
     param = lambda pos: F.concat(F.lit(base + "params/"), "_id", F.lit("_"), pos.cast("string"))
     p = n.filter("n_params > 0").select("s", "_id", F.explode(F.sequence(F.lit(0), F.col("n_params") - 1)).alias("pos")).withColumn("_p", param(F.col("pos")))
     label = F.concat(F.lit("__PARAM_"), F.col("pos").cast("string"))
     prologues = mined.instances.select(*of, "instance", "preamble").dropDuplicates([*of, "instance"])
-    m = members.select(*of, "node", "instance", "id", "bindings").join(n.select(*of, "node", "_id", F.col("s").alias("_t")), [*of, "node"])
+    m = join_by(members.select(*of, "node", "instance", "id", "bindings"), n.select(*of, "node", "_id", F.col("s").alias("_t")), [*of, "node"])
     m = m.withColumn("s", F.concat(F.lit(base + "queryGenerations/"), "_id", F.lit("_"), "id")).withColumn("_q", F.concat(F.lit("http://lsq.aksw.org/lsqQuery-"), "id"))
-    b = m.join(prologues, [*of, "instance"]).select("s", "_id", "id", "preamble", F.posexplode("bindings").alias("pos", "value"))
+    b = join_by(m, prologues, [*of, "instance"]).select("s", "_id", "id", "preamble", F.posexplode("bindings").alias("pos", "value"))
     b = b.withColumn("_b", F.concat(F.lit(base + "bindings/"), "_id", F.lit("_"), "id", F.lit("_"), F.col("pos").cast("string")))
     b = b.withColumn("_value", rebase_term(F.col("value"), prologue_prefixes(F.col("preamble"))))
     s, iri = F.col("s"), lambda x: F.lit(x)
@@ -196,7 +197,7 @@ def stats_table(mined: Mined) -> DataFrame:
         rows = rows.withColumn("num_specializations", F.lit(0).cast("long"))
     else:
         below = mined.edges.groupBy(*mined.keys, F.col("parent").alias("body")).agg(F.count("*").alias("num_specializations"))
-        rows = rows.join(below, of, "left").withColumn("num_specializations", F.coalesce("num_specializations", F.lit(0)))
+        rows = join_by(rows, below, of, "left").withColumn("num_specializations", F.coalesce("num_specializations", F.lit(0)))
     rows = numbered(rows, [F.desc("num_exec"), F.col("template_id")]).select("query_id", "text", *cols, "num_specializations")
     total = mined.templates.agg(
         F.lit(0).cast("long").alias("query_id"), F.lit("").alias("text"), *[f(c).alias(c) for c, f in zip(cols, (F.sum, F.sum, F.min, F.max, F.sum, F.max, F.max))]

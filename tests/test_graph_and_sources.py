@@ -19,6 +19,40 @@ def test_closure_on_a_cycle(spark):
     assert {r.node for r in graph.reachable(edges, spark.createDataFrame([(4,)], "n int")).collect()} == {4}
 
 
+def test_transitive_reduction_like_plain(spark):
+    import random
+
+    r = random.Random(6)
+    for n, m in ((8, 14), (14, 60), (25, 60)):
+        edges = {tuple(sorted(r.sample(range(n), 2))) for _ in range(m)}
+        reach = {a: set() for a in range(n)}
+        for a in reversed(range(n)):
+            for x, y in edges:
+                if x == a:
+                    reach[a] |= {y} | reach[y]
+        want = {(a, b) for a, b in edges if not any(x == a and y != b and b in reach[y] for x, y in edges)}
+        assert {tuple(x) for x in graph.transitive_reduction(spark.createDataFrame(sorted(edges), "p int, n int"), "p", "n").collect()} == want
+
+
+def test_crowded_hours_are_split(spark, monkeypatch):
+    from datetime import datetime, timedelta
+
+    from tessera.operators import stats
+
+    monkeypatch.setattr(stats, "CELL_ROWS", 40)
+    at = datetime(2020, 1, 1)
+    rows = [("h1" if i < 300 else f"h{i % 9}", at + timedelta(seconds=(i * 37) % 7200), i, f"q{(i * 7) % 50}", f"t{i % 3}") for i in range(500)] + [(None, at, 900, "q", "t")]
+    events = spark.createDataFrame(rows, "host string, ts timestamp_ntz, exec_id long, id string, template string")
+    want = sorted(
+        (a[0], a[4], b[4], a[1], b[1]) for a in rows for b in rows if a[0] and a[0] == b[0] and b[2] > a[2] and b[3] > a[3] and a[4] != b[4] and abs(b[1] - a[1]) <= timedelta(hours=1)
+    )
+    assert sorted(tuple(r) for r in stats.co_occurrences(events).collect()) == want
+    side = lambda n: events.filter("host is not null").select("host", F.lit(0).alias("stretch"), F.col("exec_id").alias(f"exec_id{n}"))
+    for part in stats._grid(side(1), side(2), ("host", "stretch"), "exec_id1", "exec_id2"):
+        cells = part.groupBy("host", "_row", "_column").count().collect()
+        assert max(c["count"] for c in cells) <= 80 and len([c for c in cells if c.host == "h1"]) > 36
+
+
 def test_transitive_reduction(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c")], "p string, n string")
     assert {tuple(r) for r in graph.transitive_reduction(edges, "p", "n").collect()} == {("a", "b"), ("b", "c")}

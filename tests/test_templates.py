@@ -3,11 +3,12 @@ from __future__ import annotations
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import lattice, templates
 from tessera.operators.specialize import specialization_forest
-from tessera.plans.mining import MiningOptions, generalize_and_aggregate, mine_by_cluster, mine_templates
+from tessera.plans.mining import MiningOptions, forest_triples, generalize_and_aggregate, mine_by_cluster, mine_templates, stats_table
 
 COLUMNS = "id string, text string, num_exec long, t_first int, t_last int"
 
@@ -144,6 +145,70 @@ def test_lattice_edges_and_roots(spark):
     assert [r.general for r in roots.collect()] == ["ASK { $__PARAM_0 $__PARAM_1 }"]
 
 
+def _plain_lattice(texts, max_vars, least, executions=0):
+    """All families of all queries, then the thresholds and the divergence: kept texts and edges between them."""
+    from tessera.operators.tokenizer import decompose_text
+
+    members, up = {}, set()
+    for text, num in texts:
+        pieces, constants, _ = decompose_text(text)
+        shape = {}
+        for i, c in enumerate(constants):
+            shape.setdefault(c, []).append(i)
+        groups = list(shape.values())
+        found = [f for f in lattice.families(groups, max_vars) if f]
+        vectors = {str(lattice.family_vector(f, len(constants))): f for f in found}
+
+        def general(vector):
+            return pieces[0] + "".join((c if v < 0 else f"$__PARAM_{v}") + p for c, v, p in zip(constants, vector, pieces[1:]))
+
+        for f in found:
+            t = general(lattice.family_vector(f, len(constants)))
+            members.setdefault(t, []).append(([constants[b[0]] for b in f], num))
+            up |= {(t, general(v)) for v in lattice.one_step_up(groups, f, set(vectors))}
+    kept = {
+        t: (len(rows), sum(n for _, n in rows))
+        for t, rows in members.items()
+        if len(rows) >= least and sum(n for _, n in rows) >= executions and all(max(list(x).count(v) for v in set(x)) < len(rows) for x in zip(*(b for b, _ in rows)))
+    }
+    return kept, {(a, b) for a, b in up if a in kept and b in kept}
+
+
+@pytest.mark.parametrize("seed", [1, 3])
+def test_lattice_like_all_families(spark, seed):
+    r = random.Random(seed)
+    shapes = ["ASK {{ {} {} }}", "ASK {{ {} {} {} . }}", "SELECT ?x {{ {} {} {} ; {} {} }}", "DESCRIBE {}"]
+    texts = sorted({r.choice(shapes).format(*(r.choice(["a:b", "1", "2", '"x"', "<i>"][: 2 + seed]) for _ in range(5))) for _ in range(60)})
+    usage = [(t, r.randrange(1, 9)) for t in texts]
+    for max_vars, least, executions in ((2, 0, 0), (9, 3, 12)):
+        kept, edges, roots = generalize_and_aggregate(_usage(spark, usage), MiningOptions(max_vars=max_vars, min_instances=least, min_executions=executions))
+        want, steps = _plain_lattice(usage, max_vars, least, executions)
+        assert {r.template: (r.num_instances, r.num_exec) for r in kept.collect()} == want
+        assert {tuple(r) for r in edges.select("child", "parent").collect()} == steps
+        assert {r.general for r in roots.collect()} == set(want) - {a for a, _ in steps}
+
+
+def test_lattice_of_many_equal_constants_ends(spark):
+    usage = _usage(spark, [("ASK { " + "1 " * 15 + "}", 3), ("ASK { " + "2 " * 15 + "}", 3)] + [("SELECT * { " + " ".join(f"a:c{i}" for i in range(30)) + f" {k} }}", 1) for k in range(9)])
+    kept, edges, _ = generalize_and_aggregate(usage.filter("text not like 'ASK%'"), MiningOptions(max_vars=3))
+    assert [r.num_instances for r in kept.collect()] == [9] and edges.count() == 0
+    kept, _, _ = generalize_and_aggregate(usage.limit(1), MiningOptions(max_vars=3))
+    assert kept.count() == 0
+
+
+def test_null_keys_are_keys(spark):
+    rows = [(None, "q0", "ASK { <http://a> 1 }"), (None, "q1", "ASK { <http://a> 2 }"), ("d", "q2", "ASK { <http://a> 1 }"), ("d", "q3", "ASK { <http://b> 3 }")]
+    usage = spark.createDataFrame(rows, "dataset string, id string, text string").withColumns({"num_exec": F.lit(2).cast("long"), "t_first": F.lit(None).cast("timestamp_ntz"), "t_last": F.lit(None).cast("timestamp_ntz")})
+    mined = mine_templates(usage, MiningOptions(generalization_tree=True))
+    assert {(r.dataset, r.text.strip(), r.num_instances) for r in mined.templates.collect()} == {(None, "ASK { <http://a> $__PARAM_0 }", 2), ("d", "ASK { $__PARAM_0 $__PARAM_1 }", 2)}
+    assert {(r.dataset, r.id, tuple(r.bindings)) for r in mined.instances.collect()} == {(None, "q0", ("1",)), (None, "q1", ("2",)), ("d", "q2", ("<http://a>", "1")), ("d", "q3", ("<http://b>", "3"))}
+    assert {(r.dataset, r.node) for r in mined.nodes.filter("depth = 1").collect()} == {(None, "ASK { <http://a> 1 }"), (None, "ASK { <http://a> 2 }"), ("d", "ASK { <http://a> 1 }"), ("d", "ASK { <http://b> 3 }")}
+    assert mined.edges.filter("dataset is null").count() == 2
+    facts = forest_triples(mined, "http://ds")
+    assert facts.filter("p like '%specializationOf'").count() == 4 and facts.filter("p like '%usedGuideline'").count() == 8
+    assert stats_table(mined).filter("query_id > 0").agg(F.sum("num_specializations")).first()[0] == 4
+
+
 def _plain_forest(bindings, pieces, least):
     """Closed sets of instances: text -> instances, by trying all values and pairs again and again."""
 
