@@ -132,65 +132,79 @@ def _kept_more(vector: Column, alone: bool) -> Column:
     return F.transform(free, lambda p: F.transform(vector, lambda v, i: F.when(i == p, -1).otherwise(v)))
 
 
-def _closed(rows: DataFrame, columns: list[str], min_instances: int, min_executions: int, sparql: bool) -> DataFrame:
+_KEYS = ["k1", "k2"]
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` with two hashes that stand for the text of pieces, constants and vector: texts are long, and only those that
+    are left in the end are written out."""
+    shown = rows.withColumn("_shown", F.zip_with("constants", "vector", lambda c, v: F.when(v < 0, c)))
+    return shown.withColumns({k: F.xxhash64(F.lit(k), "pieces", "vector", "_shown") for k in _KEYS}).drop("_shown")
+
+
+def _closed(rows: DataFrame, min_instances: int, min_executions: int) -> DataFrame:
     """The rows whose text passes the thresholds, positions where all its instances agree keeping their constants; one row for
     each text and instance."""
-    keyed = rows.withColumn("_text", general_text(F.col("pieces"), F.col("constants"), F.col("vector"), sparql))
-    passing = (F.count("*") >= min_instances) & (F.coalesce(F.sum("num_exec"), F.lit(0)) >= min_executions)
-    # the extremes of whole arrays of constants, place by place, are combined before the shuffle
-    at = keyed.groupBy("_text").agg(passing.alias("_pass"), F.max(F.size("constants")).alias("_n"))
-    spots = keyed.select("_text", F.posexplode("constants").alias("_at", "_c")).groupBy("_text", "_at").agg((F.min("_c") == F.max("_c")).alias("_same"))
-    agreed = spots.filter("_same").groupBy("_text").agg(F.collect_set("_at").alias("_agreed"))
-    ruled = at.filter("_pass and _n > 0").join(agreed, "_text", "left").select("_text", F.coalesce("_agreed", F.array().cast("array<int>")).alias("_agreed"))
-    held = keyed.join(ruled, "_text").withColumn("vector", _numbered(F.transform("vector", lambda v, i: F.when(F.array_contains("_agreed", i), -1).otherwise(v))))
-    held = held.withColumn("general", general_text(F.col("pieces"), F.col("constants"), F.col("vector"), sparql)).filter(F.exists("vector", lambda v: v >= 0))
-    return held.select(*columns, "general").dropDuplicates(["general", "instance"])
+    keyed = _keyed(rows)
+    if min_instances > 1 or min_executions > 0:
+        counts = keyed.groupBy(*_KEYS).agg(F.count("*").alias("_n"), F.coalesce(F.sum("num_exec"), F.lit(0)).alias("_e"))
+        keyed = stored(keyed.join(counts.filter((F.col("_n") >= min_instances) & (F.col("_e") >= min_executions)).select(*_KEYS), _KEYS, "left_semi"))
+    spots = keyed.select(*_KEYS, F.posexplode("constants").alias("_at", "_c")).groupBy(*_KEYS, "_at").agg((F.min("_c") == F.max("_c")).alias("_same"))
+    agreed = spots.groupBy(*_KEYS).agg(F.collect_set(F.when(F.col("_same"), F.col("_at"))).alias("_agreed"))
+    held = keyed.join(agreed, _KEYS).drop(*_KEYS).withColumn("vector", _numbered(F.transform("vector", lambda v, i: F.when(F.array_contains("_agreed", i), -1).otherwise(v)))).drop("_agreed")
+    return _keyed(held.filter(F.exists("vector", lambda v: v >= 0))).dropDuplicates([*_KEYS, "instance"])
 
 
 def supported_generalizations(queries: DataFrame, options: TokenOptions = TokenOptions(), max_vars: int = 3, min_instances: int = 0, min_executions: int = 0, include_identity: bool = False) -> DataFrame:
-    """general, instance, num_exec, bindings, pieces, constants, vector: the instances of each generalization with at most
-    ``max_vars`` parameters (with ``include_identity`` also without) that passes the thresholds.
+    """k1, k2 (they stand for the text), instance, num_exec, bindings, pieces, constants, vector: the instances of each
+    generalization with at most ``max_vars`` parameters (with ``include_identity`` also without) that passes the thresholds.
 
     Texts with a parameter that has one value in all their instances may be left out: they do not diverge. Levels
     go down from one parameter a constant, by one parameter each: a parameter gets a constant, or two become one.
     Every level is a stored table, and a text is looked at once, however it was reached.
     """
     found = queries.filter("text is not null").withColumn("_d", decompose(F.col("text"), options))
-    columns = ["instance", "num_exec", "pieces", "constants", "vector"]
     n = F.size("_d.constants")
-    base = found.select(
-        F.xxhash64("text", *[c for c in ("dataset", "groupId") if c in queries.columns]).alias("instance"), "num_exec", F.col("_d.pieces").alias("pieces"), F.col("_d.constants").alias("constants"),
+    base = stored(found.select(
+        F.xxhash64(*queries.columns).alias("instance"), "num_exec", F.col("_d.pieces").alias("pieces"), F.col("_d.constants").alias("constants"),
         F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")).alias("vector"),
-    )
-    base = stored(base)
-    blocks = lambda df: F.size(_blocks(F.col("vector")))
-    level = stored(_closed(base.filter(F.size("constants") > 0), columns, min_instances, min_executions, options.sparql_parameters))
-    known, seen = level.filter(blocks(level) <= max_vars), level.select("general").distinct()
-    while not level.isEmpty():
-        below = level.withColumn("vector", F.explode(F.concat(_kept_more(F.col("vector"), True), _merges(F.col("vector"), F.col("constants"))))).withColumn("vector", _numbered(F.col("vector")))
-        grown = _closed(below.filter(F.exists("vector", lambda v: v >= 0)).select(*columns), columns, min_instances, min_executions, options.sparql_parameters)
-        level = stored(grown.join(seen, "general", "left_anti").select(*columns, "general"))
-        seen = seen.unionByName(level.select("general").distinct())
-        known = known.unionByName(level.filter(blocks(level) <= max_vars))
+    ))
+    blocks = F.size(_blocks(F.col("vector")))
+    level = stored(_closed(base.filter(F.size("constants") > 0), min_instances, min_executions))
+    known, seen = level.filter(blocks <= max_vars), level.select(*_KEYS).distinct()
+    while True:
+        # what has one parameter has nothing below it but queries
+        open_rows = level.filter(blocks > 1)
+        if open_rows.isEmpty():
+            break
+        below = open_rows.drop(*_KEYS).withColumn("vector", F.explode(F.concat(_kept_more(F.col("vector"), True), _merges(F.col("vector"), F.col("constants"))))).withColumn("vector", _numbered(F.col("vector")))
+        level = stored(_closed(below, min_instances, min_executions).join(seen, _KEYS, "left_anti"))
+        seen = seen.unionByName(level.select(*_KEYS).distinct())
+        known = known.unionByName(level.filter(blocks <= max_vars))
     if include_identity:
-        whole = base.withColumn("vector", F.transform("vector", lambda v: F.lit(-1))).withColumn("general", general_text(F.col("pieces"), F.col("constants"), F.col("vector"), options.sparql_parameters))
-        passing = whole.groupBy("general").agg(F.count("*").alias("n"), F.coalesce(F.sum("num_exec"), F.lit(0)).alias("e")).filter((F.col("n") >= min_instances) & (F.col("e") >= min_executions))
-        known = known.unionByName(whole.join(passing.select("general"), "general", "left_semi").select(*columns, "general"))
+        whole = _keyed(base.withColumn("vector", F.transform("vector", lambda v: F.lit(-1))))
+        counts = whole.groupBy(*_KEYS).agg(F.count("*").alias("n"), F.coalesce(F.sum("num_exec"), F.lit(0)).alias("e")).filter((F.col("n") >= min_instances) & (F.col("e") >= min_executions))
+        known = known.unionByName(whole.join(counts.select(*_KEYS), _KEYS, "left_semi"))
     bindings = F.transform(_blocks(F.col("vector")), lambda b: F.element_at("constants", _first(F.col("vector"), b)))
-    return known.select("general", "instance", "num_exec", bindings.alias("bindings"), "pieces", "constants", "vector")
+    return known.select(*_KEYS, "instance", "num_exec", bindings.alias("bindings"), "pieces", "constants", "vector")
 
 
-def supported_edges(general: DataFrame, kept: DataFrame, sparql: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Edges (child, parent) between kept texts of :func:`supported_generalizations`, and the roots. One step down a parameter
-    that stands once gets its constant, one of several places of a parameter does, or two parameters become one."""
-    texts = kept.select("general").distinct()
-    rows = general.join(texts, "general", "left_semi")
+def written_out(general: DataFrame, kept: DataFrame, sparql: bool = True) -> DataFrame:
+    """``kept`` (k1, k2 and more columns) with the text ``template`` of each, made once."""
+    one = general.join(kept.select(*_KEYS), _KEYS, "left_semi").groupBy(*_KEYS).agg(F.any_value(F.struct("pieces", "constants", "vector")).alias("o"))
+    return kept.join(one, _KEYS).withColumn("template", general_text(F.col("o.pieces"), F.col("o.constants"), F.col("o.vector"), sparql)).drop("o")
+
+
+def supported_edges(general: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (child, parent) between kept texts (k1, k2, template) of :func:`supported_generalizations`, and the roots. One step
+    down a parameter that stands once gets its constant, one of several places of a parameter does, or two parameters become one."""
+    texts = kept.select(*_KEYS, "template")
+    rows = general.join(texts, _KEYS).select(F.col("template").alias("parent"), "pieces", "constants", "vector")
     vector = F.col("vector")
     steps = F.explode(F.array_distinct(F.transform(F.concat(_kept_more(vector, False), _merges(vector, F.col("constants"))), _numbered)))
-    down = rows.select(F.col("general").alias("parent"), "pieces", "constants", steps.alias("vector"))
-    pairs = down.select(general_text(F.col("pieces"), F.col("constants"), vector, sparql).alias("child"), "parent").distinct()
-    edges = pairs.join(texts.withColumnRenamed("general", "child"), "child", "left_semi").select("child", "parent")
-    return edges, texts.join(edges.select(F.col("child").alias("general")), "general", "left_anti")
+    pairs = _keyed(rows.withColumn("vector", steps)).select(*_KEYS, "parent").distinct()
+    edges = pairs.join(texts.withColumnRenamed("template", "child"), _KEYS).select("child", "parent").distinct()
+    return edges, texts.select(F.col("template").alias("general")).join(edges.select(F.col("child").alias("general")), "general", "left_anti")
 
 
 def generalizations(queries: DataFrame, options: TokenOptions = TokenOptions(), max_vars: int = 3, include_identity: bool = False) -> DataFrame:

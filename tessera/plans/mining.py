@@ -97,13 +97,12 @@ def generalize_and_aggregate(usage: DataFrame, options: MiningOptions = MiningOp
     """Templates of the generalization lattice that diverge and pass the thresholds, the edges between them (child,
     parent) and the roots."""
     general = stored(lattice.supported_generalizations(usage, options.tokens, options.max_vars, options.min_instances, options.min_executions, options.include_simple_queries))
-    inst = general.select(F.col("general").alias("template"), "bindings", "num_exec")
-    stats = inst.groupBy("template").agg(F.count("*").alias("num_instances"), F.sum("num_exec").alias("num_exec"))
-    passing = templates.divergent(inst, options.min_binding_divergence_ratio).select("template")
-    kept = templates.above_thresholds(stats.join(passing, "template", "left_semi"), options.min_instances, options.min_executions)
-    kept = stored(kept)
-    edges, roots = lattice.supported_edges(general, kept.select(F.col("template").alias("general")), options.sparql_parameters)
-    return kept, edges, roots
+    stats = general.groupBy("k1", "k2").agg(F.count("*").alias("num_instances"), F.sum("num_exec").alias("num_exec"))
+    passing = templates.divergent(general.select(F.struct("k1", "k2").alias("template"), "bindings"), options.min_binding_divergence_ratio).select("template.k1", "template.k2")
+    kept = templates.above_thresholds(stats.join(passing, ["k1", "k2"], "left_semi"), options.min_instances, options.min_executions)
+    kept = stored(lattice.written_out(general, kept, options.sparql_parameters))
+    edges, roots = lattice.supported_edges(general, kept)
+    return kept.select("template", "num_instances", "num_exec"), edges, roots
 
 
 def _fact(df: DataFrame, s, p: str, kind: str, o) -> DataFrame:
