@@ -33,8 +33,8 @@ from tessera.llm.common import bound_batches, small_side, table, written
 from tessera.llm.repeats import _keyed, _merged
 
 WINDOW = 35
-#: Levels of runs and pairs: symbols of the last stand for about three words each, the longest in a window for more.
-LEVELS = 4
+#: Levels of runs and pairs: symbols of the last stand for two or three words each, the longest in a window for about twice as many.
+LEVELS = 3
 #: Texts that are held as Python objects at a time.
 SLICE = 256
 _U = np.uint64
@@ -139,26 +139,26 @@ def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of each piece: text index, first window, number of windows, place of the anchor after it, anchor, hash of its words."""
+    """Of each piece: text index, first window, number of windows, anchor, hash of its words."""
     window, name, place = anchors(words, owner)
     if not len(window):
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none, none
+        return none, none, none, none, none
     first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (name[1:] != name[:-1]) | (window[1:] != window[:-1] + 1)])
     count, begin = np.diff(np.r_[first, len(window)]), window[first]
     text = np.searchsorted(owner, begin, "right") - 1
     whole = tb.mix(tb.substring_hash(word_sums(words), begin, begin + count + WINDOW - 1), 62) ^ tb.mix(count.astype(_U), 63)
-    return text, begin - owner[text], count, place[first] - begin, name[first].view(np.int64), whole.view(np.int64)
+    return text, begin - owner[text], count, name[first].view(np.int64), whole.view(np.int64)
 
 
 def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, _, data, at in tb.chunks(batch.column(2)):
-            text, first, count, offset, anchor, piece = pieces(*_words(data, at))
+            text, first, count, anchor, piece = pieces(*_words(data, at))
             rows = pa.array(text + i)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(first, pa.int32()), pa.array(count.astype(np.int16)), pa.array(offset.astype(np.int16)), pa.array(anchor), pa.array(piece)],
-                names=["id", "mark", "first", "windows", "offset", "anchor", "piece"],
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(first, pa.int32()), pa.array(count.astype(np.int16)), pa.array(anchor), pa.array(piece)],
+                names=["id", "mark", "first", "windows", "anchor", "piece"],
             )
 
 
@@ -188,7 +188,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """id, mark, a, b: ranges of words (end exclusive) of repeating windows, overlapping and repeated ones too."""
     bound_batches(docs.sparkSession)
     texts = _keyed(docs).select("id", "mark", "text").filter(F.octet_length("text") >= 2 * WINDOW - 1)
-    found = texts.mapInArrow(_piece_rows, "id long, mark long, first int, windows short, offset short, anchor long, piece long")
+    found = texts.mapInArrow(_piece_rows, "id long, mark long, first int, windows short, anchor long, piece long")
     # tables of their own, so that the joins deal both sides anew and a hot anchor's rows can be split
     common = written(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
     rows = written(found.join(common, "anchor"))
