@@ -11,9 +11,9 @@ from tessera.operators.tokenizer import TokenOptions, tokens
 # Clause words of the query language.
 CLAUSES = ("OPTIONAL", "FILTER", "UNION", "MINUS", "GRAPH", "SERVICE", "BIND", "VALUES", "DISTINCT", "REDUCED", "GROUP", "HAVING", "ORDER", "LIMIT", "OFFSET", "FROM", "EXISTS")
 
-# Marks of one character: what ends a statement, a predicate's objects, an object; brackets; what was in brackets.
-_TERM, _STATEMENT, _PREDICATE, _OBJECT, _OPEN, _CLOSE, _GROUP = "\x01", "\x1d", "\x1e", "\x1f", "\x02", "\x03", "\x04"
-_DEPTH = 12
+# The vocabulary of collections.
+_RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+_FIRST_OF, _REST_OF, _NIL = f"<{_RDF}first>", f"<{_RDF}rest>", f"<{_RDF}nil>"
 
 
 def query_features(text: Column) -> Column:
@@ -40,51 +40,126 @@ def query_features(text: Column) -> Column:
     )
 
 
+_PATTERN = "struct<subject:string,predicate:string,object:string>"
+#: An open bracket: its kind (g group, b property list, c collection, x skipped, r the text itself), its subject, its
+#: predicate (of a collection: whether it has an element), and what is expected in it.
+_FRAME = "struct<kind:string,s:string,p:string,at:int>"
+_SUBJECT, _VERB, _OBJECT, _DONE = 0, 1, 2, 3
+
+
+def _classed(t: Column) -> Column:
+    """struct(t, c): the token, and its class: a bracket or stop itself, path, term, or a word in capitals."""
+    return F.struct(
+        t.alias("t"),
+        F.when(t.isin(*"{}[]().;,") | (t == "()"), t).when(t.isin(*"/|^!*+?"), F.lit("path")).when(t.rlike(r"^[A-Za-z]+$") & ~t.isin("a", "true", "false"), F.upper(t)).otherwise(F.lit("term")).alias("c"),
+    )
+
+
+def _next(x: Column, t: Column, c: Column) -> Column:
+    """What a token does: struct(do, s, p, at, mode, push, told, used): ``do`` is push, pop or stay; s, p, at and mode are the top
+    bracket's from then on, ``push`` the new bracket, ``told`` the patterns that it tells, ``used`` the blank nodes that it makes."""
+    kind, s, p, at, mode = (x[k] for k in ("kind", "s", "p", "at", "mode"))
+    label = lambda k: F.concat(F.lit("_:g"), (x["made"] + k).cast("string"))
+    pattern = lambda a, b, o: F.struct(a.alias("subject"), b.alias("predicate"), o.alias("object"))
+    frame = lambda k, subject=None, state=_SUBJECT: F.struct(F.lit(k).alias("kind"), (F.lit(None).cast("string") if subject is None else subject).alias("s"), F.lit(None).cast("string").alias("p"), F.lit(state).alias("at"))
+    nothing, no_text = F.array().cast(f"array<{_PATTERN}>"), F.lit(None).cast("string")
+
+    def to(do="stay", s=s, p=p, at=at, mode=mode, push=None, told=nothing, used=F.lit(0)):
+        return F.struct(
+            F.lit(do).alias("do"), s.alias("s"), p.alias("p"), (F.lit(at) if isinstance(at, int) else at).alias("at"), (F.lit(mode) if isinstance(mode, str) else mode).alias("mode"),
+            (F.lit(None).cast(_FRAME) if push is None else push).alias("push"), told.alias("told"), used.alias("used"),
+        )
+
+    def element(e, push=None, made=0):
+        """``e`` is the next element of a collection; all but the first get a cell of their own."""
+        cell = label(made)
+        first = to("push" if push is not None else "stay", p=F.lit("1"), push=push, told=F.array(pattern(s, F.lit(_FIRST_OF), e)), used=F.lit(made))
+        more = to("push" if push is not None else "stay", s=cell, push=push, told=F.array(pattern(s, F.lit(_REST_OF), cell), pattern(cell, F.lit(_FIRST_OF), e)), used=F.lit(made + 1))
+        return F.when(p.isNull(), first).otherwise(more)
+
+    def opened(push):
+        """A bracket in the place of a term: a new blank node."""
+        e = label(0)
+        return (
+            F.when(kind == "c", element(e, push, 1))
+            .when(at == _OBJECT, to("push", at=_DONE, push=push, told=F.array(pattern(s, p, e)), used=F.lit(1)))
+            .otherwise(to("push", s=e, p=no_text, at=_VERB, push=push, used=F.lit(1)))
+        )
+
+    def term(e):
+        return (
+            F.when(kind == "c", element(e))
+            .when(at == _VERB, to(p=e, at=_OBJECT))
+            .when((at == _OBJECT) & p.rlike("[/|^!]$"), to(p=F.concat(p, e)))
+            .when(at == _OBJECT, to(at=_DONE, told=F.array(pattern(s, p, e))))
+            .otherwise(to(s=e, p=no_text, at=_VERB))
+        )
+
+    skip = frame("x")
+    path_opens = (kind != "c") & ((at == _VERB) | ((at == _OBJECT) & p.rlike("[/|^!]$")))
+    plain = (
+        F.when(c == "{", to("push", at=_SUBJECT, push=frame("g")))
+        .when(c == "}", to("pop"))
+        .when(c == "[", opened(frame("b", label(0), _VERB)))
+        .when(c == "]", F.when(kind == "b", to("pop")).otherwise(to()))
+        .when((c == "(") & path_opens, to("push", p=F.concat(F.coalesce(p, F.lit("")), F.lit("()")), at=_OBJECT, push=skip))
+        .when(c == "(", opened(frame("c", label(0))))
+        .when(c == ")", F.when(kind == "c", to("pop", told=F.array(pattern(s, F.lit(_REST_OF), F.lit(_NIL))))).otherwise(to()))
+        .when(c == "()", term(F.lit(_NIL)))
+        .when(c == ".", to(s=no_text, p=no_text, at=_SUBJECT))
+        .when(c == ";", F.when(at > _SUBJECT, to(p=no_text, at=_VERB)).otherwise(to()))
+        .when(c == ",", F.when(at == _DONE, to(at=_OBJECT)).otherwise(to()))
+        .when(c == "path", F.when(at.isin(_VERB, _OBJECT), to(p=F.concat(F.coalesce(p, F.lit("")), t), at=_OBJECT)).otherwise(to()))
+        .when(c == "term", term(t))
+        .when(c.isin("FILTER", "BIND"), to(at=_SUBJECT, mode="expression"))
+        .when(c.isin("GRAPH", "SERVICE"), to(at=_SUBJECT, mode="name"))
+        .when(c == "SELECT", to(at=_SUBJECT, mode="head"))
+        .when(c.isin("GROUP", "ORDER", "HAVING", "LIMIT", "OFFSET"), to(at=_SUBJECT, mode="tail"))
+        .otherwise(to(at=_SUBJECT))
+    )
+    return (
+        F.when(kind == "x", F.when(c.isin("(", "{"), to("push", push=skip)).when(c.isin(")", "}"), to("pop")).otherwise(to()))
+        .when(mode == "head", F.when(c == "{", to("push", mode="", push=frame("g"))).when(c == "(", to("push", push=skip)).otherwise(to()))
+        .when(mode == "tail", F.when(c == "}", to("pop", mode="")).when(c == "(", to("push", push=skip)).otherwise(to()))
+        .when(mode == "expression", F.when(c.isin("(", "{"), to("push", mode="", push=skip)).when(c == "()", to(mode="")).otherwise(to()))
+        .when((mode == "name") & (c != "{"), F.when(c == "SILENT", to()).otherwise(to(mode="")))
+        .otherwise(plain)
+    )
+
+
+def _step(x: Column, token: Column) -> Column:
+    def moved(n: Column) -> Column:
+        own = F.struct(x["kind"].alias("kind"), n["s"].alias("s"), n["p"].alias("p"), n["at"].alias("at"))
+        depth = F.size(x["stack"])
+        popped = (n["do"] == "pop") & (depth > 0)
+        top = F.when(n["do"] == "push", n["push"]).when(popped, F.get(x["stack"], depth - 1)).otherwise(own)
+        stack = F.when(n["do"] == "push", F.concat(x["stack"], F.array(own))).when(popped, F.slice(x["stack"], F.lit(1), depth - 1)).otherwise(x["stack"])
+        return F.struct(*[top[k].alias(k) for k in ("kind", "s", "p", "at")], n["mode"].alias("mode"), (x["made"] + n["used"]).alias("made"), stack.alias("stack"), F.concat(x["told"], n["told"]).alias("told"))
+
+    return F.get(F.transform(F.array(_next(x, token["t"], token["c"])), moved), F.lit(0))
+
+
 def triple_patterns(text: Column) -> Column:
     """array<struct<subject, predicate, object>> of the patterns in a query's WHERE part, in order; null texts give null.
 
-    Terms are as the text has them. Path operators stay with their predicate; a path or list in
-    parentheses is the term '()'. What stands in FILTER, BIND, VALUES and the solution modifiers makes
-    no pattern, nor does the template of a CONSTRUCT. Brackets nested more than twelve deep and
-    property lists of blank nodes are not resolved: their statements may be read wrongly.
+    The tokens are folded over with a stack of open brackets, so groups, property lists of blank nodes and
+    collections nest as deep as they like. Terms are as the text has them; a blank node without a label is _:g and
+    its number in the text, and a collection is a chain of such nodes under rdf:first and rdf:rest. Path operators stay with
+    their predicate, a path in parentheses is '()'. What stands in FILTER (EXISTS too), BIND, VALUES and the
+    solution modifiers makes no pattern, nor does the template of a CONSTRUCT.
     """
-    solid = F.filter(tokens(patch_parameters(text)), lambda t: ~t.rlike(r"(?s)^(\s|#).*"))
-    mark = (
-        lambda t: F.when(t.isin(".", "{", "}") | t.rlike(r"(?is)^VALUES\b.*\{"), F.lit(_STATEMENT))
-        .when(t == ";", F.lit(_PREDICATE)).when(t == ",", F.lit(_OBJECT)).when(t == "(", F.lit(_OPEN)).when(t == ")", F.lit(_CLOSE))
-        .otherwise(F.translate(t, _TERM + _STATEMENT + _PREDICATE + _OBJECT + _OPEN + _CLOSE + _GROUP, ""))
-    )
+    solid = F.filter(tokens(patch_parameters(text)), lambda t: ~t.rlike(r"(?s)^(\s|#).*") & ~t.rlike(r"(?is)^VALUES\b.*\{"))
     # the template of a CONSTRUCT and the head of any query end at WHERE or at the first brace
     upper = F.transform(solid, F.upper)
     where, brace = F.array_position(upper, "WHERE"), F.array_position(solid, "{")
     begin = F.when((query_type(text, exact=True) == "C") & (where > 0), where).otherwise(brace).cast("int")
-    body = F.array_join(F.transform(F.filter(solid, lambda t, i: (begin > 0) & (i >= begin)), mark), _TERM)
-    flat = F.regexp_replace(body, f"{_STATEMENT}[^{_STATEMENT}]*$", _STATEMENT)
-    for _ in range(_DEPTH):
-        flat = F.regexp_replace(flat, f"{_OPEN}[^{_OPEN}{_CLOSE}]*{_CLOSE}", _GROUP)
-    word = f"(?<![^{_TERM}{_STATEMENT}{_PREDICATE}{_OBJECT}])"
-    flat = F.regexp_replace(flat, f"(?i){word}(FILTER({_TERM}[^{_TERM}]+)?|BIND){_TERM}{_GROUP}", _STATEMENT)
-    flat = F.regexp_replace(flat, f"(?i){word}(OPTIONAL|UNION|MINUS|FILTER|(GRAPH|SERVICE({_TERM}SILENT)?){_TERM}[^{_TERM}]+)(?={_TERM})", _STATEMENT)
-    flat = F.regexp_replace(flat, f"{_TERM}([/|]){_TERM}", "$1")
-    flat = F.regexp_replace(flat, f"([!^]){_TERM}", "$1")
-    flat = F.regexp_replace(flat, f"{_TERM}([*+?])(?={_TERM})", "$1")
-    terms = lambda s: F.filter(F.split(s, _TERM), lambda t: t != "")
-    shown = lambda t: F.replace(t, F.lit(_GROUP), F.lit("()"))
-
-    def of_statement(s: Column) -> Column:
-        parts = F.split(s, _PREDICATE)
-        subject = F.get(terms(F.get(parts, F.lit(0))), F.lit(0))
-
-        def of_part(part: Column, k: Column) -> Column:
-            objects = F.split(part, _OBJECT)
-            head = F.slice(terms(F.get(objects, F.lit(0))), F.when(k == 0, 2).otherwise(1), F.lit(2))
-            last = F.transform(objects, lambda o, j: F.when(j == 0, F.get(head, F.lit(1))).otherwise(F.get(terms(o), F.lit(0))))
-            return F.transform(last, lambda o: F.struct(shown(subject).alias("subject"), shown(F.get(head, F.lit(0))).alias("predicate"), shown(o).alias("object")))
-
-        # a bare word is no subject: such statements are heads and modifiers of inner queries
-        return F.when(subject.rlike("^[A-Za-z]+$"), F.array()).otherwise(F.flatten(F.transform(parts, of_part)))
-
-    return F.filter(F.flatten(F.transform(F.split(flat, _STATEMENT), of_statement)), lambda t: t["subject"].isNotNull() & t["predicate"].isNotNull() & t["object"].isNotNull())
+    body = F.filter(solid, lambda t, i: (begin > 0) & (i >= begin - 1))
+    one = F.get(F.transform(F.array(body), lambda b: F.filter(F.transform(b, lambda t, i: F.when((t == "(") & (F.get(b, i + 1) == ")"), "()").when((t == ")") & (i > 0) & (F.get(b, i - 1) == "("), "").otherwise(t)), lambda t: t != "")), F.lit(0))
+    start = F.struct(
+        F.lit("r").alias("kind"), F.lit(None).cast("string").alias("s"), F.lit(None).cast("string").alias("p"), F.lit(_SUBJECT).alias("at"), F.lit("").alias("mode"), F.lit(0).alias("made"),
+        F.array().cast(f"array<{_FRAME}>").alias("stack"), F.array().cast(f"array<{_PATTERN}>").alias("told"),
+    )
+    return F.aggregate(F.transform(one, _classed), start, _step, lambda x: x["told"])
 
 
 def term_kind(term: Column) -> Column:

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
 from tessera.operators import ingest, lattice, templates
-from tessera.operators.features import query_features, terms_by_place
+from tessera.operators.features import query_features, terms_by_place, triple_patterns
 from tessera.operators.specialize import specialization_forest
 from tessera.operators.tokenizer import TokenOptions, decompose
 from tessera.plans.log_queries import _INST, _LOG, _SIMPLE, _USAGE, _USAGE_DS, _instances, _table
 from tessera.plans.mining import MiningOptions, forest_triples, generalize_and_aggregate, mine_by_cluster, mine_templates, stats_table
-from tessera.sources.querylog import executions, query_usage
+from tessera.sources.querylog import bracket_texts, executions, query_usage
 from tessera.sources.rdf import parse_lines
 
 _SHAPES = f"""{_SIMPLE}, shapes AS (
@@ -104,6 +104,12 @@ def query_terms_by_place(spark, sf_dir):
     return terms_by_place(query_usage(executions(spark, sf_dir), "dataset"), "dataset")
 
 
+def query_nested_patterns(spark, sf_dir):
+    """Patterns of a log whose queries nest property lists, collections, groups and inner queries, with their executions."""
+    found = bracket_texts(spark, sf_dir).select(F.explode(triple_patterns(F.col("text"))).alias("t"))
+    return found.groupBy("t.subject", "t.predicate", "t.object").agg(F.count("*").alias("num_exec"))
+
+
 def document_tokens(spark, sf_dir):
     """Whole document texts through the tokenizer: pieces and constants hold the text again."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", decompose(F.col("text"), TokenOptions(exclude_preamble=False, sparql_parameters=False)).alias("d"))
@@ -256,6 +262,13 @@ SELECT dataset, place, CASE WHEN term LIKE '?%' THEN 'variable' WHEN term LIKE '
     "mined_templates": f"{_SHAPES} SELECT * FROM mined",
     "mined_stats_table": f"""{_SHAPES} SELECT false AS is_total, text, num_instances, num_exec, t_first, t_last, round(sum_log2_exec, 3) AS sum_log2_exec, n_terms, n_params FROM mined
 UNION ALL SELECT true, '', CAST(sum(num_instances) AS BIGINT), CAST(sum(num_exec) AS BIGINT), min(t_first), max(t_last), round(sum(sum_log2_exec), 3), max(n_terms), max(n_params) FROM mined""",
+    "query_nested_patterns": """WITH e AS (SELECT event_type, CAST(user_id AS VARCHAR) AS u, json_extract_string(props, '$.k') AS k FROM events
+), r AS (SELECT *, '<http://www.w3.org/1999/02/22-rdf-syntax-ns#first>' AS f, '<http://www.w3.org/1999/02/22-rdf-syntax-ns#rest>' AS n, '<http://www.w3.org/1999/02/22-rdf-syntax-ns#nil>' AS nil FROM e
+), t AS (SELECT unnest(CASE event_type
+  WHEN 'click' THEN [['?s', 'ex:p' || u, '_:g0'], ['_:g0', 'ex:q', k], ['_:g0', 'ex:r', '?z'], ['_:g0', 'ex:r', '_:g1'], ['_:g1', f, k], ['_:g1', n, '_:g2'], ['_:g2', f, '"u' || u || '"'], ['_:g2', n, nil], ['_:g3', 'ex:t', '?s']]
+  WHEN 'view' THEN [['<http://ex.org/u' || u || '>', 'ex:in', '_:g0'], ['_:g0', f, '_:g1'], ['_:g1', 'ex:k', k], ['_:g0', n, '_:g2'], ['_:g2', f, nil], ['_:g2', n, nil], ['?a', 'ex:x/()*', '?b']]
+  ELSE [['?x', 'ex:d' || k, '_:g0'], ['_:g0', 'ex:e', '_:g1'], ['_:g1', 'ex:f', u], ['?x', 'a', 'ex:T']] END) AS p FROM r)
+SELECT p[1] AS subject, p[2] AS predicate, p[3] AS object, count(*) AS num_exec FROM t GROUP BY ALL""",
     "document_tokens": "SELECT doc_id, true AS lossless FROM documents",
     "assembled_executions": "SELECT CAST(user_id AS VARCHAR) AS id, 'ASK { ' || user_id || ' }' AS text, 't' || event_id AS ts, 'h' || (user_id % 7) AS host FROM events",
     "merged_preambles": f"""{_SIMPLE} SELECT DISTINCT template, CAST(NULL AS VARCHAR) AS base, CASE WHEN template LIKE 'SELECT ?s%' THEN 'PREFIX ex: <http://ex.org/>' ELSE '' END AS prologue FROM inst""",
@@ -266,7 +279,7 @@ FROM (SELECT p.id, p.pos, p.value, i.text FROM pos p JOIN inst i ON p.id = i.id)
 
 def queries() -> dict:
     fs = (specialization_nodes_by_dataset, specialization_edges_by_dataset, mined_templates, mined_stats_table, mined_by_cluster, mined_forest_triples, specialization_nodes, specialization_edges, generalization_lattice, generalization_edges, generalization_roots)
-    fs += (query_feature_counts, query_terms_by_place, document_tokens, merged_preambles, rebased_terms, assembled_executions)
+    fs += (query_feature_counts, query_terms_by_place, query_nested_patterns, document_tokens, merged_preambles, rebased_terms, assembled_executions)
     return {f.__name__: f for f in fs}
 
 

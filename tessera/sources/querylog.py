@@ -50,6 +50,25 @@ def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Texts with nested brackets by event type (null: all others), and their patterns; {u} and {k} as in the log.
+BRACKETS = {
+    "click": 'SELECT * WHERE { ?s ex:p{u} [ ex:q {k} ; ex:r ?z , ( {k} "u{u}" ) ] . [] ex:t ?s }',
+    "view": "ASK { GRAPH ?g { <http://ex.org/u{u}> ex:in ( [ ex:k {k} ] () ) } OPTIONAL { ?a ex:x / ( ex:y | ex:z )* ?b } FILTER NOT EXISTS { ?a ex:no [ ex:no 1 ] } }",
+    None: "SELECT ?x { { SELECT ?x WHERE { ?x ex:d{k} [ ex:e [ ex:f {u} ] ] } GROUP BY ?x LIMIT 5 } MINUS { ?x a ex:T } }",
+}
+
+
+def bracket_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, text: a query with nested property lists and collections for every event."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    shape = F.lit(BRACKETS[None])
+    for kind, text in BRACKETS.items():
+        if kind:
+            shape = F.when(F.col("event_type") == kind, text).otherwise(shape)
+    filled = F.replace(F.replace(shape, F.lit("{u}"), F.col("user_id").cast("string")), F.lit("{k}"), F.get_json_object("props", "$.k"))
+    return e.select("event_id", filled.alias("text"))
+
+
 def query_usage(log: DataFrame, *keys: str) -> DataFrame:
     """id, text with num_exec, t_first, t_last (within ``keys``)."""
     return log.groupBy(*keys, "id", "text").agg(F.count("*").alias("num_exec"), F.min("ts").alias("t_first"), F.max("ts").alias("t_last"))

@@ -19,6 +19,10 @@ def test_closure_on_a_cycle(spark):
     assert {r.node for r in graph.reachable(edges, spark.createDataFrame([(4,)], "n int")).collect()} == {4}
 
 
+RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+FIRST, REST, NIL = f"<{RDF}first>", f"<{RDF}rest>", f"<{RDF}nil>"
+
+
 def test_transitive_reduction_like_plain(spark):
     import random
 
@@ -201,7 +205,11 @@ def test_triple_patterns(spark):
         "CONSTRUCT { ?s ex:b 1 } WHERE { ?s ex:c 2 }": [("?s", "ex:c", "2")],
         "ASK { ?a ex:p ?b FILTER(?b > 3 && (?b < 9)) ?b ex:q ?c OPTIONAL { ?c ex:r true } FILTER regex(?c, \"x ( y\") }": [("?a", "ex:p", "?b"), ("?b", "ex:q", "?c"), ("?c", "ex:r", "true")],
         "SELECT * { GRAPH ?g { ?a ex:p/ex:q+ ?b } { SELECT ?b WHERE { ?b ^ex:r|ex:s ?c } LIMIT 2 } UNION { ?b (ex:p|ex:q)* (1 2) } BIND(?b AS ?d) VALUES ?d { 1 } }": [
-            ("?a", "ex:p/ex:q+", "?b"), ("?b", "^ex:r|ex:s", "?c"), ("?b", "()*", "()")
+            ("?a", "ex:p/ex:q+", "?b"), ("?b", "^ex:r|ex:s", "?c"), ("?b", "()*", "_:g0"), ("_:g0", FIRST, "1"), ("_:g0", REST, "_:g1"), ("_:g1", FIRST, "2"), ("_:g1", REST, NIL)
+        ],
+        "ASK { ?s ex:q [ ex:r 5 ; ex:t ?z ] . [] ex:p [ ex:q ?o ] }": [("?s", "ex:q", "_:g0"), ("_:g0", "ex:r", "5"), ("_:g0", "ex:t", "?z"), ("_:g1", "ex:p", "_:g2"), ("_:g2", "ex:q", "?o")],
+        "ASK { ?s ex:p () ; . FILTER NOT EXISTS { ?s ex:x ?y } MINUS { () ex:q (?s) } [ ex:a ( [] ) ] }": [
+            ("?s", "ex:p", NIL), (NIL, "ex:q", "_:g0"), ("_:g0", FIRST, "?s"), ("_:g0", REST, NIL), ("_:g1", "ex:a", "_:g2"), ("_:g2", FIRST, "_:g3"), ("_:g2", REST, NIL)
         ],
         "DESCRIBE <http://a>": [], "": [], None: None,
     }
@@ -212,6 +220,95 @@ def test_triple_patterns(spark):
     assert {r.t: r.k for r in got} == kinds
 
 
+class _Written:
+    """A random WHERE part: its text, and the patterns that it was made from."""
+
+    def __init__(self, r):
+        self.r, self.told, self.made = r, [], 0
+        self.text = "SELECT * WHERE " + self.group(3)
+
+    def blank(self):
+        self.made += 1
+        return f"_:b{self.made}"
+
+    def place(self, depth, tell):
+        """A term, property list or collection; ``tell`` says what stands here before what is in it."""
+        kind = self.r.choice(["term", "term", "term", "list", "cells", "nil"]) if depth else "term"
+        if kind == "nil":
+            tell(NIL)
+            return self.r.choice(["()", "( )"])
+        if kind == "term":
+            t = self.r.choice(["?a", "ex:b", '"x ] } (" ', "5", "<http://c#d>", "true", "$v"]).strip()
+            tell(t)
+            return t
+        b = self.blank()
+        tell(b)
+        if kind == "list":
+            return "[ " + (self.verbs(b, depth - 1) if self.r.random() < 0.8 else "") + " ]"
+        parts, n = [], self.r.randrange(1, 4)
+        cell = b
+        for k in range(n):
+            if k:
+                following = self.blank()
+                self.told.append((cell, REST, following))
+                cell = following
+            parts.append(self.place(depth - 1, lambda t, c=cell: self.told.append((c, FIRST, t))))
+        self.told.append((cell, REST, NIL))
+        return "( " + " ".join(parts) + " )"
+
+    def verbs(self, subject, depth):
+        out = []
+        for _ in range(self.r.randrange(1, 4)):
+            verb, shown = self.r.choice([("ex:p", "ex:p"), ("a", "a"), ("?p", "?p"), ("ex:p/ex:q*", "ex:p / ex:q*"), ("^ex:r", "^ex:r"), ("()+", "( ex:p | ^ex:q )+")])
+            out.append(shown + " " + " , ".join(self.place(depth, lambda t: self.told.append((subject, verb, t))) for _ in range(self.r.randrange(1, 3))))
+        return " ; ".join(out)
+
+    def group(self, depth):
+        parts = []
+        for _ in range(self.r.randrange(1, 5)):
+            kind = self.r.choice(["triples"] * 4 + ["optional", "graph", "filter", "bind", "sub", "union", "exists"]) if depth else "triples"
+            if kind == "triples":
+                held = []
+                text = self.place(2, held.append)
+                parts.append(f"{text} {self.verbs(held[0], 3)} .")
+            elif kind in ("optional", "graph"):
+                parts.append(("OPTIONAL " if kind == "optional" else "GRAPH ?g ") + self.group(depth - 1))
+            elif kind == "union":
+                parts.append(self.group(depth - 1) + " UNION " + self.group(depth - 1))
+            elif kind == "sub":
+                parts.append("{ SELECT ?a (COUNT(?b) AS ?n) WHERE " + self.group(depth - 1) + " GROUP BY ?a HAVING (?n > 2) LIMIT 3 }")
+            else:
+                parts.append({"filter": "FILTER(?a > 3 && (?b < 9))", "bind": "BIND(str(?a) AS ?d)", "exists": "FILTER NOT EXISTS { ?q ex:no [ ex:no ( 1 ) ] }"}[kind])
+        return "{ " + " ".join(parts) + " }"
+
+
+def _in_order(patterns):
+    """Blank nodes by the order of the patterns that name them; the patterns as a set."""
+    children = {}
+    for s, p, o in patterns:
+        children.setdefault(s, []).append((p, o))
+
+    def shape(t):
+        return (t.split(":")[0], tuple(sorted((p, shape(o)) for p, o in children.get(t, [])))) if t.startswith("_:") else (t,)
+
+    return sorted((shape(s), p, shape(o)) for s, p, o in patterns)
+
+
+def test_patterns_like_their_makers(spark):
+    r = random.Random(11)
+    made = [_Written(r) for _ in range(250)]
+    df = spark.createDataFrame([(i, m.text) for i, m in enumerate(made)], "i int, t string")
+    for row in df.select("i", triple_patterns(F.col("t")).alias("p")).collect():
+        assert _in_order([tuple(x) for x in row.p]) == _in_order(made[row.i].told), made[row.i].text
+
+
+def test_deep_brackets(spark):
+    n = 60
+    text = "ASK { ?s ex:p " + "[ ex:p ( " * n + "1" + " ) ]" * n + " }"
+    found = spark.createDataFrame([(text,)], "t string").select(triple_patterns(F.col("t")).alias("p")).first().p
+    assert len(found) == 1 + 3 * n and [x.object for x in found if x.object == "1"] == ["1"]
+
+
 def test_terms_of_many_queries(spark):
     df = spark.createDataFrame([("d", "ASK { ?a ex:p ?a . ?a ex:p 1 }"), ("d", "ASK { ?a ex:q 1 }"), ("e", "ASK { 1 }"), ("e", None)], "k string, text string")
     got = {tuple(r) for r in terms_by_place(df, "k").collect()}
