@@ -31,6 +31,8 @@ BLOCKS = frozenset(
 SILENT = frozenset("script style noscript template svg math iframe object canvas textarea audio video title noframes map".split())
 #: Those whose content is raw text.
 RAW = frozenset("script style textarea title noframes".split())
+#: Those of embedded vocabularies, which a slash at the end of their tag closes.
+FOREIGN = frozenset({"svg", "math"})
 #: Elements that stay open until closed, with what they hold.
 CONTAINERS = frozenset(
     "article aside blockquote body button center dd details dialog div dl dt fieldset figcaption figure footer form header hgroup "
@@ -132,7 +134,8 @@ def blocks(html: str | None) -> list[tuple[str, tuple]]:
         at, close, name = m.end(), m[1], m[2].lower()
         if name in SILENT and not close:
             flush() if name in BLOCKS else None
-            if not m[3].endswith("/"):
+            # a slash at the end of a tag closes no element of HTML, but one of the embedded vocabularies
+            if not (m[3].endswith("/") and name in FOREIGN):
                 end = re.compile(f"</{name}\\b[^>]*>", re.I).search(html, at)
                 # left open, an element of raw text runs to the end of the page; of others the tag alone is skipped
                 at = end.end() if end is not None else n if name in RAW else at
@@ -154,10 +157,9 @@ def blocks(html: str | None) -> list[tuple[str, tuple]]:
         item = name == "li" and not close
         if name in CONTAINERS:
             if not close:
-                if not m[3].endswith("/"):
-                    if name in ("li", "dd", "dt", "td", "th", "tr") and stack and stack[-1][0] == name:
-                        stack.pop()
-                    stack.append((name, _flags(name, m[3])))
+                if name in ("li", "dd", "dt", "td", "th", "tr") and stack and stack[-1][0] == name:
+                    stack.pop()
+                stack.append((name, _flags(name, m[3])))
             else:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == name:
@@ -223,7 +225,7 @@ class Tree:
             at[inner] = np.where(x[inner, feature[k]] <= cut[k], left[k], right[k])
 
 
-def labelled_pages(n: int = 320, seed: int = 9) -> Iterator[tuple[str, list[bool]]]:
+def labelled_pages(n: int = 480, seed: int = 9) -> Iterator[tuple[str, list[bool]]]:
     """The labelled table: made-up pages, and for each flat block whether it is the article's."""
     r = np.random.Generator(np.random.PCG64(seed))
     pick = lambda xs: xs[int(r.integers(len(xs)))]
@@ -237,6 +239,22 @@ def labelled_pages(n: int = 320, seed: int = 9) -> Iterator[tuple[str, list[bool
     for _ in range(n):
         out: list[tuple[str, list[bool]]] = []
         add = lambda html, *labels: out.append((html, list(labels)))
+        if chance(0.3):
+            # neither tags nor names tell what is what, nor how long a block is: whether it is a link does
+            teaser = lambda low, high: add(pick(['<div><a href="/x">{}</a></div>', '<a href="/x"><div>{}</div></a>', '<p><a href="/x">{}</a></p>']).format(text(low, high, pick(["", "."]))), False)
+            for _ in range(int(r.integers(2, 7))):
+                teaser(*((1, 5) if chance(0.5) else (8, 60)))
+            for _ in range(int(r.integers(2, 9))):
+                body = text(8, 80)
+                for _ in range(int(r.integers(0, 3))):
+                    body += f" {link(1, 5)} {text(4, 12)}"
+                add(pick(["<p>{}</p>", "<div>{}</div>"]).format(body), True)
+            for _ in range(int(r.integers(0, 6))):
+                teaser(*((1, 5) if chance(0.5) else (8, 60)))
+            if chance(0.6):
+                add(f"<div>{' '.join(link(1, 4) for _ in range(int(r.integers(2, 7))))}</div>", False)
+            yield "<html><body><div>" + "".join(h for h, _ in out) + "</div></body></html>", [x for _, ls in out for x in ls]
+            continue
         items = lambda k: ("".join(f"<li>{link()}</li>" for _ in range(k)), [False] * k)
         if chance(0.8):
             k = int(r.integers(2, 8))

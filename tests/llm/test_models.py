@@ -220,6 +220,32 @@ def test_tree_on_unseen_pages():
     assert wrong / total < 0.02
 
 
+def test_link_density_decides():
+    def made(n, seed):
+        xs, ys = [], []
+        for html, labels in html_text.labelled_pages(n, seed):
+            xs.append(html_text.features(html_text.blocks(html)))
+            ys += labels
+        return np.vstack(xs), np.array(ys, int)
+
+    x, y = made(480, 9)
+    unseen, labels = made(150, 4321)
+    columns = [k for k, name in enumerate(html_text.FEATURES) if not name.startswith("links")]
+    error = lambda tree, part: (tree.predict(part) != labels.astype(bool)).mean()
+    whole, without = error(html_text.Tree(x, y), unseen), error(html_text.Tree(x[:, columns], y), unseen[:, columns])
+    assert whole < 0.02 and without > whole + 0.01
+    split = {html_text.FEATURES[n[0]] for n in html_text.trained_tree().nodes if n[0] >= 0}
+    assert {"links", "links_before"} <= split
+
+
+def test_a_slash_closes_no_element():
+    texts = lambda h: [t for t, _ in html_text.blocks(h)]
+    assert texts("<p>before</p><script src=/js/x/>var secret=1;</script><p>after</p>") == ["before", "after"]
+    assert texts("<p>a</p><style/>p{}</style><textarea/>typed</textarea><svg/><p>b</p>") == ["a", "b"]
+    flags = lambda h: [f for t, f in html_text.blocks(h) if t == "inside"][0]
+    assert flags("<div class=menu/><p>inside</p></div>") == flags("<div class=menu><p>inside</p></div>")
+
+
 def test_articles_of_the_test_pages(spark, sf_dir):
     def article(html):
         body = re.search("<article>(.*?)</article>", html, re.S)[1].replace("<br>", " ")
