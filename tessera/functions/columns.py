@@ -84,12 +84,46 @@ def safe_id(value: Column) -> Column:
     return F.replace(value, F.lit("-"), F.lit("_"))
 
 
+#: Scheme, authority, path, query and fragment of a reference, with the marks that tell whether a part is there.
+_REFERENCE = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
+
+
+def _without_dots(path: Column) -> Column:
+    """The path without '.' and '..' segments."""
+    rooted = path.startswith("/")
+    segments = F.split(F.when(rooted, F.substr(path, F.lit(2))).otherwise(path), "/", -1)
+    last = F.element_at(segments, -1)
+    kept = F.aggregate(
+        segments,
+        F.array().cast("array<string>"),
+        lambda held, s: F.when(s == ".", held).when(s == "..", F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0)))).otherwise(F.concat(held, F.array(s))),
+    )
+    kept = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.concat(F.when(rooted, F.lit("/")).otherwise(F.lit("")), F.array_join(kept, "/"))
+
+
+def resolve_reference(reference: Column, base: Column) -> Column:
+    """A reference resolved against a base as RFC 3986 (5.2) says; without a base only absolute ones are known, others null."""
+    part = lambda x, k: F.regexp_extract(x, _REFERENCE, k)
+    scheme, authority, path, query, fragment = (part(reference, k) for k in range(1, 6))
+    base_path = part(base, 3)
+    merged = F.when((part(base, 2) != "") & (base_path == ""), F.concat(F.lit("/"), path)).otherwise(F.concat(F.regexp_extract(base_path, r"(?s)^(.*/)?[^/]*$", 1), path))
+    same = (scheme == "") & (authority == "")
+    return F.concat(
+        F.when(scheme != "", scheme).otherwise(part(base, 1)),
+        F.when(same, part(base, 2)).otherwise(authority),
+        F.when(~same | path.startswith("/"), _without_dots(path)).when(path == "", base_path).otherwise(_without_dots(merged)),
+        F.when(same & (path == "") & (query == ""), part(base, 4)).otherwise(query),
+        fragment,
+    )
+
+
 def rebase_term(term: Column, prefixes: Column, base: Column | None = None) -> Column:
-    """A prefixed name, relative or full IRI or literal as a full RDF term; null for an unknown prefix."""
+    """A prefixed name, relative or full IRI or literal as a full RDF term; null for an unknown prefix, and for a relative IRI without a base."""
     name = F.regexp_extract(term, r"^([^:<\"']*):", 1)
     known = F.element_at(F.filter(prefixes, lambda p: p["name"] == name), -1)["iri"]
     local = F.regexp_replace(F.regexp_extract(term, r"(?s)^[^:]*:(.*)$", 1), r"\\(.)", "$1")
-    relative = F.concat(F.lit("<"), base if base is not None else F.lit(None).cast("string"), F.regexp_extract(term, r"^<(.*)>$", 1), F.lit(">"))
+    relative = F.concat(F.lit("<"), resolve_reference(F.regexp_extract(term, r"(?s)^<(.*)>$", 1), base if base is not None else F.lit(None).cast("string")), F.lit(">"))
     some = F.exists(prefixes, lambda p: p["name"] == name)
     return (
         F.when(term.rlike(r"^<[A-Za-z][A-Za-z0-9+.-]*:"), term)

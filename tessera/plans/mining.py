@@ -11,7 +11,7 @@ from tessera.functions.columns import rebase_term
 from tessera.operators import lattice, templates
 from tessera.operators.graph import join_by, stored
 from tessera.operators.specialize import Forest, grow_forest
-from tessera.operators.tokenizer import TokenOptions, prologue_prefixes
+from tessera.operators.tokenizer import TokenOptions, prologue_base, prologue_prefixes
 
 
 @dataclass(frozen=True)
@@ -109,12 +109,16 @@ def _fact(df: DataFrame, s, p: str, kind: str, o) -> DataFrame:
     return df.select(s.alias("s"), F.lit(p).alias("p"), F.lit(kind).alias("o_kind"), o.cast("string").alias("o_value"))
 
 
-def forest_triples(mined: Mined, dataset_iri: str, base: str = "http://example.org/", cluster_iri: str | None = None) -> DataFrame:
+def forest_triples(
+    mined: Mined, dataset_iri: str, base: str = "http://example.org/", cluster_iri: str | None = None, preambles: DataFrame | None = None, default_preamble: str = ""
+) -> DataFrame:
     """s, p, o_kind, o_value: the templates and, of a mined forest, all specializations as statements.
 
     Each node has its identifier, text, executions and parameters, and a link to its parents; a root belongs to the
     dataset or, if one is given, to the cluster. Each instance of each node has a generation by which its query
-    was made, with a binding for each parameter: its text, and its full term where the prologue tells it.
+    was made, with a binding for each parameter: its text, and its full term where the prologue tells it. What the
+    query's own prologue does not declare is looked up in that of its dataset (``preambles``: the columns of
+    ``mined.keys`` and preamble), then in ``default_preamble``; relative IRIs are resolved against the base found so.
     """
     rdf, dct, lsqv = "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://purl.org/dc/terms/", "http://lsq.aksw.org/vocab#"
     prvt, prv, prov = "http://purl.org/net/provenance/types#", "http://purl.org/net/provenance/ns#", "http://www.w3.org/ns/prov#"
@@ -138,11 +142,16 @@ def forest_triples(mined: Mined, dataset_iri: str, base: str = "http://example.o
     p = n.filter("n_params > 0").select("s", "_id", F.explode(F.sequence(F.lit(0), F.col("n_params") - 1)).alias("pos")).withColumn("_p", param(F.col("pos")))
     label = F.concat(F.lit("__PARAM_"), F.col("pos").cast("string"))
     prologues = mined.instances.select(*of, "instance", "preamble").dropDuplicates([*of, "instance"])
+    if preambles is not None:
+        prologues = join_by(prologues, preambles.select(*keys, F.col("preamble").alias("_shared")), list(keys), "left")
+    # of several declarations the last counts
+    shared = [F.col("_shared")] if preambles is not None else []
+    prologues = prologues.withColumn("preamble", F.concat_ws("\n", F.lit(default_preamble), *shared, "preamble"))
     m = join_by(members.select(*of, "node", "instance", "id", "bindings"), n.select(*of, "node", "_id", F.col("s").alias("_t")), [*of, "node"])
     m = m.withColumn("s", F.concat(F.lit(base + "queryGenerations/"), "_id", F.lit("_"), "id")).withColumn("_q", F.concat(F.lit("http://lsq.aksw.org/lsqQuery-"), "id"))
-    b = join_by(m, prologues, [*of, "instance"]).select("s", "_id", "id", "preamble", F.posexplode("bindings").alias("pos", "value"))
+    b = join_by(m, prologues.select(*of, "instance", "preamble"), [*of, "instance"]).select("s", "_id", "id", "preamble", F.posexplode("bindings").alias("pos", "value"))
     b = b.withColumn("_b", F.concat(F.lit(base + "bindings/"), "_id", F.lit("_"), "id", F.lit("_"), F.col("pos").cast("string")))
-    b = b.withColumn("_value", rebase_term(F.col("value"), prologue_prefixes(F.col("preamble"))))
+    b = b.withColumn("_value", rebase_term(F.col("value"), prologue_prefixes(F.col("preamble")), prologue_base(F.col("preamble"))))
     s, iri = F.col("s"), lambda x: F.lit(x)
     facts = [
         _fact(n, s, rdf + "type", "iri", iri(prvt + "QueryTemplate")),

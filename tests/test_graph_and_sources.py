@@ -192,6 +192,23 @@ def test_terms(spark):
     assert [r.b for r in cast] == [True, False, None]
 
 
+def test_references_are_resolved(spark):
+    # The examples of RFC 3986, 5.4, and some more.
+    base = "http://a/b/c/d;p?q"
+    want = {
+        "g:h": "g:h", "g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g", "?y": "http://a/b/c/d;p?y", "g?y": "http://a/b/c/g?y",
+        "#s": "http://a/b/c/d;p?q#s", "g#s": "http://a/b/c/g#s", "g?y#s": "http://a/b/c/g?y#s", ";x": "http://a/b/c/;x", "g;x": "http://a/b/c/g;x", "g;x?y#s": "http://a/b/c/g;x?y#s",
+        "": "http://a/b/c/d;p?q", ".": "http://a/b/c/", "./": "http://a/b/c/", "..": "http://a/b/", "../": "http://a/b/", "../g": "http://a/b/g", "../..": "http://a/", "../../": "http://a/",
+        "../../g": "http://a/g", "../../../g": "http://a/g", "../../../../g": "http://a/g", "/./g": "http://a/g", "/../g": "http://a/g", "g.": "http://a/b/c/g.", ".g": "http://a/b/c/.g",
+        "g..": "http://a/b/c/g..", "..g": "http://a/b/c/..g", "./../g": "http://a/b/g", "./g/.": "http://a/b/c/g/", "g/./h": "http://a/b/c/g/h", "g/../h": "http://a/b/c/h",
+        "g;x=1/./y": "http://a/b/c/g;x=1/y", "g;x=1/../y": "http://a/b/c/y", "g?y/./x": "http://a/b/c/g?y/./x", "g?y/../x": "http://a/b/c/g?y/../x", "g#s/./x": "http://a/b/c/g#s/./x",
+    }
+    df = spark.createDataFrame([(r,) for r in want], "r string")
+    assert {x.r: x.o for x in df.select("r", C.resolve_reference(F.col("r"), F.lit(base)).alias("o")).collect()} == want
+    more = df.select("r", C.resolve_reference(F.col("r"), F.lit("http://a")).alias("o"), C.resolve_reference(F.col("r"), F.lit(None).cast("string")).alias("n")).filter("r in ('g', '../g')").collect()
+    assert {x.r: (x.o, x.n) for x in more} == {"g": ("http://a/g", None), "../g": ("http://a/g", None)}
+
+
 def test_features(spark):
     text = 'SELECT DISTINCT ?a { ?a ex:p "x" . OPTIONAL { ?a <http://q> ?b } VALUES ?a $v } LIMIT $n'
     f = spark.createDataFrame([(text,)], "t string").select(query_features(F.col("t")).alias("f")).first().f

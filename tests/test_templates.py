@@ -209,6 +209,19 @@ def test_null_keys_are_keys(spark):
     assert stats_table(mined).filter("query_id > 0").agg(F.sum("num_specializations")).first()[0] == 4
 
 
+def test_prologues_of_query_dataset_and_default(spark):
+    rows = [
+        ("d", "q0", "BASE <http://own/x/y> PREFIX a: <http://own/a#> ASK { a:b <../z> }"),
+        ("d", "q1", "ASK { a:c <z> }"), ("e", "q2", "ASK { a:b <z> }"), ("e", "q3", "ASK { c:d <http://full> }"),
+    ]
+    usage = spark.createDataFrame(rows, "dataset string, id string, text string").withColumns({"num_exec": F.lit(1).cast("long"), "t_first": F.lit(None).cast("timestamp_ntz"), "t_last": F.lit(None).cast("timestamp_ntz")})
+    shared = spark.createDataFrame([("d", "PREFIX a: <http://shared/a#> BASE <http://shared/>")], "dataset string, preamble string")
+    facts = forest_triples(mine_templates(usage), "http://ds", preambles=shared, default_preamble="PREFIX a: <http://default/a#> PREFIX c: <http://default/c#>")
+    terms = sorted(r.o_value for r in facts.filter("o_kind = 'term'").collect())
+    # q2 has a prefix by default, but no base
+    assert terms == ["<http://default/a#b>", "<http://default/c#d>", "<http://full>", "<http://own/a#b>", "<http://own/z>", "<http://shared/a#c>", "<http://shared/z>"]
+
+
 def _plain_forest(bindings, pieces, least):
     """Closed sets of instances: text -> instances, by trying all values and pairs again and again."""
 
