@@ -63,15 +63,16 @@ def read_triples(spark: SparkSession, path: str, base: str | None = None, graph:
     return parse_lines(lines, base, graph)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
-    """CSV with quoted newlines, commas and doubled quotes, under a fixed schema."""
-    return spark.read.schema(schema).option("header", header).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+def read_csv(spark: SparkSession, path: str, schema: str, header: bool = True, multi_line: bool = True) -> DataFrame:
+    """CSV with quoted newlines, commas and doubled quotes, under a fixed schema. With ``multi_line`` a file is one task; a
+    large dump without newlines in its fields is read in many without it."""
+    return spark.read.schema(schema).option("header", header).option("multiLine", multi_line).option("quote", '"').option("escape", '"').csv(path)
 
 
-def read_directory(spark: SparkSession, path: str, schema: str, suffix: str, header: bool = True) -> DataFrame:
+def read_directory(spark: SparkSession, path: str, schema: str, suffix: str, header: bool = True, multi_line: bool = True) -> DataFrame:
     """All files below ``path`` that end in ``suffix``, with ``name``: the file's name without it."""
     glob = re.sub(r"[\[\]{}*?\\]", "?", suffix)
-    rows = spark.read.schema(schema).option("header", header).option("multiLine", True).option("escape", '"').option("pathGlobFilter", f"*{glob}").csv(path)
+    rows = spark.read.schema(schema).option("header", header).option("multiLine", multi_line).option("escape", '"').option("pathGlobFilter", f"*{glob}").csv(path)
     return rows.select("*", F.regexp_extract(F.col("_metadata.file_name"), f"^(.*){re.escape(suffix)}$", 1).alias("name"))
 
 
