@@ -173,6 +173,12 @@ def term_kind(term: Column) -> Column:
     )
 
 
+def spread(queries: DataFrame) -> DataFrame:
+    """``queries`` dealt to as many tasks as the session's shuffles have: texts are small but dear to read, and adaptive
+    planning, which counts bytes, would give them to a few."""
+    return queries.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "text")
+
+
 def terms_by_place(queries: DataFrame, *keys: str) -> DataFrame:
     """keys, place (subject_object or predicate), kind, term, num_queries: the union of the terms of all
     queries (column ``text``, one row a query) in each group of ``keys``."""
@@ -180,5 +186,5 @@ def terms_by_place(queries: DataFrame, *keys: str) -> DataFrame:
     of_pattern = lambda t: F.array(placed("subject_object", t["subject"]), placed("predicate", t["predicate"]), placed("subject_object", t["object"]))
     # a query's repeats go within its row, so that one grouping with partial counts is all that moves
     each = F.array_distinct(F.flatten(F.transform(triple_patterns(F.col("text")), of_pattern)))
-    rows = queries.select(*keys, F.explode(each).alias("x")).select(*keys, "x.*")
+    rows = spread(queries.select(*keys, "text")).select(*keys, F.explode(each).alias("x")).select(*keys, "x.*")
     return rows.groupBy(*keys, "place", "term").agg(F.count("*").alias("num_queries")).select(*keys, "place", term_kind(F.col("term")).alias("kind"), "term", "num_queries")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
 from tessera.operators import ingest, lattice, templates
-from tessera.operators.features import query_features, terms_by_place, triple_patterns
+from tessera.operators.features import query_features, spread, terms_by_place, triple_patterns
 from tessera.operators.specialize import specialization_forest
 from tessera.operators.tokenizer import TokenOptions, decompose
 from tessera.plans.log_queries import _INST, _LOG, _SIMPLE, _USAGE, _USAGE_DS, _instances, _table
@@ -106,8 +106,9 @@ def query_terms_by_place(spark, sf_dir):
 
 def query_nested_patterns(spark, sf_dir):
     """Patterns of a log whose queries nest property lists, collections, groups and inner queries, with their executions."""
-    found = bracket_texts(spark, sf_dir).select(F.explode(triple_patterns(F.col("text"))).alias("t"))
-    return found.groupBy("t.subject", "t.predicate", "t.object").agg(F.count("*").alias("num_exec"))
+    texts = bracket_texts(spark, sf_dir).groupBy("text").agg(F.count("*").alias("n"))  # each text is read once
+    found = spread(texts).select("n", F.explode(triple_patterns(F.col("text"))).alias("t"))
+    return found.groupBy("t.subject", "t.predicate", "t.object").agg(F.sum("n").alias("num_exec"))
 
 
 def document_tokens(spark, sf_dir):
