@@ -176,7 +176,7 @@ def term_kind(term: Column) -> Column:
 def spread(queries: DataFrame) -> DataFrame:
     """``queries`` dealt to as many tasks as the session's shuffles have: texts are small but dear to read, and adaptive
     planning, which counts bytes, would give them to a few."""
-    return queries.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "text")
+    return queries.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("text"))  # a hash: dealing by the text itself again is planned away after a grouping by it
 
 
 def terms_by_place(queries: DataFrame, *keys: str) -> DataFrame:
