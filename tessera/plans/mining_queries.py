@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import columns as C
 from tessera.operators import ingest, lattice, templates
 from tessera.operators.features import query_features, spread, terms_by_place, triple_patterns
+from tessera.operators.nested import nested_forest
 from tessera.operators.specialize import specialization_forest
 from tessera.operators.tokenizer import TokenOptions, decompose
 from tessera.plans.log_queries import _INST, _LOG, _SIMPLE, _USAGE, _USAGE_DS, _instances, _table
@@ -76,6 +77,16 @@ def specialization_edges(spark, sf_dir):
     return edges.select("parent", "node")
 
 
+def nested_specializations(spark, sf_dir):
+    """Children in the nested values of each dataset's forest (5 instances at least); a root without children has one row."""
+    nodes, edges = specialization_forest(_instances(spark, sf_dir, "dataset"), 5, 5, keys=("dataset",))
+    rows = nested_forest(nodes, edges, ("dataset",)).withColumn("child", F.explode_outer(F.expr("variant_get(value, '$.specializations', 'array<variant>')")))
+    number = lambda v, name: F.variant_get(v, f"$.{name}", "bigint").alias(name)
+    return rows.select(
+        "dataset", "node", "n_nodes", number("value", "num_exec"), F.variant_get("child", "$.node", "string").alias("child"), F.variant_get("child", "$.num_instances", "bigint").alias("child_instances")
+    )
+
+
 def generalization_lattice(spark, sf_dir):
     """All generalizations with at most two parameters that diverge and have 50 instances."""
     kept, _, _ = generalize_and_aggregate(query_usage(executions(spark, sf_dir)), MiningOptions(max_vars=2, min_instances=50))
@@ -244,6 +255,8 @@ _ORACLES = {
     "specialization_edges": f"{_forest_sql(_USAGE, '', 15)} SELECT parent, node FROM groups",
     "specialization_nodes_by_dataset": _nodes_sql(_USAGE_DS, "dataset", 5),
     "specialization_edges_by_dataset": f"{_forest_sql(_USAGE_DS, 'dataset', 5)} SELECT dataset, parent, node FROM groups",
+    "nested_specializations": f"""{_forest_sql(_USAGE_DS, "dataset", 5)} SELECT r.dataset, r.node, 1 + count(g.node) OVER (PARTITION BY r.dataset, r.node) AS n_nodes, r.num_exec, g.node AS child, g.num_instances AS child_instances
+FROM roots r LEFT JOIN groups g ON g.dataset = r.dataset AND g.parent = r.node""",
     "mined_forest_triples": _TRIPLES_SQL,
     "generalization_lattice": f"{_LATTICE_SQL} SELECT * FROM kept",
     "generalization_edges": f"{_LATTICE_SQL} SELECT * FROM edges",
@@ -279,7 +292,7 @@ FROM (SELECT p.id, p.pos, p.value, i.text FROM pos p JOIN inst i ON p.id = i.id)
 
 
 def queries() -> dict:
-    fs = (specialization_nodes_by_dataset, specialization_edges_by_dataset, mined_templates, mined_stats_table, mined_by_cluster, mined_forest_triples, specialization_nodes, specialization_edges, generalization_lattice, generalization_edges, generalization_roots)
+    fs = (nested_specializations, specialization_nodes_by_dataset, specialization_edges_by_dataset, mined_templates, mined_stats_table, mined_by_cluster, mined_forest_triples, specialization_nodes, specialization_edges, generalization_lattice, generalization_edges, generalization_roots)
     fs += (query_feature_counts, query_terms_by_place, query_nested_patterns, document_tokens, merged_preambles, rebased_terms, assembled_executions)
     return {f.__name__: f for f in fs}
 
