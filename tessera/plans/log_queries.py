@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import columns as C
 from tessera.operators import graph, ingest, stats, templates
 from tessera.operators.tokenizer import TokenOptions
+from tessera.plans import statements
 from tessera.sources.querylog import LOG_SQL, executions, query_usage
 from tessera.sources.rdf import catalog_of_files as catalog_of_table_files
 from tessera.sources.rdf import lines_without, parse_lines
@@ -104,6 +105,27 @@ def day_stats(spark, sf_dir):
     return stats.day_stats(executions(spark, sf_dir))
 
 
+def _by_dataset_sql(key: str, counted: dict[str, str], where: str = "") -> str:
+    counts = ", ".join(f"count(DISTINCT {c}) AS {name}" for name, c in counted.items())
+    return f"{_LOG} SELECT dataset, {key}, count(*) AS num_exec, {counts}, min(ts) AS t_first, max(ts) AS t_last FROM log {where} GROUP BY ALL"
+
+
+@query(_by_dataset_sql("host", {"num_queries": "id"}, "WHERE host IS NOT NULL"))
+def host_statement(spark, sf_dir):
+    """By an SQL text with parameters, for all datasets."""
+    return statements.told_by(statements.HOSTS, executions(spark, sf_dir))
+
+
+@query(_by_dataset_sql("id", {"num_hosts": "host"}))
+def query_statement(spark, sf_dir):
+    return statements.told_by(statements.QUERIES, executions(spark, sf_dir))
+
+
+@query(_by_dataset_sql("CAST(ts AS DATE) AS date", {"num_queries": "id", "num_hosts": "host"}, "WHERE host IS NOT NULL"))
+def day_statement(spark, sf_dir):
+    return statements.told_by(statements.DAYS, executions(spark, sf_dir))
+
+
 @query(
     f"{_LOG} SELECT dataset, count(DISTINCT id) AS num_queries, count(DISTINCT exec_id) AS num_exec, count(DISTINCT host) AS num_hosts, min(ts) AS \"begin\", max(ts) AS \"end\" FROM log GROUP BY dataset"
 )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import rebase_term
@@ -105,12 +105,18 @@ def generalize_and_aggregate(usage: DataFrame, options: MiningOptions = MiningOp
     return kept.select("template", "num_instances", "num_exec"), edges, roots
 
 
-def _fact(df: DataFrame, s, p: str, kind: str, o) -> DataFrame:
-    return df.select(s.alias("s"), F.lit(p).alias("p"), F.lit(kind).alias("o_kind"), o.cast("string").alias("o_value"))
+#: Subject, predicate, kind and value of the object of a statement.
+Fact = tuple[Column, str, str, Column]
+
+
+def _facts(df: DataFrame, carried: list[str], *facts: Fact) -> DataFrame:
+    """The statements of each row, all in one pass over ``df``; those without a value fall away."""
+    each = [F.struct(s.alias("s"), F.lit(p).alias("p"), F.lit(kind).alias("o_kind"), o.cast("string").alias("o_value")) for s, p, kind, o in facts]
+    return df.select(*carried, F.explode(F.array(*each)).alias("t")).select(*carried, "t.*").filter("o_value is not null")
 
 
 def forest_triples(
-    mined: Mined, dataset_iri: str, base: str = "http://example.org/", cluster_iri: str | None = None, preambles: DataFrame | None = None, default_preamble: str = ""
+    mined: Mined, dataset_iri: str | Column, base: str = "http://example.org/", cluster_iri: str | Column | None = None, preambles: DataFrame | None = None, default_preamble: str = "", with_keys: bool = False
 ) -> DataFrame:
     """s, p, o_kind, o_value: the templates and, of a mined forest, all specializations as statements.
 
@@ -119,6 +125,8 @@ def forest_triples(
     was made, with a binding for each parameter: its text, and its full term where the prologue tells it. What the
     query's own prologue does not declare is looked up in that of its dataset (``preambles``: the columns of
     ``mined.keys`` and preamble), then in ``default_preamble``; relative IRIs are resolved against the base found so.
+    The dataset or cluster may be a column of the keys. With ``with_keys`` the statements have the keys before them, and what
+    two keys share is told under both.
     """
     rdf, dct, lsqv = "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://purl.org/dc/terms/", "http://lsq.aksw.org/vocab#"
     prvt, prv, prov = "http://purl.org/net/provenance/types#", "http://purl.org/net/provenance/ns#", "http://www.w3.org/ns/prov#"
@@ -137,9 +145,8 @@ def forest_triples(
     text = F.concat(templates.prologue_text(F.col("base"), F.col("prefixes")), F.lit("\n"), F.col("node"))
     named = n.select(*keys, "node", "s")
     up = join_by(join_by(edges, named.withColumnsRenamed({"node": "parent", "s": "_up"}), [*keys, "parent"]), named, [*keys, "node"])
-    roots = n.filter("node = _root")
     param = lambda pos: F.concat(F.lit(base + "params/"), "_id", F.lit("_"), pos.cast("string"))
-    p = n.filter("n_params > 0").select("s", "_id", F.explode(F.sequence(F.lit(0), F.col("n_params") - 1)).alias("pos")).withColumn("_p", param(F.col("pos")))
+    p = n.filter("n_params > 0").select(*keys, "s", "_id", F.explode(F.sequence(F.lit(0), F.col("n_params") - 1)).alias("pos")).withColumn("_p", param(F.col("pos")))
     label = F.concat(F.lit("__PARAM_"), F.col("pos").cast("string"))
     prologues = mined.instances.select(*of, "instance", "preamble").dropDuplicates([*of, "instance"])
     if preambles is not None:
@@ -149,56 +156,73 @@ def forest_triples(
     prologues = prologues.withColumn("preamble", F.concat_ws("\n", F.lit(default_preamble), *shared, "preamble"))
     m = join_by(members.select(*of, "node", "instance", "id", "bindings"), n.select(*of, "node", "_id", F.col("s").alias("_t")), [*of, "node"])
     m = m.withColumn("s", F.concat(F.lit(base + "queryGenerations/"), "_id", F.lit("_"), "id")).withColumn("_q", F.concat(F.lit("http://lsq.aksw.org/lsqQuery-"), "id"))
-    b = join_by(m, prologues.select(*of, "instance", "preamble"), [*of, "instance"]).select("s", "_id", "id", "preamble", F.posexplode("bindings").alias("pos", "value"))
+    b = join_by(m, prologues.select(*of, "instance", "preamble"), [*of, "instance"]).select(*keys, "s", "_id", "id", "preamble", F.posexplode("bindings").alias("pos", "value"))
     b = b.withColumn("_b", F.concat(F.lit(base + "bindings/"), "_id", F.lit("_"), "id", F.lit("_"), F.col("pos").cast("string")))
     b = b.withColumn("_value", rebase_term(F.col("value"), prologue_prefixes(F.col("preamble")), prologue_base(F.col("preamble"))))
-    s, iri = F.col("s"), lambda x: F.lit(x)
-    facts = [
-        _fact(n, s, rdf + "type", "iri", iri(prvt + "QueryTemplate")),
-        _fact(n, s, rdf + "type", "iri", iri(sh + "Parametrizable")),
-        _fact(n, s, dct + "identifier", "literal", F.col("_id")),
-        _fact(n, s, lsqv + "text", "literal", text),
-        _fact(n, s, lsqv + "numOfExecutions", "literal", F.col("num_exec")),
-        _fact(roots, s, prov + "specializationOf", "iri", iri(cluster_iri)) if cluster_iri else _fact(roots, s, dct + "isPartOf", "iri", iri(dataset_iri)),
-        _fact(up, s, prov + "specializationOf", "iri", F.col("_up")),
-        _fact(p, s, sh + "parameter", "iri", F.col("_p")),
-        _fact(p, F.col("_p"), rdf + "type", "iri", iri(sh + "Parameter")),
-        _fact(p, F.col("_p"), sh + "path", "iri", F.concat(F.lit(base + "paramPaths/"), label)),
-        _fact(p, F.col("_p"), sh + "description", "literal", label),
-        _fact(m, s, rdf + "type", "iri", iri(prvt + "DataCreation")),
-        _fact(m, s, prv + "usedGuideline", "iri", F.col("_t")),
-        _fact(m, F.col("_q"), prv + "createdBy", "iri", s),
-        _fact(m.select("_q").distinct(), F.col("_q"), rdf + "type", "iri", iri(prvt + "SPARQLQuery")),
-        _fact(b, s, prv + "usedData", "iri", F.col("_b")),
-        _fact(b, F.col("_b"), rdf + "type", "iri", iri(wf + "Artifact")),
-        _fact(b, F.col("_b"), wf + "describedByParameter", "iri", param(F.col("pos"))),
-        _fact(b, F.col("_b"), rdf + "value", "term", F.col("_value")).filter("o_value is not null"),
-        _fact(b, F.col("_b"), lsqv + "text", "literal", F.col("value")),
-    ]
-    out = facts[0]
-    for f in facts[1:]:
-        out = out.unionByName(f)
-    return out
+    s, iri, told = F.col("s"), lambda x: F.lit(x), list(keys) if with_keys else []
+    part_of = (dct + "isPartOf", "iri", iri(dataset_iri)) if cluster_iri is None else (prov + "specializationOf", "iri", iri(cluster_iri))
+    of_nodes = _facts(
+        n,
+        told,
+        (s, rdf + "type", "iri", iri(prvt + "QueryTemplate")),
+        (s, rdf + "type", "iri", iri(sh + "Parametrizable")),
+        (s, dct + "identifier", "literal", F.col("_id")),
+        (s, lsqv + "text", "literal", text),
+        (s, lsqv + "numOfExecutions", "literal", F.col("num_exec")),
+        (s, part_of[0], part_of[1], F.when(F.col("node") == F.col("_root"), part_of[2])),
+    )
+    of_parents = _facts(up, told, (s, prov + "specializationOf", "iri", F.col("_up")))
+    of_parameters = _facts(
+        p,
+        told,
+        (s, sh + "parameter", "iri", F.col("_p")),
+        (F.col("_p"), rdf + "type", "iri", iri(sh + "Parameter")),
+        (F.col("_p"), sh + "path", "iri", F.concat(F.lit(base + "paramPaths/"), label)),
+        (F.col("_p"), sh + "description", "literal", label),
+    )
+    of_members = _facts(
+        m,
+        told,
+        (s, rdf + "type", "iri", iri(prvt + "DataCreation")),
+        (s, prv + "usedGuideline", "iri", F.col("_t")),
+        (F.col("_q"), prv + "createdBy", "iri", s),
+    )
+    of_queries = _facts(m.select(*told, "_q").distinct(), told, (F.col("_q"), rdf + "type", "iri", iri(prvt + "SPARQLQuery")))
+    of_bindings = _facts(
+        b,
+        told,
+        (s, prv + "usedData", "iri", F.col("_b")),
+        (F.col("_b"), rdf + "type", "iri", iri(wf + "Artifact")),
+        (F.col("_b"), wf + "describedByParameter", "iri", param(F.col("pos"))),
+        (F.col("_b"), rdf + "value", "term", F.col("_value")),
+        (F.col("_b"), lsqv + "text", "literal", F.col("value")),
+    )
+    return of_nodes.unionByName(of_parents).unionByName(of_parameters).unionByName(of_members).unionByName(of_queries).unionByName(of_bindings)
 
 
-def single_query_triples(mined: Mined, action_iri: str, dataset_iri: str | None = None, cluster_iri: str | None = None) -> DataFrame:
-    """s, p, o_kind, o_value: the queries that got no template, each a result of the run and a member of its cluster or dataset."""
-    q = mined.simple.select(F.concat(F.lit("http://lsq.aksw.org/lsqQuery-"), "id").alias("q"))
-    out = _fact(q, F.lit(action_iri), "http://schema.org/result", "iri", F.col("q"))
-    out = out.unionByName(_fact(q, F.col("q"), "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", "iri", F.lit("http://purl.org/net/provenance/types#SPARQLQuery")))
-    if cluster_iri or dataset_iri:
-        out = out.unionByName(_fact(q, F.lit(cluster_iri or dataset_iri), "http://www.w3.org/2000/01/rdf-schema#member", "iri", F.col("q")))
-    return out
+def single_query_triples(
+    mined: Mined, action_iri: str, dataset_iri: str | Column | None = None, cluster_iri: str | Column | None = None, with_keys: bool = False
+) -> DataFrame:
+    """s, p, o_kind, o_value: the queries that got no template, each a result of the run and a member of its cluster or
+    dataset (one of them may be a column of the keys). With ``with_keys`` the keys come before them."""
+    q, whole = F.concat(F.lit("http://lsq.aksw.org/lsqQuery-"), "id"), cluster_iri if cluster_iri is not None else dataset_iri
+    facts = [
+        (F.lit(action_iri), "http://schema.org/result", "iri", q),
+        (q, "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", "iri", F.lit("http://purl.org/net/provenance/types#SPARQLQuery")),
+    ]
+    if whole is not None:
+        facts.append((F.lit(whole), "http://www.w3.org/2000/01/rdf-schema#member", "iri", q))
+    return _facts(mined.simple, list(mined.keys) if with_keys else [], *facts)
 
 
-def stats_table(mined: Mined) -> DataFrame:
-    """A row of totals with query_id 0, then the templates by executions.
+def stats_table(mined: Mined, by_key: bool = False) -> DataFrame:
+    """A row of totals with query_id 0, then the templates by executions; with ``by_key`` so for each key, the keys before it.
 
-    ``num_specializations`` counts a template's children in a mined forest; in the row of totals, the queries without a template.
+    ``num_specializations`` counts a template's children in a mined forest; in a row of totals, the queries without a template.
     """
     from tessera.operators.stats import numbered
 
-    cols = ["num_instances", "num_exec", "t_first", "t_last", "sum_log2_exec", "n_terms", "n_params"]
+    cols, told = ["num_instances", "num_exec", "t_first", "t_last", "sum_log2_exec", "n_terms", "n_params"], list(mined.keys) if by_key else []
     of = [*mined.keys, "body"]
     rows = mined.templates
     if mined.forest is None:
@@ -206,10 +230,22 @@ def stats_table(mined: Mined) -> DataFrame:
     else:
         below = mined.edges.groupBy(*mined.keys, F.col("parent").alias("body")).agg(F.count("*").alias("num_specializations"))
         rows = join_by(rows, below, of, "left").withColumn("num_specializations", F.coalesce("num_specializations", F.lit(0)))
-    rows = numbered(rows, [F.desc("num_exec"), F.col("template_id")]).select("query_id", "text", *cols, "num_specializations")
-    total = mined.templates.agg(
-        F.lit(0).cast("long").alias("query_id"), F.lit("").alias("text"), *[f(c).alias(c) for c, f in zip(cols, (F.sum, F.sum, F.min, F.max, F.sum, F.max, F.max))]
-    )
-    without = mined.simple.agg(F.count("*").alias("num_specializations")) if mined.simple is not None else None
-    total = total.withColumn("num_specializations", F.lit(0).cast("long")) if without is None else total.crossJoin(without)  # one row each
+    rows = numbered(rows, [*[F.asc(k) for k in told], F.desc("num_exec"), F.col("template_id")])
+    if told:
+        first = rows.groupBy(*told).agg((F.min("query_id") - 1).alias("_before"))
+        rows = join_by(rows, first, told).withColumn("query_id", F.col("query_id") - F.col("_before"))
+    rows = rows.select(*told, "query_id", "text", *cols, "num_specializations")
+    sums = [F.lit(0).cast("long").alias("query_id"), F.lit("").alias("text"), *[f(c).alias(c) for c, f in zip(cols, (F.sum, F.sum, F.min, F.max, F.sum, F.max, F.max))]]
+    if told:
+        total = mined.templates.groupBy(*told).agg(*sums).withColumn("num_specializations", F.lit(0).cast("long"))
+        if mined.simple is not None:
+            # keys whose templates all fell below the thresholds have a row of totals too
+            without = mined.simple.groupBy(*told).agg(F.count("*").alias("_simple"))
+            every = total.select(*told).unionByName(without.select(*told)).distinct()
+            total = join_by(join_by(every, total, told, "left"), without, told, "left").withColumn("num_specializations", F.coalesce("_simple", F.lit(0))).drop("_simple")
+            total = total.withColumns({"query_id": F.lit(0).cast("long"), "text": F.lit("")})
+    elif mined.simple is None:
+        total = mined.templates.agg(*sums).withColumn("num_specializations", F.lit(0).cast("long"))
+    else:
+        total = mined.templates.agg(*sums).crossJoin(mined.simple.agg(F.count("*").alias("num_specializations")))  # one row each
     return total.unionByName(rows)

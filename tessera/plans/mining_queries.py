@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
 from tessera.operators import ingest, lattice, templates
 from tessera.operators.features import query_features, spread, terms_by_place, triple_patterns
+from tessera.operators.graph import shared_folder
 from tessera.operators.nested import nested_forest
 from tessera.operators.specialize import specialization_forest
 from tessera.operators.tokenizer import TokenOptions, decompose
 from tessera.plans.log_queries import _INST, _LOG, _SIMPLE, _USAGE, _USAGE_DS, _instances, _table
 from tessera.plans.mining import MiningOptions, forest_triples, generalize_and_aggregate, mine_by_cluster, mine_templates, stats_table
+from tessera.plans.runs import RunOptions, committed, run_datasets
 from tessera.sources.querylog import bracket_texts, executions, query_usage
 from tessera.sources.rdf import parse_lines
 
@@ -32,6 +37,17 @@ def mined_templates(spark, sf_dir):
     return done.select("text", "n_params", "num_instances", "num_exec", "t_first", "t_last", F.round("sum_log2_exec", 6).alias("sum_log2_exec"), "n_terms")
 
 
+def mined_by_run(spark, sf_dir):
+    """The driver over a catalog of the log's datasets, two of them a wave: templates that the statistics list too, and the statistics' totals."""
+    usage = query_usage(executions(spark, sf_dir), "dataset")
+    catalog = usage.select("dataset").distinct().withColumns({"endpoint": F.lit(None).cast("string"), "prefixesJson": F.lit('{"ex": "http://ex.org/"}')})
+    out = os.path.join(shared_folder(spark.sparkContext), f"run-{uuid.uuid4().hex}")
+    run_datasets(usage, catalog, out, "log", RunOptions(MiningOptions(), wave=2))
+    mined, stats = committed(spark, out, "templates"), committed(spark, out, "stats")
+    columns = ["num_instances", "num_exec", "n_params"]
+    return mined.join(stats.select("dataset", "text"), ["dataset", "text"]).select("dataset", F.col("body").alias("node"), *columns).unionByName(stats.filter("query_id = 0").select("dataset", F.lit("total").alias("node"), *columns))
+
+
 def mined_stats_table(spark, sf_dir):
     """With a first row of totals; numbered by executions."""
     done = stats_table(mine_templates(query_usage(executions(spark, sf_dir)), keys=()))
@@ -255,6 +271,8 @@ _ORACLES = {
     "specialization_edges": f"{_forest_sql(_USAGE, '', 15)} SELECT parent, node FROM groups",
     "specialization_nodes_by_dataset": _nodes_sql(_USAGE_DS, "dataset", 5),
     "specialization_edges_by_dataset": f"{_forest_sql(_USAGE_DS, 'dataset', 5)} SELECT dataset, parent, node FROM groups",
+    "mined_by_run": f"""{_forest_sql(_USAGE_DS, "dataset", 5)} SELECT dataset, node, num_instances, num_exec, n_params FROM roots
+UNION ALL SELECT dataset, 'total', CAST(sum(num_instances) AS BIGINT), CAST(sum(num_exec) AS BIGINT), max(n_params) FROM roots GROUP BY dataset""",
     "nested_specializations": f"""{_forest_sql(_USAGE_DS, "dataset", 5)} SELECT r.dataset, r.node, 1 + count(g.node) OVER (PARTITION BY r.dataset, r.node) AS n_nodes, r.num_exec, g.node AS child, g.num_instances AS child_instances
 FROM roots r LEFT JOIN groups g ON g.dataset = r.dataset AND g.parent = r.node""",
     "mined_forest_triples": _TRIPLES_SQL,
@@ -292,7 +310,7 @@ FROM (SELECT p.id, p.pos, p.value, i.text FROM pos p JOIN inst i ON p.id = i.id)
 
 
 def queries() -> dict:
-    fs = (nested_specializations, specialization_nodes_by_dataset, specialization_edges_by_dataset, mined_templates, mined_stats_table, mined_by_cluster, mined_forest_triples, specialization_nodes, specialization_edges, generalization_lattice, generalization_edges, generalization_roots)
+    fs = (nested_specializations, mined_by_run, specialization_nodes_by_dataset, specialization_edges_by_dataset, mined_templates, mined_stats_table, mined_by_cluster, mined_forest_triples, specialization_nodes, specialization_edges, generalization_lattice, generalization_edges, generalization_roots)
     fs += (query_feature_counts, query_terms_by_place, query_nested_patterns, document_tokens, merged_preambles, rebased_terms, assembled_executions)
     return {f.__name__: f for f in fs}
 

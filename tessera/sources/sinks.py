@@ -53,12 +53,12 @@ def write_json(df: DataFrame, path: str, *partitions: str) -> None:
 
 
 @contextmanager
-def recorded_run(spark: SparkSession, path: str, dataset: str, params: str = "{}"):
-    """A row when a run starts, one when it has completed or failed; the error is raised again."""
-    action = str(uuid.uuid4())
+def recorded_run(spark: SparkSession, path: str, dataset: str | list[str], params: str = "{}"):
+    """A row for each dataset when a run starts, one when it has completed or failed; the error is raised again."""
+    action, datasets = str(uuid.uuid4()), [dataset] if isinstance(dataset, str) else dataset
 
     def note(status: str, error: str | None = None) -> None:
-        row = spark.createDataFrame([(action, dataset, status, params, error)], "action_id string, dataset string, status string, params string, error string")
+        row = spark.createDataFrame([(action, d, status, params, error) for d in datasets], "action_id string, dataset string, status string, params string, error string").coalesce(1)
         row.select("action_id", "dataset", "status", F.current_timestamp().alias("at"), "params", "error").write.mode("append").parquet(path)
 
     note("Active")
@@ -71,5 +71,6 @@ def recorded_run(spark: SparkSession, path: str, dataset: str, params: str = "{}
 
 
 def run_states(spark: SparkSession, path: str) -> DataFrame:
-    """The latest row of each run."""
-    return spark.read.parquet(path).groupBy("action_id").agg(F.max_by(F.struct("dataset", "status", "at", "params", "error"), F.struct("at", (F.col("status") != "Active").alias("s"))).alias("r")).select("action_id", "r.*")
+    """The latest row of each run and dataset."""
+    latest = F.max_by(F.struct("status", "at", "params", "error"), F.struct("at", (F.col("status") != "Active").alias("s")))
+    return spark.read.parquet(path).groupBy("action_id", "dataset").agg(latest.alias("r")).select("action_id", "dataset", "r.*")
