@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import LSQV, PROV
+from tessera.operators.stats import numbered
 
 REMOTE_EXEC = "http://lsq.aksw.org/re-"
 QUERY_PREFIX = "http://lsq.aksw.org/lsqQuery-"
@@ -84,11 +85,12 @@ def execution_sets(triples: DataFrame, file: str = "file") -> DataFrame:
     return sets.filter("ts is not null").select(file, "exec_iri", "line", "ts", F.explode_outer("_hosts").alias("host"))
 
 
-def assemble(triples: DataFrame, dataset: str, file: str = "file") -> tuple[DataFrame, DataFrame]:
+def assemble(triples: DataFrame, dataset: str, file: str = "file", by_dataset: bool = False) -> tuple[DataFrame, DataFrame]:
     """queries (dataset, query_iri, id, text) and execs (dataset, exec_iri, query_iri, ts, host).
 
     A query's text counts once, and only if an execution names the query. Executions get new IRIs,
-    numbered within a file.
+    numbered within their query (as the stream does, which has no order over all files) or, with ``by_dataset``, from 1 on
+    through the whole dataset: by file, and within it in the order in which an execution and its query have both been read.
     """
     names = triples.filter(F.col("p") == LSQV + "hasRemoteExec").select(file, "line", F.col("s").alias("query_iri"), F.col("o_value").alias("exec_iri"))
     texts = triples.filter(F.col("p") == LSQV + "text").select("line", F.col("s").alias("query_iri"), F.col("o_value").alias("text"))
@@ -97,18 +99,24 @@ def assemble(triples: DataFrame, dataset: str, file: str = "file") -> tuple[Data
         F.lit(dataset).alias("dataset"), "query_iri", F.expr(f"substr(query_iri, {len(QUERY_PREFIX) + 1})").alias("id"), "text"
     )
     sets = execution_sets(triples, file).groupBy(file, "exec_iri", "line", "ts").agg(F.collect_list("host").alias("_hosts"))
-    paired = pair_in_order(names, sets, "exec_iri", "line") if file not in names.columns else _paired(names, sets, file)
-    rows = paired.select("query_iri", F.col("exec_iri").alias("_old"), "ts", F.explode_outer("_hosts").alias("host"))
-    number = F.row_number().over(Window.partitionBy("query_iri").orderBy("_old", "ts", "host"))
-    execs = rows.select(
-        F.lit(dataset).alias("dataset"), F.concat(F.lit(f"{dataset}/executions/"), F.md5(F.col("query_iri")), F.lit("-"), number.cast("string")).alias("exec_iri"), "query_iri", "ts", "host"
-    )
+    paired = _paired(names, sets, file)
+    order = ["_file", "_line"] if by_dataset else []
+    if by_dataset:
+        paired = paired.withColumns({"_file": F.col(file), "_line": F.greatest("_named", "_ended")})
+    rows = paired.select("query_iri", F.col("exec_iri").alias("_old"), "ts", F.explode_outer("_hosts").alias("host"), *order)
+    if by_dataset:
+        named = numbered(rows, [F.col("_file"), F.col("_line"), F.col("host"), F.col("query_iri")]).withColumn("_n", F.col("query_id").cast("string"))
+    else:
+        number = F.row_number().over(Window.partitionBy("query_iri").orderBy("_old", "ts", "host"))
+        named = rows.withColumn("_n", F.concat(F.md5(F.col("query_iri")), F.lit("-"), number.cast("string")))
+    execs = named.select(F.lit(dataset).alias("dataset"), F.concat(F.lit(f"{dataset}/executions/"), "_n").alias("exec_iri"), "query_iri", "ts", "host")
     return queries, execs
 
 
 def _paired(names: DataFrame, sets: DataFrame, file: str) -> DataFrame:
-    ranked = lambda df: df.withColumn("_k", F.row_number().over(Window.partitionBy(file, "exec_iri").orderBy("line"))).drop("line")
-    return ranked(names).join(ranked(sets), [file, "exec_iri", "_k"]).drop("_k")
+    """The k-th name of an execution IRI in a file with its k-th set; ``_named`` and ``_ended`` are their lines."""
+    ranked = lambda df, line: df.withColumn("_k", F.row_number().over(Window.partitionBy(file, "exec_iri").orderBy("line"))).withColumnRenamed("line", line)
+    return ranked(names, "_named").join(ranked(sets, "_ended"), [file, "exec_iri", "_k"]).drop("_k")
 
 
 def first_text_per_id(rows: DataFrame, order: str) -> DataFrame:

@@ -158,8 +158,8 @@ def rebased_terms(spark, sf_dir):
     return inst.select("id", F.col("pos").cast("long").alias("pos"), C.rebase_term(F.col("term"), prologue_prefixes(F.col("preamble"))).alias("rdf_term"))
 
 
-def assembled_executions(spark, sf_dir):
-    """Events as statements in file order, put together again to executions of queries."""
+def _event_statements(spark, sf_dir):
+    """Events as statements in file order: host, time and query of each execution, and the query's text."""
     e = _table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 97).alias("x"), "user_id")
     line = lambda k, s: F.struct((F.col("event_id") * 4 + k).alias("line"), s.alias("value"))
     exec_iri, q = F.concat(F.lit("<http://lsq.aksw.org/re-"), F.col("x").cast("string"), F.lit(">")), F.concat(F.lit("<http://lsq.aksw.org/lsqQuery-"), F.col("user_id").cast("string"), F.lit(">"))
@@ -170,10 +170,21 @@ def assembled_executions(spark, sf_dir):
         line(3, F.concat(q, F.lit(' <http://lsq.aksw.org/vocab#text> "ASK { '), F.col("user_id").cast("string"), F.lit(' }" .'))),
     )
     rows = e.select(F.explode(lines).alias("l")).select("l.*", F.lit("f").alias("file"))
-    queries_, execs = ingest.assemble(parse_lines(rows), "http://ds")
+    return parse_lines(rows)
+
+
+def assembled_executions(spark, sf_dir):
+    """The events' statements put together again to executions of queries."""
+    queries_, execs = ingest.assemble(_event_statements(spark, sf_dir), "http://ds")
     return execs.join(queries_, "query_iri").select("id", "text", "ts", "host")
 
 
+def numbered_executions(spark, sf_dir):
+    """With IRIs that number the executions through their dataset."""
+    _, execs = ingest.assemble(_event_statements(spark, sf_dir), "http://ds", by_dataset=True)
+    return execs.select("exec_iri", "query_iri", "ts", "host")
+
+
 def _forest_sql(usage: str, key: str, least: int) -> str:
     """CTEs roots and groups of the log's forest: its templates have at most two parameters and no two of its queries
     share both, so what two queries or more have in common lies one level below a root."""
@@ -303,6 +314,7 @@ UNION ALL SELECT true, '', CAST(sum(num_instances) AS BIGINT), CAST(sum(num_exec
 SELECT p[1] AS subject, p[2] AS predicate, p[3] AS object, count(*) AS num_exec FROM t GROUP BY ALL""",
     "document_tokens": "SELECT doc_id, true AS lossless FROM documents",
     "assembled_executions": "SELECT CAST(user_id AS VARCHAR) AS id, 'ASK { ' || user_id || ' }' AS text, 't' || event_id AS ts, 'h' || (user_id % 7) AS host FROM events",
+    "numbered_executions": """SELECT 'http://ds/executions/' || row_number() OVER (ORDER BY event_id) AS exec_iri, 'http://lsq.aksw.org/lsqQuery-' || user_id AS query_iri, 't' || event_id AS ts, 'h' || (user_id % 7) AS host FROM events""",
     "merged_preambles": f"""{_SIMPLE} SELECT DISTINCT template, CAST(NULL AS VARCHAR) AS base, CASE WHEN template LIKE 'SELECT ?s%' THEN 'PREFIX ex: <http://ex.org/>' ELSE '' END AS prologue FROM inst""",
     "rebased_terms": f"""{_SIMPLE} SELECT id, pos, CASE WHEN value LIKE 'ex:%' THEN CASE WHEN text LIKE 'PREFIX%' THEN '<http://ex.org/' || substr(value, 4) || '>' END ELSE value END AS rdf_term
 FROM (SELECT p.id, p.pos, p.value, i.text FROM pos p JOIN inst i ON p.id = i.id) x""",
@@ -311,7 +323,7 @@ FROM (SELECT p.id, p.pos, p.value, i.text FROM pos p JOIN inst i ON p.id = i.id)
 
 def queries() -> dict:
     fs = (nested_specializations, mined_by_run, specialization_nodes_by_dataset, specialization_edges_by_dataset, mined_templates, mined_stats_table, mined_by_cluster, mined_forest_triples, specialization_nodes, specialization_edges, generalization_lattice, generalization_edges, generalization_roots)
-    fs += (query_feature_counts, query_terms_by_place, query_nested_patterns, document_tokens, merged_preambles, rebased_terms, assembled_executions)
+    fs += (query_feature_counts, query_terms_by_place, query_nested_patterns, document_tokens, merged_preambles, rebased_terms, assembled_executions, numbered_executions)
     return {f.__name__: f for f in fs}
 
 
