@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import patch_parameters, query_type
+from tessera.operators.graph import stored
 from tessera.operators.tokenizer import TokenOptions, tokens
 
 # Clause words of the query language.
@@ -148,18 +149,84 @@ def triple_patterns(text: Column) -> Column:
     their predicate, a path in parentheses is '()'. What stands in FILTER (EXISTS too), BIND, VALUES and the
     solution modifiers makes no pattern, nor does the template of a CONSTRUCT.
     """
-    solid = F.filter(tokens(patch_parameters(text)), lambda t: ~t.rlike(r"(?s)^(\s|#).*") & ~t.rlike(r"(?is)^VALUES\b.*\{"))
+    return _folded(F.transform(_solid_body(text), _classed))
+
+
+def _solid_body(text: Column) -> Column:
+    """The tokens from the WHERE part on, without blanks, comments and VALUES; an empty pair of parentheses is one token."""
+    solid = F.filter(tokens(patch_parameters(text)), lambda t: ~t.rlike(r"^[\s#]") & ~(t.contains("{") & t.rlike(r"(?is)^VALUES\b.*\{")))
+
     # the template of a CONSTRUCT and the head of any query end at WHERE or at the first brace
-    upper = F.transform(solid, F.upper)
-    where, brace = F.array_position(upper, "WHERE"), F.array_position(solid, "{")
-    begin = F.when((query_type(text, exact=True) == "C") & (where > 0), where).otherwise(brace).cast("int")
-    body = F.filter(solid, lambda t, i: (begin > 0) & (i >= begin - 1))
-    one = F.get(F.transform(F.array(body), lambda b: F.filter(F.transform(b, lambda t, i: F.when((t == "(") & (F.get(b, i + 1) == ")"), "()").when((t == ")") & (i > 0) & (F.get(b, i - 1) == "("), "").otherwise(t)), lambda t: t != "")), F.lit(0))
+    def body(found: Column) -> Column:
+        where, brace = F.array_position(F.transform(found, F.upper), "WHERE"), F.array_position(found, "{")
+        begin = F.coalesce(F.when(query_type(text, exact=True) == "C", F.nullif(where, F.lit(0))), brace).cast("int")
+        return F.when(begin > 0, F.slice(found, begin, F.size(found))).otherwise(F.slice(found, F.lit(1), F.lit(0)))
+
+    bound = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+    pairs = lambda b: F.filter(F.transform(b, lambda t, i: F.when((t == "(") & (F.get(b, i + 1) == ")"), "()").when((t == ")") & (i > 0) & (F.get(b, i - 1) == "("), "").otherwise(t)), lambda t: t != "")
+    return F.when(text.isNotNull(), bound(bound(solid, body), pairs))
+
+
+def _folded(classed: Column) -> Column:
+    """The patterns that classed tokens tell."""
     start = F.struct(
         F.lit("r").alias("kind"), F.lit(None).cast("string").alias("s"), F.lit(None).cast("string").alias("p"), F.lit(_SUBJECT).alias("at"), F.lit("").alias("mode"), F.lit(0).alias("made"),
         F.array().cast(f"array<{_FRAME}>").alias("stack"), F.array().cast(f"array<{_PATTERN}>").alias("told"),
     )
-    return F.aggregate(F.transform(one, _classed), start, _step, lambda x: x["told"])
+    return F.aggregate(classed, start, _step, lambda x: x["told"])
+
+
+# Marks of a shape: a term, and a term that ends as an open path does. The k-th token's term is _AT k _END (or k /) in a pattern.
+_TERM, _OPEN, _AT, _END = "\x01", "\x02", "\x01", "\x02"
+#: Characters of shapes that are broadcast at most.
+SHAPE_CHARACTERS = 4_000_000
+
+
+def _marked(text: Column) -> Column:
+    """struct(shape, terms): the tokens with all terms as marks, in a row, and the terms in their places (null elsewhere)."""
+
+    def mark(t: Column) -> Column:
+        x = _classed(t)
+        return F.struct(t.alias("t"), F.when(x["c"] == "term", F.when(t.rlike(r"[/|^!]$"), _OPEN).otherwise(_TERM)).when(x["c"] == "path", t).otherwise(x["c"]).alias("m"))
+
+    both = lambda found: F.struct(
+        F.array_join(F.transform(found, lambda x: x["m"]), " ").alias("shape"), F.transform(found, lambda x: F.when(x["m"].isin(_TERM, _OPEN), x["t"])).alias("terms")
+    )
+    return F.get(F.transform(F.array(F.transform(_solid_body(text), mark)), both), F.lit(0))
+
+
+def _shape_patterns(shape: Column) -> Column:
+    """The patterns of a shape; each part is a term's place (``at``), a text of its own, or several of these (``parts``)."""
+    marks = F.filter(F.split(shape, " "), lambda m: m != "")
+    place = lambda i, end: F.concat(F.lit(_AT), i.cast("string"), F.lit(end))
+    classed = F.transform(marks, lambda m, i: F.when(m == _TERM, F.struct(place(i, _END).alias("t"), F.lit("term").alias("c"))).when(m == _OPEN, F.struct(place(i, "/").alias("t"), F.lit("term").alias("c"))).otherwise(_classed(m)))
+    number = rf"^([0-9]+)[{_END}/]"
+
+    def part(s: Column) -> Column:
+        cut = F.transform(F.split(s, _AT), lambda x, i: F.struct(F.when(i > 0, F.regexp_extract(x, number, 1).cast("int")).alias("at"), F.when(i > 0, F.regexp_replace(x, number, "")).otherwise(x).alias("text")))
+        one = s.rlike(rf"^{_AT}[0-9]+[{_END}/]\z")
+        return F.struct(F.when(one, F.get(cut, F.lit(1))["at"]).alias("at"), F.when(~s.contains(_AT), s).alias("text"), F.when(~one & s.contains(_AT), cut).alias("parts"))
+
+    return F.transform(_folded(classed), lambda p: F.struct(*[part(p[c]).alias(c) for c in ("subject", "predicate", "object")]))
+
+
+def patterns_by_shape(queries: DataFrame) -> DataFrame:
+    """The queries (column ``text``) with ``patterns`` in its place: as :func:`triple_patterns` gives them.
+
+    What the fold does depends on the kinds of the tokens only, so texts that differ in their terms share one: each distinct
+    shape is folded once, and its patterns are filled with the terms of each of its texts. Texts whose shapes are all different are
+    folded one by one, as there. Null texts are left out.
+    """
+    others = [c for c in queries.columns if c != "text"]
+    marked = stored(queries.filter("text is not null").select(*others, _marked(F.col("text")).alias("_m")).select(*others, "_m.*"))
+    shapes = marked.groupBy("shape").agg(F.count("*").alias("_n")).select("shape")
+    n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = stored(shapes.repartition(n, F.xxhash64("shape")).select("shape", _shape_patterns(F.col("shape")).alias("_told")))
+    small = known.agg(F.coalesce(F.sum(F.length("shape")), F.lit(0))).first()[0] <= SHAPE_CHARACTERS
+    term = lambda x: F.coalesce(F.get("terms", x["at"]), x["text"])
+    fill = lambda x: F.coalesce(term(x), F.array_join(F.transform(x["parts"], lambda y: F.concat(F.coalesce(F.get("terms", y["at"]), F.lit("")), y["text"])), ""))
+    filled = F.transform("_told", lambda p: F.struct(*[fill(p[c]).alias(c) for c in ("subject", "predicate", "object")]))
+    return marked.join(F.broadcast(known) if small else known, "shape").select(*others, filled.alias("patterns"))
 
 
 def term_kind(term: Column) -> Column:

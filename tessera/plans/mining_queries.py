@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
 from tessera.operators import ingest, lattice, templates
-from tessera.operators.features import query_features, spread, terms_by_place, triple_patterns
+from tessera.operators.features import patterns_by_shape, query_features, spread, terms_by_place
 from tessera.operators.graph import shared_folder
 from tessera.operators.nested import nested_forest
 from tessera.operators.specialize import specialization_forest
@@ -134,7 +134,7 @@ def query_terms_by_place(spark, sf_dir):
 def query_nested_patterns(spark, sf_dir):
     """Patterns of a log whose queries nest property lists, collections, groups and inner queries, with their executions."""
     texts = bracket_texts(spark, sf_dir).groupBy("text").agg(F.count("*").alias("n"))  # each text is read once
-    found = spread(texts).select("n", F.explode(triple_patterns(F.col("text"))).alias("t"))
+    found = patterns_by_shape(spread(texts)).select("n", F.explode("patterns").alias("t"))
     return found.groupBy("t.subject", "t.predicate", "t.object").agg(F.sum("n").alias("num_exec"))
 
 

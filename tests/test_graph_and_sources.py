@@ -371,3 +371,27 @@ def test_stream_counts_like_a_batch(spark, tmp_path):
     run.awaitTermination(120)
     got = sorted((r.window_start.day, r.template, r.num_exec) for r in spark.table("usage_by_day").collect())
     assert got == [(1, "ASK { $__PARAM_0 }", 2), (2, "ASK { $__PARAM_0 }", 1)]
+
+
+def test_patterns_by_shape_are_those_of_each_text(spark, monkeypatch):
+    """Texts that differ in their terms share one fold; whatever the terms are, the patterns are those of the text itself."""
+    from tessera.operators import features
+
+    shapes = [
+        "SELECT * WHERE { ?s ex:p%s [ ex:q %s ; ex:r ?z , ( %s \"u\\u0001\" ) ] . [] ex:t ?s }",
+        "ASK { GRAPH ?g { <http://ex.org/u%s> ex:in ( [ ex:k %s ] () ) } OPTIONAL { ?a ex:x / ( ex:y | ex:z )* ?b } FILTER NOT EXISTS { ?a ex:no [ ex:no %s ] } }",
+        "SELECT ?x { { SELECT ?x WHERE { ?x ^ex:d%s / ex:e [ ex:f %s ] } GROUP BY ?x LIMIT 5 } MINUS { ?x a ex:T%s } }",
+        "CONSTRUCT { ?s ex:b %s } WHERE { ?s ex:a\\/ %s ; ex:u || , ^^ . ?o !ex:c 'x%s/' }",
+        "DESCRIBE <http://ex.org/%s%s%s>",
+    ]
+    texts = [s.replace("\\u0001", "\x01") % (i, i % 3, i * 7) for s in shapes for i in range(6)] + [None, "", "{", "SELECT * { ) ] } . a b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    want = {r.i: r.p for r in df.select("i", triple_patterns(F.col("text")).alias("p")).collect() if r.p is not None}
+    for most in (features.SHAPE_CHARACTERS, 0):  # shapes broadcast, and shuffled
+        monkeypatch.setattr(features, "SHAPE_CHARACTERS", most)
+        got = {r.i: r.patterns for r in features.patterns_by_shape(df).collect()}
+        assert got == want
+    folded = []
+    monkeypatch.setattr(features, "stored", lambda d: folded.append(d.count()) or d)
+    assert features.patterns_by_shape(df).count() == len(texts) - 1
+    assert folded == [len(texts) - 1, 7]  # all texts, and the distinct shapes that are folded
