@@ -252,6 +252,6 @@ def terms_by_place(queries: DataFrame, *keys: str) -> DataFrame:
     placed = lambda place, term: F.struct(F.lit(place).alias("place"), term.alias("term"))
     of_pattern = lambda t: F.array(placed("subject_object", t["subject"]), placed("predicate", t["predicate"]), placed("subject_object", t["object"]))
     # a query's repeats go within its row, so that one grouping with partial counts is all that moves
-    each = F.array_distinct(F.flatten(F.transform(triple_patterns(F.col("text")), of_pattern)))
-    rows = spread(queries.select(*keys, "text")).select(*keys, F.explode(each).alias("x")).select(*keys, "x.*")
+    each = F.array_distinct(F.flatten(F.transform("patterns", of_pattern)))
+    rows = patterns_by_shape(spread(queries.select(*keys, "text"))).select(*keys, F.explode(each).alias("x")).select(*keys, "x.*")
     return rows.groupBy(*keys, "place", "term").agg(F.count("*").alias("num_queries")).select(*keys, "place", term_kind(F.col("term")).alias("kind"), "term", "num_queries")
