@@ -84,13 +84,21 @@ def lines_without(lines: DataFrame, *marks: str) -> DataFrame:
     return lines.filter(~held)
 
 
+def _quoted(text: str) -> str:
+    """Text as a pattern of itself, in Java."""
+    return re.sub(r"([^A-Za-z0-9/_])", r"\\\1", text)
+
+
 def catalog_of_files(spark: SparkSession, path: str, graph: str, base: str, suffix: str = ".nt") -> DataFrame:
     """g, s, p, o: the catalog ``graph`` lists each file in ``path`` that ends in ``suffix`` as a named graph.
 
-    A dataset's IRI is ``base`` and the file's name without the suffix. Files are listed, not read.
+    A dataset's IRI is ``base`` and the file's name without the suffix. A folder of that name is one file too, as tables are that
+    were written in parts; the names of its parts are not looked at. Files are listed, not read.
     """
-    glob = re.sub(r"[\[\]{}*?\\]", "?", suffix)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{glob}").load(path).select(F.url_decode(F.replace(F.substring_index("path", "/", -1), F.lit("+"), F.lit("%2B"))).alias("name"))
+    folder = re.sub("^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", re.sub("(?<![:/])/+", "/", path)).rstrip("/")
+    above = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)?" if folder.startswith("/") or not folder else r"^.*?/"
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path"))
+    files = listed.select(F.regexp_extract("path", f"{above}{_quoted(folder)}/([^/]+)", 1).alias("name")).distinct()
     iri = F.concat(F.lit(base), F.regexp_extract("name", f"^(.*){re.escape(suffix)}$", 1))
     row = lambda s, p, o: F.struct(F.lit(graph).alias("g"), s.alias("s"), F.lit(p).alias("p"), o.alias("o"))
     both = F.array(row(F.lit(base), SERVICE + "namedGraph", iri), row(iri, RDF_TYPE, F.lit(SERVICE + "NamedGraph")))

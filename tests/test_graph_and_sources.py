@@ -342,6 +342,20 @@ def test_lines_and_catalog_of_files(spark, tmp_path):
     assert got == {("http://c", "http://d/", C.SERVICE + "namedGraph", n) for n in names} | {("http://c", n, C.RDF_TYPE, C.SERVICE + "NamedGraph") for n in names}
 
 
+def test_catalog_lists_a_table_in_parts_once(spark, tmp_path):
+    """A table written in several files is a folder: one graph of its own name, whatever the parts are called."""
+    folder = tmp_path / "my (1).nt" / "sf+1 a"
+    spark.range(10).repartition(3).write.parquet(str(folder / "events.parquet"))
+    spark.range(10).withColumn("k", F.col("id") % 2).write.partitionBy("k").parquet(str(folder / "by k.parquet"))
+    (folder / "one.parquet").write_text("x")
+    (folder / "notes").mkdir()
+    (folder / "notes" / "other.parquet").write_text("x")
+    for path in (str(folder), f"file://{folder}/", f"{folder}//"):
+        got = {r.o for r in rdf.catalog_of_files(spark, path, "http://c", "http://d/", ".parquet").filter("s = 'http://d/'").collect()}
+        assert got == {"http://d/events", "http://d/by k", "http://d/one"}
+    assert rdf.catalog_of_files(spark, str(folder), "http://c", "http://d/", ".parquet").count() == 6
+
+
 def test_execution_graphs(spark):
     g = "http://d/x/execs"
     quads = [(g, "q1", "hasRemoteExec", "e1"), (g, "q1", "hasRemoteExec", "e2"), (g, "q2", "hasRemoteExec", "e3"), (g, "e1", "atTime", "t1"), (g, "e2", "atTime", "t2"), (g, "e1", "hostHash", "h"), ("http://d/y/execs", "q", "hasRemoteExec", "e")]
