@@ -342,6 +342,44 @@ def test_lines_and_catalog_of_files(spark, tmp_path):
     assert got == {("http://c", "http://d/", C.SERVICE + "namedGraph", n) for n in names} | {("http://c", n, C.RDF_TYPE, C.SERVICE + "NamedGraph") for n in names}
 
 
+@pytest.mark.parametrize(
+    "edges",
+    [
+        [(i, i + 1) for i in range(12)],  # a chain
+        [(i // 2, i) for i in range(1, 20) if i > 1],  # a tree
+        [(i, (i + 1) % 5) for i in range(5)] + [(2, 9), (9, 10), (10, 11)],  # one parent each, with a cycle
+        [(1, 1), (1, 2), (2, 3)],  # a loop
+        [(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (5, 6), (1, 6)],  # two parents
+        [(1, 2), (2, 1), (2, 3), (3, 4), (4, 2), (5, 3), (4, 6), (6, 7), (7, 8)],
+        [(1, 2), (2, None), (None, 3), (None, None)],
+        [],
+    ],
+)
+def test_closures_of_forests_and_other_graphs(spark, edges):
+    """Each pair once, whatever the graph."""
+    df = spark.createDataFrame(edges * 2, "src int, dst int")
+    want = set(edges)
+    while True:
+        more = want | {(a, d) for a, b in want for c, d in edges if b == c and b is not None}
+        if more == want:
+            break
+        want = more
+    got = [tuple(r) for r in graph.closure(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    got = [tuple(r) for r in graph.closure(df, reflexive=True).collect()]
+    assert len(got) == len(set(got)) and set(got) == want | {(x, x) for e in edges for x in e}
+
+
+def test_closure_of_a_forest_moves_each_pair_once(spark, monkeypatch):
+    """The pairs of a forest's last round are not compared with what is known, and not kept."""
+    kept = []
+    whole = graph.stored
+    monkeypatch.setattr(graph, "stored", lambda d: kept.append(d.count()) or whole(d))
+    monkeypatch.setattr(graph, "cut", lambda d: kept.append(d.count()) or d)
+    assert graph.closure(spark.createDataFrame([(i, i + 1) for i in range(4)], "src int, dst int")).count() == 10
+    assert kept == [4, 3]  # the edges and the pairs at distance two; three pairs more are the last round's
+
+
 def test_catalog_lists_a_table_in_parts_once(spark, tmp_path):
     """A table written in several files is a folder: one graph of its own name, whatever the parts are called."""
     folder = tmp_path / "my (1).nt" / "sf+1 a"
