@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import LSQV, PROV
+from tessera.operators.graph import stored
 from tessera.operators.stats import numbered
 
 REMOTE_EXEC = "http://lsq.aksw.org/re-"
@@ -92,6 +93,9 @@ def assemble(triples: DataFrame, dataset: str, file: str = "file", by_dataset: b
     numbered within their query (as the stream does, which has no order over all files) or, with ``by_dataset``, from 1 on
     through the whole dataset: by file, and within it in the order in which an execution and its query have both been read.
     """
+    # lines are parsed once: what follows reads only these of them, by their kind
+    asked = F.col("p").isin(LSQV + "hasRemoteExec", LSQV + "text") | F.col("s").startswith(REMOTE_EXEC)
+    triples = stored(triples.filter(asked).select(file, "line", "s", "p", "o_value"))
     names = triples.filter(F.col("p") == LSQV + "hasRemoteExec").select(file, "line", F.col("s").alias("query_iri"), F.col("o_value").alias("exec_iri"))
     texts = triples.filter(F.col("p") == LSQV + "text").select("line", F.col("s").alias("query_iri"), F.col("o_value").alias("text"))
     first = texts.groupBy("query_iri").agg(F.min_by("text", "line").alias("text"))

@@ -169,6 +169,8 @@ def _event_statements(spark, sf_dir):
         line(2, F.concat(q, F.lit(" <http://lsq.aksw.org/vocab#hasRemoteExec> "), exec_iri, F.lit(" ."))),
         line(3, F.concat(q, F.lit(' <http://lsq.aksw.org/vocab#text> "ASK { '), F.col("user_id").cast("string"), F.lit(' }" .'))),
     )
+    # a small table makes few tasks by its bytes, but each event is four lines to parse
+    e = e.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("event_id"))
     rows = e.select(F.explode(lines).alias("l")).select("l.*", F.lit("f").alias("file"))
     return parse_lines(rows)
 

@@ -447,3 +447,21 @@ def test_patterns_by_shape_are_those_of_each_text(spark, monkeypatch):
     monkeypatch.setattr(features, "stored", lambda d: folded.append(d.count()) or d)
     assert features.patterns_by_shape(df).count() == len(texts) - 1
     assert folded == [len(texts) - 1, 7]  # all texts, and the distinct shapes that are folded
+
+
+def test_assembly_reads_each_line_once(spark):
+    """However often the statements are looked at, a line is parsed once; lines that say nothing about executions are not kept."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(line):
+        read.add(1)
+        return line
+
+    lines = [f'<{ingest.REMOTE_EXEC}{i % 3}> <{C.LSQV}hostHash> "h" .' for i in range(4)] + [f'<{ingest.REMOTE_EXEC}1> <{C.PROV}atTime> "t" .', f"<{ingest.QUERY_PREFIX}q> <{C.LSQV}hasRemoteExec> <{ingest.REMOTE_EXEC}0> ."]
+    lines += [f'<{ingest.QUERY_PREFIX}q> <{C.LSQV}text> "ASK {{ 1 }}" .', "<http://x/a> <http://x/b> <http://x/c> ."]
+    rows = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, line long, value string")
+    queries, execs = ingest.assemble(rdf.parse_lines(rows).withColumn("s", told.asNondeterministic()("s")), "http://ds")
+    assert [(r.id, r.text) for r in queries.collect()] == [("q", "ASK { 1 }")]
+    assert {(r.ts, r.host) for r in execs.collect()} == {("t", "h")} and execs.count() == 4
+    assert read.value == len(lines)
