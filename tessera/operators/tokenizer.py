@@ -79,7 +79,7 @@ def decompose(text: Column, options: TokenOptions = TokenOptions()) -> Column:
     found = tokens(text, options)
     if options.max_tokens:
         found = F.slice(found, 1, options.max_tokens)
-    is_query_word = lambda t: F.upper(t).isin(*_QUERY_WORDS)
+    is_query_word = lambda t: F.length(t).between(3, 9) & F.upper(t).isin(*_QUERY_WORDS)
     first = F.coalesce(F.array_position(F.transform(found, is_query_word), True), F.lit(0)).cast("int")
 
     def parts(all_tokens: Column, begin: Column) -> Column:
@@ -89,29 +89,34 @@ def decompose(text: Column, options: TokenOptions = TokenOptions()) -> Column:
         constant = _java(rf"^{_CONSTANT}\z")
         values = _java(rf"^{_VALUES}\z")
 
+        # most tokens are words and blanks: only those that may be a constant are matched
+        maybe = lambda t: F.substring(t, 1, 1).isin(*"<\"'+-.0123456789") | t.contains(":")
+
         def classed(t: Column) -> Column:
+            """struct(text, constant): the text comes before the constant; one of them is empty or null but for VALUES."""
             tidy = F.regexp_replace(t, _java(_SPACED_TAIL), "$1$2") if options.sparql_parameters else t
-            one = lambda c, x: F.struct(F.lit(c).alias("constant"), x.alias("text"))
+            one = lambda x, c: F.struct(x.alias("text"), c.alias("constant"))
             return (
-                F.when(t.rlike(values), F.array(one(False, F.regexp_extract(t, values, 1)), one(True, F.regexp_extract(t, values, 2))))
-                .when(t.rlike(constant), F.array(one(True, tidy)))
-                .otherwise(F.array(one(False, t)))
+                F.when(t.contains("{") & t.rlike(values), one(F.regexp_extract(t, values, 1), F.regexp_extract(t, values, 2)))
+                .when(maybe(t) & t.rlike(constant), one(F.lit(""), tidy))
+                .otherwise(one(t, F.lit(None).cast("string")))
             )
 
-        flat = F.flatten(F.transform(body, classed))
-        return F.struct(preamble.alias("preamble"), flat.alias("flat"))
+        return F.struct(preamble.alias("preamble"), is_prologue(preamble).alias("proper"), F.transform(body, classed).alias("flat"))
 
     # each step is computed once: bound as the argument of a one-element transform
     bound = F.transform(F.array(F.struct(found.alias("t"), first.alias("f"))), lambda s: parts(s["t"], s["f"]))[0]
 
+    without_mark = lambda x: F.when(x.contains(mark), F.translate(x, mark, "")).otherwise(x)
+
     def assemble(s: Column) -> Column:
-        body = F.array_join(F.transform(s["flat"], lambda x: F.when(x["constant"], F.lit(mark)).otherwise(F.translate(x["text"], mark, ""))), "")
+        body = F.array_join(F.transform(s["flat"], lambda x: F.when(x["constant"].isNull(), without_mark(x["text"])).otherwise(F.concat(without_mark(x["text"]), F.lit(mark)))), "")
         keep = F.lit("") if options.exclude_preamble else s["preamble"]
-        head = F.when(is_prologue(s["preamble"]), keep).otherwise(s["preamble"])
+        head = F.when(s["proper"], keep).otherwise(s["preamble"])
         return F.struct(
-            F.split(F.concat(F.translate(head, mark, ""), body), mark, -1).alias("pieces"),
-            F.transform(F.filter(s["flat"], lambda x: x["constant"]), lambda x: x["text"]).alias("constants"),
-            F.when(is_prologue(s["preamble"]), s["preamble"]).otherwise(F.lit("")).alias("preamble"),
+            F.split(F.concat(without_mark(head), body), mark, -1).alias("pieces"),
+            F.transform(F.filter(s["flat"], lambda x: x["constant"].isNotNull()), lambda x: x["constant"]).alias("constants"),
+            F.when(s["proper"], s["preamble"]).otherwise(F.lit("")).alias("preamble"),
         )
 
     return F.when(text.isNotNull(), F.transform(F.array(bound), assemble)[0])
@@ -122,7 +127,7 @@ _DECLARATION = rf"(?i:BASE){_SKIP}{_IRI}|(?i:PREFIX){_SKIP}{_PREFIX}:{_SKIP}{_IR
 
 def is_prologue(preamble: Column) -> Column:
     """Whether nothing but declarations, blanks and comments is in it."""
-    return F.regexp_replace(preamble, _java(f"{_DECLARATION}|{_BLANK}|{_COMMENT}"), "") == ""
+    return preamble.rlike(_java(rf"\A(?:{_DECLARATION}|{_BLANK}|{_COMMENT})*+\Z"))
 
 
 def prologue_prefixes(preamble: Column) -> Column:

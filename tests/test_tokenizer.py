@@ -55,3 +55,13 @@ def test_lossless_and_long(spark):
 def test_prologue_parts(spark):
     row = spark.range(1).select(tk.prologue_prefixes(F.lit("BASE <http://b/> # x\nPREFIX a: <http://a/> prefix : <http://e/>")).alias("p"), tk.prologue_base(F.lit("BASE <http://b/>")).alias("b"), tk.is_prologue(F.lit("PREFIX a <x>")).alias("bad")).first()
     assert [(x.name, x.iri) for x in row.p] == [("a", "http://a/"), ("", "http://e/")] and row.b == "http://b/" and not row.bad
+
+
+def test_a_preamble_is_judged_once(spark):
+    """A text without a query word is all preamble: it is matched from its start, once, and not searched through."""
+    df = spark.createDataFrame([("PREFIX a: <b> # c\n BASE <d>",), ("plain words PREFIX a: <b>",), (" \n",), ("x PREFIX a: <b> ASK { 1 }",), ("prefix a:<b>ASK { 1 }",)], "t string")
+    found = df.select(tk.decompose(F.col("t")).alias("d"))
+    assert found._jdf.queryExecution().analyzed().toString().count("(?i:PREFIX)") == 1
+    assert [(r.d.pieces[0], r.d.preamble) for r in found.collect()] == [
+        ("", "PREFIX a: <b> # c\n BASE <d>"), ("plain words PREFIX a: <b>", ""), ("", " \n"), ("x PREFIX a: <b> ASK { ", ""), ("ASK { ", "prefix a:<b>")
+    ]
