@@ -37,6 +37,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a broadcast side may have at most.
+FEW = 100_000
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` hinted for a broadcast if its counted ``rows`` are few."""
+    return F.broadcast(df) if rows <= FEW else df
+
+
 def join_by(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """A join on columns of one name in which null keys meet null keys; the columns of ``on`` come from ``left``."""
     renamed = right.withColumnsRenamed({c: f"_by_{c}" for c in on})

@@ -116,6 +116,11 @@ def _first(vector: Column, block: Column) -> Column:
     return F.array_position(vector, block).cast("int")
 
 
+def bound_values(vector: Column, constants: Column) -> Column:
+    """The constant of each block, in order of the blocks' first positions."""
+    return F.transform(_blocks(vector), lambda b: F.element_at(constants, _first(vector, b)))
+
+
 def _merges(vector: Column, constants: Column) -> Column:
     """The vectors in which two blocks of equal constants are one."""
     value = lambda b: F.element_at(constants, _first(vector, b))
@@ -185,8 +190,7 @@ def supported_generalizations(queries: DataFrame, options: TokenOptions = TokenO
         whole = _keyed(base.withColumn("vector", F.transform("vector", lambda v: F.lit(-1))))
         counts = whole.groupBy(*_KEYS).agg(F.count("*").alias("n"), F.coalesce(F.sum("num_exec"), F.lit(0)).alias("e")).filter((F.col("n") >= min_instances) & (F.col("e") >= min_executions))
         known = known.unionByName(whole.join(counts.select(*_KEYS), _KEYS, "left_semi"))
-    bindings = F.transform(_blocks(F.col("vector")), lambda b: F.element_at("constants", _first(F.col("vector"), b)))
-    return known.select(*_KEYS, "instance", "num_exec", bindings.alias("bindings"), "pieces", "constants", "vector")
+    return known.select(*_KEYS, "instance", "num_exec", bound_values(F.col("vector"), F.col("constants")).alias("bindings"), "pieces", "constants", "vector")
 
 
 def written_out(general: DataFrame, kept: DataFrame, sparql: bool = True) -> DataFrame:

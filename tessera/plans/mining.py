@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import rebase_term
 from tessera.operators import lattice, templates
-from tessera.operators.graph import join_by, stored
+from tessera.operators.graph import few, join_by, stored
 from tessera.operators.specialize import Forest, grow_forest
 from tessera.operators.tokenizer import TokenOptions, prologue_base, prologue_prefixes
 
@@ -133,32 +133,43 @@ def forest_triples(
     sh, wf = "http://www.w3.org/ns/shacl#", "http://purl.org/wf4ever/wfprov#"
     keys, of = mined.keys, [*mined.keys, "template"]
     head = mined.templates.select(*of, "base", "prefixes", F.col("body").alias("_root"), F.hex("template_id").alias("_id"))
+    # a root is known as its template; texts of different templates differ in their pieces
+    below = F.hex(F.xxhash64(*of, "node"))
     if mined.forest is None:
-        nodes = mined.templates.select(*of, F.col("body").alias("node"), "num_exec", "n_params")
-        members = mined.instances.withColumnRenamed("text", "node")
-        edges = nodes.select(*keys, F.col("node").alias("parent"), "node").limit(0)
+        n = join_by(mined.templates.select(*of, F.col("body").alias("node"), "num_exec", "n_params"), head, of)
+        up = n.limit(0).select(*keys, F.col("_id").alias("_above"), "_id")
+        told_by = mined.instances.withColumn("pre", F.xxhash64("preamble"))
+        m = join_by(told_by.select(*of, "pre", "id", "bindings"), head.select(*of, "_id"), of)
     else:
-        nodes, edges, members = mined.forest.nodes.select(*of, "node", "num_exec", "n_params"), mined.forest.edges, mined.forest.members
-    # a root is known as its template; texts of different templates differ in their pieces
-    n = join_by(nodes, head, of).withColumn("_id", F.when(F.col("node") == F.col("_root"), F.col("_id")).otherwise(F.hex(F.xxhash64(*of, "node"))))
-    n = n.withColumn("s", F.concat(F.lit(base + "templates/"), "_id"))
+        forest = mined.forest
+        n = join_by(forest.nodes.select(*of, "node", "num_exec", "n_params"), head, of).withColumn("_id", F.when(F.col("node") == F.col("_root"), F.col("_id")).otherwise(below))
+        root_id = F.hex(F.xxhash64(*of))
+        ids = forest.named.select(*keys, "n1", "n2", F.when(F.col("depth") == 0, root_id).otherwise(below).alias("_id"))
+        up = forest.reduced.join(ids.select(F.col("n1").alias("p1"), F.col("n2").alias("p2"), F.col("_id").alias("_above")), ["p1", "p2"]).join(ids, ["n1", "n2"])
+        # a member's node is named from its own constants, so that members are not dealt by node
+        roots = stored(forest.named.filter("depth = 0").select("t", *of, "pieces"))
+        m = forest.rows.join(few(roots, roots.count()), "t").withColumn("node", lattice.general_text(F.col("pieces"), F.col("bindings"), F.col("slots")))
+        m = m.select(*keys, F.when(F.col("depth") == 0, root_id).otherwise(below).alias("_id"), "id", "pre", lattice.bound_values(F.col("slots"), F.col("bindings")).alias("bindings"))
+        told_by = forest.base
+    iri_of = lambda c: F.concat(F.lit(base + "templates/"), c)
+    n = n.withColumn("s", iri_of(F.col("_id")))
     text = F.concat(templates.prologue_text(F.col("base"), F.col("prefixes")), F.lit("\n"), F.col("node"))
-    named = n.select(*keys, "node", "s")
-    up = join_by(join_by(edges, named.withColumnsRenamed({"node": "parent", "s": "_up"}), [*keys, "parent"]), named, [*keys, "node"])
+    up = up.select(*keys, iri_of(F.col("_id")).alias("s"), iri_of(F.col("_above")).alias("_up"))
     param = lambda pos: F.concat(F.lit(base + "params/"), "_id", F.lit("_"), pos.cast("string"))
     p = n.filter("n_params > 0").select(*keys, "s", "_id", F.explode(F.sequence(F.lit(0), F.col("n_params") - 1)).alias("pos")).withColumn("_p", param(F.col("pos")))
     label = F.concat(F.lit("__PARAM_"), F.col("pos").cast("string"))
-    prologues = mined.instances.select(*of, "instance", "preamble").dropDuplicates([*of, "instance"])
+    # each distinct prologue is read once
+    prologues = told_by.select(*keys, "pre", "preamble").distinct()
     if preambles is not None:
         prologues = join_by(prologues, preambles.select(*keys, F.col("preamble").alias("_shared")), list(keys), "left")
     # of several declarations the last counts
     shared = [F.col("_shared")] if preambles is not None else []
     prologues = prologues.withColumn("preamble", F.concat_ws("\n", F.lit(default_preamble), *shared, "preamble"))
-    m = join_by(members.select(*of, "node", "instance", "id", "bindings"), n.select(*of, "node", "_id", F.col("s").alias("_t")), [*of, "node"])
+    prologues = stored(prologues.select(*keys, "pre", prologue_prefixes(F.col("preamble")).alias("_prefixes"), prologue_base(F.col("preamble")).alias("_base")))
     m = m.withColumn("s", F.concat(F.lit(base + "queryGenerations/"), "_id", F.lit("_"), "id")).withColumn("_q", F.concat(F.lit("http://lsq.aksw.org/lsqQuery-"), "id"))
-    b = join_by(m, prologues.select(*of, "instance", "preamble"), [*of, "instance"]).select(*keys, "s", "_id", "id", "preamble", F.posexplode("bindings").alias("pos", "value"))
+    b = join_by(m, few(prologues, prologues.count()), [*keys, "pre"]).select(*keys, "s", "_id", "id", "_prefixes", "_base", F.posexplode("bindings").alias("pos", "value"))
     b = b.withColumn("_b", F.concat(F.lit(base + "bindings/"), "_id", F.lit("_"), "id", F.lit("_"), F.col("pos").cast("string")))
-    b = b.withColumn("_value", rebase_term(F.col("value"), prologue_prefixes(F.col("preamble")), prologue_base(F.col("preamble"))))
+    b = b.withColumn("_value", rebase_term(F.col("value"), F.col("_prefixes"), F.col("_base")))
     s, iri, told = F.col("s"), lambda x: F.lit(x), list(keys) if with_keys else []
     part_of = (dct + "isPartOf", "iri", iri(dataset_iri)) if cluster_iri is None else (prov + "specializationOf", "iri", iri(cluster_iri))
     of_nodes = _facts(
@@ -184,10 +195,12 @@ def forest_triples(
         m,
         told,
         (s, rdf + "type", "iri", iri(prvt + "DataCreation")),
-        (s, prv + "usedGuideline", "iri", F.col("_t")),
+        (s, prv + "usedGuideline", "iri", iri_of(F.col("_id"))),
         (F.col("_q"), prv + "createdBy", "iri", s),
     )
-    of_queries = _facts(m.select(*told, "_q").distinct(), told, (F.col("_q"), rdf + "type", "iri", iri(prvt + "SPARQLQuery")))
+    # every instance is a member of its root
+    every = told_by.select(*told, F.concat(F.lit("http://lsq.aksw.org/lsqQuery-"), "id").alias("_q"))
+    of_queries = _facts(every.distinct(), told, (F.col("_q"), rdf + "type", "iri", iri(prvt + "SPARQLQuery")))
     of_bindings = _facts(
         b,
         told,

@@ -333,3 +333,28 @@ def test_texts_are_cut_into_tokens_once(spark):
     mined = mine_templates(usage, MiningOptions(generalization_tree=True), ())
     for df in (mined.templates, mined.instances, mined.nodes, mined.edges):
         assert "VALUES" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_forest_rows_hold_no_texts_of_nodes(spark):
+    from tessera.operators.specialize import grow_forest
+
+    r = random.Random(3)
+    rows = sorted({f"SELECT {r.choice('ab')}:x {{ {r.randrange(3)} {r.randrange(3)} }}" for _ in range(20)})
+    inst = templates.generalize(_usage(spark, [(t, 1) for t in rows])).cache()
+    plain = inst.orderBy("id").collect()
+    want = _plain_forest([x.bindings for x in plain], plain[0].pieces, 2)
+    forest = grow_forest(inst, 2, 1)
+    # what is shuffled by node and candidate are hashes and bindings, and edges are reduced only where they are asked for
+    assert not {"pieces", "template", "node", "preamble"} & set(forest.open_rows.columns)
+    assert {x.node for x in forest.nodes.collect()} == set(want) and "reduced" not in vars(forest)
+    found, names = {}, [x.id for x in plain]
+    for m in forest.members.collect():
+        found.setdefault(m.node, []).append(names.index(m.id))
+        text = m.node
+        for k, v in enumerate(m.bindings):
+            text = text.replace(f"$__PARAM_{k}", v)
+        assert text == plain[names.index(m.id)].text
+    assert {t: sorted(ids) for t, ids in found.items()} == {t: sorted(ids) for t, ids in want.items()}
+    # equal rows count, but are one text
+    twice = grow_forest(inst.unionByName(inst), 4, 1).nodes
+    assert {x.node: x.num_instances for x in twice.collect()} == {t: 2 * len(ids) for t, ids in want.items()}
