@@ -12,7 +12,7 @@ from tessera.operators import ingest, lattice, templates
 from tessera.operators.features import patterns_by_shape, query_features, spread, terms_by_place
 from tessera.operators.graph import shared_folder
 from tessera.operators.nested import nested_forest
-from tessera.operators.specialize import specialization_forest
+from tessera.operators.specialize import grow_forest, specialization_forest
 from tessera.operators.tokenizer import TokenOptions, decompose
 from tessera.plans.log_queries import _INST, _LOG, _SIMPLE, _USAGE, _USAGE_DS, _instances, _table
 from tessera.plans.mining import MiningOptions, forest_triples, generalize_and_aggregate, mine_by_cluster, mine_templates, stats_table
@@ -73,24 +73,20 @@ _NODE = ("template", "node", "depth", "num_instances", "num_exec", "n_params", "
 
 def specialization_nodes(spark, sf_dir):
     """Nodes of the specialization forest, of 15 instances at least."""
-    nodes, _ = specialization_forest(_instances(spark, sf_dir), 15, 15)
-    return nodes.select(*_NODE, F.round("sum_log2_exec", 3).alias("sum_log2_exec"))
+    return grow_forest(_instances(spark, sf_dir), 15, 15).nodes.select(*_NODE, F.round("sum_log2_exec", 3).alias("sum_log2_exec"))
 
 
 def specialization_nodes_by_dataset(spark, sf_dir):
     """A forest for each dataset, in one job; of 5 instances at least."""
-    nodes, _ = specialization_forest(_instances(spark, sf_dir, "dataset"), 5, 5, keys=("dataset",))
-    return nodes.select("dataset", *_NODE, F.round("sum_log2_exec", 3).alias("sum_log2_exec"))
+    return grow_forest(_instances(spark, sf_dir, "dataset"), 5, 5, keys=("dataset",)).nodes.select("dataset", *_NODE, F.round("sum_log2_exec", 3).alias("sum_log2_exec"))
 
 
 def specialization_edges_by_dataset(spark, sf_dir):
-    _, edges = specialization_forest(_instances(spark, sf_dir, "dataset"), 5, 5, keys=("dataset",))
-    return edges.select("dataset", "parent", "node")
+    return grow_forest(_instances(spark, sf_dir, "dataset"), 5, 5, keys=("dataset",)).edges.select("dataset", "parent", "node")
 
 
 def specialization_edges(spark, sf_dir):
-    _, edges = specialization_forest(_instances(spark, sf_dir), 15, 15)
-    return edges.select("parent", "node")
+    return grow_forest(_instances(spark, sf_dir), 15, 15).edges.select("parent", "node")
 
 
 def nested_specializations(spark, sf_dir):
