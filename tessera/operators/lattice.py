@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import parameter_label
-from tessera.operators.graph import stored
+from tessera.operators.graph import few, join_by, stored
 from tessera.operators.tokenizer import TokenOptions, decompose
 
 _FAMILY = "vector array<int>, subsets array<array<int>>, reductions array<array<int>>"
@@ -141,73 +141,120 @@ _KEYS = ["k1", "k2"]
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
-    """``rows`` with two hashes that stand for the text of pieces, constants and vector: texts are long, and only those that
-    are left in the end are written out."""
+    """``rows`` with two hashes that stand for the text of pieces (by their hash t), constants and vector: texts are long, and only
+    those that are left in the end are written out."""
     shown = rows.withColumn("_shown", F.zip_with("constants", "vector", lambda c, v: F.when(v < 0, c)))
-    return shown.withColumns({k: F.xxhash64(F.lit(k), "pieces", "vector", "_shown") for k in _KEYS}).drop("_shown")
+    return shown.withColumns({k: F.xxhash64(F.lit(k), "t", "vector", "_shown") for k in _KEYS}).drop("_shown")
 
 
-def _closed(rows: DataFrame, min_instances: int, min_executions: int) -> DataFrame:
-    """The rows whose text passes the thresholds, positions where all its instances agree keeping their constants; one row for
-    each text and instance."""
-    keyed = _keyed(rows)
-    if min_instances > 1 or min_executions > 0:
-        counts = keyed.groupBy(*_KEYS).agg(F.count("*").alias("_n"), F.coalesce(F.sum("num_exec"), F.lit(0)).alias("_e"))
-        keyed = stored(keyed.join(counts.filter((F.col("_n") >= min_instances) & (F.col("_e") >= min_executions)).select(*_KEYS), _KEYS, "left_semi"))
-    spots = keyed.select(*_KEYS, F.posexplode("constants").alias("_at", "_c")).groupBy(*_KEYS, "_at").agg((F.min("_c") == F.max("_c")).alias("_same"))
-    agreed = spots.groupBy(*_KEYS).agg(F.collect_set(F.when(F.col("_same"), F.col("_at"))).alias("_agreed"))
-    held = keyed.join(agreed, _KEYS).drop(*_KEYS).withColumn("vector", _numbered(F.transform("vector", lambda v, i: F.when(F.array_contains("_agreed", i), -1).otherwise(v)))).drop("_agreed")
-    return _keyed(held.filter(F.exists("vector", lambda v: v >= 0))).dropDuplicates([*_KEYS, "instance"])
+_WAY = ["above", "step", "value"]
 
 
-def supported_generalizations(queries: DataFrame, options: TokenOptions = TokenOptions(), max_vars: int = 3, min_instances: int = 0, min_executions: int = 0, include_identity: bool = False) -> DataFrame:
-    """k1, k2 (they stand for the text), instance, num_exec, bindings, pieces, constants, vector: the instances of each
-    generalization with at most ``max_vars`` parameters (with ``include_identity`` also without) that passes the thresholds.
+def _steps(texts: DataFrame) -> DataFrame:
+    """above (k1 of the text), step, at, a, b, vector: the vectors one step below each text. A block of one position ``at`` keeps its
+    constant, or the blocks that begin at ``a`` and ``b`` become one where their constants are equal."""
+    vector, blocks = F.col("vector"), _blocks(F.col("vector"))
+    none = F.lit(None).cast("int")
+    step = lambda at, a, b, v: F.struct(at.alias("at"), a.alias("a"), b.alias("b"), _numbered(v).alias("vector"))
+    alone = F.filter(F.sequence(F.lit(0), F.size(vector) - 1), lambda p: (F.get(vector, p) >= 0) & (F.size(F.filter(vector, lambda v: v == F.get(vector, p))) == 1))
+    kept = F.transform(alone, lambda p: step(p, none, none, F.transform(vector, lambda v, i: F.when(i == p, -1).otherwise(v))))
+    into = lambda a, b: F.transform(vector, lambda v: F.when(v == b, a).otherwise(v))
+    merged = F.flatten(F.transform(blocks, lambda a: F.transform(F.filter(blocks, lambda b: b > a), lambda b: step(none, _first(vector, a) - 1, _first(vector, b) - 1, into(a, b)))))
+    return texts.select(F.col("k1").alias("above"), F.posexplode(F.concat(kept, merged)).alias("step", "s")).select("above", "step", "s.*")
+
+
+def _level(rows: DataFrame, base: DataFrame, steps: DataFrame | None, seen: DataFrame | None, min_instances: int, min_executions: int) -> tuple[DataFrame, DataFrame, int]:
+    """Texts (k1, k2, t, vector, constants and number ``one`` of an instance, num_instances, num_exec) that pass the thresholds and
+    are not ``seen``, positions where all their instances agree keeping their constants; the instances of each; the texts' number.
+
+    ``rows`` have above, step, value (a way to a text), instance, num_exec, constants; ``steps`` the vectors of steps. All ways to a text give the same
+    instances, so vectors are worked on and one way is chosen by text; of rows, constants are counted only.
+    """
+    counts = rows.groupBy(*_WAY).agg(F.count("*").alias("num_instances"), F.coalesce(F.sum("num_exec"), F.lit(0)).alias("num_exec"), F.max("instance").alias("one"))
+    ways = stored(counts.filter((F.col("num_instances") >= min_instances) & (F.col("num_exec") >= min_executions)))
+    n = ways.count()
+    ends = base.select(F.col("instance").alias("one"), "t", "constants").join(few(ways.select("one").distinct(), n), "one")
+    told, n_steps = ways.join(few(ends, n), "one"), steps.count() if steps is not None else 0
+    if steps is None:  # the first level: a parameter for each constant
+        told = told.withColumn("vector", F.transform("constants", lambda c, i: i))
+    else:
+        told = told.join(few(steps.select("above", "step", "vector"), n_steps), ["above", "step"])
+    told = stored(told)
+    free = F.filter(F.transform("vector", lambda v, i: F.when(v >= 0, i)), lambda i: i.isNotNull())
+    spots = _by_way(rows, told.select(*_WAY, F.col("constants").alias("_c"), free.alias("_free")), n).select(*_WAY, "constants", "_c", F.explode("_free").alias("at"))
+    # the value of one instance is the value of all or not
+    agree = spots.groupBy(*_WAY, "at").agg(F.min(F.get("constants", "at") == F.get("_c", "at")).alias("_same")).filter("_same")
+    agreed = agree.groupBy(*_WAY).agg(F.collect_set("at").alias("_agreed"))
+    held = join_by(told, agreed, _WAY, "left").withColumn("vector", F.when(F.col("_agreed").isNull(), F.col("vector")).otherwise(_numbered(F.transform("vector", lambda v, i: F.when(F.array_contains("_agreed", i), -1).otherwise(v))))).drop("_agreed")
+    texts = _keyed(held.filter(F.exists("vector", lambda v: v >= 0))).dropDuplicates(_KEYS)
+    if seen is not None:
+        texts = texts.join(seen, _KEYS, "left_anti")
+    texts = stored(texts)
+    return texts, stored(_by_way(rows, texts.select(*_WAY, *_KEYS), n).select(*_KEYS, "instance", "num_exec", "constants")), texts.count()
+
+
+def _by_way(rows: DataFrame, ways: DataFrame, n: int) -> DataFrame:
+    return join_by(rows, few(ways, n), _WAY)
+
+
+def supported_generalizations(queries: DataFrame, options: TokenOptions = TokenOptions(), max_vars: int = 3, min_instances: int = 0, min_executions: int = 0, include_identity: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The texts of the generalizations with at most ``max_vars`` parameters (with ``include_identity`` also without) that pass the
+    thresholds: k1, k2 (they stand for the text), num_instances, num_exec, t, pieces, constants (of one instance), vector, one;
+    and their instances: k1, k2, instance, num_exec, constants.
 
     Texts with a parameter that has one value in all their instances may be left out: they do not diverge. Levels
     go down from one parameter a constant, by one parameter each: a parameter gets a constant, or two become one.
     Every level is a stored table, and a text is looked at once, however it was reached.
     """
     found = queries.filter("text is not null").withColumn("_d", decompose(F.col("text"), options))
-    n = F.size("_d.constants")
-    base = stored(found.select(
-        F.xxhash64(*queries.columns).alias("instance"), "num_exec", F.col("_d.pieces").alias("pieces"), F.col("_d.constants").alias("constants"),
-        F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")).alias("vector"),
-    ))
-    blocks = F.size(_blocks(F.col("vector")))
-    level = stored(_closed(base.filter(F.size("constants") > 0), min_instances, min_executions))
-    known, seen = level.filter(blocks <= max_vars), level.select(*_KEYS).distinct()
-    while True:
+    cut = stored(found.select(F.xxhash64(*queries.columns).alias("instance"), "num_exec", F.xxhash64("_d.pieces").alias("t"), F.col("_d.pieces").alias("pieces"), F.col("_d.constants").alias("constants")))
+    once = cut
+    if not cut.groupBy("instance").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        once = stored(cut.dropDuplicates(["instance"]))  # equal rows share their instance
+    base = once.drop("pieces")
+    first = base.filter(F.size("constants") > 0).select(F.col("t").alias("above"), F.lit(0).alias("step"), F.lit(None).cast("string").alias("value"), "instance", "num_exec", "constants")
+    columns, blocks = [*_KEYS, "num_instances", "num_exec", "t", "constants", "vector", "one"], F.size(_blocks(F.col("vector")))
+    texts, rows, n = _level(first, base, None, None, min_instances, min_executions)
+    texts_, rows_, seen = texts.select(*columns), rows, texts.select(*_KEYS)
+    while n:
         # what has one parameter has nothing below it but queries
-        open_rows = level.filter(blocks > 1)
-        if open_rows.isEmpty():
+        steps = stored(_steps(texts.filter(blocks > 1)))
+        n = steps.count()
+        if n == 0:
             break
-        below = open_rows.drop(*_KEYS).withColumn("vector", F.explode(F.concat(_kept_more(F.col("vector"), True), _merges(F.col("vector"), F.col("constants"))))).withColumn("vector", _numbered(F.col("vector")))
-        level = stored(_closed(below, min_instances, min_executions).join(seen, _KEYS, "left_anti"))
-        seen = seen.unionByName(level.select(*_KEYS).distinct())
-        known = known.unionByName(level.filter(blocks <= max_vars))
+        dealt = rows.withColumnRenamed("k1", "above").join(few(steps, n), "above").filter("at is not null or get(constants, a) = get(constants, b)")
+        below = dealt.select("above", "step", F.get("constants", "at").alias("value"), "instance", "num_exec", "constants")
+        texts, rows, n = _level(below, base, steps, seen, min_instances, min_executions)
+        seen, texts_, rows_ = seen.unionByName(texts.select(*_KEYS)), texts_.unionByName(texts.select(*columns)), rows_.unionByName(rows)
+    texts_ = texts_.filter(blocks <= max_vars)
     if include_identity:
-        whole = _keyed(base.withColumn("vector", F.transform("vector", lambda v: F.lit(-1))))
-        counts = whole.groupBy(*_KEYS).agg(F.count("*").alias("n"), F.coalesce(F.sum("num_exec"), F.lit(0)).alias("e")).filter((F.col("n") >= min_instances) & (F.col("e") >= min_executions))
-        known = known.unionByName(whole.join(counts.select(*_KEYS), _KEYS, "left_semi"))
-    return known.select(*_KEYS, "instance", "num_exec", bound_values(F.col("vector"), F.col("constants")).alias("bindings"), "pieces", "constants", "vector")
-
-
-def written_out(general: DataFrame, kept: DataFrame, sparql: bool = True) -> DataFrame:
-    """``kept`` (k1, k2 and more columns) with the text ``template`` of each, made once."""
-    one = general.join(kept.select(*_KEYS), _KEYS, "left_semi").groupBy(*_KEYS).agg(F.any_value(F.struct("pieces", "constants", "vector")).alias("o"))
-    return kept.join(one, _KEYS).withColumn("template", general_text(F.col("o.pieces"), F.col("o.constants"), F.col("o.vector"), sparql)).drop("o")
+        whole = _keyed(cut.drop("pieces").withColumn("vector", F.transform("constants", lambda v: F.lit(-1))))
+        sums = [F.count("*").alias("num_instances"), F.coalesce(F.sum("num_exec"), F.lit(0)).alias("num_exec"), F.max("instance").alias("one")]
+        counts = whole.groupBy(*_KEYS).agg(*sums).filter((F.col("num_instances") >= min_instances) & (F.col("num_exec") >= min_executions))
+        of = whole.select(*_KEYS, "t", "constants", "vector").dropDuplicates(_KEYS)
+        texts_ = texts_.unionByName(counts.join(of, _KEYS).select(*columns))
+        rows_ = rows_.unionByName(whole.select(*rows.columns))
+    texts_ = stored(texts_)
+    n = texts_.count()
+    pieces = cut.select("t", "pieces").join(few(texts_.select("t").distinct(), n), "t", "left_semi").dropDuplicates(["t"])
+    return stored(texts_.join(few(pieces, n), "t")), rows_.join(few(texts_.select(*_KEYS), n), _KEYS, "left_semi")
 
 
 def supported_edges(general: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges (child, parent) between kept texts (k1, k2, template) of :func:`supported_generalizations`, and the roots. One step
-    down a parameter that stands once gets its constant, one of several places of a parameter does, or two parameters become one."""
-    texts = kept.select(*_KEYS, "template")
-    rows = general.join(texts, _KEYS).select(F.col("template").alias("parent"), "pieces", "constants", "vector")
+    """Edges (child, parent) between kept texts (k1, k2, template, t, vector, one) of :func:`supported_generalizations`, and the
+    roots. One step down a parameter that stands once gets its constant, one of several places of a parameter does, or two
+    parameters become one. A child's instances are all its parents', so one of them shows these, but for parents with a parameter in
+    several places: what they share with a child is looked up in all their instances."""
+    n, texts, above = kept.count(), kept.select(*_KEYS, "template"), dict(zip(_KEYS, ("p1", "p2")))
     vector = F.col("vector")
     steps = F.explode(F.array_distinct(F.transform(F.concat(_kept_more(vector, False), _merges(vector, F.col("constants"))), _numbered)))
-    pairs = _keyed(rows.withColumn("vector", steps)).select(*_KEYS, "parent").distinct()
-    edges = pairs.join(texts.withColumnRenamed("template", "child"), _KEYS).select("child", "parent").distinct()
+    parents, placed = kept.select(*_KEYS, "t", "vector"), F.filter(vector, lambda v: v >= 0)
+    shown = general.join(few(kept.select(F.col("one").alias("instance")).distinct(), n), "instance").join(few(parents, n), _KEYS)
+    spread = general.join(few(parents.filter(F.size(placed) > F.size(_blocks(vector))), n), _KEYS)
+    rows = shown.select(*_KEYS, "t", "vector", "constants").unionByName(spread.select(*_KEYS, "t", "vector", "constants")).withColumnsRenamed(above)
+    pairs = _keyed(rows.select("p1", "p2", "t", "constants", steps.alias("vector"))).select(*_KEYS, "p1", "p2").distinct()
+    edges = pairs.join(few(texts.withColumnRenamed("template", "child"), n), _KEYS).join(few(texts.withColumnsRenamed(above | {"template": "parent"}), n), ["p1", "p2"])
+    edges = edges.select("child", "parent").distinct()
     return edges, texts.select(F.col("template").alias("general")).join(edges.select(F.col("child").alias("general")), "general", "left_anti")
 
 

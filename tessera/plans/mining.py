@@ -96,11 +96,14 @@ def mine_by_cluster(rows: DataFrame, options: MiningOptions = MiningOptions(), s
 def generalize_and_aggregate(usage: DataFrame, options: MiningOptions = MiningOptions()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Templates of the generalization lattice that diverge and pass the thresholds, the edges between them (child,
     parent) and the roots."""
-    general = stored(lattice.supported_generalizations(usage, options.tokens, options.max_vars, options.min_instances, options.min_executions, options.include_simple_queries))
-    stats = general.groupBy("k1", "k2").agg(F.count("*").alias("num_instances"), F.sum("num_exec").alias("num_exec"))
-    passing = templates.divergent(general.select(F.struct("k1", "k2").alias("template"), "bindings"), options.min_binding_divergence_ratio).select("template.k1", "template.k2")
-    kept = templates.above_thresholds(stats.join(passing, ["k1", "k2"], "left_semi"), options.min_instances, options.min_executions)
-    kept = stored(lattice.written_out(general, kept, options.sparql_parameters))
+    texts, general = lattice.supported_generalizations(usage, options.tokens, options.max_vars, options.min_instances, options.min_executions, options.include_simple_queries)
+    if options.min_binding_divergence_ratio:  # without a ratio all diverge: no parameter of theirs has one value
+        of = general.join(texts.select("k1", "k2", "vector"), ["k1", "k2"])
+        bound = of.select(F.struct("k1", "k2").alias("template"), lattice.bound_values(F.col("vector"), F.col("constants")).alias("bindings"))
+        passing = templates.divergent(bound, options.min_binding_divergence_ratio).select("template.k1", "template.k2")
+        texts = texts.join(passing, ["k1", "k2"], "left_semi")
+    text = lattice.general_text(F.col("pieces"), F.col("constants"), F.col("vector"), options.sparql_parameters)
+    kept = stored(templates.above_thresholds(texts, options.min_instances, options.min_executions).withColumn("template", text))
     edges, roots = lattice.supported_edges(general, kept)
     return kept.select("template", "num_instances", "num_exec"), edges, roots
 

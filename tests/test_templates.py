@@ -358,3 +358,20 @@ def test_forest_rows_hold_no_texts_of_nodes(spark):
     # equal rows count, but are one text
     twice = grow_forest(inst.unionByName(inst), 4, 1).nodes
     assert {x.node: x.num_instances for x in twice.collect()} == {t: 2 * len(ids) for t, ids in want.items()}
+
+
+def test_lattice_counts_by_text(spark):
+    usage = _usage(spark, [(f"SELECT a:p{i} {{ {j} {k} }}", 1) for i in range(2) for j in range(2) for k in range(2)])
+    texts, rows = lattice.supported_generalizations(usage, max_vars=3)
+    found = rows.collect()
+    # vectors and pieces belong to texts, each of which is reached in one way
+    assert not {"pieces", "vector"} & set(rows.columns) and len({(x.k1, x.k2, x.instance) for x in found}) == len(found)
+    assert {(x.k1, x.k2): x.num_instances for x in texts.collect()} == {k: [(x.k1, x.k2) for x in found].count(k) for k in {(x.k1, x.k2) for x in found}}
+    again, more = lattice.supported_generalizations(usage.unionByName(usage), max_vars=3)
+    assert again.count() == texts.count() and more.count() == len(found)
+
+
+def test_lattice_with_a_ratio(spark):
+    usage = _usage(spark, [(f"ASK {{ a:p{i} {j} }}", 1) for i in range(3) for j in range(2)])
+    kept = lambda ratio: {r.template for r in generalize_and_aggregate(usage, MiningOptions(max_vars=2, min_binding_divergence_ratio=ratio))[0].collect()}
+    assert kept(0.6) == {"ASK { $__PARAM_0 0 }", "ASK { $__PARAM_0 1 }"} and kept(0.5) > kept(0.6)
