@@ -57,6 +57,26 @@ def test_crowded_hours_are_split(spark, monkeypatch):
         assert max(c["count"] for c in cells) <= 80 and len([c for c in cells if c.host == "h1"]) > 36
 
 
+def test_pairs_across_a_clock_change_and_grids_of_one_column(spark, monkeypatch):
+    from datetime import datetime
+
+    from tessera.operators import stats
+
+    rows = [("h", datetime(2020, 11, 1, 1, 30), 1, 1, 7, "a"), ("h", datetime(2020, 11, 1, 2, 20), 2, 2, 8, "b"), ("h", datetime(2020, 11, 1, 2, 30, 0, 1), 3, 3, 9, "c")]
+    events = spark.createDataFrame(rows, "host string, ts timestamp_ntz, exec_id long, id long, template long, text string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert sorted(r[1:3] for r in stats.co_occurrences(events, shown="text").collect()) == [("a", "b"), ("b", "c")]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    monkeypatch.setattr(stats, "CELL_ROWS", 40)
+    side = lambda n, end: spark.range(end).select(F.lit("h").alias("host"), F.lit(0).alias("stretch"), F.col("id").alias(f"exec_id{n}"))
+    left, right = stats._grid(side(1, 400), side(2, 30), ("host", "stretch"), "exec_id1", "exec_id2")
+    assert (left.count(), right.count()) == (400, 300)  # only what meets several parts is repeated
+    assert left.join(right, ["host", "stretch", "_row", "_column"]).count() == 400 * 30
+
+
 def test_transitive_reduction(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c")], "p string, n string")
     assert {tuple(r) for r in graph.transitive_reduction(edges, "p", "n").collect()} == {("a", "b"), ("b", "c")}
