@@ -77,6 +77,34 @@ def test_pairs_across_a_clock_change_and_grids_of_one_column(spark, monkeypatch)
     assert left.join(right, ["host", "stretch", "_row", "_column"]).count() == 400 * 30
 
 
+def test_pairs_are_sought_by_the_block(spark, monkeypatch):
+    import random
+    from datetime import datetime, timedelta
+
+    from tessera.operators import stats
+
+    for name, n in (("CELL_ROWS", 60), ("PACK_ROWS", 30), ("BLOCK_ROWS", 7)):
+        monkeypatch.setattr(stats, name, n)
+    r, at = random.Random(4), datetime(2019, 12, 31, 23)
+    rows = [(r.choice(["h1", "h1", "h2", None]), at + timedelta(seconds=r.choice([600, 3600, 4200, 4200.000001, r.uniform(0, 9000)])), i, r.randrange(40), r.randrange(4)) for i in r.sample(range(9000), 500)]
+    rows += [("h1", None, 9001, 99, 9), ("h1", at, None, 99, 9), ("h1", at, 9002, None, 9), ("h1", at, 9003, 99, None)]
+    rows = [(*x, f"t{x[4]}" if x[4] else None) for x in rows]
+    events = spark.createDataFrame(rows, "host string, ts timestamp_ntz, exec_id long, id long, template long, text string")
+    whole = [x for x in rows if None not in x[:5]]
+    want = [(a[0], a[5], b[5], a[1], b[1]) for a in whole for b in whole if a[0] == b[0] and b[2] > a[2] and b[3] > a[3] and a[4] != b[4] and abs(b[1] - a[1]) <= timedelta(hours=1)]
+    assert sorted(map(repr, (tuple(x) for x in stats.co_occurrences(events, shown="text").collect()))) == sorted(map(repr, want))
+
+    right = events.filter("host is not null and exec_id is not null and id is not null")
+    blocks = stats._blocks(right, ["host"], "id", "exec_id", ["template"], "exec_id").collect()
+    assert sorted(x.exec_id for b in blocks for x in b["rows"]) == sorted(x[2] for x in rows if None not in (x[0], x[2], x[3]))
+    for b in blocks:
+        ids, execs = [x.id for x in b["rows"]], [x.exec_id for x in b["rows"]]
+        assert len(ids) == b.n_rows <= 7 and (min(execs), max(execs)) == (b.min_exec_id, b.max_exec_id) and b.first in execs
+        assert b.min_id <= min(ids) and max(ids) <= b.max_id
+    # an execution in the middle passes over most blocks
+    assert sum(b.n_rows for b in blocks if b.max_id > 20 and b.max_exec_id > 4500) < 0.6 * sum(b.n_rows for b in blocks)
+
+
 def test_transitive_reduction(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c")], "p string, n string")
     assert {tuple(r) for r in graph.transitive_reduction(edges, "p", "n").collect()} == {("a", "b"), ("b", "c")}
